@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quirefold.functions import fixed as v
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, for values that an expression names several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cjk_chars(c: Column) -> Column:
     return F.length(c) - F.length(F.regexp_replace(c, f"[{v.CJK_TOKEN}]+", ""))
 
@@ -44,8 +51,10 @@ def fit_text(c: Column, tokens: Column) -> Column:
     The cost of a prefix never falls as it grows, so the length is found by halving: the state is two numbers,
     and no text longer than the budget allows is looked at.
     """
-    s = F.coalesce(c, F.lit(""))
-    limit = tokens.cast("double")
+    return let(F.struct(F.coalesce(c, F.lit("")).alias("s"), tokens.cast("double").alias("limit")), lambda x: _fit(x["s"], x["limit"]))
+
+
+def _fit(s: Column, limit: Column) -> Column:
     top = F.least(F.length(s), F.greatest(F.ceil(limit / v.OTHER_TOKENS), F.lit(0)).cast("int"))
 
     def halve(state, _):

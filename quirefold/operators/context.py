@@ -200,10 +200,11 @@ def pack_context(q: DataFrame, candidates: DataFrame, blocks: DataFrame) -> Data
 
     def take(state, r):
         room = F.greatest(F.lit(35).cast("long"), F.least(cap, F.col("available") - state["used"] - 8).cast("long"))
-        text = tk.fit_text(r["raw"], room)
-        cost = tk.estimate_tokens(text) + 8
-        row = F.struct(r["idx"].alias("idx"), text.alias("text"), cost.alias("cost"), (text != r["raw"]).alias("cut"))
-        return F.struct((state["used"] + cost).alias("used"), F.concat(state["rows"], F.array(row)).alias("rows"))
+        row = tk.let(
+            tk.fit_text(r["raw"], room),
+            lambda t: F.struct(r["idx"].alias("idx"), t.alias("text"), (tk.estimate_tokens(t) + 8).alias("cost"), (t != r["raw"]).alias("cut")),
+        )
+        return tk.let(row, lambda x: F.struct((state["used"] + x["cost"]).alias("used"), F.concat(state["rows"], F.array(x)).alias("rows")))
 
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<idx:int,text:string,cost:bigint,cut:boolean>>").alias("rows"))
     required = (
@@ -231,15 +232,14 @@ def pack_context(q: DataFrame, candidates: DataFrame, blocks: DataFrame) -> Data
     fits = lambda state, c: state["left"] >= c["cost"]
     gain = lambda state, c: F.struct(
         (state["left"] - F.when(fits(state, c), c["cost"]).otherwise(0)).alias("left"),
-        F.when(fits(state, c), F.concat(state["ids"], F.array(c["idx"]))).otherwise(state["ids"]).alias("ids"),
+        F.when(fits(state, c), F.concat(state["taken"], F.array(F.struct(c["idx"].alias("idx"), c["cost"].alias("cost"))))).otherwise(state["taken"]).alias("taken"),
     )
-    first = F.struct(F.col("room").alias("left"), F.array().cast("array<int>").alias("ids"))
+    first = F.struct(F.col("room").alias("left"), F.array().cast("array<struct<idx:int,cost:bigint>>").alias("taken"))
     chosen = (
         fitting.groupBy("q_id", "doc_id", "room")
         .agg(F.array_sort(F.collect_list(F.struct("place", "idx", "cost"))).alias("c"))
-        .select("q_id", "doc_id", F.explode(F.aggregate("c", first, gain, lambda s: s["ids"])).alias("idx"))
-        .join(fitting.select("q_id", "idx", "cost"), ["q_id", "idx"])
-        .select("q_id", "doc_id", "idx", F.lit(False).alias("mandatory"), F.lit(None).cast("string").alias("text"), "cost", F.lit(False).alias("cut"))
+        .select("q_id", "doc_id", F.explode(F.aggregate("c", first, gain, lambda s: s["taken"])).alias("t"))
+        .select("q_id", "doc_id", "t.idx", F.lit(False).alias("mandatory"), F.lit(None).cast("string").alias("text"), "t.cost", F.lit(False).alias("cut"))
     )
     must = required.select("q_id", "doc_id", F.explode("rows").alias("r")).select(
         "q_id", "doc_id", F.col("r.idx").alias("idx"), F.lit(True).alias("mandatory"), F.col("r.text").alias("text"), F.col("r.cost").alias("cost"), F.col("r.cut").alias("cut")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import fixed as v
 from quirefold.functions import tables as tb
 from quirefold.operators import ordered, threads
+from quirefold.session import materialize
 
 ORDER = ["section", "item_no", "qa_no", "line"]
 
@@ -25,6 +26,9 @@ def block_markdown(type_: Column, text: Column, rows: Column, urls: Column) -> C
     )
 
 
+END = 1 << 40
+
+
 def _labelled(items: DataFrame, blocks: DataFrame) -> DataFrame:
     """Answered item rows with cite, the label of the cited ids ('' when none)."""
     qa = items.filter(F.col("qa_no").isNotNull())
@@ -32,32 +36,52 @@ def _labelled(items: DataFrame, blocks: DataFrame) -> DataFrame:
     return qa.join(labels, ["doc_id", "block_id", "seq"], "left").withColumn("cite", F.coalesce("label", F.lit(""))).drop("label")
 
 
+def _fragment(section: int, item, qa, line: int, body: Column) -> Column:
+    num = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("long")
+    return F.struct(num(section).alias("section"), num(item).alias("item_no"), num(qa).alias("qa_no"), num(line).alias("line"), body.alias("body"))
+
+
+def _explode(df: DataFrame, *fragments: Column) -> DataFrame:
+    """All fragments of each row in one pass; null ones are left out."""
+    rows = F.filter(F.array(*fragments), lambda f: f.isNotNull())
+    return df.select("doc_id", F.explode(rows).alias("f")).select("doc_id", "f.*")
+
+
 def markdown_fragments(docs: DataFrame, blocks: DataFrame, messages: DataFrame, include_original: bool = True) -> DataFrame:
     """doc_id, section, item_no, qa_no, line, body: fragments that make the Markdown when joined by line feeds.
 
     docs(doc_id, title, filename, pages); blocks(.., page, rows, urls) with optional rows and urls.
     """
-    pairs = threads.thread_pairs(messages)
-    items = threads.to_items(blocks, pairs)
-    numbered = threads.number_questions(items)
+    pairs = materialize(threads.pair_messages(messages), "pairs")
+    numbered = threads.number_questions(threads.to_items(blocks, pairs, only_answered=True))
     summary = threads.summarize(docs, blocks, pairs, messages)
-    z = F.lit(0).cast("long")
-    frag = lambda section, item, qa, line, body: [
-        "doc_id", F.lit(section).cast("long").alias("section"), item.cast("long").alias("item_no"), qa.cast("long").alias("qa_no"), F.lit(line).cast("long").alias("line"), body.alias("body"),
-    ]
     s = lambda c: F.col(c).cast("string")
     pages = F.when(F.coalesce("pages", F.lit(0)) > 0, F.concat(F.lit(" ｜ 页数："), s("pages"))).otherwise("")
     name = F.coalesce(F.nullif("filename", F.lit("")), F.lit(v.PASTED))
+    no_records = F.when(F.col("answered") == 0, f"\n{v.NO_RECORDS}\n").otherwise("")
     head = F.concat(
         F.lit("# "), "title", F.lit("\n\n> 来源文件：`"), name, F.lit("` ｜ 段落："), s("blocks"), pages, F.lit(" ｜ 提问："), s("questions"), F.lit(" 条\n\n---\n"),
-        F.when(F.col("answered") == 0, f"\n{v.NO_RECORDS}\n").otherwise(""),
-        F.lit(f"\n{v.MD_ORIGINAL}\n" if include_original else ""),
+        no_records, F.lit(f"\n{v.MD_ORIGINAL}\n" if include_original else ""),
     )
     # A document without a question has no list fragments, so its closing note belongs to the list title.
-    tail = F.concat(F.lit(f"{v.MD_LIST}\n"), F.when(F.col("answered") == 0, f"\n{v.NO_RECORDS}\n").otherwise(""))
-    parts = [summary.select(*frag(0, z, z, 0, head)), summary.select(*frag(2, z, z, 0, tail))]
+    out = _explode(summary, _fragment(0, 0, 0, 0, head), _fragment(2, 0, 0, 0, F.concat(F.lit(f"{v.MD_LIST}\n"), no_records)))
 
+    qa = _labelled(numbered, blocks)
+    answer = F.when(F.col("answer") == "", v.NO_ANSWER).otherwise(F.col("answer"))
+    cite = F.when(F.col("cite") == "", "").otherwise(F.concat(F.lit(" "), "cite"))
+    place = F.when(F.col("type") == "cross", "（跨段落）").otherwise(F.concat(F.lit("（段落 "), (F.col("idx") + 1).cast("string"), F.lit("）")))
+    listed = F.concat(F.lit("**Q"), s("q_no"), F.lit("**"), place, cite, F.lit("："), "question", F.lit("\n\n"), answer, F.lit("\n"))
+    below = F.concat(F.lit("**问"), cite, F.lit("：** "), "question", F.lit("\n\n**答：**\n\n"), answer, F.lit("\n"))
+    item, rule = F.col("item_no"), F.lit("---\n")
+    of_qa = [_fragment(2, item, F.col("qa_no"), 1, listed)]
     if include_original:
+        opens = (F.col("type") == "cross") & (F.col("qa_no") == 0)
+        cross_title = F.lit(f"### 跨段落关联提问\n\n> {v.CROSS_TEXT}\n")
+        of_qa += [
+            _fragment(1, item, F.col("qa_no"), 0, below),
+            F.when(opens, _fragment(1, item, -1, 0, cross_title)),
+            F.when(opens, _fragment(1, item, END, 0, rule)),
+        ]
         flat = blocks
         for c, t in (("rows", "array<array<string>>"), ("urls", "array<string>")):
             if c not in blocks.columns:
@@ -69,84 +93,56 @@ def markdown_fragments(docs: DataFrame, blocks: DataFrame, messages: DataFrame,
         body = block_markdown(F.col("type"), F.col("text"), F.col("rows"), F.col("urls"))
         quoted = F.when(F.col("type").isin("image", "table"), body).otherwise(F.concat(F.lit("> "), F.regexp_replace(body, "\n+", " ")))
         title = F.concat(F.lit("### "), kind, F.lit(" "), (F.col("idx") + 1).cast("string"), page, F.lit("\n\n"), quoted, F.lit("\n"))
-        cross = items.filter(F.col("type") == "cross").select("doc_id", "item_no").distinct()
-        cross_title = F.lit(f"### 跨段落关联提问\n\n> {v.CROSS_TEXT}\n")
-        rule = F.lit("---\n")
-        end = F.lit(1 << 40)
-        parts += [
-            flat.select(*frag(1, F.col("idx"), F.lit(-1), 0, title)),
-            cross.select(*frag(1, F.col("item_no"), F.lit(-1), 0, cross_title)),
-            flat.select(*frag(1, F.col("idx"), end, 0, rule)),
-            cross.select(*frag(1, F.col("item_no"), end, 0, rule)),
-        ]
-    qa = _labelled(numbered, blocks)
-    answer = F.when(F.col("answer") == "", v.NO_ANSWER).otherwise(F.col("answer"))
-    cite = F.when(F.col("cite") == "", "").otherwise(F.concat(F.lit(" "), "cite"))
-    if include_original:
-        parts.append(qa.select(*frag(1, F.col("item_no"), F.col("qa_no"), 0, F.concat(F.lit("**问"), cite, F.lit("：** "), "question", F.lit("\n\n**答：**\n\n"), answer, F.lit("\n")))))
-    place = F.when(F.col("type") == "cross", "（跨段落）").otherwise(F.concat(F.lit("（段落 "), (F.col("idx") + 1).cast("string"), F.lit("）")))
-    listed = F.concat(F.lit("**Q"), s("q_no"), F.lit("**"), place, cite, F.lit("："), "question", F.lit("\n\n"), answer, F.lit("\n"))
-    parts.append(qa.select(*frag(2, F.col("item_no"), F.col("qa_no"), 1, listed)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        out = out.unionByName(_explode(flat, _fragment(1, F.col("idx"), -1, 0, title), _fragment(1, F.col("idx"), END, 0, rule)))
+    return out.unionByName(_explode(qa, *of_qa))
 
 
 def build_markdown(docs: DataFrame, blocks: DataFrame, messages: DataFrame, include_original: bool = True, max_chars: int | None = None) -> DataFrame:
     """One body per document (order columns 0); a document over the checked size stays as ordered fragments."""
-    return ordered.assemble(markdown_fragments(docs, blocks, messages, include_original), ["doc_id"], ORDER, "body", "\n", max_chars)
+    fragments = materialize(markdown_fragments(docs, blocks, messages, include_original), "fragments")
+    return ordered.assemble(fragments, ["doc_id"], ORDER, "body", "\n", max_chars)
 
 
 def json_fragments(docs: DataFrame, blocks: DataFrame, messages: DataFrame, include_original: bool = True, include_unanswered: bool = False) -> DataFrame:
     """Fragments that make one JSON object per document when joined: head, items with their pairs, closing brackets."""
-    pairs = threads.thread_pairs(messages)
-    items = threads.to_items(blocks, pairs, only_answered=not (include_original or include_unanswered))
+    pairs = materialize(threads.pair_messages(messages), "pairs")
+    items = materialize(threads.to_items(blocks, pairs, only_answered=not (include_original or include_unanswered)), "items")
     summary = threads.summarize(docs, blocks, pairs, messages)
-    z, end = F.lit(0), F.lit(1 << 40)
     none = F.array().cast("array<string>")
-    frag = lambda df, section, item, qa, line, body: df.select(
-        "doc_id", F.lit(section).cast("long").alias("section"), item.cast("long").alias("item_no"), qa.cast("long").alias("qa_no"), F.lit(line).cast("long").alias("line"), body.alias("body")
-    )
     head = F.concat(
         F.lit('{"generator":"' + v.GENERATOR + '"'),
         F.lit(',"document":'), F.to_json(F.struct("doc_id", "title", "filename", "format", "blocks", "questions", "answered")), F.lit(',"items":['),
     )
-    per_item = items.groupBy("doc_id", "item_no").agg(
-        F.first("block_id").alias("block_id"), F.first("idx").alias("idx"), F.first("type").alias("type"), F.first("text").alias("text"), F.first("page").alias("page"),
-        F.min_by(F.coalesce("cited", none), F.col("qa_no")).alias("first_cited"),
-    )
-    firsts = per_item.groupBy("doc_id").agg(F.min("item_no").alias("first_item"))
+    firsts = items.groupBy("doc_id").agg(F.min("item_no").alias("first_item"))
     cross = F.col("type") == "cross"
+    # The first row of an item (its first pair, or the row without one) also writes the item itself.
+    opens = F.coalesce("qa_no", F.lit(0)) == 0
     fields = [
         F.col("block_id").alias("paragraphId"), F.when(~cross, F.col("idx") + 1).alias("paragraphNumber"), F.col("page"), F.coalesce("type", F.lit("paragraph")).alias("type"), cross.alias("crossParagraph"),
-        *([F.col("text")] if include_original else []), F.when(cross, F.col("first_cited")).alias("citedParagraphIds"),
+        *([F.col("text")] if include_original else []), F.when(cross, F.coalesce("cited", none)).alias("citedParagraphIds"),
     ]
     opened = F.to_json(F.struct(*fields))
     comma = F.when(F.col("item_no") == F.col("first_item"), "").otherwise(",")
     opening = F.concat(comma, F.left(opened, F.length(opened) - 1), F.lit(',"qa":['))
-    qa = items.filter(F.col("qa_no").isNotNull())
     pair = F.to_json(F.struct("question", F.nullif("answer", F.lit("")).alias("answer"), F.nullif("error", F.lit("")).alias("error"), F.coalesce("cited", none).alias("citedParagraphIds")))
-    parts = [
-        frag(summary, 0, z, z, 0, head),
-        frag(per_item.join(firsts, "doc_id"), 1, F.col("item_no"), F.lit(-1), 0, opening),
-        frag(qa, 1, F.col("item_no"), F.col("qa_no"), 0, F.concat(F.when(F.col("qa_no") > 0, ",").otherwise(""), pair)),
-        frag(per_item, 1, F.col("item_no"), end, 0, F.lit("]}")),
-        frag(summary, 2, z, z, 0, F.lit("]}")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    item, qa = F.col("item_no"), F.col("qa_no")
+    of_item = _explode(
+        items.join(firsts, "doc_id"),
+        F.when(opens, _fragment(1, item, -1, 0, opening)),
+        F.when(qa.isNotNull(), _fragment(1, item, qa, 0, F.concat(F.when(qa > 0, ",").otherwise(""), pair))),
+        F.when(opens, _fragment(1, item, END, 0, F.lit("]}"))),
+    )
+    return _explode(summary, _fragment(0, 0, 0, 0, head), _fragment(2, 0, 0, 0, F.lit("]}"))).unionByName(of_item)
 
 
 def build_json(docs: DataFrame, blocks: DataFrame, messages: DataFrame, include_original: bool = True, include_unanswered: bool = False, max_chars: int | None = None) -> DataFrame:
-    return ordered.assemble(json_fragments(docs, blocks, messages, include_original, include_unanswered), ["doc_id"], ORDER, "body", "", max_chars)
+    fragments = materialize(json_fragments(docs, blocks, messages, include_original, include_unanswered), "fragments")
+    return ordered.assemble(fragments, ["doc_id"], ORDER, "body", "", max_chars)
 
 
 def print_view(blocks: DataFrame, messages: DataFrame) -> DataFrame:
     """Numbered question rows in print order: answered blocks first, then the cross thread; failed answers shown."""
-    pairs = threads.thread_pairs(messages, show_errors=True)
+    pairs = threads.pair_messages(messages, show_errors=True)
     items = threads.to_items(blocks, pairs, only_answered=True)
     numbered = threads.number_questions(items)
     labels = threads.cite_labels(numbered, ["doc_id", "block_id", "seq"], blocks, style="print")

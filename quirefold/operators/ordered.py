@@ -98,17 +98,17 @@ def assemble(
     limit = max_chars or ASSEMBLE_CHARS
     kinds = dict(fragments.dtypes)
     sizes = fragments.groupBy(*keys).agg(F.sum(F.length(text) + len(sep) + 64).alias("_chars"))
-    large = sizes.filter(F.col("_chars") > limit).select(*keys)
-    small = fragments.join(large, keys, "left_anti")
-    whole = (
-        small.groupBy(*keys)
+    large = sizes.filter(F.col("_chars") > limit).select(*keys, F.lit(False).alias("whole"))
+    marked = fragments.join(large, keys, "left").withColumn("whole", F.coalesce("whole", F.lit(True)))
+    # A large group is grouped by position as well, so each of its fragments stays a row of its own.
+    place = [F.when(~F.col("whole"), F.col(o)).otherwise(F.lit(0).cast(kinds[o])).alias(f"_g_{o}") for o in order]
+    return (
+        marked.groupBy(*keys, "whole", *place)
         .agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("_parts"))
         .select(
             *keys,
-            *[F.lit(0).cast(kinds[o]).alias(o) for o in order],
+            *[F.col(f"_g_{o}").alias(o) for o in order],
             F.array_join(F.transform("_parts", lambda p: p[text]), sep).alias(text),
-            F.lit(True).alias("whole"),
+            "whole",
         )
     )
-    rest = fragments.join(large, keys, "left_semi").select(*keys, *order, text, F.lit(False).alias("whole"))
-    return whole.unionByName(rest)

@@ -15,25 +15,20 @@ THREAD = ["doc_id", "thread_key"]
 
 def pair_messages(messages: DataFrame, show_errors: bool = False) -> DataFrame:
     """Each user message with the answer right after it ('' when there is none): doc_id, thread_key, seq, question,
-    answer, error, created_at, cited. An orphan answer is dropped."""
+    answer, error, created_at, cited, and qa_no, its dense position in the thread. An orphan answer is dropped."""
     talk = messages.filter(F.col("role").isin("user", "assistant"))
-    paired = ordered.scan(talk, THREAD, ["seq"], lead={"a": F.struct("role", "content", "error")})
+    asked = F.when(F.col("role") == "user", 1).otherwise(0).cast("long")
+    paired = ordered.scan(talk, THREAD, ["seq"], lead={"a": F.struct("role", "content", "error")}, before={"qa_no": asked})
     answered = F.col("a.role") == "assistant"
     error = F.when(answered, F.coalesce("a.error", F.lit(""))).otherwise("")
     answer = F.when(answered, F.coalesce("a.content", F.lit(""))).otherwise("")
     if show_errors:
         answer = F.when(error != "", F.concat(F.lit(v.REQUEST_FAILED), error)).otherwise(answer)
     return paired.filter(F.col("role") == "user").select(
-        *THREAD, "seq", F.col("content").alias("question"), answer.alias("answer"), error.alias("error"), "created_at", "cited"
+        *THREAD, "seq", F.col("content").alias("question"), answer.alias("answer"), error.alias("error"), "created_at", "cited", F.col("qa_no").cast("long").alias("qa_no")
     )
 
 
-def thread_pairs(messages: DataFrame, show_errors: bool = False) -> DataFrame:
-    """pair_messages with qa_no, the dense position of the pair in its thread."""
-    qa = ordered.scan(pair_messages(messages, show_errors), THREAD, ["seq"], before={"qa_no": F.lit(1)})
-    return qa.withColumn("qa_no", F.col("qa_no").cast("long"))
-
-
 def to_items(blocks: DataFrame, pairs: DataFrame, only_answered: bool = False) -> DataFrame:
     """One row per (item, pair): every block (or only answered ones), then the cross item with idx -1.
 

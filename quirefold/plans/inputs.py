@@ -13,6 +13,7 @@ from quirefold.functions import fixed as v
 from quirefold.operators import blocks as bl
 from quirefold.operators import context as cx
 from quirefold.operators import refine as rf
+from quirefold.session import materialize
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -133,8 +134,15 @@ def history(spark, sf) -> DataFrame:
 
 
 def prepared(spark, sf) -> tuple[DataFrame, DataFrame]:
-    b = asked_blocks(spark, sf)
-    return cx.prepare(questions(spark, sf), history(spark, sf), b), b
+    """Prepared questions and the blocks of their documents, both written once: every later step reads them."""
+    b = materialize(asked_blocks(spark, sf), "blocks")
+    return materialize(cx.prepare(questions(spark, sf), history(spark, sf), b), "questions"), b
+
+
+def packed(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p, b = prepared(spark, sf)
+    candidates = materialize(cx.candidate_order(p, b), "candidates")
+    return p, b, cx.pack_context(p, candidates, b)
 
 
 def edits(spark, sf) -> DataFrame:

@@ -55,7 +55,7 @@ def search_blocks(spark, sf):
     return rt.search_blocks(_searches(spark, sf), inputs.asked_blocks(spark, sf)).select("q_id", "idx", "hit")
 
 
-@query("R5_snippet", c("questions ablocks", f"SELECT q_id, idx, CASE WHEN at > 19 THEN '…' ELSE '' END || substr(text, greatest(at - 18, 1), 100) AS snippet FROM (SELECT q.q_id, b.idx, b.text, instr(lower(b.text), {_NEEDLE}) AS at FROM questions q JOIN ablocks b ON b.doc_id = q.doc_id) WHERE at > 0"))
+@query("R5_snippet", c("questions ablocks", f"SELECT q_id, idx, CASE WHEN hit_at > 19 THEN '…' ELSE '' END || substr(text, greatest(hit_at - 18, 1), 100) AS snippet FROM (SELECT q.q_id, b.idx, b.text, instr(lower(b.text), {_NEEDLE}) AS hit_at FROM questions q JOIN ablocks b ON b.doc_id = q.doc_id) WHERE hit_at > 0"))
 def snippet(spark, sf):
     return rt.search_blocks(_searches(spark, sf), inputs.asked_blocks(spark, sf), 1 << 30).select("q_id", "idx", "snippet")
 
@@ -144,14 +144,12 @@ def label(spark, sf):
 
 @query("C9_pack_context", c("packed", "SELECT q_id, idx, mandatory, cost, cut, CASE WHEN mandatory THEN text ELSE '' END AS text FROM packed"))
 def pack_context(spark, sf):
-    p, b = inputs.prepared(spark, sf)
-    r = cx.pack_context(p, cx.candidate_order(p, b), b)
+    _, _, r = inputs.packed(spark, sf)
     return r.select("q_id", "idx", "mandatory", "cost", "cut", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _assembled(spark, sf):
-    p, b = inputs.prepared(spark, sf)
-    packed = cx.pack_context(p, cx.candidate_order(p, b), b)
+    p, b, packed = inputs.packed(spark, sf)
     return cx.assemble_context(p, inputs.doc_meta(spark, sf), b, packed)
 
 
