@@ -53,7 +53,7 @@ def table_markdown(rows: Column) -> Column:
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
     drawn = F.transform(_padded(rows), lambda r: line(F.transform(r, cell)))
     rule = line(F.array_repeat(F.lit("---"), _width(rows)))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(drawn, 1, 1), F.array(rule), F.slice(drawn, 2, 2147483647)), "\n")).otherwise("")
+    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(drawn, 1, 1), F.array(rule), F.filter(drawn, lambda r, i: i > 0)), "\n")).otherwise("")
 
 
 def fit_image(width: Column, height: Column) -> Column:

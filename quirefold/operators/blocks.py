@@ -9,6 +9,7 @@ from quirefold.functions import fixed as v
 from quirefold.functions import text as tx
 from quirefold.functions import tokens as tk
 from quirefold.operators import ordered
+from quirefold.session import materialize
 
 
 def block_id(idx):
@@ -57,6 +58,7 @@ def finalize_blocks(pieces: DataFrame) -> DataFrame:
         .filter((F.col("text") != "") | (F.col("type") == "image"))
         .withColumn("text", F.when(F.col("text") == "", v.IMAGE_TEXT).otherwise(F.col("text")))
     )
+    parts = materialize(parts, "parts")
     # Dense numbers: pieces before this one (carried over chunks) plus the part within the piece.
     counts = parts.groupBy("doc_id", "piece_no").agg(F.count("*").alias("n"), F.min("part").alias("first"))
     starts = ordered.scan(counts, ["doc_id"], ["piece_no"], before={"start": F.col("n")})

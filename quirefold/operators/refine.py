@@ -11,6 +11,7 @@ from quirefold.functions import tables as tb
 from quirefold.functions import text as tx
 from quirefold.functions import tokens as tk
 from quirefold.operators import ordered
+from quirefold.session import materialize
 
 RESPONSE = "struct<blocks:array<struct<n:string,type:string,text:string,tex:string,rows:array<array<string>>>>>"
 
@@ -54,7 +55,8 @@ def chunk_by_budget(lines: DataFrame, chunk_lines: int | None = None) -> DataFra
     chaining one small row per chunk. No document is folded as a whole.
     """
     size, ahead = chunk_lines or CHUNK_LINES, v.REFINE_BLOCKS
-    costed = lines.select("doc_id", F.col("idx").cast("int").alias("idx"), (tk.estimate_tokens(F.col("line")) + 8).alias("cost"))
+    # Narrow tables, written once, because each is read by several branches.
+    costed = materialize(lines.select("doc_id", F.col("idx").cast("int").alias("idx"), (tk.estimate_tokens(F.col("line")) + 8).alias("cost")), "costs")
     placed = ordered.scan(costed, ["doc_id"], ["idx"], before={"pos": F.lit(1).cast("long")})
     chunk = F.floor(F.col("pos") / size)
     spread = F.when((chunk > 0) & (F.col("pos") % size < ahead), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
@@ -64,6 +66,7 @@ def chunk_by_budget(lines: DataFrame, chunk_lines: int | None = None) -> DataFra
         .agg(F.array_sort(F.collect_list("x")).alias("lines"))
         .withColumn("at", F.col("chunk") * size)
     )
+    chunks = materialize(chunks, "chunks")
     after = (F.col("chunk") + 1) * size
     more = F.element_at("lines", -1)["pos"] >= after
     exits = F.transform(

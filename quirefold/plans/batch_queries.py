@@ -117,10 +117,10 @@ def snapshot_restore(spark, sf):
     return rf.restore_local(versions).select("doc_id", "block_id", "type", "text")
 
 
-@query("A9_keep_logs", "SELECT doc_id, at, CAST(nth AS INTEGER) AS nth FROM (SELECT conv_id AS doc_id, turn AS at, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth FROM conversations) WHERE nth <= 5")
+@query("A9_keep_logs", "SELECT doc_id, run_at, CAST(nth AS INTEGER) AS nth FROM (SELECT conv_id AS doc_id, turn AS run_at, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth FROM conversations) WHERE nth <= 5")
 def keep_logs(spark, sf):
     runs = inputs.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("at"))
-    return rf.keep_logs(runs)
+    return rf.keep_logs(runs).withColumnRenamed("at", "run_at")
 
 
 @query("A10_refine_progress", c("patches", "SELECT doc_id, count(DISTINCT batch) AS total, count(DISTINCT batch) FILTER (broken < 2) AS done, CAST(floor(count(DISTINCT batch) FILTER (broken < 2) * 100.0 / count(DISTINCT batch) + 0.5) AS INTEGER) AS percent FROM usable GROUP BY doc_id"))
