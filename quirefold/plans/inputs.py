@@ -220,3 +220,80 @@ def requests(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations").filter(F.col("role") == "assistant").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"), F.col("conv_id").alias("doc_id"), F.lit("p1").alias("thread_key"), F.col("turn").alias("at"), (F.col("conv_id") % 2 == 0).alias("aborted")
     )
+
+
+def _words(d: DataFrame) -> DataFrame:
+    return d.select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w", "str")).filter(F.col("str") != "")
+
+
+def items(spark, sf) -> DataFrame:
+    """Every word of every document placed on pages of 40 rows: two columns on even documents, shaking base lines, some
+    small words, a large first row, now and then an item across the gutter."""
+    w = F.col("w")
+    r, k = F.floor(w % 400 / 10), w % 10
+    dual = F.col("doc_id") % 2 == 0
+    wide = dual & (r % 10 == 9) & (k == 0)
+    x = F.when(wide, 250).when(dual & (k >= 5), 330 + (k - 5) * 50).otherwise(40 + k * 50).cast("double")
+    shake = F.when(F.col("doc_id") % 3 == 0, (k % 4) * 1.5).otherwise((k % 3) * 1.0)
+    return _words(documents(spark, sf)).select(
+        "doc_id", (F.floor(w / 400) + 1).cast("int").alias("page"), w.cast("long").alias("item_no"), "str", x.alias("x"), F.when(wide, 100.0).otherwise(40.0).alias("w"),
+        (780 - r * 15 + shake).cast("double").alias("y"), F.when(r == 0, 16.0).when(F.length("str") > 9, 9.0).otherwise(12.0).alias("h"),
+        F.when(r == 0, "Serif-Bold").otherwise("Serif").alias("font"), F.lit(600.0).alias("page_width"),
+    )
+
+
+def parts(spark, sf) -> DataFrame:
+    return items(spark, sf).withColumn("x0", F.col("x")).withColumn("x1", F.col("x") + F.col("w"))
+
+
+def lines(spark, sf) -> DataFrame:
+    """Every eight words of every document as a page line (45 to a page), with formula lines, leaders, indents, bold
+    lines, table rows (some with split base lines) and broken words."""
+    line = (
+        _words(documents(spark, sf)).withColumn("line_no", F.floor(F.col("w") / 8)).groupBy("doc_id", "line_no")
+        .agg(F.array_sort(F.collect_list(F.struct("w", "str"))).alias("ws"))
+        .select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.transform("ws", lambda x: x["str"]).alias("ws"))
+    )
+    n = F.col("line_no")
+    ln = n % 45
+    raw = F.array_join("ws", " ")
+    grid = ln.between(26, 33)
+    math = ~grid & (n % 13 == 5)
+    text = (
+        F.when(math, F.concat(F.lit("a = b + "), n.cast("string")))
+        .when(~grid & (n % 13 == 6), F.lit("x = y"))
+        .when(~grid & (n % 13 == 4), F.lit("where E = mc"))
+        .when(~grid & (n % 17 == 8), F.concat(raw, F.lit(" ..... 12")))
+        .when(~grid & (n % 5 == 1), F.concat(raw, F.lit("-")))
+        .otherwise(raw)
+    )
+    word = lambda i: F.coalesce(F.get("ws", F.lit(i)), F.lit("-"))
+    cell = lambda x, t: F.struct(F.lit(float(x)).alias("x"), F.lit(float(x + 60)).alias("x1"), t.alias("text"))
+    third = F.when(ln > 26, n.cast("string")).otherwise(word(2))
+    table = F.when(ln == 30, F.array(cell(40, word(0)), cell(200, word(1)))).when(ln == 31, F.array(cell(360, third))).otherwise(F.array(cell(40, word(0)), cell(200, word(1)), cell(360, third)))
+    x0 = F.when(~grid & (ln % 7 == 3), 54.0).otherwise(40.0)
+    whole = F.array(F.struct(x0.alias("x"), F.lit(540.0).alias("x1"), text.alias("text")))
+    return line.select(
+        "doc_id", (F.floor(n / 45) + 1).cast("int").alias("page"), "line_no", text.alias("text"), x0.alias("x0"), F.lit(540.0).alias("x1"),
+        (780 - ln * 15 - F.floor(ln / 6) * F.when(grid, 0).otherwise(10) + F.when(ln == 31, 10).otherwise(0)).cast("double").alias("y"),
+        F.when(~grid & (ln % 15 == 14), 15.0).otherwise(12.0).alias("h"), (~grid & (ln % 11 == 10)).alias("bold"), math.alias("is_math"),
+        F.when(F.col("doc_id") % 2 == 0, F.when(ln < 22, "0").otherwise("1")).alias("col"), F.when(grid, table).otherwise(whole).alias("cells"),
+        F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"),
+    )
+
+
+def images(spark, sf) -> DataFrame:
+    """Images of study documents from their line lengths: sizes, repeats and heights vary."""
+    d = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("image_no", "line"))
+    n = F.length("line")
+    return d.select(
+        "doc_id", (F.floor(F.col("image_no") / 6) + 1).cast("int").alias("page"), F.col("image_no").cast("long").alias("image_no"), F.concat(F.lit("k"), (n % 50).cast("string")).alias("key"),
+        (n % 300).cast("int").alias("width"), (n % 170 + 20).cast("int").alias("height"), (n * 37 % 800).cast("double").alias("y"),
+    )
+
+
+def page_blocks(spark, sf) -> DataFrame:
+    """Study blocks placed on pages of six, mostly downwards."""
+    b = blocks(spark, sf)
+    i = F.col("idx")
+    return b.select("doc_id", (F.floor(i / 6) + 1).cast("int").alias("page"), i.cast("long").alias("pos"), (800 - i % 6 * 130 + F.length("text") % 200).cast("double").alias("y"), "type", "text")
