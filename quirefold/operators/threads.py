@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import fixed as v
 from quirefold.functions.text import trim
 from quirefold.operators import ordered
+from quirefold.session import materialize
 
 THREAD = ["doc_id", "thread_key"]
 
@@ -169,7 +170,7 @@ def attach_cross(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
 def number_questions(items: DataFrame) -> DataFrame:
     """Adds q_no (1.. per document in item order, then pair order) and anchor (dense 0.. over items with pairs, -1 for
     the cross item). Takes answered to_items rows."""
-    qa = items.filter(F.col("qa_no").isNotNull())
+    qa = materialize(items.filter(F.col("qa_no").isNotNull()), "answered")
     counts = qa.groupBy("doc_id", "item_no").agg(F.count("*").alias("n"))
     starts = ordered.scan(counts, ["doc_id"], ["item_no"], before={"start": F.col("n"), "anchor": F.lit(1)}).drop("n")
     anchor = F.when(F.col("type") == "cross", -1).otherwise(F.col("anchor"))
