@@ -172,6 +172,15 @@ def candidate_order(q: DataFrame, blocks: DataFrame) -> DataFrame:
     return every.groupBy("q_id", "doc_id", "idx").agg(F.min("place").alias("place"))
 
 
+def candidate_places(candidates: DataFrame) -> DataFrame:
+    """Adds n, the dense position (from 0) of each candidate of its question. Chunks follow the tiers, inside them
+    slices of the score or of the position, so a long document is not sorted in one task."""
+    flat = candidates.select("q_id", "doc_id", "idx", "place", "place.tier", "place.weight", "place.at", "place.sub")
+    slice_ = F.when(F.col("tier") == 1, F.floor(F.col("weight") * 1024) + (1 << 39)).otherwise(F.floor(F.col("at") / ordered.CHUNK_ROWS))
+    chunk = F.col("tier").cast("long") * (1 << 40) + slice_
+    return ordered.scan(flat, ["q_id"], ["tier", "weight", "at", "sub", "idx"], chunk, before={"n": F.lit(1)}).drop("weight", "at", "sub")
+
+
 _PLACES = "array<struct<idx:int,place:struct<tier:int,weight:double,at:int,sub:int>>>"
 
 

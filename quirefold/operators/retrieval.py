@@ -63,16 +63,16 @@ def snippet(text: Column, query: Column) -> Column:
     return F.when(trim(query) == "", text).otherwise(F.concat(F.when(start > 0, "…").otherwise(""), cut))
 
 
-def search_blocks(queries: DataFrame, blocks: DataFrame, limit: int = v.SEARCH_LIMIT) -> DataFrame:
-    """queries(q_id, doc_id, query): blocks that contain the query, first `limit` in document order, with snippets."""
+def search_blocks(queries: DataFrame, blocks: DataFrame, limit: int | None = v.SEARCH_LIMIT) -> DataFrame:
+    """queries(q_id, doc_id, query): blocks that contain the query with snippets; hit numbers the first `limit` in
+    document order (a rank limit is applied before the shuffle too). Without a limit nothing is ranked."""
     q = queries.withColumn("needle", F.lower(trim(F.col("query"))))
     hits = q.join(blocks.select("doc_id", "idx", "block_id", "text"), "doc_id").filter(F.contains(F.lower("text"), F.col("needle")))
+    shown = ["q_id", "doc_id", "idx", "block_id", snippet(F.col("text"), F.col("query")).alias("snippet")]
+    if limit is None:
+        return hits.select(*shown)
     w = W.partitionBy("q_id").orderBy("idx")
-    return (
-        hits.withColumn("hit", F.row_number().over(w))
-        .filter(F.col("hit") <= limit)
-        .select("q_id", "doc_id", "idx", "block_id", "hit", snippet(F.col("text"), F.col("query")).alias("snippet"))
-    )
+    return hits.withColumn("hit", F.row_number().over(w)).filter(F.col("hit") <= limit).select(*shown, "hit")
 
 
 def search_documents(docs: DataFrame, query: str) -> DataFrame:

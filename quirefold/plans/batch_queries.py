@@ -172,7 +172,8 @@ def fold_deltas_stream(spark, sf):
     inputs.deltas(spark, sf).repartitionByRange(3, "seq").write.parquet(folder)
     stream = an.read_stream(spark, folder, "*.parquet", "req_id bigint, seq bigint, chunk string")
     events = an.parse_events(stream.withColumnRenamed("chunk", "line"))
-    return _folded_cols(an.latest_per_key(spark, an.fold_stream(an.deltas(events, "seq")), ["req_id"]))
+    folded = an.latest_per_key(spark, an.fold_parts(an.deltas(events, "seq")), ["req_id", "part"])
+    return _folded_cols(an.join_parts(folded))
 
 
 def _outcomes(spark, sf):

@@ -84,8 +84,8 @@ def reading_order(spark, sf):
     rowed, heights = _rowed(spark, sf)
     col = ly.assign_column(rowed, heights, ly.gutters(rowed, heights))
     lines = materialize(col.select("doc_id", "page", F.col("item_no").alias("line_no"), F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"), "y", "col", "page_width"), "lines")
-    w = ly.W.partitionBy("doc_id", "page").orderBy(*ly.ORDER)
-    return ly.reading_order(lines).select("doc_id", "page", "line_no", F.row_number().over(w).alias("place"))
+    placed = ly.line_places(materialize(ly.reading_order(lines), "ordered"))
+    return placed.select("doc_id", "page", "line_no", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def _based(spark, sf):

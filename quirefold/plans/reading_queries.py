@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirefold.functions import fixed as v
-from quirefold.functions import tokens as tk
-from quirefold.functions.text import trim
 from quirefold.operators import blocks as bl
 from quirefold.operators import context as cx
 from quirefold.operators import retrieval as rt
 from quirefold.plans import inputs, sql
 from quirefold.plans.registry import query
+from quirefold.session import materialize
 
 c = sql.compose
 
@@ -57,7 +56,7 @@ def search_blocks(spark, sf):
 
 @query("R5_snippet", c("questions ablocks", f"SELECT q_id, idx, CASE WHEN hit_at > 19 THEN '…' ELSE '' END || substr(text, greatest(hit_at - 18, 1), 100) AS snippet FROM (SELECT q.q_id, b.idx, b.text, instr(lower(b.text), {_NEEDLE}) AS hit_at FROM questions q JOIN ablocks b ON b.doc_id = q.doc_id) WHERE hit_at > 0"))
 def snippet(spark, sf):
-    return rt.search_blocks(_searches(spark, sf), inputs.asked_blocks(spark, sf), 1 << 30).select("q_id", "idx", "snippet")
+    return rt.search_blocks(_searches(spark, sf), inputs.asked_blocks(spark, sf), None).select("q_id", "idx", "snippet")
 
 
 @query("R6_search_documents", c("docs", "SELECT doc_id, title FROM docs WHERE contains(lower(title), 'src1') OR contains(lower(filename), 'src1')"))
@@ -131,9 +130,8 @@ def neighbors(spark, sf):
 @query("C7_candidate_order", c("cand", "SELECT q_id, idx, tier, CAST(place AS INTEGER) AS place FROM cand"))
 def candidate_order(spark, sf):
     p, b = inputs.prepared(spark, sf)
-    o = cx.candidate_order(p, b)
-    w = cx.W.partitionBy("q_id").orderBy("place", "idx")
-    return o.select("q_id", "idx", F.col("place.tier").alias("tier"), F.row_number().over(w).alias("place"))
+    o = cx.candidate_places(materialize(cx.candidate_order(p, b), "candidates"))
+    return o.select("q_id", "idx", "tier", (F.col("n") + 1).cast("int").alias("place"))
 
 
 @query("C8_label", c("typed", "SELECT doc_id, idx, '[第' || (idx + 1) || '段]（第' || page || '页）' || CASE WHEN idx = 0 THEN ' ★当前提问段落' ELSE '' END || chr(10) || CASE WHEN type = 'image' THEN '（图片内容请以原文为准）' ELSE text END AS text FROM typed"))

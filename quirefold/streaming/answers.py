@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import fixed as v
 from quirefold.functions.text import trim
 from quirefold.operators import ordered, threads
-from quirefold.session import work_dir
+from quirefold.session import materialize, work_dir
 
 EVENT = """struct<model:string,usage:struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>,
 choices:array<struct<delta:struct<content:string,reasoning_content:string>,finish_reason:string>>>""".replace("\n", "")
@@ -63,41 +63,40 @@ def _marks() -> list[Column]:
     return [_latest("finish_reason", F.coalesce("finish_reason", F.lit("")) != ""), _latest("model", F.coalesce("model", F.lit("")) != ""), _latest("usage")]
 
 
-def fold_stream(parts: DataFrame) -> DataFrame:
-    """The streaming form: one aggregation per request, its ordered pieces in Spark's own state."""
-    text = lambda c: F.array_join(F.transform("parts", lambda p: p[c]), "").alias(c)
-    return (
-        parts.groupBy("req_id")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "content", "reasoning"))).alias("parts"), *_marks())
-        .select("req_id", text("content"), text("reasoning"), "finish_reason", "model", "usage")
-    )
-
-
 PART_ROWS = 4096
 
 
-def fold_deltas(parts: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """The batch form: pieces are joined within blocks of sequence numbers first, so a long request is spread over
-    many tasks; its blocks are joined into one answer below the checked size, else kept as ordered rows (part)."""
-    keyed = parts.withColumn("part", F.floor(F.col("seq") / PART_ROWS))
+def fold_parts(parts: DataFrame) -> DataFrame:
+    """One row per request and block of 4096 sequence numbers, in batch and as a stream: joined texts and latest marks.
+    The block is part of the key, so a long request is spread over many tasks and many state rows."""
     text = lambda c: F.array_join(F.transform("p", lambda x: x[c]), "").alias(c)
-    blocks = (
-        keyed.groupBy("req_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "content", "reasoning"))).alias("p"))
-        .select("req_id", "part", text("content"), text("reasoning"))
+    return (
+        parts.groupBy("req_id", F.floor(F.col("seq") / PART_ROWS).alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "content", "reasoning"))).alias("p"), *_marks())
+        .select("req_id", "part", text("content"), text("reasoning"), "finish_reason", "model", "usage")
     )
-    marks = parts.groupBy("req_id").agg(*_marks())
-    content = ordered.assemble(blocks, ["req_id"], ["part"], "content", "", max_chars)
-    reasoning = ordered.assemble(blocks, ["req_id"], ["part"], "reasoning", "", max_chars)
+
+
+def join_parts(blocks: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """fold_parts rows joined into one answer per request below the checked size, else kept as ordered rows (part)."""
+    late = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("part"))).alias(c)
+    some = lambda c: F.max(F.col(c) != "").alias(f"has_{c}")
+    marks = blocks.groupBy("req_id").agg(late("finish_reason"), late("model"), late("usage"), some("content"), some("reasoning"))
+    content = ordered.assemble(blocks.select("req_id", "part", "content"), ["req_id"], ["part"], "content", "", max_chars)
+    reasoning = ordered.assemble(blocks.select("req_id", "part", "reasoning"), ["req_id"], ["part"], "reasoning", "", max_chars)
     both = content.drop("whole").join(reasoning.drop("whole"), ["req_id", "part"], "full_outer")
     return both.join(marks, "req_id").select(
-        "req_id", "part", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("reasoning", F.lit("")).alias("reasoning"), "finish_reason", "model", "usage"
+        "req_id", "part", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("reasoning", F.lit("")).alias("reasoning"), "finish_reason", "model", "usage", "has_content", "has_reasoning"
     )
 
 
+def fold_deltas(parts: DataFrame, max_chars: int | None = None) -> DataFrame:
+    return join_parts(materialize(fold_parts(parts), "answers"), max_chars)
+
+
 def classify_outcome(folded: DataFrame) -> DataFrame:
     """Adds outcome (done, output_truncated, interrupted, empty, truncated) and the error text of a failed one."""
-    no = lambda c: F.coalesce(c, F.lit("")) == ""
+    no = lambda c: ~F.col(f"has_{c}")
     finish = F.coalesce("finish_reason", F.lit(""))
     outcome = (
         F.when(finish == "", "interrupted")
