@@ -107,7 +107,6 @@ PASTED = "（粘贴文本）"
 MD_ORIGINAL, MD_LIST = "## 一、原文与问答（逐块）", "## 二、问答记录清单"
 MD_LABELS = {"table": "表格", "image": "插图", "formula": "公式"}
 CITATION = rf"\[第[{WS}]*([0-9]+)[{WS}]*段\]"
-GENERATOR = "论文解析与提问网站"
 FIT_WIDTH, FIT_DEFAULT_WIDTH, FIT_DEFAULT_HEIGHT, FIT_RATIO = 520, 460, 320, 0.7
 
 # Answer stream.

@@ -16,6 +16,7 @@ from quirefold.functions import fixed as v
 from quirefold.functions import tokens as tk
 from quirefold.functions.text import trim
 from quirefold.operators import ordered, retrieval
+from quirefold.session import materialize
 
 MIN_BUDGET, MAX_BUDGET = 2000, 120000
 MIN_OPTIONAL_COST = 15
@@ -264,7 +265,8 @@ def prepare(questions: DataFrame, messages: DataFrame, blocks: DataFrame) -> Dat
     budget = F.greatest(F.lit(MIN_BUDGET), F.least(F.lit(MAX_BUDGET), F.col("budget")))
     settings = questions.select("q_id", "mode", budget.alias("budget"), "system_prompt")
     q = resolve_targets(questions, blocks).join(settings, "q_id")
-    q = fixed_cost(q)
+    # Read by both sides of the history join, so the fitted prompts are written once.
+    q = materialize(fixed_cost(q), "fixed")
     rounds = successful_rounds(messages, ["q_id"])
     q = retrieval_terms(select_history(q, rounds))
     required = F.array_distinct(F.concat(F.when(F.col("target_idx").isNotNull(), F.array("target_idx")).otherwise(F.array().cast("array<int>")), F.col("cited_idx")))

@@ -110,8 +110,7 @@ def json_fragments(docs: DataFrame, blocks: DataFrame, messages: DataFrame, incl
     summary = threads.summarize(docs, blocks, pairs, messages)
     none = F.array().cast("array<string>")
     head = F.concat(
-        F.lit('{"generator":"' + v.GENERATOR + '"'),
-        F.lit(',"document":'), F.to_json(F.struct("doc_id", "title", "filename", "format", "blocks", "questions", "answered")), F.lit(',"items":['),
+        F.lit('{"document":'), F.to_json(F.struct("doc_id", "title", "filename", "format", "blocks", "questions", "answered")), F.lit(',"items":['),
     )
     firsts = items.groupBy("doc_id").agg(F.min("item_no").alias("first_item"))
     cross = F.col("type") == "cross"

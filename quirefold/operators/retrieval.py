@@ -41,18 +41,25 @@ def score_block(text: Column, weighted: Column) -> Column:
     return hits / F.sqrt(F.greatest(F.lit(v.SCORE_LENGTH), F.length(low)) / F.lit(float(v.SCORE_LENGTH)))
 
 
+def _pairs(questions: DataFrame, blocks: DataFrame) -> DataFrame:
+    q = questions.select("q_id", "doc_id", weighted_terms(F.col("terms")).alias("wt"))
+    return q.join(blocks.select("doc_id", "idx", "text"), "doc_id")
+
+
 def score_blocks(questions: DataFrame, blocks: DataFrame) -> DataFrame:
     """questions(q_id, doc_id, terms) with blocks of their documents: q_id, doc_id, idx, score."""
-    q = questions.select("q_id", "doc_id", weighted_terms(F.col("terms")).alias("wt"))
-    return q.join(blocks.select("doc_id", "idx", "text"), "doc_id").select(
-        "q_id", "doc_id", "idx", score_block(F.col("text"), F.col("wt")).alias("score")
-    )
+    return _pairs(questions, blocks).select("q_id", "doc_id", "idx", score_block(F.col("text"), F.col("wt")).alias("score"))
 
 
 def rank_blocks(questions: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """Best k blocks per question. The rank limit is applied before the shuffle as well (window group limit)."""
+    """Best k blocks per question. The rank limit is applied before the shuffle as well (window group limit).
+
+    The positive score is taken out of an array: a plain filter would be pushed into the join and score every pair
+    a second time there.
+    """
     w = W.partitionBy("q_id").orderBy(F.desc("score"), "idx")
-    hits = score_blocks(questions, blocks).filter(F.col("score") > 0)
+    positive = F.filter(F.array(score_block(F.col("text"), F.col("wt"))), lambda s: s > 0)
+    hits = _pairs(questions, blocks).select("q_id", "doc_id", "idx", F.explode(positive).alias("score"))
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
