@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,28 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable by the Python workers, from wherever the driver was started; once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    path = f"{shared_dir(spark, 'code')}/{package.name}.zip"
+    fs, inside = filesystem(path)
+    fs.create_dir(inside.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(inside) as out:
+        out.write(packed.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table, written once below the shared folder and read from there: later steps and lost executors reread files."""
     path = shared_dir(df.sparkSession, name)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirefold.llm.common import table
+from quirefold.llm.common import id_remainder, ship, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -14,7 +15,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -28,6 +33,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_warc")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm import warc
+
+    return warc.page_transactions(table(spark, sf_dir, "pages"))
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = stored(quality.with_statistics(docs, ["doc_id"]), "quality-stats").withColumn("part", id_remainder("doc_id", 5))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    taught = stats.where("part != 0").join(labels, "doc_id").withColumn("fold", F.col("part") - 1)
+    scored = quality.score(stats, quality.fit(taught), ["doc_id", "part"])
+    return scored.select("doc_id", (F.col("part") == 0).alias("held_out"), "score", "predicted")
+
+
 @query("op5_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirefold.llm import bpe
@@ -35,6 +59,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query("op8_language")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm import language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("part", id_remainder("doc_id", 4))
+    dictionaries = language.fit(docs.where("part != 2").select("text", "lang"))
+    found = language.classify(docs.select("doc_id", "part", "text"), dictionaries)
+    return found.select("doc_id", (F.col("part") == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
+
+
 @query("op10_token_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirefold.llm import token_files
