@@ -175,7 +175,7 @@ class BytePairs:
                 if special is not None:
                     parts.append(-1 - special)
                 else:
-                    parts += [words.setdefault(w, len(words)) for w, _ in self.splitter.pre_tokenize_str(text)]
+                    parts += [words.setdefault(w, len(words)) for w in self._split(text)]
             sizes[k] = len(parts) - n
         ids, counts = self.encode_words(list(words)) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         part = np.array(parts, np.int64)
@@ -188,6 +188,13 @@ class BytePairs:
         per_piece = np.bincount(np.repeat(np.arange(len(pieces)), sizes), per_part, len(pieces)).astype(np.int64)
         return ids[ragged(starts[part], per_part)].astype(np.uint16), per_piece
 
+    def _split(self, text: str) -> list[str]:
+        """Words of a text in byte letters. Letters after at most one space are one word."""
+        bare = text[1:] if text[:1] == " " else text
+        if bare.isascii() and bare.isalpha():
+            return [text.replace(" ", self.letters[32])]
+        return [w for w, _ in self.splitter.pre_tokenize_str(text)]
+
     def _apart(self, piece: str) -> Iterator[tuple[str, int | None]]:
         """The piece cut at special tokens, the leftmost first."""
         while piece:
@@ -231,7 +238,7 @@ def _loaded(path: str) -> tuple[BytePairs, PieceTable, pa.Array, pa.Array]:
     """The vocabulary, a table of pieces, and the tokens' bytes and decimal texts; once per worker process."""
     if path not in _TABLES:
         pairs = BytePairs(path)
-        _TABLES[path] = pairs, PieceTable(pairs.encode_pieces), pa.array(pairs.token_bytes, pa.large_binary()), pa.array([b"%d," % t for t in range(pairs.size)], pa.large_binary())
+        _TABLES[path] = pairs, PieceTable(pairs.encode_pieces, "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]$", {m: pairs.vocab[m] for m in ".,"}, folded=False), pa.array(pairs.token_bytes, pa.large_binary()), pa.array([b"%d," % t for t in range(pairs.size)], pa.large_binary())
     return _TABLES[path]
 
 

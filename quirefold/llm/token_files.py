@@ -17,16 +17,18 @@ boundaries take about 2 + log2(ids / documents) bits a document, without a table
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import filesystem, shared_dir, steps, stored
+from quirefold.llm.common import filesystem, ragged, shared_dir, steps, stored
 
 MAGIC = b"EFTOK001"
 #: A select sample for every so many documents.
@@ -150,20 +152,44 @@ def _encoder(tokenizer_path: str):
     """Ids of pieces by the tokenizers library; one per worker process."""
     if tokenizer_path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         from quirefold.llm.words import PieceTable
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-
-        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            lists = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        # Words of lower-case letters are what they are after normalising and splitting: many of them go in one call,
+        # and the ids that end a word tell them apart.
+        letters = Tokenizer.from_file(tokenizer_path)
+        letters.no_truncation()
+        letters.no_padding()
+        letters.normalizer = normalizers.Sequence([])
+        letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = tokenizer.get_vocab(with_added_tokens=False)
+        last = np.zeros(1 << 16, bool)
+        last[[t for w, t in vocab.items() if w.endswith("</w>")]] = True
+        lower = re.compile("[a-zà-öø-ÿ]{1,64}").fullmatch
+
+        def flat(encoded: list) -> tuple[np.ndarray, np.ndarray]:
+            lists = [e.ids for e in encoded]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            return np.fromiter((i for ids in lists for i in ids), np.uint16, int(sizes.sum())), sizes
+            return np.fromiter(chain.from_iterable(lists), np.uint16, int(sizes.sum())), sizes
 
-        _ENCODERS[tokenizer_path] = PieceTable(encode)
+        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            simple = np.array([lower(p) is not None for p in pieces], bool)
+            words = [p for p, s in zip(pieces, simple.tolist()) if s]
+            one, _ = flat(letters.encode_batch_fast([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)], add_special_tokens=False))
+            two, two_sizes = flat(tokenizer.encode_batch_fast([p for p, s in zip(pieces, simple.tolist()) if not s], add_special_tokens=False))
+            sizes = np.zeros(len(pieces), np.int64)
+            sizes[simple] = np.diff(np.flatnonzero(last[one]) + 1, prepend=0)
+            sizes[~simple] = two_sizes
+            out, starts = np.zeros(int(sizes.sum()), np.uint16), np.cumsum(sizes) - sizes
+            out[ragged(starts[simple], sizes[simple])] = one
+            out[ragged(starts[~simple], sizes[~simple])] = two
+            return out, sizes
+
+        _ENCODERS[tokenizer_path] = PieceTable(encode, "^[A-Za-zà-öø-ÿ]+[.,]?$", {m: vocab[f"{m}</w>"] for m in ".,"}, folded=True)
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
     return _ENCODERS[tokenizer_path]

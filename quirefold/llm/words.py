@@ -15,10 +15,14 @@ KEPT_PIECES = 600_000
 
 
 class PieceTable:
-    """Ids of distinct pieces, by slot. `encode` gives, for a list of pieces, their ids one after another and the counts."""
+    """Ids of distinct pieces, by slot. `encode` gives, for a list of pieces, their ids one after another and the counts.
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kept: int = KEPT_PIECES):
-        self.encode, self.kept = encode, kept
+    A piece that matches `plain`, letters and then one full stop or comma, is taken as the piece without that mark and
+    the mark's own id (`marks`): no token holds both. `folded` lower-cases A-Z of plain pieces, for encoders that do so.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], plain: str, marks: dict[str, int], folded: bool, kept: int = KEPT_PIECES):
+        self.encode, self.plain, self.marks, self.folded, self.kept = encode, plain, marks, folded, kept
         self.clear()
 
     def clear(self) -> None:
@@ -29,16 +33,34 @@ class PieceTable:
     def ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces one after another, and how many each piece has."""
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        bases, mark = self._without_mark(coded.dictionary)
+        again = bases.dictionary_encode()
+        distinct = again.dictionary.to_pylist()
         if len(self.slots) + len(distinct) > self.kept:
             self.clear()
         known = self.slots
         new = [p for p in distinct if p not in known]
         if new:
             self._add(new)
-        slot = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        sizes = self.sizes[slot]
-        return self.ids[ragged(self.starts[slot], sizes)], sizes
+        slot = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[again.indices.to_numpy()]
+        marked = mark >= 0
+        sizes = self.sizes[slot] + marked
+        # The ids of the distinct pieces of this step, marks included, then those of all pieces in their order.
+        ids = np.zeros(int(sizes.sum()), np.uint16)
+        starts = np.cumsum(sizes) - sizes
+        ids[ragged(starts, self.sizes[slot])] = self.ids[ragged(self.starts[slot], self.sizes[slot])]
+        ids[(starts + sizes - 1)[marked]] = mark[marked]
+        row = coded.indices.to_numpy()
+        return ids[ragged(starts[row], sizes[row])], sizes[row]
+
+    def _without_mark(self, distinct: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        plain = pc.match_substring_regex(distinct, self.plain)
+        kept = pc.ascii_lower(distinct) if self.folded else distinct
+        base = pc.if_else(plain, pc.utf8_rtrim(kept, "".join(self.marks)), distinct)
+        mark = np.full(len(distinct), -1, np.int64)
+        for text, token in self.marks.items():
+            mark[pc.and_(plain, pc.ends_with(distinct, text)).to_numpy(zero_copy_only=False)] = token
+        return base, mark
 
     def _add(self, new: list[str]) -> None:
         ids, sizes = self.encode(new)
