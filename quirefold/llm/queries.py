@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.llm import sql
 from quirefold.llm.common import id_remainder, ship, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +34,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@query("op1_warc")
+@query("op1_warc", sql.OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirefold.llm import warc
 
@@ -52,6 +53,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.col("part") == 0).alias("held_out"), "score", "predicted")
 
 
+@query("op3_order_minhash")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm import orderhash
+
+    return orderhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontaminate", sql.OP4)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm import decontaminate
+
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op5_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirefold.llm import bpe
