@@ -209,7 +209,8 @@ def page_transactions(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes all pages, reads the archives back and gives one row per page: page_id, payload_bytes, payload_digest,
     record_type, refers_to (page_id of the response that a revisit repeats)."""
     archives = write_archives(pages, folder or shared_dir(pages.sparkSession, "warc"))
-    captures = assemble(read_records(archives, with_payload=False))
+    # Several joins read the records: they are parsed once, and joins see their true size.
+    captures = assemble(stored(read_records(archives, with_payload=False), "warc-records"))
     field = F.filter(F.col("metadata")[0]["fields"], lambda f: f["key"] == "page-id")[0]["value"].cast("long")
     rows = stored(captures.where("main is not null").select("capture_id", field.alias("page_id"), "main.payload_bytes", "main.payload_digest", F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("to")), "warc-captures")
     # Revisited responses only: the aggregate leaves one row for each, however many revisit it.
