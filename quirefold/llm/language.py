@@ -18,6 +18,7 @@ from quirefold.llm.common import steps
 
 #: Bound of the fitting sample: texts of a language, and bytes of its dictionary. Only fitting is bounded by it.
 SAMPLE_TEXTS, DICTIONARY_BYTES = 96, 112_640
+SALTS = 64
 #: Bytes of a block; all blocks of a text count. Small enough that the dictionary, not the text, explains a block.
 BLOCK_BYTES = 512
 LEVEL = 6
@@ -33,8 +34,12 @@ def fit(labelled: DataFrame) -> dict[str, bytes]:
     is no language. At most languages x DICTIONARY_BYTES reach the driver. The languages come with the most taught first:
     that is the order in which ties go."""
     rows = labelled.where("text is not null and lang is not null and text rlike '\\\\p{L}'").select("lang", F.xxhash64("text").alias("h"), "text")
-    top = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= SAMPLE_TEXTS).select("lang", "h")
+    # First the least of each of SALTS shares of a language, then the least of those: no task ranks a whole language.
+    some = rows.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        some = some.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("nth") <= SAMPLE_TEXTS)
+    # At most SAMPLE_TEXTS rows a language: small enough to send to every task.
+    chosen = F.broadcast(some.select("lang", "h"))
     piece = DICTIONARY_BYTES // SAMPLE_TEXTS
     # Of a sample text a slice from its middle goes into the dictionary.
     middle = F.greatest(F.lit(1), ((F.length("text") - piece) / 2).cast("int"))
