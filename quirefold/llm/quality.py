@@ -133,7 +133,7 @@ def fit(labelled: DataFrame, folds: int = 4) -> Model:
         for k, g in grams.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k), pa.int32()), pa.array(i * (FEATURES + 2) + j, pa.int32()), pa.array(g[i, j])], names=["fold", "cell", "v"])
 
-    cells = rows.repartition(TASKS, F.xxhash64("stats")).mapInArrow(partial, "fold int, cell int, v double").groupBy("fold", "cell").agg(F.sum("v").alias("v")).collect()
+    cells = rows.repartition(TASKS).mapInArrow(partial, "fold int, cell int, v double").groupBy("fold", "cell").agg(F.sum("v").alias("v")).collect()
     grams = np.zeros((folds, (FEATURES + 2) ** 2))
     for fold, cell, v in cells:
         grams[fold, cell] = v
