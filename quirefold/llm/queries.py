@@ -84,6 +84,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.col("part") == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
 
 
+@query("op9_jaccard", sql.OP9)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm import jaccard
+
+    return jaccard.classes(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 @query("op10_token_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirefold.llm import token_files

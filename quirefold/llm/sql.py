@@ -40,3 +40,32 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+# Sets meet through any shared shingle here, without prefixes or signatures; components by a recursive walk.
+OP9 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                               ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS s
+  FROM w
+), r AS (
+  SELECT min(doc_id) AS rep, list_sort(s) AS s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY list_sort(s), len(s)
+), e AS (
+  SELECT rep, n, unnest(s) AS g FROM r
+), l AS (
+  SELECT a.rep AS a, b.rep AS b
+  FROM e a JOIN e b ON a.g = b.g AND a.rep <> b.rep AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85
+  GROUP BY a.rep, b.rep, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), walk AS (
+  SELECT rep AS node, rep AS seen FROM r
+  UNION
+  SELECT walk.node, l.b FROM walk JOIN l ON walk.seen = l.a
+), c AS (
+  SELECT node, min(seen) AS component FROM walk GROUP BY node
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.component, s.doc_id) AS component_id
+FROM s LEFT JOIN r ON len(s.s) > 0 AND r.s = list_sort(s.s) LEFT JOIN c ON c.node = r.rep
+"""
