@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: The set of window hashes is sent to every task up to so many windows (24 bytes each); beyond it Spark joins by
-#: shuffling both sides.
-BROADCAST_WINDOWS = 1 << 20
+#: The windows are sent to every task up to so many (about 200 bytes each, 26 MB); beyond it Spark joins by shuffling
+#: both sides.
+BROADCAST_WINDOWS = 1 << 17
+#: Stands among the window hashes for the document itself.
+MARK = -1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,22 +49,26 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return own.select("item_id", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.slice(F.col("w"), i + 1, n))).alias("gram")).distinct()
 
 
-def _hits(docs: DataFrame, grams: DataFrame, keys: list[str]) -> DataFrame:
-    """Verified occurrences: the keys of a document, item_id, start (word index) and n. `docs` has `w`, its words."""
-    sizes = sorted(r[0] for r in grams.select("n").distinct().collect())
-    n_windows = grams.count()
-    # One row per distinct hash: a document window meets at most one of them, however many items share it.
-    hashed = [grams.where(F.col("n") == n).select(F.lit(n).alias("n"), window_hash(F.col("gram"), F.lit(0), n).alias("h")) for n in sizes]
-    if not sizes:
-        return docs.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("item_id")).where(F.lit(False))
-    known = reduce(DataFrame.union, hashed).distinct()
-    known = F.broadcast(known) if n_windows <= BROADCAST_WINDOWS else known
+def _scanned(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """One row for each row of docs (start -1) and one for each verified occurrence: doc_id, text_hash, n_words, start
+    (word index), n, item_id. The texts are read once; `docs` has doc_id and text."""
+    sizes = sorted(r[0] for r in grams.select("n").distinct().collect()) or [WINDOW]
+    small = grams.count() <= BROADCAST_WINDOWS
+    sent = F.broadcast if small else lambda df: df
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     each = []
-    for n in sizes:
-        scanned = docs.select(*keys, "w", F.posexplode(window_hashes(F.col("w"), n)).alias("start", "h"))
-        each.append(scanned.join(known.where(F.col("n") == n).select("h"), "h").select(*keys, F.lit(n).alias("n"), "start", F.slice("w", F.col("start") + 1, n).alias("gram")))
-    found = reduce(DataFrame.union, each)
-    return found.join(grams.select("item_id", "gram"), "gram").select(*keys, "item_id", "start", "n")
+    for k, n in enumerate(sizes):
+        # One row per distinct hash: a document window meets at most one, however many items share it. The mark is the
+        # hash of the row that stands for the document itself.
+        known = grams.where(F.col("n") == n).select(window_hash(F.col("gram"), F.lit(0), n).alias("h")).union(docs.sparkSession.range(1).select(F.lit(MARK).alias("h"))).distinct()
+        mark = F.array(F.lit(MARK)) if k == 0 else F.array().cast("array<bigint>")
+        hashes = F.concat(mark, F.coalesce(window_hashes(F.col("w"), n), F.array().cast("array<bigint>")))
+        rows = own.select("doc_id", "text_hash", "w", F.posexplode(hashes).alias("start", "h")).join(sent(known), "h")
+        start = F.col("start") - F.lit(int(k == 0))
+        own_row = F.array(F.concat(F.lit("\0"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        each.append(rows.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), start.alias("start"), F.lit(n).alias("n"), F.when(start < 0, own_row).otherwise(F.slice("w", start + 1, n)).alias("gram")))
+    found = reduce(DataFrame.union, each).join(sent(grams.select("item_id", "gram")), "gram", "left")
+    return found.where("start < 0 or item_id is not null").drop("gram")
 
 
 def covered(spans: Column) -> Column:
@@ -73,41 +79,38 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: a["total"])
 
 
-def hits_per_document(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, spans (sorted distinct hit windows) and items (item_ids, sorted as strings) of documents with a hit.
-
-    Documents of one id and different texts stay apart through text_hash. A document's spans are at most its words.
-    """
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    found = _hits(own, benchmark_windows(benchmark, window), ["doc_id", "text_hash"])
-    spans = F.array_sort(F.collect_set(F.struct("start", "n")))
-    return found.groupBy("doc_id", "text_hash").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+def per_text(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, text_hash, n_words, copies (rows of docs), spans (sorted distinct hit windows) and items (item_ids, sorted
+    as strings). Documents of one id and different texts stay apart. A document's spans are at most its words."""
+    found = _scanned(docs, benchmark_windows(benchmark, window))
+    hit = F.col("start") >= 0
+    spans = F.array_sort(F.collect_set(F.when(hit, F.struct("start", "n"))))
+    items = F.array_sort(F.collect_set(F.when(hit, F.col("item_id").cast("string"))))
+    return found.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.count_if(~hit).cast("int").alias("copies"), spans.alias("spans"), items.alias("items"))
 
 
-def _joined(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    h = hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans"), F.col("items").alias("__items"))
-    return docs.join(h, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left")
+def _joined(docs: DataFrame, benchmark: DataFrame, window: int, how: str) -> DataFrame:
+    h = per_text(docs.select("doc_id", "text"), benchmark, window).where(F.size("spans") > 0)
+    h = h.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans"))
+    return docs.join(h, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), how)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. A null text has no words; the
     digest of no item is that of the empty string. Other columns are not read."""
-    own = docs.select("doc_id", "text")
-    counts = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
-    h = hits_per_document(own, benchmark, window).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), covered(F.col("spans")).alias("n_hit"), "items")
-    joined = counts.join(h, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__h")), "left")
-    n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    n_hit = covered(F.col("spans"))
+    rows = per_text(docs.select("doc_id", "text"), benchmark, window).withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs without any hit, with all their columns."""
-    return _joined(docs, hits_per_document(docs, benchmark, window)).where("__spans is null").select(docs.columns)
+    return _joined(docs, benchmark, window, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """All rows of docs; hit words and the separators after them are cut out of `text`, all else stays as it was."""
-    joined = _joined(docs, hits_per_document(docs, benchmark, window))
+    joined = _joined(docs, benchmark, window, "left")
     text = F.coalesce("text", F.lit(""))
     w = F.regexp_extract_all(text, F.lit(WORD_ANY_CASE), F.lit(0))
     gaps = F.split(text, WORD_ANY_CASE)
