@@ -5,8 +5,8 @@ share one of the first n - ceil(t n) + 1 shingles of either, in any common order
 share such a shingle and whose sizes allow the link form a tile. Inside a tile a pair must pass the bound that bitmap
 signatures give (a bit set in one only is at least one shingle in one only) before the sorted sets are intersected.
 
-Only components are asked for, so pairs that are already connected are not compared again: first every set is
-compared with its neighbour by size and with the first set of its tile, then all pairs of different components.
+Only components are asked for, so pairs that are already connected are not compared again: every set is first compared
+with a few others of its tiles, which connects large groups at a linear price, then all pairs across components are.
 """
 
 from __future__ import annotations
@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import steps, stored, utf8
 from quirefold.llm.components import components
 
-#: Bits of a signature.
-BITS = 2048
+#: A signature has 4 to 8 bits for each shingle, at least so many; sets whose sizes allow a link differ in the number of
+#: bits by one doubling at most.
+LEAST_BITS = 256
 #: The order of shingles (never the result) rests on a sample of one document in so many, and on at most so many
 #: shingles that are frequent there.
 ORDER_SAMPLE, ORDER_SHINGLES = 64, 1 << 16
+#: Linear rounds of comparisons before all remaining pairs are compared.
+STAR_ROUNDS = 2
 #: Documents whose sets are asked for are sent to all tasks up to so many ids (8 bytes each); beyond it Spark joins.
 BROADCAST_IDS = 1 << 20
 
@@ -78,13 +81,15 @@ def profiles(docs: DataFrame, words: int, percent: int, hot) -> DataFrame:
             h, owner, sizes = _sets(batch, words, hot.value)
             starts = np.cumsum(sizes) - sizes
             prefix = np.where(sizes > 0, sizes - -(-sizes * percent // 100) + 1, 0)
-            bits = np.zeros((batch.num_rows, BITS), np.uint8)
-            bits[owner, (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = 1
-            packed = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+            n_bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype(np.int64))
+            first = np.cumsum(n_bits) - n_bits
+            bits = np.zeros(int(n_bits.sum()), np.uint8)
+            bits[first[owner] + (h & (n_bits[owner] - 1).astype(np.uint64)).astype(np.int64)] = 1
+            packed = np.packbits(bits, bitorder="little").view(np.uint64)
             raw = memoryview(h.tobytes())
             ids = [xxhash.xxh3_128_hexdigest(raw[8 * a : 8 * (a + n)]) if n else None for a, n in zip(starts.tolist(), sizes.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), _lists(packed, np.full(batch.num_rows, BITS // 64)), _lists(h[ragged(starts, prefix)], prefix)],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), _lists(packed, n_bits // 64), _lists(h[ragged(starts, prefix)], prefix)],
                 names=["doc_id", "n", "set_id", "bits", "prefix"],
             )
 
@@ -110,8 +115,12 @@ def _sizes_allow(small: Column, large: Column, percent: int) -> Column:
 
 def _bound_allows(a_bits: Column, b_bits: Column, a_n: Column, b_n: Column, percent: int) -> Column:
     """Whether the overlap may reach what the link needs: 100 o >= percent (a + b - o)."""
+    # The signature of more bits is folded to the other's number: a bit is set if either half has it.
+    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseOR(q))
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
     only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, k: s + k)
-    most = F.least(a_n - only(a_bits, b_bits), b_n - only(b_bits, a_bits))
+    p, q = fold(a_bits, b_bits), fold(b_bits, a_bits)
+    most = F.least(a_n - only(p, q), b_n - only(q, p))
     return most * (100 + percent) >= (a_n + b_n) * percent
 
 
@@ -153,17 +162,18 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     placed = stored(placed.select("doc_id", "n", "set_id", "rep", F.when(known & (F.col("rep") == F.col("doc_id")), F.col("bits")).alias("bits"), F.when(known & (F.col("rep") == F.col("doc_id")), F.col("prefix")).alias("prefix")), "placed")
     sets = placed.where("bits is not null").select("rep", "n", "bits", "prefix").dropDuplicates(["rep"])
 
-    tokens = sets.select("rep", "n", F.explode("prefix").alias("token"))
+    tokens = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     order = Window.partitionBy("token").orderBy("n", "rep")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
-    neighbours = tokens.select("token", "rep", "n", F.lag(F.struct("rep", "n")).over(order).alias("prev"), F.lead("rep").over(order).alias("next"))
+    neighbours = tokens.select("token", "rep", "n", "pos", F.lag(F.struct("rep", "n")).over(order).alias("prev"), F.lead("rep").over(order).alias("next"))
     tiles = stored(neighbours.where("prev is not null or next is not null").withColumn("first", F.first(F.struct("rep", "n")).over(Window.partitionBy("token", band).orderBy("n", "rep"))), "tiles")
 
-    def best(other: str) -> DataFrame:
-        """For each set the one of its neighbours with which it shares the most leading shingles."""
-        fits = tiles.where(F.col(f"{other}.rep").isNotNull() & (F.col(f"{other}.rep") != F.col("rep")) & _sizes_allow(F.col(f"{other}.n"), F.col("n"), percent))
-        shared = fits.groupBy("rep", F.col(f"{other}.rep").alias("other")).agg(F.count(F.lit(1)).alias("k"))
-        return shared.groupBy("rep").agg(F.max_by("other", F.struct("k", -F.col("other"))).alias("other"))
+    def best(pairs: DataFrame) -> DataFrame:
+        """Of pairs (rep, other, other_n), one row for each shared shingle, those with which a set shares the most."""
+        fits = pairs.where((F.col("other") != F.col("rep")) & _sizes_allow(F.least("n", "other_n"), F.greatest("n", "other_n"), percent))
+        shared = fits.groupBy("rep", "other").agg(F.count(F.lit(1)).alias("k"))
+        top = shared.groupBy("rep").agg(F.max_by("other", F.struct("k", -F.col("other"))).alias("other"))
+        return top.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"))
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose signatures allow a link."""
@@ -171,20 +181,41 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return both.where(_bound_allows(F.col("a_bits"), F.col("b_bits"), F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
 
-    sparse = best("prev").union(best("first")).select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
-    links = _verified(own, bounded(sparse), words, percent)
-    first = stored(components(links), "components")
+    def placed_tiles(found: DataFrame) -> DataFrame:
+        """The tiles that hold several components, with the component of each set."""
+        here = tiles.select("token", "rep", "n", "pos").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        ends = here.groupBy("token").agg(F.min(F.struct("component", "rep", "n")).alias("lo"), F.max(F.struct("component", "rep", "n")).alias("hi")).where("lo.component <> hi.component")
+        return stored(here.join(ends, "token"), "open-tiles")
+
+    # Linear rounds: neighbours and the first of a tile, then the sets of other components with one set of the lowest and
+    # of the highest component of their tile.
+    sparse = best(tiles.select("rep", "n", F.col("prev.rep").alias("other"), F.col("prev.n").alias("other_n"))).union(best(tiles.select("rep", "n", F.col("first.rep").alias("other"), F.col("first.n").alias("other_n"))))
+    links = _verified(own, bounded(sparse.distinct()), words, percent)
+    found = stored(components(links), "components")
+    for _ in range(STAR_ROUNDS):
+        here = placed_tiles(found)
+        ends = [here.where(F.col("component") != F.col(f"{e}.component")).select("rep", "n", F.col(f"{e}.rep").alias("other"), F.col(f"{e}.n").alias("other_n")) for e in ("lo", "hi")]
+        links = links.union(_verified(own, bounded(best(ends[0]).union(best(ends[1])).distinct()), words, percent))
+        found = stored(components(links), "components")
+
+    # What is left: in the tiles that still hold several components, all pairs across components.
+    here = placed_tiles(found).select("token", "rep", "n", "pos", "component")
+    c = F.col
+
+    def may_link(small: str, large: str) -> Column:
+        """Sizes allow a link, and so do the places of the shingle if it is the first that the sets share."""
+        most = F.least(c(f"{small}.n") - c(f"{small}.pos"), c(f"{large}.n") - c(f"{large}.pos"))
+        return _sizes_allow(c(f"{small}.n"), c(f"{large}.n"), percent) & (most * (100 + percent) >= (c(f"{small}.n") + c(f"{large}.n")) * percent)
 
-    # What is left: tiles that still hold several components, and in them the pairs across components.
-    here = tiles.select("token", "rep", "n").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_tiles = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    rest = stored(here.join(open_tiles, "token", "left_semi").join(sets.select("rep", "bits"), "rep"), "open-tiles")
+    x, y = here.alias("x"), here.alias("y")
+    across = (c("x.token") == c("y.token")) & (c("x.component") != c("y.component"))
+    open_rows = x.join(y, across & F.when(c("x.n") <= c("y.n"), may_link("x", "y")).otherwise(may_link("y", "x")), "left_semi")
+    rest = stored(open_rows.join(sets.select("rep", "bits"), "rep"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    c = F.col
     # Each pair once: the smaller set first, ties by id.
     ordered = (c("x.n") < c("y.n")) | ((c("x.n") == c("y.n")) & (c("x.rep") < c("y.rep")))
-    crossing = x.join(y, (c("x.token") == c("y.token")) & (c("x.component") != c("y.component")) & ordered & _sizes_allow(c("x.n"), c("y.n"), percent) & _bound_allows(c("x.bits"), c("y.bits"), c("x.n"), c("y.n"), percent))
+    crossing = x.join(y, across & ordered & may_link("x", "y") & _bound_allows(c("x.bits"), c("y.bits"), c("x.n"), c("y.n"), percent))
     pairs = crossing.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
-    more = _verified(own, pairs, words, percent)
-    final = components(links.union(more)).select(F.col("node").alias("rep"), "component")
+    links = links.union(_verified(own, pairs, words, percent))
+    final = components(links).select(F.col("node").alias("rep"), "component")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(final, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
