@@ -74,6 +74,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm import pii
+
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_context_tree")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm import ctw
+
+    found = ctw.scores(table(spark, sf_dir, "documents"), id_remainder("doc_id", 10) != 0)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 @query("op8_language")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirefold.llm import language
