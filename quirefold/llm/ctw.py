@@ -26,7 +26,9 @@ DEPTH, NODES = 5, 1 << 14
 #: are joined.
 COMMON = 1 << 19
 #: Distinct keys that a task holds before it merges them.
-HELD_KEYS = 3_000_000
+HELD_KEYS = 1_500_000
+#: Bytes of text that a task scores or counts at once; each has some arrays of eight bytes.
+STEP = 1 << 20
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +68,7 @@ def counts(train: DataFrame) -> DataFrame:
             held[kind] = []
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["kind", "key", "n"])
 
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             data, offsets = utf8(batch.column("text"))
             for kind, keys in ((0, word_hashes(data, offsets)[0].view(np.int64)), (1, _grams(data, offsets)[0])):
                 held[kind].append(np.unique(keys, return_counts=True))
@@ -171,10 +173,10 @@ class Model:
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of the lowest byte of each key after the bytes above it."""
-        state = np.zeros(len(keys), np.int64)
-        live = np.arange(len(keys))
+        state = np.zeros(len(keys), np.int32)
+        live = np.arange(len(keys), dtype=np.int32)
         for d in range(1, DEPTH + 1):
-            found = self.child[state[live] * 256 + ((keys[live] >> 8 * d) & 255)]
+            found = self.child[state[live].astype(np.int64) * 256 + ((keys[live] >> 8 * d) & 255)]
             live, found = live[found >= 0], found[found >= 0]
             state[live] = found
         return self.logs[state, keys & 255]
@@ -221,7 +223,7 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
         from quirefold.llm.shingles import word_hashes
 
         model, known, times = shared.value
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             n = batch.num_rows
             data, offsets = utf8(batch.column("text"))
             keys, owner = _grams(data, offsets)
