@@ -211,7 +211,7 @@ def page_transactions(pages: DataFrame, folder: str | None = None) -> DataFrame:
     archives = write_archives(pages, folder or shared_dir(pages.sparkSession, "warc"))
     # Several joins read the records: they are parsed once, and joins see their true size.
     captures = assemble(stored(read_records(archives, with_payload=False), "warc-records"))
-    field = F.filter(F.col("metadata")[0]["fields"], lambda f: f["key"] == "page-id")[0]["value"].cast("long")
+    field = F.get(F.filter(F.get("metadata", F.lit(0))["fields"], lambda f: f["key"] == "page-id"), F.lit(0))["value"].cast("long")
     rows = stored(captures.where("main is not null").select("capture_id", field.alias("page_id"), "main.payload_bytes", "main.payload_digest", F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("to")), "warc-captures")
     # Revisited responses only: the aggregate leaves one row for each, however many revisit it.
     targets = rows.where("record_type = 'revisit'").select("to").distinct().join(rows.where("record_type = 'response'").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to")), "to")
