@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
+import pyspark
 from pyspark.sql import SparkSession
 
 
+def _names_shared_folder() -> bool:
+    """Whether this installation's defaults already set spark.checkpoint.dir."""
+    folder = os.environ.get("SPARK_CONF_DIR") or Path(os.environ.get("SPARK_HOME") or Path(pyspark.__file__).parent) / "conf"
+    defaults = Path(folder) / "spark-defaults.conf"
+    return defaults.exists() and "spark.checkpoint.dir" in defaults.read_text()
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
-    spark = (
+    """A session on this machine alone; its shared folder is a temporary one where the installation names none."""
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("quirefold")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if not _names_shared_folder():
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quirefold-"))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a temporary one only where none is named."""
+    """A new folder below the shared folder that the cluster names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="quirefold-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -22,7 +22,7 @@ def test_equals_sql(spark, name):
 
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"P12_table_runs", "P13_lines_to_blocks", "P16_attach_citation_marks"}
+    assert {q for q in set(entry.queries()) - set(entry.oracle_sql()) if not q.startswith(("op", "pipeline"))} == {"P12_table_runs", "P13_lines_to_blocks", "P16_attach_citation_marks"}
 
 
 def test_entry(spark):
