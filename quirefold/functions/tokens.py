@@ -69,5 +69,7 @@ def _fit(s: Column, limit: Column) -> Column:
         return F.when(lo < hi, step).otherwise(state)
 
     start = F.struct(F.lit(0).alias("lo"), top.alias("hi"))
-    length = F.aggregate(F.sequence(F.lit(0), F.lit(26)), start, halve, lambda st: st["lo"])
+    # As many halvings as the text is long, so that any length ends at one value.
+    halvings = F.ceil(F.log2(F.greatest(top, F.lit(1)) + F.lit(1.0))).cast("int")
+    length = F.aggregate(F.sequence(F.lit(0), halvings), start, halve, lambda st: st["lo"])
     return F.when(estimate_tokens(s) <= limit, s).otherwise(F.concat(F.left(s, length), F.lit(v.FIT_SUFFIX)))

@@ -19,7 +19,6 @@ from quirefold.operators import ordered, retrieval
 from quirefold.session import materialize
 
 MIN_BUDGET, MAX_BUDGET = 2000, 120000
-MIN_OPTIONAL_COST = 15
 
 
 def resolve_targets(questions: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -235,7 +234,6 @@ def pack_context(q: DataFrame, candidates: DataFrame, blocks: DataFrame) -> Data
     w = W.partitionBy("q_id", "cost").orderBy("place", "idx")
     fitting = (
         optional.withColumn("nth", F.row_number().over(w))
-        .filter(F.col("nth") <= MAX_BUDGET // MIN_OPTIONAL_COST)
         .filter(F.col("nth") * F.col("cost") <= F.col("room"))
     )
 

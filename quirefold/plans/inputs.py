@@ -20,14 +20,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread few large input splits over the cluster before costly text work; a no-op for well split tables."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def documents(spark, sf) -> DataFrame:
-    return spread(table(spark, sf, "documents").select("doc_id", "text", "source", "n_chars"))
+    return table(spark, sf, "documents").select("doc_id", "text", "source", "n_chars")
 
 
 def docs(spark, sf) -> DataFrame:

@@ -159,8 +159,10 @@ def question_counts(messages: DataFrame) -> DataFrame:
     return threads.count_questions(messages)
 
 
-def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 1).parquet(folder)
+def read_stream(spark: SparkSession, folder: str, name: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """New files of a folder as a stream; `files_per_trigger` bounds a micro-batch, by default Spark does."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(folder)
 
 
 def incremental_refine(stream: DataFrame, batches: DataFrame, blocks: DataFrame, out: str) -> None:
