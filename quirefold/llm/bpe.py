@@ -18,11 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import STEP_BYTES, ragged, steps
+from quirefold.llm.common import ragged, release_memory, steps
 from quirefold.llm.words import PieceTable
 
 #: Rank of a token that no merge makes, and of a pair that no merge joins.
 NEVER = np.int64(1 << 40)
+#: Bytes of text that a task encodes at once.
+STEP = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -37,7 +39,7 @@ class BytePairs:
 
     def __init__(self, path: str):
         import ahocorasick
-        from tokenizers import Tokenizer
+        from tokenizers import pre_tokenizers
 
         spec = json.load(open(path, encoding="utf-8"))
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -69,7 +71,10 @@ class BytePairs:
         self.own = np.array([len(b) == 1 for b in self.token_bytes], bool)
         self.tried = self.own.copy()
         self.good_pairs, self.bad_pairs = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.splitter = Tokenizer.from_file(path).pre_tokenizer
+        how = spec["pre_tokenizer"]
+        if how["type"] != "ByteLevel":
+            raise ValueError("a byte-level vocabulary is needed")
+        self.splitter = pre_tokenizers.ByteLevel(add_prefix_space=how["add_prefix_space"], use_regex=how["use_regex"])
         self.exact_words = self.all_words = 0
 
     def merge(self, word: str) -> list[int]:
@@ -239,6 +244,7 @@ def _loaded(path: str) -> tuple[BytePairs, PieceTable, pa.Array, pa.Array]:
     if path not in _TABLES:
         pairs = BytePairs(path)
         _TABLES[path] = pairs, PieceTable(pairs.encode_pieces, "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]$", {m: pairs.vocab[m] for m in ".,"}, folded=False), pa.array(pairs.token_bytes, pa.large_binary()), pa.array([b"%d," % t for t in range(pairs.size)], pa.large_binary())
+        release_memory()
     return _TABLES[path]
 
 
@@ -253,10 +259,12 @@ def _cut(taken: pa.Array, ends: np.ndarray) -> list[memoryview]:
 def encoded_steps(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Step by step: the rows, the ids of all their texts one after another, and where each text ends among them."""
     table = _loaded(path)[1]
-    for batch in steps(batches, "text", STEP_BYTES):
+    for batch in steps(batches, "text", STEP):
         pieces, per_text = cut_before_blanks(batch.column("text"))
         ids, per_piece = table.ids_of(pieces)
         yield batch, ids, np.concatenate([[0], np.cumsum(per_piece)])[np.cumsum(per_text)]
+    table.clear()
+    release_memory()
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import stored
+from quirefold.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,4 +27,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(lowest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = stored(moved.union(lowest.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        last, e = e, stored(moved.union(lowest.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        discard(last)

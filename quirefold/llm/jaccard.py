@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import steps, stored, utf8
+from quirefold.llm.common import discard, steps, stored, utf8
 from quirefold.llm.components import components
 
 #: A signature has 4 to 8 bits for each shingle, at least so many; sets whose sizes allow a link differ in the number of
@@ -27,6 +27,8 @@ LEAST_BITS = 256
 #: The order of shingles (never the result) rests on a sample of one document in so many, and on at most so many
 #: shingles that are frequent there.
 ORDER_SAMPLE, ORDER_SHINGLES = 64, 1 << 16
+#: Bytes of text whose shingles a task makes at once.
+STEP = 1 << 20
 #: Linear rounds of comparisons before all remaining pairs are compared.
 STAR_ROUNDS = 2
 #: Documents whose sets are asked for are sent to all tasks up to so many ids (8 bytes each); beyond it Spark joins.
@@ -61,7 +63,7 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
     """At most ORDER_SHINGLES shingles that several sampled documents share, by ascending frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             yield pa.RecordBatch.from_arrays([pa.array(_sets(batch, words, np.zeros(0, np.uint64))[0].view(np.int64))], names=["h"])
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
@@ -77,7 +79,7 @@ def profiles(docs: DataFrame, words: int, percent: int, hot) -> DataFrame:
 
         from quirefold.llm.common import ragged
 
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             h, owner, sizes = _sets(batch, words, hot.value)
             starts = np.cumsum(sizes) - sizes
             prefix = np.where(sizes > 0, sizes - -(-sizes * percent // 100) + 1, 0)
@@ -100,7 +102,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """doc, shingles (sorted) of the documents whose id is in `ids` (column doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             h, _, sizes = _sets(batch, words, np.zeros(0, np.uint64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(h, sizes)], names=["doc", "shingles"])
 
@@ -137,10 +139,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
 
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    sets = stored(shingle_sets(docs, ids, words), "sets").dropDuplicates(["doc"])
+    written = stored(shingle_sets(docs, ids, words), "sets")
+    sets = written.dropDuplicates(["doc"])
     left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(run, "a long, b long"), "links")
+    links = stored(both.mapInArrow(run, "a long, b long"), "links")
+    discard(pairs, written)
+    return links
 
 
 def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -158,9 +163,10 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     reps = profile.where(known).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
     # Sets of one member stand for themselves; only the others are joined, whose rows adaptive execution may split.
     many = reps.where("members > 1").select("set_id", "rep")
-    placed = profile.join(many, "set_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    placed = stored(placed.select("doc_id", "n", "set_id", "rep", F.when(known & (F.col("rep") == F.col("doc_id")), F.col("bits")).alias("bits"), F.when(known & (F.col("rep") == F.col("doc_id")), F.col("prefix")).alias("prefix")), "placed")
-    sets = placed.where("bits is not null").select("rep", "n", "bits", "prefix").dropDuplicates(["rep"])
+    joined = profile.join(many, "set_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    sets = stored(joined.where(known & (F.col("rep") == F.col("doc_id"))).select("rep", "n", "bits", "prefix").dropDuplicates(["rep"]), "representatives")
+    placed = stored(profile.select("doc_id", "n", "set_id").join(many, "set_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "placed")
+    discard(profile)
 
     tokens = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     order = Window.partitionBy("token").orderBy("n", "rep")
@@ -196,10 +202,12 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         here = placed_tiles(found)
         ends = [here.where(F.col("component") != F.col(f"{e}.component")).select("rep", "n", F.col(f"{e}.rep").alias("other"), F.col(f"{e}.n").alias("other_n")) for e in ("lo", "hi")]
         links = links.union(_verified(own, bounded(best(ends[0]).union(best(ends[1])).distinct()), words, percent))
+        discard(here)
         found = stored(components(links), "components")
 
     # What is left: in the tiles that still hold several components, all pairs across components.
-    here = placed_tiles(found).select("token", "rep", "n", "pos", "component")
+    last = placed_tiles(found)
+    here = last.select("token", "rep", "n", "pos", "component")
     c = F.col
 
     def may_link(small: str, large: str) -> Column:
@@ -217,5 +225,6 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     crossing = x.join(y, across & ordered & may_link("x", "y") & _bound_allows(c("x.bits"), c("y.bits"), c("x.n"), c("y.n"), percent))
     pairs = crossing.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
     links = links.union(_verified(own, pairs, words, percent))
+    discard(last, rest)
     final = components(links).select(F.col("node").alias("rep"), "component")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(final, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

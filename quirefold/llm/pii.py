@@ -36,6 +36,8 @@ _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Turns of scoring; patterns need so many different seeds, and this confidence, to add instances.
 TURNS, SUPPORT, CONFIDENCE = 3, 5, 0.8
+#: Bytes of text that a task takes at once.
+STEP = 1 << 20
 SPAN = "struct<kind:int,first:int,last:int>"
 ROW = f"doc_id long, base array<{SPAN}>, found array<struct<kind:int,first:int,last:int,instance:string,seed:boolean,patterns:array<string>>>"
 
@@ -107,7 +109,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("kind", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
         item = pa.struct([("kind", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("instance", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             base, found = [], []
             for text in batch.column("text").to_pylist():
                 b, f = extract(text) if text else ([], [])
@@ -171,7 +173,7 @@ def redact(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches, "text", STEP):
             texts = []
             for text, own in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
                 if own:

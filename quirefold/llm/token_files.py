@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import filesystem, ragged, shared_dir, steps, stored
+from quirefold.llm.common import filesystem, ragged, release_memory, shared_dir, steps, stored
 
 MAGIC = b"EFTOK001"
 #: A select sample for every so many documents.
@@ -245,6 +245,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
                 yield flush()
         if names:
             yield flush()
+        table.clear()
+        release_memory()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
