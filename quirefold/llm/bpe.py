@@ -24,7 +24,7 @@ from quirefold.llm.words import PieceTable
 #: Rank of a token that no merge makes, and of a pair that no merge joins.
 NEVER = np.int64(1 << 40)
 #: Bytes of text that a task encodes at once.
-STEP = 1 << 20
+STEP = 1 << 21
 
 
 def byte_letters() -> list[str]:

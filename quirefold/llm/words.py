@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from quirefold.llm.common import ragged
 
 #: Distinct pieces kept between steps; beyond it the memory starts anew, which changes no result.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 300_000
 
 
 class PieceTable:
