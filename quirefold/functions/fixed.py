@@ -26,7 +26,6 @@ HEADING_MAX, HEADING_BLOCK_MAX, HEADING_CAPS_MAX = 90, 60, 40
 
 # Lists, sentences, paragraphs.
 LIST_LINE = rf"^[{WS}]*[-•·*][{WS}]+|^[{WS}]*[0-9]+[.)][{WS}]+"
-BULLET_LINE = rf"^[{WS}]*[-•·*][{WS}]"
 SENTENCE_END = "。！？；!?;：:"
 HARD_END = "。！？!?"
 PDF_NO_SPACE_END = "。！？；"

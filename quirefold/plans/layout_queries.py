@@ -132,7 +132,7 @@ def drop_page_numbers(spark, sf):
     return ly.drop_page_numbers(lines).select("doc_id", "item_no", "text")
 
 
-# Tables and blocks of whole pages have no short SQL form; tests compare them with a plain walk over small pages.
+# Tables and blocks of whole pages have no short SQL form; tests hold them against worked examples.
 @query("P12_table_runs")
 def table_runs(spark, sf):
     near = materialize(ly._with_neighbours(materialize(inputs.lines(spark, sf), "lines")), "near")
