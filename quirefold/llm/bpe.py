@@ -24,7 +24,20 @@ from quirefold.llm.words import PieceTable
 #: Rank of a token that no merge makes, and of a pair that no merge joins.
 NEVER = np.int64(1 << 40)
 #: Bytes of text that a task encodes at once.
-STEP = 1 << 21
+STEP = 1 << 20
+#: Distinct pieces of text kept between steps; two workers share an executor with the JVM.
+KEPT_PIECES = 200_000
+
+
+#: Pairs remembered between steps; beyond them the memory starts anew, which changes no result.
+KEPT_PAIRS = 1 << 19
+
+
+def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    if not known.size:
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def byte_letters() -> list[str]:
@@ -65,8 +78,9 @@ class BytePairs:
             self.token_bytes[t] = text.encode()
         self.long = ahocorasick.Automaton()
         for text, t in self.vocab.items():
-            self.long.add_word(text, (t, len(text)))
+            self.long.add_word(text, t)
         self.long.make_automaton()
+        self.n_bytes = np.array([len(b) for b in self.token_bytes], np.int64)
         # A token is its own encoding if merging its bytes gives it back; others are never proposed unverified.
         self.own = np.array([len(b) == 1 for b in self.token_bytes], bool)
         self.tried = self.own.copy()
@@ -131,22 +145,24 @@ class BytePairs:
     def _pairs_hold(self, keys: np.ndarray) -> np.ndarray:
         """compatible() of pairs given as keys, remembered; the memory starts anew when large."""
         distinct, back = np.unique(keys, return_inverse=True)
-        good, bad = np.isin(distinct, self.good_pairs), np.isin(distinct, self.bad_pairs)
+        good, bad = _in_sorted(distinct, self.good_pairs), _in_sorted(distinct, self.bad_pairs)
         new = distinct[~good & ~bad]
         if new.size:
             holds = self.compatible(new // self.size, new % self.size)
-            if len(self.good_pairs) + len(self.bad_pairs) > 1 << 21:
+            if len(self.good_pairs) + len(self.bad_pairs) > KEPT_PAIRS:
                 self.good_pairs, self.bad_pairs = distinct[good], distinct[bad]
             self.good_pairs = np.union1d(self.good_pairs, new[holds])
             self.bad_pairs = np.union1d(self.bad_pairs, new[~holds])
-            good = np.isin(distinct, self.good_pairs)
+            good = _in_sorted(distinct, self.good_pairs)
         return good[back]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words (in byte letters), one after another, and their number for each word."""
         ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
-        found = [(end, t, n) for end, (t, n) in self.long.iter_long("\n".join(words))]
-        at, ids, size = (np.array(c, np.int64) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        # Ends and ids go straight into an array: no list of all tokens is built.
+        found = np.fromiter(self.long.iter_long("\n".join(words)), np.dtype((np.int64, 2)))
+        at, ids = found[:, 0], found[:, 1]
+        size = self.n_bytes[ids]
         word = np.searchsorted(ends, at, side="right")
         covered = np.bincount(word, size, len(words)) == np.diff(ends, prepend=0) - 1
         for t in np.unique(ids[~self.tried[ids]]):
@@ -243,7 +259,7 @@ def _loaded(path: str) -> tuple[BytePairs, PieceTable, pa.Array, pa.Array]:
     """The vocabulary, a table of pieces, and the tokens' bytes and decimal texts; once per worker process."""
     if path not in _TABLES:
         pairs = BytePairs(path)
-        _TABLES[path] = pairs, PieceTable(pairs.encode_pieces, "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]$", {m: pairs.vocab[m] for m in ".,"}, folded=False), pa.array(pairs.token_bytes, pa.large_binary()), pa.array([b"%d," % t for t in range(pairs.size)], pa.large_binary())
+        _TABLES[path] = pairs, PieceTable(pairs.encode_pieces, "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]$", {m: pairs.vocab[m] for m in ".,"}, folded=False, kept=KEPT_PIECES), pa.array(pairs.token_bytes, pa.large_binary()), pa.array([b"%d," % t for t in range(pairs.size)], pa.large_binary())
         release_memory()
     return _TABLES[path]
 
