@@ -3,8 +3,9 @@
 A byte is eight binary decisions; each of the 255 decision nodes has a tree of contexts, the last 0 to DEPTH bytes. At a
 context the Krichevsky-Trofimov estimate of the node's bits, or the product over the longer contexts, explains the
 training bits; their weights are halved and compared, and a text is scored with the mixture over all depths that the
-training data leave. A context that holds less than 1 / NODES of the training bytes is not kept apart: all such contexts
-below one node are one leaf, so a depth has at most NODES contexts whatever the corpus.
+training data leave. Every counted context is kept, in tables that grow with the input: the weights go from the longest
+contexts to the root by one aggregation a depth, the mixtures back by one join a depth, and each different byte gram of
+any text gets its score. Tasks hold the scores of the most frequent grams; all others are joined.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.common import steps, stored, utf8
 
-#: Longest context in bytes, and the bound on contexts of one depth: the model sent to tasks has at most
-#: (DEPTH * NODES + 1) * 256 probabilities and as many places.
-DEPTH, NODES = 5, 1 << 14
+#: Longest context in bytes.
+DEPTH = 5
+#: Most byte grams (16 bytes each) that are looked up in every task; all others are joined.
+CACHE = 1 << 21
 #: Tokens that make at least 1 / COMMON of the training tokens, COMMON at most, are looked up in every task; all others
 #: are joined.
 COMMON = 1 << 19
@@ -48,8 +50,11 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key, owner
 
 
-def counts(train: DataFrame) -> DataFrame:
-    """kind (0: token hashes, 1: byte grams), key, n over all whole texts of `train` (text; null is empty)."""
+def counts(docs: DataFrame) -> DataFrame:
+    """kind (0: token hashes, 1: byte grams), key, n over all whole texts of `docs` (text, train; null is empty).
+
+    n counts training texts only. Byte grams of other texts are in the table too, with n = 0 if training texts lack them.
+    """
 
     def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
         keys, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
@@ -59,6 +64,8 @@ def counts(train: DataFrame) -> DataFrame:
         return [(keys[first], np.add.reduceat(n, first) if len(first) else n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
         from quirefold.llm.shingles import word_hashes
 
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
@@ -69,7 +76,9 @@ def counts(train: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["kind", "key", "n"])
 
         for batch in steps(batches, "text", STEP):
-            data, offsets = utf8(batch.column("text"))
+            data, offsets = utf8(batch.column("text").filter(batch.column("train")))
+            other = np.unique(_grams(*utf8(batch.column("text").filter(pc.invert(batch.column("train")))))[0])
+            held[1].append((other, np.zeros(len(other), np.int64)))
             for kind, keys in ((0, word_hashes(data, offsets)[0].view(np.int64)), (1, _grams(data, offsets)[0])):
                 held[kind].append(np.unique(keys, return_counts=True))
                 if sum(len(h[0]) for h in held[kind]) > HELD_KEYS:
@@ -80,7 +89,7 @@ def counts(train: DataFrame) -> DataFrame:
             if held[kind]:
                 yield flush(kind)
 
-    found = train.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, key long, n long")
+    found = docs.select(F.col("text").cast("string").alias("text"), "train").mapInArrow(run, "kind int, key long, n long")
     return stored(found.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
 
 
@@ -123,7 +132,9 @@ def _byte_logs(one: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """`child[state * 256 + byte]`: the state of the context longer by that byte before, or -1; `logs[state, byte]`:
+    """All weights of a small tree on one machine: the plain form that tests hold the tables of `gram_scores` against.
+
+    `child[state * 256 + byte]`: the state of the context longer by that byte before, or -1; `logs[state, byte]`:
     log10 probability of a byte in a context that ends at the state."""
 
     def __init__(self, child: np.ndarray, logs: np.ndarray):
@@ -182,23 +193,62 @@ class Model:
         return self.logs[state, keys & 255]
 
 
-def fit(grams: DataFrame) -> Model:
-    """The model of byte grams (key, n). The driver gets at most NODES x 256 counts a depth."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    tables = []
-    for d in range(DEPTH + 1):
-        context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
-        cells = grams.groupBy(context.alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n"))
-        kept = cells.groupBy("context").agg(F.sum("n").alias("m")).where(F.col("m") * NODES >= F.lit(total)).select("context")
-        got = cells.join(kept, "context").toArrow()
-        keys, byte, n = (got.column(c).to_numpy() for c in ("context", "byte", "n"))
-        contexts, row = np.unique(keys, return_inverse=True)
-        counted = np.zeros((max(len(contexts), int(d == 0)), 256))
-        counted[row, byte] = n
-        if d and not len(contexts):
+def _log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0, as `log_gamma`."""
+    y = x + 8
+    z = 1 / (y * y)
+    below = x
+    for i in range(1, 8):
+        below = below * (x + i)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - F.log(below)
+
+
+def gram_scores(grams: DataFrame) -> DataFrame:
+    """key, n, score: log10 probability of the lowest byte of each gram (key, n) after the bytes above it.
+
+    A row of a depth is a decision node in a context: the key with the node in place of the lowest byte, without the bytes
+    before the context. A context has at most 256 longer ones, so no group is large. A gram with n = 0 changes no weight.
+    """
+    a, b, own, longer = F.col("a"), F.col("b"), F.col("own"), F.col("longer")
+    block = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - math.log(math.pi)
+    byte = F.col("key").bitwiseAND(F.lit(255))
+    node = lambda level: F.lit(1 << level) + F.shiftright(byte, 8 - level)
+    bit = lambda level: F.shiftright(byte, 7 - level).bitwiseAND(F.lit(1))
+    cells = grams.select("n", F.explode(F.array(*[F.struct((F.col("key") - byte + node(i)).alias("id"), bit(i).alias("bit")) for i in range(8)])).alias("c")).select("c.*", "n")
+    nodes = cells.groupBy("id").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("a"), F.sum(F.col("n") * F.col("bit")).alias("b"))
+    tree = [stored(nodes.withColumn("total", block), "lm-tree")]
+    for d in range(DEPTH - 1, -1, -1):
+        up = tree[0].groupBy(F.col("id").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("id")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("total").alias("longer"))
+        total = F.greatest(own, longer) + F.log1p(F.exp(-F.abs(own - longer))) - math.log(2)
+        stop = 1 / (1 + F.exp(F.least(F.greatest(longer - own, F.lit(-700.0)), F.lit(700.0))))
+        tree.insert(0, stored(up.withColumn("own", block).select("id", "a", "b", total.alias("total"), stop.alias("stop")), "lm-tree"))
+    estimate = (b + 0.5) / (a + b + 1)
+    mixed = tree[0].select(F.col("id").alias("up"), (F.col("stop") * estimate).alias("said"), (1 - F.col("stop")).alias("open"))
+    for d in range(1, DEPTH + 1):
+        stop = F.col("stop") if d < DEPTH else F.lit(1.0)
+        on = tree[d].withColumn("up", F.col("id").bitwiseAND(F.lit((1 << 8 * d) - 1))).join(mixed, "up")
+        mixed = on.select(F.col("id").alias("up"), (F.col("said") + F.col("open") * stop * estimate).alias("said"), (F.col("open") * (1 - stop)).alias("open"))
+    # The decision nodes of one context of DEPTH bytes, 255 at most.
+    one = F.least(F.greatest("said", F.lit(1e-12)), F.lit(1 - 1e-12))
+    leaves = mixed.groupBy(F.shiftright("up", 8).alias("context")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("up").bitwiseAND(F.lit(255)).alias("node"), one.alias("one")))).alias("ones"))
+    p = lambda level: F.element_at("ones", node(level))
+    score = sum((F.log10(F.when(bit(i) == 1, p(i)).otherwise(1 - p(i))) for i in range(1, 8)), F.log10(F.when(bit(0) == 1, p(0)).otherwise(1 - p(0))))
+    return grams.withColumn("context", F.shiftright("key", 8)).join(leaves, "context").select("key", "n", score.alias("score"))
+
+
+def frequent(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (ascending) and scores of the CACHE most frequent of grams (key, n, score), without a last step of equals."""
+    step = F.when(F.col("n") > 0, F.floor(F.log2("n") * 8).cast("int")).otherwise(-1)
+    least, held = 1 << 30, 0
+    for r in grams.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        held += r["count"]
+        if held > CACHE:
             break
-        tables.append((contexts if len(contexts) else np.zeros(1, np.int64), counted))
-    return Model.of(tables)
+        least = r["step"]
+    got = grams.where(step >= least).select("key", "score").toArrow()
+    key = got.column("key").to_numpy()
+    order = np.argsort(key)
+    return key[order], got.column("score").to_numpy()[order]
 
 
 def scores(docs: DataFrame, train: Column) -> DataFrame:
@@ -208,8 +258,9 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
     Without any training row every base score is 0 and the model is even over bytes.
     """
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    counted = counts(own.where("train"))
+    counted = counts(own)
     tokens = counted.where("kind = 0")
+    grams = stored(gram_scores(counted.where("kind = 1").select("key", "n")), "lm-grams")
     ends = own.where("train").count()
     words = tokens.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = (words["n"] or 0) + ends, words["v"] + (1 if ends else 0)
@@ -217,40 +268,54 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
     common = tokens.where(F.col("n") * COMMON >= total).select("key", "n").toArrow()
     key = common.column("key").to_numpy()
     order = np.argsort(key)
-    shared = own.sparkSession.sparkContext.broadcast((fit(counted.where("kind = 1")), key[order], common.column("n").to_numpy()[order]))
+    shared = own.sparkSession.sparkContext.broadcast((*frequent(grams), key[order], common.column("n").to_numpy()[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quirefold.llm.shingles import word_hashes
 
-        model, known, times = shared.value
+        gram, gram_score, known, times = shared.value
+
+        def lists(keys: np.ndarray, of: np.ndarray, n: int) -> list[pa.Array]:
+            """Each key once a text, and its number there."""
+            order = np.lexsort((keys, of))
+            keys, of = keys[order], of[order]
+            first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])) if len(keys) else np.zeros(0, np.int64)
+            cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=n))]), pa.int32())
+            return [pa.ListArray.from_arrays(cuts, pa.array(v, t)) for v, t in ((keys[first], pa.int64()), (np.diff(np.append(first, len(keys))), pa.int32()))]
+
         for batch in steps(batches, "text", STEP):
             n = batch.num_rows
             data, offsets = utf8(batch.column("text"))
             keys, owner = _grams(data, offsets)
-            score = np.bincount(owner, model.score(keys), n)
+            distinct, place = np.unique(keys, return_inverse=True)
+            at = np.minimum(np.searchsorted(gram, distinct), max(len(gram) - 1, 0))
+            is_held = gram[at] == distinct if len(gram) else np.zeros(len(distinct), bool)
+            held = np.where(is_held, gram_score[at], 0.0) if len(gram) else np.zeros(len(distinct))
+            score = np.bincount(owner, held[place], n)
+            apart = np.flatnonzero(~is_held[place])
             h, per_text = word_hashes(data, offsets)
             h, text = h.view(np.int64), np.repeat(np.arange(n), per_text)
             at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
             is_common = known[at] == h if len(known) else np.zeros(len(h), bool)
             base = np.bincount(text[is_common], np.log10((times[at[is_common]] + 0.1) / below), n) + math.log10((ends + 0.1) / below)
             seen = np.bincount(text[is_common], minlength=n) + int(ends > 0)
-            # Rare tokens, each once a text with its number.
-            rare, of = h[~is_common], text[~is_common]
-            order = np.lexsort((rare, of))
-            rare, of = rare[order], of[order]
-            first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])])) if len(rare) else np.zeros(0, np.int64)
-            sizes = np.bincount(of[first], minlength=n)
-            cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(v, t)) for v, t in ((rare[first], pa.int64()), (np.diff(np.append(first, len(rare))), pa.int32()))]
-            columns = [batch.column("doc_id"), batch.column("train"), pa.array(per_text + 1, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(score), pa.array(np.diff(offsets), pa.int64()), *lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "train", "n_tokens", "seen", "base", "score", "n_bytes", "rare", "times"])
-
-    schema = own.select("doc_id", "train").selectExpr("*", "0L as n_tokens", "0L as seen", "0D as base", "0D as score", "0L as n_bytes", "cast(null as array<bigint>) as rare", "cast(null as array<int>) as times").schema
+            rare = [*lists(h[~is_common], text[~is_common], n), *lists(keys[apart], owner[apart], n)]
+            columns = [batch.column("doc_id"), batch.column("train"), pa.array(per_text + 1, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(score), pa.array(np.diff(offsets), pa.int64()), *rare]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "train", "n_tokens", "seen", "base", "score", "n_bytes", "rare", "times", "grams", "gram_times"])
+
+    schema = own.select("doc_id", "train").selectExpr("*", "0L as n_tokens", "0L as seen", "0D as base", "0D as score", "0L as n_bytes", "cast(null as array<bigint>) as rare", "cast(null as array<int>) as times", "cast(null as array<bigint>) as grams", "cast(null as array<int>) as gram_times").schema
     rows = stored(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    zipped = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("key"), F.col("t.times").alias("times"))
-    found = zipped.join(tokens.select("key", "n"), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sums = found.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.col("n") + 0.1) / F.lit(below))).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_seen"))
-    out = rows.select("doc_id", "train", "n_tokens", "seen", "base", "score", "n_bytes", "row").join(sums, "row", "left")
+    # What no task holds: kind, key and times of each text, joined to the log10 probability of each key.
+    pairs = lambda kind, key, times: rows.select("row", F.explode(F.arrays_zip(F.col(key).alias("key"), F.col(times).alias("times"))).alias("t")).select("row", F.lit(kind).alias("kind"), "t.key", "t.times")
+    log = lambda n: F.log10((n + 0.1) / F.lit(below))
+    logs = tokens.select("kind", "key", log(F.col("n")).alias("log"), (F.col("n") > 0).alias("known")).union(grams.select(F.lit(1).alias("kind"), "key", "score", F.lit(True)))
+    found = pairs(0, "rare", "times").union(pairs(1, "grams", "gram_times")).join(logs, ["kind", "key"], "left")
+    found = found.select("row", "kind", "times", F.coalesce("log", log(F.lit(0))).alias("log"), F.coalesce("known", F.lit(False)).alias("known"))
+    is_token = F.col("kind") == 0
+    sums = found.groupBy("row").agg(
+        F.sum(F.when(is_token, F.col("times") * F.col("log"))).alias("rare_base"), F.sum(F.when(is_token & F.col("known"), F.col("times"))).alias("rare_seen"), F.sum(F.when(~is_token, F.col("times") * F.col("log"))).alias("rare_score")
+    )
+    out = rows.select("doc_id", "train", "n_tokens", "seen", "base", "score", "n_bytes", "row").join(sums, "row", "left").withColumn("score", F.col("score") + F.coalesce("rare_score", F.lit(0.0)))
     return out.select(
         "doc_id", "train", "n_tokens", (F.col("seen") + F.coalesce("rare_seen", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),

@@ -263,3 +263,24 @@ def test_jaccard_loses_no_link(spark, docs, empty):
     edge = jaccard.classes(docs, 4, 85)
     assert edge.count() == docs.count() and {x["component_id"] for x in edge.where("doc_id in (5, 6)").collect()} == {5}
     assert jaccard.classes(empty, 4, 85).count() == 0
+
+
+@pytest.mark.parametrize("cache", [0, 40, 1 << 21])
+def test_language_model_keeps_every_context(spark, docs, monkeypatch, cache):
+    """Scores are those of the tree of all contexts, also of one seen once among many bytes, whatever is held in tasks."""
+    monkeypatch.setattr(ctw, "CACHE", cache)
+    monkeypatch.setattr(ctw, "COMMON", 10)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None] + [(100, "qzxwv jkpyf"), (101, "qzxwv jkpyf"), (102, "never seen #~")]
+    held = (8, 101, 102)
+    got = {r["doc_id"]: r for r in ctw.scores(spark.createDataFrame(rows, "doc_id long, text string"), ~F.col("doc_id").isin(*held)).collect()}
+    grams = lambda t: ctw._grams(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0]
+    keys = np.concatenate([grams(t) for i, t in rows if i not in held])
+    tables = []
+    for d in range(ctw.DEPTH + 1):
+        contexts, row = np.unique((keys >> 8) & ((1 << 8 * d) - 1), return_inverse=True)
+        counted = np.zeros((len(contexts), 256))
+        np.add.at(counted, (row, keys & 255), 1)
+        tables.append((contexts, counted))
+    model = ctw.Model.of(tables)
+    for i, t in rows:
+        assert got[i]["score"] == pytest.approx(float(model.score(grams(t)).sum(dtype=float)), rel=1e-4, abs=1e-4), i
