@@ -98,7 +98,7 @@ def markdown_fragments(docs: DataFrame, blocks: DataFrame, messages: DataFrame,
 
 
 def build_markdown(docs: DataFrame, blocks: DataFrame, messages: DataFrame, include_original: bool = True, max_chars: int | None = None) -> DataFrame:
-    """One body per document (order columns 0); a document over the checked size stays as ordered fragments."""
+    """One body per document (order columns 0); with `max_chars`, a larger document stays as ordered fragments."""
     fragments = materialize(markdown_fragments(docs, blocks, messages, include_original), "fragments")
     return ordered.assemble(fragments, ["doc_id"], ORDER, "body", "\n", max_chars)
 

@@ -95,8 +95,8 @@ def chunk_by_budget(lines: DataFrame, chunk_lines: int | None = None) -> DataFra
 
 
 def refine_prompts(docs: DataFrame, blocks: DataFrame, lines: DataFrame, batches: DataFrame) -> DataFrame:
-    """doc_id, batch, n_blocks, prompt. A batch has at most 28 lines. The heading outline is joined in while its
-    checked size allows one value; a larger outline is returned once as ordered rows of batch -1."""
+    """doc_id, batch, n_blocks, prompt. A batch has at most 28 lines. Every prompt holds the whole heading outline of
+    its document."""
     heads = blocks.filter(F.col("type") == "heading").select(
         "doc_id", "idx", F.concat(F.lit("  第 "), (F.col("idx") + 1).cast("string"), F.lit(" 块："), "text").alias("outline")
     )
@@ -107,16 +107,13 @@ def refine_prompts(docs: DataFrame, blocks: DataFrame, lines: DataFrame, batches
         .agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("l"))
         .select("doc_id", "batch", F.size("l").alias("n_blocks"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
     )
-    whole = outlines.filter("whole").select("doc_id", "outline")
     o = F.coalesce("outline", F.lit(""))
     prompt = F.concat(
         F.lit("文档标题："), "title", F.lit("\n"),
         F.when(o != "", F.concat(F.lit("文档结构大纲（供参考，不需要你输出）：\n"), o, F.lit("\n"))).otherwise(""),
         F.lit("\n请修正下面 "), F.col("n_blocks").cast("string"), F.lit(" 个内容块，输出严格的 JSON：\n\n"), "body",
     )
-    prompts = body.join(docs.select("doc_id", "title"), "doc_id").join(whole, "doc_id", "left").select("doc_id", "batch", "n_blocks", prompt.alias("prompt"))
-    parts = outlines.filter(~F.col("whole")).select("doc_id", F.lit(-1).alias("batch"), F.lit(0).alias("n_blocks"), F.col("outline").alias("prompt"))
-    return prompts.unionByName(parts)
+    return body.join(docs.select("doc_id", "title"), "doc_id").join(outlines.select("doc_id", "outline"), "doc_id", "left").select("doc_id", "batch", "n_blocks", prompt.alias("prompt"))
 
 
 def loose_json(content: Column) -> Column:

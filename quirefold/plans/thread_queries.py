@@ -334,7 +334,7 @@ def build_markdown(spark, sf):
 def write_markdown(spark, sf):
     """Written as text files per document and read back line by line."""
     out = work_dir(spark, "exports")
-    sinks.write_exports(ex.build_markdown(*_export_inputs(spark, sf)).drop("whole"), out)
+    sinks.write_exports(materialize(ex.markdown_fragments(*_export_inputs(spark, sf)), "fragments"), out)
     lines = spark.read.text(out)
     return lines.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.sum(F.length("value")).alias("chars"))
 

@@ -78,7 +78,7 @@ def fold_parts(parts: DataFrame) -> DataFrame:
 
 
 def join_parts(blocks: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """fold_parts rows joined into one answer per request below the checked size, else kept as ordered rows (part)."""
+    """fold_parts rows joined into one answer per request; with `max_chars`, larger ones are kept as ordered rows (part)."""
     late = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("part"))).alias(c)
     some = lambda c: F.max(F.col(c) != "").alias(f"has_{c}")
     marks = blocks.groupBy("req_id").agg(late("finish_reason"), late("model"), late("usage"), some("content"), some("reasoning"))

@@ -5,7 +5,8 @@ import random
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quirefold.operators import ordered
+from quirefold.operators import ordered, refine
+from quirefold.streaming import answers
 
 
 def rows(n=400):
@@ -36,3 +37,20 @@ def test_assemble_keeps_large_groups_as_fragments(spark):
     assert [(r["d"], r["t"]) for r in small] == [("a", "-".join(["x" * 10] * 5))]
     large = sorted((r["n"], r["t"]) for r in out if not r["whole"])
     assert large == [(i, "y" * 10) for i in range(50)]
+
+
+def test_large_values_have_the_form_of_small_ones(spark):
+    """18 million characters: one prompt with its outline, one message, one body."""
+    big = F.repeat(F.lit("x"), F.lit(9_000_000))
+    two = spark.createDataFrame([(1, i, f"p{i + 1}", "heading") for i in range(2)], "doc_id long, idx int, block_id string, type string").withColumn("text", big)
+    lines = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "doc_id long, idx int, line string")
+    batches = spark.createDataFrame([(1, 0, 0), (1, 1, 0)], "doc_id long, idx int, batch int")
+    docs = spark.createDataFrame([(1, "t")], "doc_id long, title string")
+    (r,) = refine.refine_prompts(docs, two, lines, batches).select("batch", "n_blocks", F.length("prompt").alias("n")).collect()
+    assert (r["batch"], r["n_blocks"]) == (0, 2) and r["n"] > 18_000_000
+    parts = two.select(F.col("doc_id").alias("req_id"), F.col("idx").cast("long").alias("part"), F.col("text").alias("content"), F.lit("").alias("reasoning"), F.lit("stop").alias("finish_reason"), F.lit("m").alias("model"), F.lit(None).cast("string").alias("usage"))
+    requests = spark.createDataFrame([(1, 1, "p1", 0, False)], "req_id long, doc_id long, thread_key string, at int, aborted boolean")
+    (m,) = answers.persist_answers(answers.classify_outcome(answers.join_parts(parts)), requests).select(F.length("content").alias("n")).collect()
+    assert m["n"] == 18_000_000
+    (b,) = ordered.assemble(two, ["doc_id"], ["idx"], "text", "\n").select("idx", F.length("text").alias("n"), F.substr("text", F.lit(9_000_001), F.lit(1)).alias("sep")).collect()
+    assert (b["idx"], b["n"], b["sep"]) == (0, 18_000_001, "\n")
