@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction (operator 6).
 
 Base patterns find identifiers of a strict form. Those are the seeds: the words beside them make lexical patterns, and
-the patterns also stand beside strings of a looser form. On the graph of patterns and instances Spark scores both in
-turns: a pattern by the share of its instances that are believed, an instance by the patterns that hold it. Instances
-that only confident patterns hold become new spans; base spans always stay.
+the patterns also stand beside strings of any other form that an identifier may take. On the graph of patterns and
+instances Spark goes on in turns, until nothing is added: a pattern is sure by the share of its instances that are
+believed, an instance is believed beside a sure pattern, and then supports other patterns. Believed instances become new
+spans; base spans always stay.
 """
 
 from __future__ import annotations
@@ -31,11 +32,22 @@ LOOSE = {
     "card": re.compile(r"[0-9]{4}(?:[._/ ][0-9]{4}){3}"),
     "phone": re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
 }
+#: Any other run of a kind: addresses with any letters, blanks or words for the signs; IPv6 and spelt dots; and any run of
+#: so many digits, however grouped. Runs are entered at their start only, which keeps the search linear.
+OPEN = {
+    "email": re.compile(r"(?<![^\s@<>()\[\],;:\"'])[^\s@<>()\[\],;:\"']++ ?@ ?[^\s@<>()\[\],;:\"']++|(?<![\w.%+-])[\w.%+-]++ at [\w-]++(?: dot [\w-]++)++", re.I),
+    "ip": re.compile(r"(?<![\w:])(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}|(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?)(?![\w:])|(?<!\d)\d{1,3}(?: ?(?:\.|,|\(dot\)|\[dot\]|dot) ?\d{1,3}){3}(?!\d)", re.I),
+    "card": re.compile(r"[0-9](?:[ ._/-]{0,2}[0-9])++"),
+    "phone": re.compile(r"[+(]?[0-9](?:[ ._/()-]{0,2}[0-9])++"),
+}
+#: Digits of a run that may be a card or a phone.
+DIGITS = {"card": (13, 19), "phone": (7, 15)}
 _LOOSE_SIGN = re.compile(r"[\[(]at[\])]|[0-9]\[\.\]|[0-9]{3}\)?[ .-][0-9]{3}|[0-9]{4}[._/ ][0-9]{4}")
+_OPEN_SIGN = re.compile(r"@| at |::|[0-9]", re.I)
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
-#: Turns of scoring; patterns need so many different seeds, and this confidence, to add instances.
-TURNS, SUPPORT, CONFIDENCE = 3, 5, 0.8
+#: Patterns need so many different believed instances, and this share of them, to add instances.
+SUPPORT, CONFIDENCE = 5, 0.8
 #: Bytes of text that a task takes at once.
 STEP = 1 << 20
 SPAN = "struct<kind:int,first:int,last:int>"
@@ -91,15 +103,25 @@ def contexts(text: str, first: int, last: int) -> list[str]:
 
 
 def extract(text: str) -> tuple[list, list]:
-    """Base spans, and with the loose candidates that overlap none of them everything a pattern may stand beside."""
+    """Base spans, and with the candidates of loose and open forms that overlap none of them everything a pattern may
+    stand beside."""
     base = base_spans(text)
     found = [(k, a, b, text[a:b].lower(), True) for k, a, b in base]
-    if _LOOSE_SIGN.search(text):
+    if _OPEN_SIGN.search(text) or _LOOSE_SIGN.search(text):
+        of_base = bytearray(len(text))
+        for _, a, b in base:
+            of_base[a:b] = b"\1" * (b - a)
         for k, kind in enumerate(KINDS):
-            for m in LOOSE[kind].finditer(text):
-                a, b = m.span()
-                if all(b <= x or a >= y for _, x, y in base):
-                    found.append((k, a, b, m.group().lower(), False))
+            taken = bytearray(of_base)
+            for form in (LOOSE, OPEN):
+                if form is LOOSE and not _LOOSE_SIGN.search(text):
+                    continue
+                for m in form[kind].finditer(text):
+                    a, b = m.span()
+                    least, most = DIGITS.get(kind, (0, b)) if form is OPEN else (0, b)
+                    if 1 not in taken[a:b] and least <= sum(c.isdigit() for c in m.group()) <= most:
+                        found.append((k, a, b, m.group().lower(), False))
+                        taken[a:b] = b"\1" * (b - a)
     return base, [(k, a, b, i, s, contexts(text, a, b)) for k, a, b, i, s in found]
 
 
@@ -124,19 +146,21 @@ def candidates(docs: DataFrame) -> DataFrame:
 def confident_instances(found: DataFrame) -> DataFrame:
     """kind, instance of candidates (row, kind, instance, seed, patterns) that the scored graph believes.
 
-    Seeds have score 1. A pattern's confidence is the mean score of its different instances of any form; it counts if it
-    holds SUPPORT seeds. A candidate's score is 1 - the product of (1 - confidence) over its counting patterns.
+    Seeds are believed. A pattern is sure if it holds SUPPORT different believed instances and they are CONFIDENCE of its
+    instances of any form; an instance beside a sure pattern is believed, and supports others, until nothing is added.
     """
     edges = found.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"))
     edges = stored(edges, "pii-edges")
-    score = edges.where("seed").select("kind", "instance").distinct().withColumn("score", F.lit(1.0))
-    for _ in range(TURNS):
-        on = edges.join(score, ["kind", "instance"], "left")
-        patterns = on.groupBy("kind", "pattern").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= SUPPORT)
-        doubt = edges.where("not seed").join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))).alias("d"), F.max("confidence").alias("best"))
-        believed = doubt.where(F.col("best") >= CONFIDENCE).select("kind", "instance", (1 - F.exp("d")).alias("score"))
-        score = stored(score.where("score = 1.0").union(believed), "pii-scores")
-    return score.where(F.col("score") >= CONFIDENCE).select("kind", "instance").distinct()
+    seeds = stored(edges.where("seed").select("kind", "instance").distinct(), "pii-believed")
+    believed, n = seeds, seeds.count()
+    while True:
+        on = edges.join(believed.withColumn("sure", F.lit(1)), ["kind", "instance"], "left").withColumn("sure", F.coalesce("sure", F.lit(0)))
+        patterns = on.groupBy("kind", "pattern").agg(F.avg("sure").alias("confidence"), F.sum("sure").alias("support"))
+        sure = patterns.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("kind", "pattern")
+        believed = stored(seeds.union(edges.join(sure, ["kind", "pattern"], "left_semi").select("kind", "instance")).distinct(), "pii-believed")
+        before, n = n, believed.count()
+        if n == before:
+            return believed
 
 
 def spans(docs: DataFrame) -> DataFrame:

@@ -284,3 +284,19 @@ def test_language_model_keeps_every_context(spark, docs, monkeypatch, cache):
     model = ctw.Model.of(tables)
     for i, t in rows:
         assert got[i]["score"] == pytest.approx(float(model.score(grams(t)).sum(dtype=float)), rel=1e-4, abs=1e-4), i
+
+
+def test_personal_data_goes_on_from_what_it_found(spark):
+    """A context beside five found numbers, but no strict one, adds the sixth; and any form in a sure slot is found."""
+    near = lambda i, x: (i, f"please call me now {x} thanks a lot")
+    rows = [near(i, f"+1 (555) 555-{1000 + i}") for i in range(40)] + [near(100 + i, f"555-123-456{i}") for i in range(5)]
+    rows += [(200 + i, f"reach her under 555-123-456{i} any day") for i in range(5)] + [(210, "reach her under 555-999-0000 any day"), (211, "parts list 555-999-0001 of box")]
+    rows += [near(220, "5559876543")]
+    for n, (word, strict) in enumerate((("mail", lambda i: f"a{i}@b.org"), ("host", lambda i: f"10.0.0.{i}"), ("paid", lambda i: next(c for d in range(10) if pii.luhn((c := f"41111111111{i:04d}{d}")))))):
+        rows += [(1000 + 100 * n + i, f"the {word} is {strict(i)} {word} ends here") for i in range(40)]
+    other = {300: ("mail", "jo.doe at host dot com", "email"), 301: ("host", "2001:db8::7", "ip"), 302: ("paid", "41111 11111 111112", "card")}
+    rows += [(i, f"the {word} is {x} {word} ends here") for i, (word, x, _) in other.items()] + [(310, "we met at two dot com fairs in 41111 11111 111112 days")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[210] == "phone:16:28" and got[211] == "" and got[220] == "phone:19:29"
+    for i, (_, x, kind) in other.items():
+        assert got[i] == f"{kind}:12:{12 + len(x)}", i
