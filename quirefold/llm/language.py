@@ -22,8 +22,8 @@ SALTS = 64
 #: Bytes of a block; all blocks of a text count. Small enough that the dictionary, not the text, explains a block.
 BLOCK_BYTES = 512
 LEVEL = 6
-#: A text is rejected if the second language needs less than MARGIN_PERCENT more bytes than the best, not counting the
-#: first FREE_BYTES of the best: a few words are too short for any margin and are no reason to reject.
+#: A text is rejected if the second language needs as few bytes as the best, or less than MARGIN_PERCENT more, not
+#: counting the first FREE_BYTES of the best: of a few words one byte is margin enough.
 MARGIN_PERCENT, FREE_BYTES = 1.0, 64
 UNKNOWN = "und"
 
@@ -48,7 +48,9 @@ def fit(labelled: DataFrame) -> dict[str, bytes]:
     parts: dict[str, list[bytes]] = {lang: [] for lang in sorted(counts, key=lambda k: (-counts[k], k))}
     for r in found:
         parts[r["lang"]].append(r["piece"].lower().encode())
-    return {lang: b"\n".join(p)[-DICTIONARY_BYTES:] for lang, p in parts.items()}
+    # Each piece gets its share of the bytes, so that all of them fit whatever the letters.
+    cut = lambda b, n: b[:n].decode(errors="ignore").encode()
+    return {lang: b"\n".join(cut(b, DICTIONARY_BYTES // len(p) - 1) for b in p) for lang, p in parts.items()}
 
 
 def _compressors(dictionaries: dict[str, bytes]) -> list:
@@ -74,7 +76,7 @@ def decide(size: list[int], languages: list[str]) -> tuple[str, float, bool]:
     best = size[order[0]]
     # A byte more counts as one bit of evidence.
     score = 1 / sum(math.exp2(-min(s - best, 1000)) for s in size)
-    accepted = len(size) == 1 or (size[order[1]] - best) * 100 >= MARGIN_PERCENT * max(0, best - FREE_BYTES)
+    accepted = len(size) == 1 or (size[order[1]] - best >= 1 and (size[order[1]] - best) * 100 >= MARGIN_PERCENT * max(0, best - FREE_BYTES))
     return languages[order[0]], score, accepted
 
 

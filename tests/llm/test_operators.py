@@ -300,3 +300,11 @@ def test_personal_data_goes_on_from_what_it_found(spark):
     assert got[210] == "phone:16:28" and got[211] == "" and got[220] == "phone:19:29"
     for i, (_, x, kind) in other.items():
         assert got[i] == f"{kind}:12:{12 + len(x)}", i
+
+
+def test_language_ties_are_rejected_and_every_sample_teaches(spark):
+    assert not language.decide([51, 51, 51], ["a", "b", "c"])[2] and language.decide([50, 51, 51], ["a", "b", "c"])[2]
+    assert not language.decide([1064, 1073], ["a", "b"])[2] and language.decide([1064, 1074], ["a", "b"])[2]
+    rows = [(chr(0x4E00 + i) * 2000, "zh") for i in range(language.SAMPLE_TEXTS)]
+    (d,) = language.fit(spark.createDataFrame(rows, "text string, lang string")).values()
+    assert len(d) <= language.DICTIONARY_BYTES and set(d.decode()) - {"\n"} == {t[0] for t, _ in rows}
