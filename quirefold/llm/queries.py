@@ -111,3 +111,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirefold.llm import token_files
 
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
+@query("op11_lexical_search", sql.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm import lexical
+
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_collocations", sql.OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm import phrases
+
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirefold.llm import heapcount
+
+    return heapcount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
