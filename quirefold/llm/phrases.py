@@ -1,6 +1,7 @@
 """Phrase collocations from sorted count streams (operator 12).
 
-Phrases of one to three words are counted exactly. What occurs often enough forms one stream of all lengths, sorted
+Phrases of one to three words are counted exactly, length by length: a phrase can be frequent only if the phrases one
+word shorter in it are, so only such ones are sent. What occurs often enough forms one stream of all lengths, sorted
 twice: by words from the first on (prefix order) and from the last on (suffix order). In prefix order a phrase comes
 behind the phrases that begin it and before those that extend it, so one pass over the sorted stream, all lengths in
 lockstep, gives each phrase the counts of its beginnings and of its largest extension; suffix order gives those of its
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import release_memory, steps, stored, utf8
-from quirefold.llm.runs import blocks, byte_class, runs, text_of
+from quirefold.llm.runs import blocks, byte_class, runs, string_hashes, text_of
 
 #: Fixed: marks that end a piece of text, and blanks between words.
 MARKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -31,69 +32,117 @@ _MARK = byte_class(MARKS, high=False)
 LONGEST, OFTEN, COVERED, FIRST = 3, 10, 50, 2000
 #: Bytes of text that a task counts at once.
 STEP = 1 << 22
+#: Bits of the filter that tells tasks which shorter phrases are frequent, 8 MB. Phrases that it lets through wrongly, all
+#: of them in a corpus of very many frequent ones, are counted and then found to be rare: it decides no result.
+FILTER_BITS = 1 << 26
 SPACE = pa.scalar(" ", pa.large_string())
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
-
-
-def _block_counts(data: np.ndarray, offsets: np.ndarray, lang: np.ndarray, lo: int, hi: int, seen: np.ndarray) -> tuple[list[tuple[np.ndarray, pa.Array, np.ndarray]], np.ndarray]:
-    """(language, phrase, occurrences) of the phrases that end between lo and hi, by length, and the last two word starts.
-
-    `seen` are the starts of the last two words before lo: phrases may begin with them."""
-    begin = int(seen[0]) if seen.size else lo
-    words, starts = runs(data, offsets, begin, hi, WORD)
-    if not len(starts):
-        return [], seen
-    coded = words.dictionary_encode()
-    vocabulary, word, v = coded.dictionary, coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-    text = text_of(offsets, starts)
-    piece = np.cumsum(_MARK[data[begin:hi]])[starts - begin]
-    own, tongue = starts >= lo, lang[text]
-    goes_on = np.zeros(len(starts), bool)
-    goes_on[1:] = (text[1:] == text[:-1]) & (piece[1:] == piece[:-1])
-    third = goes_on.copy()
-    third[1:] &= goes_on[:-1]
-    third[:1] = False
-    out = []
-    keys, n = _counted((tongue * v + word)[own])
-    out.append((keys // v, vocabulary.take(pa.array(keys % v)), n))
-    at = np.flatnonzero(goes_on)
-    pairs, back = np.unique((tongue[at] * v + word[at - 1]) * v + word[at], return_inverse=True)
-    two = pc.binary_join_element_wise(vocabulary.take(pa.array(pairs // v % v)), vocabulary.take(pa.array(pairs % v)), SPACE)
-    n = np.bincount(back, own[at], len(pairs)).astype(np.int64)
-    out.append((pairs[n > 0] // v // v, two.filter(pa.array(n > 0)), n[n > 0]))
-    pair = np.zeros(len(starts), np.int64)
-    pair[at] = back
-    last = np.flatnonzero(third & own)
-    keys, n = _counted(pair[last - 1] * v + word[last])
-    out.append((pairs[keys // v] // v // v, pc.binary_join_element_wise(two.take(pa.array(keys // v)), vocabulary.take(pa.array(keys % v)), SPACE), n))
-    return out, starts[-2:]
-
-
-def phrase_counts(docs: DataFrame) -> DataFrame:
-    """lang, phrase, f: exact occurrences of every phrase of up to three words that occurs OFTEN, and of all words of a
-    language together (phrase ''). Each block of text sends a phrase once, so a frequent one is no hot key."""
+def _place(lang: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """The bit of a phrase in the filter, from the hashes of its language and its text."""
+    return ((lang * np.uint64(0x9E3779B97F4A7C15)) ^ phrase) & np.uint64(FILTER_BITS - 1)
+
+
+def frequent_filter(counts: DataFrame) -> np.ndarray:
+    """A bit map of the frequent phrases (lang, phrase); at most FILTER_BITS / 64 numbers reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [string_hashes(batch.column(c).cast(pa.large_string())) for c in ("lang", "phrase")]
+            bit = _place(*text)
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], names=["at", "bits"])
+
+    rows = counts.where("phrase <> ''").select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _frequent(bits: np.ndarray, lang: np.ndarray, phrases: pa.Array) -> np.ndarray:
+    place = _place(lang, string_hashes(phrases))
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _joined(first: pa.Array, second: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(first, second, SPACE)
+
+
+class Block:
+    """The words of a block of text: their places in its vocabulary, and whether each goes on from the word before."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray, begin: int, hi: int):
+        words, self.starts = runs(data, offsets, begin, hi, WORD)
+        coded = words.dictionary_encode()
+        self.vocabulary, self.word, self.size = coded.dictionary, coded.indices.to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
+        text = text_of(offsets, self.starts)
+        piece = np.cumsum(_MARK[data[begin:hi]])[self.starts - begin]
+        self.lang = lang[text]
+        self.goes_on = np.zeros(len(text), bool)
+        self.goes_on[1:] = (text[1:] == text[:-1]) & (piece[1:] == piece[:-1])
+
+    def counted(self, length: int, own: np.ndarray, hashes: np.ndarray, bits: np.ndarray | None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(language, phrase, occurrences) of the phrases of a length that end at the words `own`; of longer ones only
+        those whose two shorter phrases the filter holds."""
+        v, take = self.size, lambda keys: self.vocabulary.take(pa.array(keys % v))
+        keys = self.lang * v + self.word
+        if length == 1:
+            keys, n = np.unique(keys[own], return_counts=True)
+            return keys // v, take(keys), n
+        if length == 2:
+            distinct, back = np.unique(keys, return_inverse=True)
+            ok = _frequent(bits, hashes[distinct // v], take(distinct))[back]
+            at = np.flatnonzero(self.goes_on[1:] & own[1:] & ok[1:] & ok[:-1]) + 1
+            pairs, n = np.unique(keys[at - 1] * v + self.word[at], return_counts=True)
+            return pairs // v // v, _joined(take(pairs // v), take(pairs)), n
+        at = np.flatnonzero(self.goes_on)
+        pairs, back = np.unique(keys[at - 1] * v + self.word[at], return_inverse=True)
+        two = _joined(take(pairs // v), take(pairs))
+        ok, pair = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        ok[at], pair[at] = _frequent(bits, hashes[pairs // v // v], two)[back], back
+        at = np.flatnonzero(self.goes_on[1:] & own[1:] & ok[1:] & ok[:-1]) + 1
+        triples, n = np.unique(pair[at - 1] * v + self.word[at], return_counts=True)
+        return pairs[triples // v] // v // v, _joined(two.take(pa.array(triples // v)), take(triples)), n
+
+
+def phrase_counts(docs: DataFrame, length: int, bits: np.ndarray | None) -> DataFrame:
+    """lang, phrase, f: exact occurrences of every phrase of a length that occurs OFTEN, and with length 1 of all words
+    of a language together (phrase ''). Each block of text sends a phrase once, so a frequent one is no hot key."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP):
             data, offsets = utf8(batch.column("text"))
             coded = batch.column("lang").dictionary_encode()
             langs, lang = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            hashes = string_hashes(langs.cast(pa.large_string()))
             seen, total = np.zeros(0, np.int64), np.zeros(len(langs), np.int64)
             for lo, hi in blocks(data, WORD, STEP):
-                found, seen = _block_counts(data, offsets, lang, lo, hi, seen)
-                for k, (tongue, phrase, n) in enumerate(found):
-                    if not k:
-                        total += np.bincount(tongue, n, len(langs)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(tongue)), phrase.cast(pa.string()), pa.array(n)], names=["lang", "phrase", "f"])
-            yield pa.RecordBatch.from_arrays([langs, pa.array([""] * len(langs)), pa.array(total)], names=["lang", "phrase", "f"])
+                # A block begins with the last two words before it: phrases may go on from them.
+                block = Block(data, offsets, lang, int(seen[0]) if seen.size else lo, hi)
+                if not len(block.starts):
+                    continue
+                own = block.starts >= lo
+                total += np.bincount(block.lang[own], minlength=len(langs))
+                tongue, phrase, n = block.counted(length, own, hashes, sent.value)
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(tongue)), phrase.cast(pa.string()), pa.array(n)], names=["lang", "phrase", "f"])
+                seen = block.starts[-2:]
+            if length == 1:
+                yield pa.RecordBatch.from_arrays([langs, pa.array([""] * len(langs)), pa.array(total)], names=["lang", "phrase", "f"])
         release_memory()
 
+    rows = docs.mapInArrow(run, "lang string, phrase string, f long").repartition("lang", "phrase")
+    return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= OFTEN) | (F.col("phrase") == ""))
+
+
+def frequent_phrases(docs: DataFrame) -> DataFrame:
+    """lang, phrase, f of all phrases of up to LONGEST words that occur OFTEN, and the totals (phrase '')."""
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    sent = own.mapInArrow(run, "lang string, phrase string, f long").repartition("lang", "phrase")
-    return sent.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= OFTEN) | (F.col("phrase") == ""))
+    out, bits = None, None
+    for length in range(1, LONGEST + 1):
+        found = stored(phrase_counts(own, length, bits), "phrase-counts")
+        out = found if out is None else out.union(found)
+        bits = frequent_filter(found) if length < LONGEST else None
+    return out
 
 
 def lockstep(stream: DataFrame, words: list[Column]) -> DataFrame:
@@ -172,7 +221,7 @@ def collocations(docs: DataFrame) -> DataFrame:
     counted in blocks. Phrases lie inside pieces between marks. An empty table gives no rows. Other columns, doc_id
     among them, are not read.
     """
-    counts = stored(phrase_counts(docs), "phrase-counts")
+    counts = frequent_phrases(docs)
     w = F.split("phrase", " ")
     stream = counts.where("phrase <> ''").select("lang", "phrase", F.size(w).alias("k"), "f")
     ahead = lockstep(stream, [F.get(w, i) for i in range(LONGEST)])

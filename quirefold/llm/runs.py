@@ -55,3 +55,21 @@ def runs(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, inside: np.nda
 def text_of(offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The text in which each position lies."""
     return np.searchsorted(offsets, starts, side="right") - 1
+
+
+_VALUE = np.random.default_rng(777).integers(0, 1 << 64, 257, np.uint64)
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of large strings without nulls."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    sizes, out = np.diff(offsets), np.zeros(len(strings), np.uint64)
+    some = np.flatnonzero(sizes)
+    if some.size:
+        data = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        starts, powers = offsets[:-1][some] - offsets[0], np.full(int(sizes.max()), _VALUE[256] | np.uint64(1))
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        out[some] = np.add.reduceat(_VALUE[data] * powers[np.arange(len(data)) - np.repeat(starts, sizes[some])], starts)
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(29))
