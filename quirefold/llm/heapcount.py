@@ -21,8 +21,9 @@ from quirefold.llm.common import release_memory, steps, utf8
 
 #: Bytes of text that a task takes at once; a text may be longer, a part of it between two cuts is not.
 STEP = 1 << 21
-#: Distinct parts whose counts a task remembers; beyond it the memory starts anew, which changes no result.
-KEPT_PARTS = 300_000
+#: Distinct parts whose counts a task remembers in each of two generations, some 25 MB each. Which are kept changes no
+#: result.
+KEPT_PARTS = 200_000
 #: Tokens that a text may have before it counts as over the limit.
 LIMIT = 512
 
@@ -35,6 +36,13 @@ _LAST = np.zeros(256, bool)
 _LAST[[0x85, 0xA0, 0x80, *range(0x81, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
 
 
+def byte_letters() -> list[str]:
+    """The printable letter of each byte: itself where printable, else one from 256 on."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class HeapCounter:
     """Counts the tokens of words under a byte-level BPE vocabulary file of the tokenizers library."""
 
@@ -49,7 +57,9 @@ class HeapCounter:
         if any(set(s) & set(" \n.,;:!?") for s in self.special):
             raise ValueError("texts are cut at blanks and marks, which a special token of this vocabulary holds")
         vocab = spec["model"]["vocab"]
-        self.symbol = {c: t for c, t in vocab.items() if len(c) == 1}
+        # The letters that stand for bytes, as byte-level vocabularies write them, and the symbols of bytes.
+        self.letters = {c: b for b, c in enumerate(byte_letters())}
+        self.symbol = [vocab[c] for c in byte_letters()]
         self.size = max(vocab.values()) + 1
         self.rank: dict[int, int] = {}
         self.made = array("l")
@@ -58,37 +68,41 @@ class HeapCounter:
             self.rank.setdefault(vocab[a] * self.size + vocab[b], rank)
             self.made.append(vocab[a + b])
         self.splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        self.kept: dict[str, int] = {}
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
-    def word(self, word: str) -> int:
-        """Tokens of one word, written in the letters that stand for bytes."""
+    def word(self, word: bytes) -> int:
+        """Tokens of one word."""
         n = len(word)
         if n == 1:
             return 1
-        rank, size, made = self.rank, self.size, self.made
-        symbols = array("l", [self.symbol[c] for c in word])
-        after, before = array("l", range(1, n + 1)), array("l", range(-1, n - 1))
+        rank, size, made, pop, push = self.rank, self.size, self.made, heapq.heappop, heapq.heappush
+        # Long runs of letters are words too: their lists are packed.
+        pack = list if n < 4096 else lambda values: array("l", values)
+        symbols = pack(map(self.symbol.__getitem__, word))
+        after, before = pack(range(1, n + 1)), pack(range(-1, n - 1))
         # An entry holds rank and place in one number; it is stale if the pair now at the place has another rank.
         heap = [r << 40 | i for i in range(n - 1) if (r := rank.get(symbols[i] * size + symbols[i + 1])) is not None]
         heapq.heapify(heap)
-        merges = 0
+        left = n
         while heap:
-            entry = heapq.heappop(heap)
-            r, i = entry >> 40, entry & 0xFFFFFFFFFF
+            entry = pop(heap)
+            i = entry & 0xFFFFFFFFFF
             j = after[i]
-            if symbols[i] < 0 or j >= n or rank.get(symbols[i] * size + symbols[j]) != r:
+            if j >= n or rank.get(symbols[i] * size + symbols[j]) != entry >> 40:
                 continue
-            merged = symbols[i] = made[r]
-            symbols[j] = -1
-            merges += 1
+            merged = symbols[i] = made[entry >> 40]
+            # A dead symbol forms no pair that has a rank.
+            symbols[j] = -size
+            left -= 1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
                 if (new := rank.get(merged * size + symbols[k])) is not None:
-                    heapq.heappush(heap, new << 40 | i)
+                    push(heap, new << 40 | i)
             if (h := before[i]) >= 0 and (new := rank.get(symbols[h] * size + merged)) is not None:
-                heapq.heappush(heap, new << 40 | h)
-        return n - merges
+                push(heap, new << 40 | h)
+        return left
 
     def text(self, text: str) -> int:
         """Tokens of a text: one for each special token in it, the others those of its words."""
@@ -101,20 +115,35 @@ class HeapCounter:
                 total += 1
                 rest += [part[at + len(s) :], part[:at]]
             elif part:
-                total += sum(self.word(w) for w, _ in self.splitter.pre_tokenize_str(part))
+                total += sum(self.word(w) for w in self.words(part))
         return total
 
+    def words(self, part: str) -> list[bytes]:
+        """The words of a part as the vocabulary's own splitter cuts them. Letters after at most one space are one."""
+        bare = part[1:] if part[:1] == " " else part
+        if bare.isascii() and bare.isalpha():
+            return [part.encode()]
+        return [bytes(map(self.letters.__getitem__, w)) for w, _ in self.splitter.pre_tokenize_str(part)]
+
     def counts(self, parts: pa.Array) -> np.ndarray:
         """Tokens of each part; a distinct part is counted once."""
         coded = parts.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.kept) + len(distinct) > KEPT_PARTS:
-            self.kept.clear()
-        known = self.kept
-        for p in distinct:
-            if p not in known:
-                known[p] = self.text(p)
-        return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        if len(self.young) + len(distinct) > KEPT_PARTS:
+            # Frequent parts come over from the old generation as they are met again.
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = np.empty(len(distinct), np.int64)
+        for i, p in enumerate(distinct):
+            n = young.get(p)
+            if n is None:
+                n = old.get(p)
+                young[p] = n = self.text(p) if n is None else n
+            out[i] = n
+        return out[coded.indices.to_numpy()]
+
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
 
 
 def cuts(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -166,7 +195,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 row = np.searchsorted(offsets, starts, side="right") - 1
                 total += np.bincount(row, counter.counts(part), batch.num_rows).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(total), pa.array(total > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
-        counter.kept.clear()
+        counter.forget()
         release_memory()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
