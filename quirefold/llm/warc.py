@@ -21,23 +21,27 @@ from quirefold.llm.common import filesystem, shared_dir, stored
 REVISIT_BYTES = 100
 #: Compressed bytes of an archive after which the writer begins a new one.
 ARCHIVE_BYTES = 1 << 26
+#: Equal rows of which one task writes at most so many.
+EQUAL_ROWS = 1 << 12
 #: Pages have no time of capture; records need one.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+FIRST_COPY = "0"
 NAMESPACE = uuid.UUID("5d0f7b0e-6c7f-4f0e-9a51-3f6d6f1f2a10")
 
 RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """page_id, digest, first: for each page the smallest page_id of its payload, null if it is too short to be shared.
+    """page_id, digest, rows (pages of both), first: the smallest page_id of the payload, null if it is too short to be
+    shared.
 
     Rows without page_id come after all others: they revisit if any page with an id has their payload.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     narrow = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
     firsts = narrow.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    return narrow.select("page_id", "digest").distinct().join(firsts, "digest", "left")
+    return narrow.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("rows")).join(firsts, "digest", "left")
 
 
 def _record(kind: str, record_id: str, uri: str, headers: list[tuple[str, str]], content_type: str, block: bytes) -> bytes:
@@ -45,12 +49,13 @@ def _record(kind: str, record_id: str, uri: str, headers: list[tuple[str, str]],
     return b"".join([b"WARC/1.1\r\n", *(f"{k}: {v}\r\n".encode() for k, v in lines), b"\r\n", block, b"\r\n\r\n"])
 
 
-def _id(page_id: int | None, digest: str, copy: int, kind: str) -> str:
+def _id(page_id: int | None, digest: str, copy: str, kind: str) -> str:
     return f"urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}|{digest}|{copy}|{kind}')}"
 
 
-def capture_records(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, copy: int) -> list[bytes]:
-    """The three records of a page. `copy` numbers equal rows; `first` is the page whose payload this one repeats."""
+def capture_records(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, copy: str) -> list[bytes]:
+    """The three records of a page. `copy` tells rows of one page and payload apart, FIRST_COPY is the one that revisits
+    name; `first` is the page whose payload this one repeats."""
     # Header lines cannot hold control characters or blanks.
     uri = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or f"urn:page:{page_id}")
     kind = "response" if first is None or first == page_id else "revisit"
@@ -58,7 +63,7 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, digest
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = [("WARC-Payload-Digest", f"sha256:{digest}")]
     if kind == "revisit":
-        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{_id(first, digest, 0, 'main')}>")]
+        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{_id(first, digest, FIRST_COPY, 'main')}>")]
     concurrent = [("WARC-Concurrent-To", f"<{main}>")]
     scheme, _, rest = uri.partition("://")
     host, slash, path = rest.partition("/")
@@ -71,43 +76,67 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, digest
     ]
 
 
+def _numbered(pages: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows of pages whose page_id and payload occur in several rows, equal ones once with their number `times` and a
+    `label` for the copies: FIRST_COPY for one group of each page and payload, else the digest of the url.
+
+    A page that a third of all rows repeat is counted where its rows are, then written in groups of EQUAL_ROWS.
+    """
+    r = repeated.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "first")
+    # Written before it is grouped: the join can then split a hot page, and equal rows are added up in each task.
+    found = stored(pages.join(r, pages.page_id.eqNullSafe(r.r_page) & (pages.digest == r.r_digest)).select("page_id", "url", "html", "digest", "first"), "warc-repeated")
+    once = found.groupBy("page_id", "digest", "first", "url").agg(F.count(F.lit(1)).alias("rows"), F.max("html").alias("html"))
+    least = once.groupBy(F.col("page_id").alias("l_page"), F.col("digest").alias("l_digest")).agg(F.min(F.struct("url")).alias("least"))
+    joined = once.join(least, once.page_id.eqNullSafe(least.l_page) & (once.digest == least.l_digest))
+    label = F.when(F.col("url").eqNullSafe(F.col("least.url")), F.lit(FIRST_COPY)).otherwise(F.sha2(F.coalesce(F.concat(F.lit("="), "url"), F.lit("")).cast("binary"), 256))
+    group = F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / EQUAL_ROWS)))
+    dealt = joined.withColumn("label", label).select("page_id", "url", "html", "digest", "first", "label", "rows", group.alias("group")).repartition("page_id", "digest", "url", "group")
+    return dealt.select("page_id", "url", "html", "digest", "first", "label", (F.col("group") * EQUAL_ROWS).alias("from"), F.least(F.lit(EQUAL_ROWS), F.col("rows") - F.col("group") * EQUAL_ROWS).alias("times"))
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes every page (page_id, url, html) as records and returns the archives: path, n_records.
 
-    A null html is an empty payload. Equal rows are each written. Only the archives of the attempt that succeeded are
-    in the returned table, so a retried task leaves no doubled record. Other columns are not read.
+    A null html is an empty payload. Equal rows are each written, with records of their own. Only the archives of the
+    attempt that succeeded are in the returned table, so a retried task leaves no doubled record. Other columns are not
+    read.
     """
     digest = F.sha2(F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary"), 256)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    role = roles(own).select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "first")
+    role = stored(roles(own), "warc-roles")
     wide = own.withColumn("digest", digest)
     # By page and payload: a payload that a third of all pages share is spread over all tasks.
-    joined = wide.join(role, wide.page_id.eqNullSafe(role.r_page) & (wide.digest == role.r_digest)).select("page_id", "url", "html", "digest", "first")
+    single = role.where("rows = 1").select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "first")
+    joined = wide.join(single, wide.page_id.eqNullSafe(single.r_page) & (wide.digest == single.r_digest)).select("page_id", "url", "html", "digest", "first", F.lit(FIRST_COPY).alias("label"), F.lit(0).cast("long").alias("from"), F.lit(1).cast("long").alias("times"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        copies: dict[tuple, int] = {}
         out, path, n = None, "", 0
         for batch in batches:
-            for page_id, url, html, digest, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first"))):
-                if out is None:
-                    path, n = f"{root}/pages-{uuid.uuid4().hex}.warc.gz", 0
-                    out = fs.open_output_stream(path)
-                copy = copies[(page_id, digest)] = copies.get((page_id, digest), -1) + 1
-                for record in capture_records(page_id, url, (html or "").encode(), digest, first, copy):
-                    gz = zlib.compressobj(4, zlib.DEFLATED, 31)
-                    out.write(gz.compress(record) + gz.flush())
-                    n += 1
-                if out.tell() >= ARCHIVE_BYTES:
-                    out.close()
-                    out = None
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "n_records"])
+            for page_id, url, html, digest, first, label, begin, times in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first", "label", "from", "times"))):
+                for k in range(begin, begin + times):
+                    if out is None:
+                        path, n = f"{root}/pages-{uuid.uuid4().hex}.warc.gz", 0
+                        out = fs.open_output_stream(path)
+                    for record in capture_records(page_id, url, (html or "").encode(), digest, first, f"{label}.{k}" if k else label):
+                        gz = zlib.compressobj(4, zlib.DEFLATED, 31)
+                        out.write(gz.compress(record) + gz.flush())
+                        n += 1
+                    if out.tell() >= ARCHIVE_BYTES:
+                        out.close()
+                        out = None
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "n_records"])
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "n_records"])
 
-    return stored(joined.mapInArrow(write, "path string, n_records long"), "warc-archives")
+    schema = "path string, n_records long"
+    written = stored(joined.mapInArrow(write, schema), "warc-archives")
+    repeated = role.where("rows > 1")
+    if repeated.isEmpty():
+        return written
+    return written.union(stored(_numbered(wide, repeated).mapInArrow(write, schema), "warc-archives"))
 
 
 def members(file, chunk: int = 1 << 20) -> Iterator[bytes]:
