@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: The windows are sent to every task up to so many (about 200 bytes each, 26 MB); beyond it Spark joins by shuffling
-#: both sides.
-BROADCAST_WINDOWS = 1 << 17
+#: The hashes of all windows are sent to every task up to so many bytes, HASH_BYTES each; beyond it Spark joins by
+#: shuffling hashes and places, never words.
+BROADCAST_BYTES, HASH_BYTES = 1 << 26, 32
 #: Stands among the window hashes for the document itself.
 MARK = -1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,26 +49,51 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return own.select("item_id", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.slice(F.col("w"), i + 1, n))).alias("gram")).distinct()
 
 
+def _all_hashes(w: Column, sizes: list[int]) -> Column:
+    """Hashes of all windows of all sizes, size after size; `_place` tells which is which."""
+    return F.concat(*[F.coalesce(window_hashes(w, n), F.array().cast("array<bigint>")) for n in sizes])
+
+
+def _place(pos: Column, n_words: Column, sizes: list[int]) -> tuple[Column, Column]:
+    """Start and size of the window whose hash has that place among all of a document's."""
+    start, size, before = pos, F.lit(sizes[-1]), F.lit(0)
+    many = [F.greatest(F.lit(0), n_words - n + 1) for n in sizes]
+    befores = [before := before + m for m in [F.lit(0), *many[:-1]]]
+    for n, b, m in reversed(list(zip(sizes, befores, many))):
+        start, size = F.when(pos < b + m, pos - b).otherwise(start), F.when(pos < b + m, F.lit(n)).otherwise(size)
+    return start.cast("int"), size.cast("int")
+
+
+def _gram_hash(gram: Column, n: Column, sizes: list[int]) -> Column:
+    return F.coalesce(*[F.when(n == k, window_hash(gram, F.lit(0), k)) for k in sizes])
+
+
 def _scanned(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """One row for each row of docs (start -1) and one for each verified occurrence: doc_id, text_hash, n_words, start
-    (word index), n, item_id. The texts are read once; `docs` has doc_id and text."""
+    (word index), n, item_id, hit (true for an occurrence, also of an item without id); `docs` has doc_id and text."""
     sizes = sorted(r[0] for r in grams.select("n").distinct().collect()) or [WINDOW]
-    small = grams.count() <= BROADCAST_WINDOWS
-    sent = F.broadcast if small else lambda df: df
+    known = grams.select(_gram_hash(F.col("gram"), F.col("n"), sizes).alias("h")).distinct()
     own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    each = []
-    for k, n in enumerate(sizes):
-        # One row per distinct hash: a document window meets at most one, however many items share it. The mark is the
-        # hash of the row that stands for the document itself.
-        known = grams.where(F.col("n") == n).select(window_hash(F.col("gram"), F.lit(0), n).alias("h")).union(docs.sparkSession.range(1).select(F.lit(MARK).alias("h"))).distinct()
-        mark = F.array(F.lit(MARK)) if k == 0 else F.array().cast("array<bigint>")
-        hashes = F.concat(mark, F.coalesce(window_hashes(F.col("w"), n), F.array().cast("array<bigint>")))
-        rows = own.select("doc_id", "text_hash", "w", F.posexplode(hashes).alias("start", "h")).join(sent(known), "h")
-        start = F.col("start") - F.lit(int(k == 0))
-        own_row = F.array(F.concat(F.lit("\0"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-        each.append(rows.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), start.alias("start"), F.lit(n).alias("n"), F.when(start < 0, own_row).otherwise(F.slice("w", start + 1, n)).alias("gram")))
-    found = reduce(DataFrame.union, each).join(sent(grams.select("item_id", "gram")), "gram", "left")
-    return found.where("start < 0 or item_id is not null").drop("gram")
+    n_grams, gram_bytes = grams.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("gram", "")) + 24 * F.size("gram")), F.lit(0))).first()
+    if n_grams * HASH_BYTES <= BROADCAST_BYTES:
+        # The texts are read once: a mark among the hashes is the row of the document itself. Words stay in their task.
+        marked = F.broadcast(known.union(docs.sparkSession.range(1).select(F.lit(MARK).alias("h"))).distinct())
+        rows = own.select("doc_id", "text_hash", "w", F.posexplode(F.concat(F.array(F.lit(MARK)), _all_hashes(F.col("w"), sizes))).alias("pos", "h")).join(marked, "h")
+        start, n = _place(F.col("pos") - 1, F.size("w"), sizes)
+        placed = rows.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.when(F.col("pos") == 0, F.lit(-1)).otherwise(start).alias("start"), n.alias("n"), "w")
+    else:
+        each = own.select("doc_id", "text_hash", F.size("w").alias("k"), F.posexplode(_all_hashes(F.col("w"), sizes)).alias("pos", "h"))
+        start, n = _place(F.col("pos"), F.col("k"), sizes)
+        hits = each.join(known, "h").select("doc_id", "text_hash", start.alias("start"), n.alias("n")).distinct()
+        keys = (hits.doc_id.eqNullSafe(own.doc_id)) & (hits.text_hash == own.text_hash)
+        some = own.dropDuplicates(["doc_id", "text_hash"])
+        found = hits.join(some, keys).select(some.doc_id, some.text_hash, F.size("w").cast("long").alias("n_words"), "start", "n", "w")
+        placed = own.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.lit(-1).alias("start"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("w")).union(found)
+    own_row = F.array(F.concat(F.lit("\0"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = placed.select("doc_id", "text_hash", "n_words", "start", "n", F.when(F.col("start") < 0, own_row).otherwise(F.slice("w", F.col("start") + 1, F.col("n"))).alias("gram"))
+    by_gram = grams.select("item_id", "gram", F.lit(True).alias("hit"))
+    by_gram = F.broadcast(by_gram) if n_grams * HASH_BYTES + gram_bytes <= BROADCAST_BYTES else by_gram
+    return rows.join(by_gram, "gram", "left").withColumn("hit", F.col("hit").isNotNull()).where("start < 0 or hit").drop("gram")
 
 
 def covered(spans: Column) -> Column:
@@ -80,13 +105,14 @@ def covered(spans: Column) -> Column:
 
 
 def per_text(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, n_words, copies (rows of docs), spans (sorted distinct hit windows) and items (item_ids, sorted
-    as strings). Documents of one id and different texts stay apart. A document's spans are at most its words."""
+    """doc_id, text_hash, n_words, copies (rows of docs), spans (sorted distinct hit windows), items (item_ids, sorted
+    as strings) and unnamed (whether an item without item_id is hit). Documents of one id and different texts stay
+    apart. A document's spans are at most its words."""
     found = _scanned(docs, benchmark_windows(benchmark, window))
-    hit = F.col("start") >= 0
-    spans = F.array_sort(F.collect_set(F.when(hit, F.struct("start", "n"))))
-    items = F.array_sort(F.collect_set(F.when(hit, F.col("item_id").cast("string"))))
-    return found.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.count_if(~hit).cast("int").alias("copies"), spans.alias("spans"), items.alias("items"))
+    spans = F.array_sort(F.collect_set(F.when(F.col("hit"), F.struct("start", "n"))))
+    items = F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("item_id").cast("string"))))
+    unnamed = F.coalesce(F.bool_or(F.col("hit") & F.col("item_id").isNull()), F.lit(False))
+    return found.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("start") < 0).cast("int").alias("copies"), spans.alias("spans"), items.alias("items"), unnamed.alias("unnamed"))
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, window: int, how: str) -> DataFrame:
@@ -97,10 +123,12 @@ def _joined(docs: DataFrame, benchmark: DataFrame, window: int, how: str) -> Dat
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. A null text has no words; the
-    digest of no item is that of the empty string. Other columns are not read."""
+    digest of no item is that of the empty string. Items without item_id are hit as any other; all of them together
+    count as one in n_items and are not named in the digest. Other columns are not read."""
     n_hit = covered(F.col("spans"))
+    n_items = F.size("items").cast("long") + F.col("unnamed").cast("long")
     rows = per_text(docs.select("doc_id", "text"), benchmark, window).withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
