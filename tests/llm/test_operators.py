@@ -46,7 +46,7 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("name, text", [("op1_warc", sql.OP1), ("op4_decontaminate", sql.OP4), ("op9_jaccard", sql.OP9)])
+@pytest.mark.parametrize("name, text", [("op1_warc", sql.OP1), ("op4_decontaminate", sql.OP4), ("op9_jaccard", sql.OP9), ("op11_lexical_search", sql.OP11), ("op12_collocations", sql.OP12)])
 def test_equals_sql(spark, name, text):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark"):
