@@ -85,9 +85,8 @@ def _scanned(docs: DataFrame, grams: DataFrame) -> DataFrame:
         each = own.select("doc_id", "text_hash", F.size("w").alias("k"), F.posexplode(_all_hashes(F.col("w"), sizes)).alias("pos", "h"))
         start, n = _place(F.col("pos"), F.col("k"), sizes)
         hits = each.join(known, "h").select("doc_id", "text_hash", start.alias("start"), n.alias("n")).distinct()
-        keys = (hits.doc_id.eqNullSafe(own.doc_id)) & (hits.text_hash == own.text_hash)
-        some = own.dropDuplicates(["doc_id", "text_hash"])
-        found = hits.join(some, keys).select(some.doc_id, some.text_hash, F.size("w").cast("long").alias("n_words"), "start", "n", "w")
+        some = own.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "w")
+        found = hits.join(some, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), "start", "n", "w")
         placed = own.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.lit(-1).alias("start"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("w")).union(found)
     own_row = F.array(F.concat(F.lit("\0"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = placed.select("doc_id", "text_hash", "n_words", "start", "n", F.when(F.col("start") < 0, own_row).otherwise(F.slice("w", F.col("start") + 1, F.col("n"))).alias("gram"))

@@ -114,7 +114,7 @@ def test_collocations_are_exact(spark, empty, monkeypatch, step, partitions):
         r = random.Random(6)
         words = ["a", "b", "É", "New", "york", "City", "日本", "-", "x\x00y", "of"]
         text = lambda n: "".join(r.choice(["a ", "a ", "new york city ", "new york "] + [w + r.choice([" ", "\t", "  ", ", ", ".\n"]) for w in words]) for _ in range(n))
-        rows = [(i, text(r.randrange(40)), r.choice(["en", "de", None, ""])) for i in range(120)] + [(500, None, "en"), (501, "", None), (502, " \t\n.", "xx"), (None, "one two", "en")] + [(503, "same old words here", "fr")] * 25 + [(504, "long run " * 4000, "en")]
+        rows = [(i, text(r.randrange(40)), r.choice(["en", "de", None, ""])) for i in range(400)] + [(500, None, "en"), (501, "", None), (502, " \t\n.", "xx"), (None, "one two", "en")] + [(503, "same old words here", "fr")] * 25 + [(504, "long run " * 4000, "en")]
         got = phrases.collocations(frame(spark, rows))
         assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
         want = collocations_brute(rows)
