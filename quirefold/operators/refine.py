@@ -14,6 +14,8 @@ from quirefold.operators import ordered
 from quirefold.session import materialize
 
 RESPONSE = "struct<blocks:array<struct<n:string,type:string,text:string,tex:string,rows:array<array<string>>>>>"
+#: Columns of stored patches, with the attempt that they are from.
+PATCH = "doc_id long, batch int, idx int, type string, text string, tex string, rich boolean, readable string, rows array<array<string>>, attempt int"
 
 
 def refine_lines(blocks: DataFrame) -> DataFrame:
@@ -124,13 +126,21 @@ def loose_json(content: Column) -> Column:
     return F.when(cut == "", s).otherwise(cut)
 
 
-def parse_responses(responses: DataFrame) -> DataFrame:
-    """responses(doc_id, batch, attempt, content): the first attempt per batch that holds JSON, parsed."""
+def first_valid(responses: DataFrame) -> DataFrame:
+    """responses(doc_id, batch, attempt, content): doc_id, batch, attempt, json of the first attempt that holds JSON."""
     valid = responses.withColumn("json", loose_json(F.col("content"))).filter(F.try_parse_json("json").isNotNull())
-    best = valid.groupBy("doc_id", "batch").agg(F.min_by("json", "attempt").alias("json"))
+    return valid.groupBy("doc_id", "batch").agg(F.min("attempt").alias("attempt"), F.min_by("json", "attempt").alias("json"))
+
+
+def parsed(best: DataFrame) -> DataFrame:
     return best.select("doc_id", "batch", F.from_json("json", RESPONSE)["blocks"].alias("blocks")).filter(F.size("blocks") > 0)
 
 
+def parse_responses(responses: DataFrame) -> DataFrame:
+    """responses(doc_id, batch, attempt, content): the first attempt per batch that holds JSON, parsed."""
+    return parsed(first_valid(responses))
+
+
 def build_patches(parsed: DataFrame, batches: DataFrame, blocks: DataFrame) -> DataFrame:
     """One patch row per block of a batch that its answer names and changes (null field: unchanged)."""
     n = F.expr("try_cast(item.n as double)")

@@ -232,12 +232,18 @@ def retry_questions(messages: DataFrame) -> DataFrame:
     return near.filter(failed).select(*THREAD, "seq", F.coalesce("retry.content", F.lit("")).alias("question"))
 
 
-def append_messages(messages: DataFrame, new: DataFrame) -> DataFrame:
-    """New messages (with an arrival order `at`) numbered after the last one of their thread."""
-    last = messages.groupBy(*THREAD).agg(F.max("seq").alias("_last"))
+def number_messages(heads: DataFrame, new: DataFrame) -> DataFrame:
+    """New messages (with an arrival order `at`) with seq, counted on from the largest of their thread in
+    heads(doc_id, thread_key, seq)."""
+    last = heads.groupBy(*THREAD).agg(F.max("seq").alias("_last"))
     numbered = ordered.scan(new, THREAD, ["at"], before={"_n": F.lit(1)}).join(last, THREAD, "left")
     seq = (F.coalesce(F.col("_last"), F.lit(-1)) + 1 + F.col("_n")).cast("long")
-    return messages.unionByName(numbered.withColumn("seq", seq).drop("_last", "_n", "at"), allowMissingColumns=True)
+    return numbered.withColumn("seq", seq).drop("_last", "_n", "at")
+
+
+def append_messages(messages: DataFrame, new: DataFrame) -> DataFrame:
+    """Messages and new ones (with an arrival order `at`) numbered after the last one of their thread."""
+    return messages.unionByName(number_messages(messages, new), allowMissingColumns=True)
 
 
 def touch_documents(docs: DataFrame, messages: DataFrame) -> DataFrame:

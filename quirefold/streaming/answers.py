@@ -1,20 +1,21 @@
 """Answer streams: wire chunks -> lines -> events -> folded answers -> messages, batch and streaming.
 
-The same column logic serves both. A request's state is the aggregation state of Spark itself: no Python state and no
-watermark (the data has no event time), so streams run per backlog with availableNow.
+The same column logic serves both: framing keeps the open text of a request (framing.py), folding the aggregation
+state of Spark itself. There is no watermark, as the data has no event time, so streams run per backlog and a later
+run goes on where one ended (runs.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import fixed as v
 from quirefold.functions.text import trim
-from quirefold.operators import ordered, threads
-from quirefold.session import materialize, work_dir
+from quirefold.operators import ordered, refine, threads
+from quirefold.session import materialize
+from quirefold.sources import folders
+from quirefold.streaming import framing, runs
 
 EVENT = """struct<model:string,usage:struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>,
 choices:array<struct<delta:struct<content:string,reasoning_content:string>,finish_reason:string>>>""".replace("\n", "")
@@ -45,10 +46,16 @@ def parse_events(lines: DataFrame) -> DataFrame:
     return data.withColumn("event", F.from_json("payload", EVENT)).drop("payload")
 
 
-def deltas(events: DataFrame, order: str = "line_no") -> DataFrame:
+PART_ROWS = 4096
+
+
+def deltas(events: DataFrame, order: str = "line_no", part: Column | None = None) -> DataFrame:
+    """The pieces of answers in events: req_id, part (a stretch of a request, by default so many events in order), seq
+    (the order inside it), content, reasoning, finish_reason, model, usage."""
     choice = F.get(F.col("event.choices"), 0)
+    stretch = F.floor(F.col(order) / PART_ROWS) if part is None else part
     return events.select(
-        "req_id", F.col(order).alias("seq"), F.coalesce(choice["delta"]["content"], F.lit("")).alias("content"),
+        "req_id", stretch.cast("long").alias("part"), F.col(order).alias("seq"), F.coalesce(choice["delta"]["content"], F.lit("")).alias("content"),
         F.coalesce(choice["delta"]["reasoning_content"], F.lit("")).alias("reasoning"), choice["finish_reason"].alias("finish_reason"),
         F.col("event.model").alias("model"), F.col("event.usage").alias("usage"),
     )
@@ -63,35 +70,39 @@ def _marks() -> list[Column]:
     return [_latest("finish_reason", F.coalesce("finish_reason", F.lit("")) != ""), _latest("model", F.coalesce("model", F.lit("")) != ""), _latest("usage")]
 
 
-PART_ROWS = 4096
-
-
-def fold_parts(parts: DataFrame) -> DataFrame:
-    """One row per request and block of 4096 sequence numbers, in batch and as a stream: joined texts and latest marks.
-    The block is part of the key, so a long request is spread over many tasks and many state rows."""
+def fold_parts(pieces: DataFrame) -> DataFrame:
+    """One row per request and part, in batch and as a stream: joined texts and latest marks. The part is in the key, so
+    a long request is spread over many tasks and many state rows."""
     text = lambda c: F.array_join(F.transform("p", lambda x: x[c]), "").alias(c)
     return (
-        parts.groupBy("req_id", F.floor(F.col("seq") / PART_ROWS).alias("part"))
+        pieces.groupBy("req_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct("seq", "content", "reasoning"))).alias("p"), *_marks())
         .select("req_id", "part", text("content"), text("reasoning"), "finish_reason", "model", "usage")
     )
 
 
-def join_parts(blocks: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """fold_parts rows joined into one answer per request; with `max_chars`, larger ones are kept as ordered rows (part)."""
+def join_parts(blocks: DataFrame) -> DataFrame:
+    """fold_parts rows joined into one answer per request."""
     late = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("part"))).alias(c)
     some = lambda c: F.max(F.col(c) != "").alias(f"has_{c}")
-    marks = blocks.groupBy("req_id").agg(late("finish_reason"), late("model"), late("usage"), some("content"), some("reasoning"))
-    content = ordered.assemble(blocks.select("req_id", "part", "content"), ["req_id"], ["part"], "content", "", max_chars)
-    reasoning = ordered.assemble(blocks.select("req_id", "part", "reasoning"), ["req_id"], ["part"], "reasoning", "", max_chars)
-    both = content.drop("whole").join(reasoning.drop("whole"), ["req_id", "part"], "full_outer")
-    return both.join(marks, "req_id").select(
-        "req_id", "part", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("reasoning", F.lit("")).alias("reasoning"), "finish_reason", "model", "usage", "has_content", "has_reasoning"
-    )
+    text = lambda c: F.array_join(F.transform("p", lambda x: x[c]), "").alias(c)
+    joined = blocks.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("part", "content", "reasoning"))).alias("p"), late("finish_reason"), late("model"), late("usage"), some("content"), some("reasoning"))
+    return joined.select("req_id", text("content"), text("reasoning"), "finish_reason", "model", "usage", "has_content", "has_reasoning")
+
 
+def fold_deltas(pieces: DataFrame) -> DataFrame:
+    return join_parts(fold_parts(pieces))
 
-def fold_deltas(parts: DataFrame, max_chars: int | None = None) -> DataFrame:
-    return join_parts(materialize(fold_parts(parts), "answers"), max_chars)
+
+def fold_available(spark: SparkSession, chunks: DataFrame, place: str, size: int = framing.BLOCK_CHUNKS) -> DataFrame:
+    """The answers so far of a stream of chunks cut anywhere: two stateful queries, framing and folding, drain their
+    backlogs, and the lines at the borders of blocks are added as they stand. A later run with the same place goes on."""
+    schema = framing.framed(chunks, size).schema
+    framing.frame_available(chunks, place, size)
+    inner = runs.read_stream(spark, f"{place}/framed/batch=*", "*.parquet", schema).where(F.col("nth") > 0)
+    folded = runs.latest_per_key(spark, fold_parts(deltas(parse_events(inner), "nth", 2 * F.col("block"))), ["req_id", "part"], f"{place}/folding")
+    borders = parse_events(framing.border_lines(framing.edges(spark, place, schema)))
+    return join_parts(folded.union(fold_parts(deltas(borders, "line_no", F.col("part"))).select(folded.columns)))
 
 
 def classify_outcome(folded: DataFrame) -> DataFrame:
@@ -132,45 +143,37 @@ def persist_answers(outcomes: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "update") -> str:
-    """Drain a stream's backlog into a foreachBatch sink; progress lives below the shared folder."""
-    place = work_dir(stream.sparkSession, "progress")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", place).foreachBatch(sink).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return place
-
-
-def latest_per_key(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Run an update-mode aggregation and read back the newest row of every key. Batches write folders of their own
-    number, so a batch that is run again replaces itself."""
-    out = work_dir(spark, "updates")
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    run_available(stream, write)
-    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
-    rest = [c for c in rows.columns if c not in keys and c != "batch"]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
-
-
 def question_counts(messages: DataFrame) -> DataFrame:
     """Questions per document; kept current when messages is a stream (update mode)."""
     return threads.count_questions(messages)
 
 
-def read_stream(spark: SparkSession, folder: str, name: str, schema, files_per_trigger: int | None = None) -> DataFrame:
-    """New files of a folder as a stream; `files_per_trigger` bounds a micro-batch, by default Spark does."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
-    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(folder)
+def _attempts(spark: SparkSession, place: str, before: int | None = None) -> DataFrame:
+    """The attempts with JSON that micro-batches have found, of the complete ones (before a number): doc_id, batch,
+    attempt."""
+    done = [n for n in folders.numbered(spark, f"{place}/patches", "run") if before is None or n < before]
+    return folders.read_numbered(spark, f"{place}/attempts", "run", done, folders.schema("doc_id long, batch int, attempt int"))
+
+
+def incremental_refine(stream: DataFrame, batches: DataFrame, blocks: DataFrame, place: str):
+    """Turns each micro-batch of model responses into patch rows at once. Of a refinement batch only an attempt lower
+    than all known ones leaves patches; `current_patches` reads those of the lowest. Returns the ended query."""
+    spark = stream.sparkSession
 
+    def write(new: DataFrame, number: int) -> None:
+        best = materialize(refine.first_valid(new), "attempts")
+        lower = _attempts(spark, place, number).groupBy("doc_id", "batch").agg(F.min("attempt").alias("known"))
+        best = best.join(lower, ["doc_id", "batch"], "left").where(F.col("known").isNull() | (F.col("attempt") < F.col("known"))).drop("known")
+        best.select("doc_id", "batch", "attempt").write.mode("overwrite").parquet(f"{place}/attempts/run={number}")
+        patches = refine.build_patches(refine.parsed(best), batches, blocks)
+        # The patches are written last: their commit is that of the micro-batch.
+        patches.join(best.select("doc_id", "batch", "attempt"), ["doc_id", "batch"]).write.mode("overwrite").parquet(f"{place}/patches/run={number}")
 
-def incremental_refine(stream: DataFrame, batches: DataFrame, blocks: DataFrame, out: str) -> None:
-    """Turn each micro-batch of model responses into patch rows at once, written per micro-batch number."""
-    from quirefold.operators import refine
+    return runs.run_available(stream, write, "append", place)
 
-    def write(batch: DataFrame, number: int) -> None:
-        parsed = refine.parse_responses(batch)
-        refine.build_patches(parsed, batches, blocks).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    run_available(stream, write, "append")
+def current_patches(spark: SparkSession, place: str) -> DataFrame:
+    """One patch per block, that of the lowest valid attempt of its refinement batch over all micro-batches and runs."""
+    first = _attempts(spark, place).groupBy("doc_id", "batch").agg(F.min("attempt").alias("attempt"))
+    done = folders.numbered(spark, f"{place}/patches", "run")
+    return folders.read_numbered(spark, f"{place}/patches", "run", done, folders.schema(refine.PATCH)).join(first, ["doc_id", "batch", "attempt"], "left_semi").drop("run", "attempt")
