@@ -1,5 +1,5 @@
-"""Export shaping: Markdown, JSON and print rows. Documents are written as ordered fragments, joined into one value
-only below a checked size (see ordered.assemble)."""
+"""Export shaping: Markdown, JSON and print rows. Documents are made of ordered fragments, which can be joined to
+one value each."""
 
 from __future__ import annotations
 
@@ -97,10 +97,10 @@ def markdown_fragments(docs: DataFrame, blocks: DataFrame, messages: DataFrame,
     return out.unionByName(_explode(qa, *of_qa))
 
 
-def build_markdown(docs: DataFrame, blocks: DataFrame, messages: DataFrame, include_original: bool = True, max_chars: int | None = None) -> DataFrame:
-    """One body per document (order columns 0); with `max_chars`, a larger document stays as ordered fragments."""
+def build_markdown(docs: DataFrame, blocks: DataFrame, messages: DataFrame, include_original: bool = True) -> DataFrame:
+    """doc_id, body: one Markdown text per document."""
     fragments = materialize(markdown_fragments(docs, blocks, messages, include_original), "fragments")
-    return ordered.assemble(fragments, ["doc_id"], ORDER, "body", "\n", max_chars)
+    return ordered.assemble(fragments, ["doc_id"], ORDER, "body", "\n")
 
 
 def json_fragments(docs: DataFrame, blocks: DataFrame, messages: DataFrame, include_original: bool = True, include_unanswered: bool = False) -> DataFrame:
@@ -134,9 +134,9 @@ def json_fragments(docs: DataFrame, blocks: DataFrame, messages: DataFrame, incl
     return _explode(summary, _fragment(0, 0, 0, 0, head), _fragment(2, 0, 0, 0, F.lit("]}"))).unionByName(of_item)
 
 
-def build_json(docs: DataFrame, blocks: DataFrame, messages: DataFrame, include_original: bool = True, include_unanswered: bool = False, max_chars: int | None = None) -> DataFrame:
+def build_json(docs: DataFrame, blocks: DataFrame, messages: DataFrame, include_original: bool = True, include_unanswered: bool = False) -> DataFrame:
     fragments = materialize(json_fragments(docs, blocks, messages, include_original, include_unanswered), "fragments")
-    return ordered.assemble(fragments, ["doc_id"], ORDER, "body", "", max_chars)
+    return ordered.assemble(fragments, ["doc_id"], ORDER, "body", "")
 
 
 def print_view(blocks: DataFrame, messages: DataFrame) -> DataFrame:

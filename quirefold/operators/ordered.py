@@ -3,8 +3,7 @@
 A plain window sorts a whole group in one task, which fails when one thread or document holds a third of all
 rows. `scan` cuts every group into chunks by its order key, runs the window inside each chunk, carries one
 small summary row per chunk across chunk borders, and joins the carry back. The results are those of the plain
-window. `assemble` joins the ordered text fragments of a group into one value, at every size; a caller that can take
-ordered fragments of large groups names the size itself.
+window. `assemble` joins the ordered text fragments of a group into one value, at every size.
 """
 
 from __future__ import annotations
@@ -84,32 +83,7 @@ def scan(
     return joined.select(*[F.col(c) for c in df.columns], *out)
 
 
-def assemble(
-    fragments: DataFrame,
-    keys: list[str],
-    order: list[str],
-    text: str,
-    sep: str = "",
-    max_chars: int | None = None,
-) -> DataFrame:
-    """keys, order columns, text, whole: one joined row (order columns 0) per group. With `max_chars`, a group above it
-    gives its fragments instead, still ordered."""
-    kinds = dict(fragments.dtypes)
-    if max_chars is None:
-        joined = fragments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("_parts"))
-        return joined.select(*keys, *[F.lit(0).cast(kinds[o]).alias(o) for o in order], F.array_join(F.transform("_parts", lambda p: p[text]), sep).alias(text), F.lit(True).alias("whole"))
-    sizes = fragments.groupBy(*keys).agg(F.sum(F.length(text) + len(sep) + 64).alias("_chars"))
-    large = sizes.filter(F.col("_chars") > max_chars).select(*keys, F.lit(False).alias("whole"))
-    marked = fragments.join(large, keys, "left").withColumn("whole", F.coalesce("whole", F.lit(True)))
-    # A large group is grouped by position as well, so each of its fragments stays a row of its own.
-    place = [F.when(~F.col("whole"), F.col(o)).otherwise(F.lit(0).cast(kinds[o])).alias(f"_g_{o}") for o in order]
-    return (
-        marked.groupBy(*keys, "whole", *place)
-        .agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("_parts"))
-        .select(
-            *keys,
-            *[F.col(f"_g_{o}").alias(o) for o in order],
-            F.array_join(F.transform("_parts", lambda p: p[text]), sep).alias(text),
-            "whole",
-        )
-    )
+def assemble(fragments: DataFrame, keys: list[str], order: list[str], text: str, sep: str = "") -> DataFrame:
+    """keys, text: the ordered texts of each group joined to one value."""
+    joined = fragments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("_parts"))
+    return joined.select(*keys, F.array_join(F.transform("_parts", lambda p: p[text]), sep).alias(text))

@@ -9,6 +9,7 @@ from quirefold.plans import inputs, sql
 from quirefold.plans.registry import query
 from quirefold.session import materialize, work_dir
 from quirefold.streaming import answers as an
+from quirefold.streaming import framing, messages, runs
 
 c = sql.compose
 
@@ -27,7 +28,6 @@ def _batches(src, p):
 
 
 sql.CTES["batches"] = (["typed"], _batches("typed", ""))
-sql.CTES["abatches"] = (["atyped"], _batches("atyped", "a"))
 
 
 @query("A1_refine_lines", c("typed", f"SELECT doc_id, idx, line FROM {_line('typed')}"))
@@ -49,9 +49,9 @@ def refine_prompts(spark, sf):
     return rf.refine_prompts(inputs.doc_meta(spark, sf), b, lines, rf.chunk_by_budget(lines))
 
 
-@query("A4_parse_json_loose", "SELECT doc_id, doc_id % 5 <> 4 AS valid, CASE WHEN doc_id % 5 <> 4 THEN left(text, 50) ELSE '' END AS said FROM documents")
+@query("A4_parse_json_loose", "SELECT doc_id, doc_id % 5 <> 4 AS valid, CASE WHEN doc_id % 5 <> 4 THEN text ELSE '' END AS said FROM documents")
 def parse_json_loose(spark, sf):
-    json = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("n"), F.left("text", F.lit(50)).alias("text"))).alias("blocks")))
+    json = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("n"), F.col("text"))).alias("blocks")))
     k = F.col("doc_id") % 5
     content = (
         F.when(k == 0, json).when(k == 1, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Sure: "), json, F.lit(" done.")))
@@ -63,11 +63,11 @@ def parse_json_loose(spark, sf):
     return d.select("doc_id", ok.alias("valid"), F.when(ok, said).otherwise("").alias("said"))
 
 
-sql.CTES["patches"] = (["abatches"], """usable AS (SELECT *, (doc_id + batch) % 4 AS broken FROM abatches),
+sql.CTES["patches"] = (["batches"], """usable AS (SELECT *, (doc_id + batch) % 4 AS broken FROM batches),
 patches AS (SELECT p.doc_id, p.batch, p.idx, a.type AS old_type, CASE idx5 WHEN 0 THEN 'formula' WHEN 1 THEN 'table' WHEN 2 THEN NULL ELSE 'paragraph' END AS type, CASE WHEN idx5 = 0 THEN '$$a_1+b$$' ELSE said END AS text,
  CASE WHEN idx5 = 0 THEN 'a_1+b' END AS tex, CASE WHEN idx5 <> 0 THEN regexp_matches(said, '\\$x\\$') OR MATHTEST END AS rich, CASE WHEN idx5 = 0 THEN said END AS readable,
- CASE WHEN idx5 = 1 THEN 'h1|h2/' || trim5 || '|' END AS rows FROM (SELECT u.doc_id, u.batch, u.idx, u.idx % 5 AS idx5, TRIMSAID AS said, TRIM5 AS trim5 FROM usable u JOIN ablocks b ON b.doc_id = u.doc_id AND b.idx = u.idx WHERE u.broken <> 3) p JOIN atyped a ON a.doc_id = p.doc_id AND a.idx = p.idx)"""
-    .replace("MATHTEST", sql.has_math("said")).replace("TRIMSAID", sql.trim("' fixed ' || left(b.text, 40) || CASE WHEN u.idx % 2 = 0 THEN ' $x$' ELSE '' END")).replace("TRIM5", sql.trim("left(b.text, 5)")))
+ CASE WHEN idx5 = 1 THEN 'h1|h2/' || trim5 || '|' END AS rows FROM (SELECT u.doc_id, u.batch, u.idx, u.idx % 5 AS idx5, TRIMSAID AS said, TRIM5 AS trim5 FROM usable u JOIN blocks b ON b.doc_id = u.doc_id AND b.idx = u.idx WHERE u.broken <> 3) p JOIN typed a ON a.doc_id = p.doc_id AND a.idx = p.idx)"""
+    .replace("MATHTEST", sql.has_math("said")).replace("TRIMSAID", sql.trim("' fixed ' || b.text || CASE WHEN u.idx % 2 = 0 THEN ' $x$' ELSE '' END")).replace("TRIM5", sql.trim("regexp_replace(b.text, '\\n+', ' ', 'g')")))
 _PATCH = "coalesce(type, '') AS type, text, coalesce(tex, '') AS tex, coalesce(rich, false) AS rich, coalesce(readable, '') AS readable, coalesce(rows, '') AS rows"
 
 
@@ -88,7 +88,7 @@ def build_patches(spark, sf):
     return _patch_cols(_refined(spark, sf)[4])
 
 
-_APPLIED = """SELECT a.doc_id, a.block_id, a.idx, coalesce(p.type, a.type) AS type, coalesce(p.text, a.text) AS text, p.tex, coalesce(p.rich, a.rich) AS rich, p.readable, p.rows, p.idx IS NOT NULL AS ai_refined FROM atyped a LEFT JOIN patches p ON p.doc_id = a.doc_id AND p.idx = a.idx"""
+_APPLIED = """SELECT a.doc_id, a.block_id, a.idx, coalesce(p.type, a.type) AS type, coalesce(p.text, a.text) AS text, p.tex, coalesce(p.rich, a.rich) AS rich, p.readable, p.rows, p.idx IS NOT NULL AS ai_refined FROM typed a LEFT JOIN patches p ON p.doc_id = a.doc_id AND p.idx = a.idx"""
 
 
 @query("A6_apply_refine", c("patches", f"SELECT doc_id, block_id, idx, ai_refined, {_PATCH} FROM ({_APPLIED})"))
@@ -110,11 +110,13 @@ def refine_errors(spark, sf):
     return rf.refine_errors(batches, parsed)
 
 
-@query("A9_snapshot_restore", c("atyped", "SELECT doc_id, block_id, type, text FROM atyped"))
+@query("A9_snapshot_restore", c("patches typed", f"SELECT 0 AS version, doc_id, block_id, type, text FROM typed UNION ALL SELECT 1, doc_id, block_id, type, text FROM ({_APPLIED}) UNION ALL SELECT 2, doc_id, block_id, type, text FROM typed WHERE doc_id % 3 = 0"))
 def snapshot_restore(spark, sf):
+    """Both versions as they are kept, and a restored third one of every third document."""
     _, _, b, _, patches = _refined(spark, sf)
-    versions = rf.snapshot(b.drop("rows"), rf.apply_refine(b, patches).drop("rows"))
-    return rf.restore_local(versions).select("doc_id", "block_id", "type", "text")
+    versions = materialize(rf.snapshot(b.drop("rows"), rf.apply_refine(b, patches).drop("rows")).select("version", "doc_id", "block_id", "type", "text"), "versions")
+    restored = rf.restore_local(versions.where(F.col("doc_id") % 3 == 0)).withColumn("version", F.lit(2))
+    return versions.unionByName(restored)
 
 
 @query("A9_keep_logs", "SELECT doc_id, run_at, CAST(nth AS INTEGER) AS nth FROM (SELECT conv_id AS doc_id, turn AS run_at, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth FROM conversations) WHERE nth <= 5")
@@ -135,13 +137,42 @@ def refine_progress(spark, sf):
 sql.CTES["requests"] = ([], "requests AS (SELECT conv_id * 1000 + turn AS req_id, conv_id AS doc_id, turn AS at, text FROM conversations WHERE role = 'assistant')")
 
 
-@query("V1_frame_lines", c("requests", "SELECT req_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT req_id, unnest(string_split(text || chr(10) || 'end' || chr(10) || text, chr(10))) AS line FROM requests) GROUP BY req_id"))
-def frame_lines(spark, sf):
+_FRAMED = "SELECT req_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars, CAST(sum(line_no * length(line)) AS BIGINT) AS places FROM (SELECT req_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM (SELECT req_id, string_split(text || chr(10) || 'end' || chr(10) || text, chr(10)) AS ls FROM requests)) GROUP BY req_id"
+
+
+def _chunks(spark, sf):
+    """Answers, a line and the answers again, cut every 18 characters."""
     t = F.concat("text", F.lit("\nend\n"), "text")
     n = F.ceil(F.length(t) / 18).cast("int")
     r = inputs.table(spark, sf, "conversations").filter(F.col("role") == "assistant").select((F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"), t.alias("t"), n.alias("n"))
     chunks = r.select("req_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substr("t", i * 18 + 1, F.lit(18)))).alias("seq", "chunk"))
-    return an.frame_lines(chunks).groupBy("req_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars"))
+    return chunks.withColumn("seq", F.col("seq").cast("long"))
+
+
+def _framed_cols(lines):
+    return lines.groupBy("req_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars"), F.sum(F.col("line_no") * F.length("line")).alias("places"))
+
+
+@query("V1_frame_lines", c("requests", _FRAMED))
+def frame_lines(spark, sf):
+    return _framed_cols(an.frame_lines(_chunks(spark, sf)))
+
+
+def _as_files(spark, df, name, files, order):
+    """The rows as files by ranges of a column, so that a stream of one file a batch meets them apart."""
+    folder = work_dir(spark, name)
+    df.repartitionByRange(files, order).write.parquet(folder)
+    return folder
+
+
+@query("V1_frame_lines_stream", c("requests", _FRAMED))
+def frame_lines_stream(spark, sf):
+    """The same chunks as a stream of several files: lines, and blocks of 64 chunks, go on from file to file."""
+    chunks = _chunks(spark, sf)
+    stream = runs.read_stream(spark, _as_files(spark, chunks, "chunks", 3, "seq"), "*.parquet", chunks.schema, 1)
+    place = work_dir(spark, "framing")
+    framing.frame_available(stream, place, 64)
+    return _framed_cols(framing.lines(spark, place, framing.framed(stream, 64).schema))
 
 
 def _events(spark, sf):
@@ -167,13 +198,10 @@ def fold_deltas(spark, sf):
 
 @query("V3_fold_deltas_stream", c("requests", _FOLDED))
 def fold_deltas_stream(spark, sf):
-    """The same events as a file stream of several micro-batches."""
-    folder = work_dir(spark, "deltas")
-    inputs.deltas(spark, sf).repartitionByRange(3, "seq").write.parquet(folder)
-    stream = an.read_stream(spark, folder, "*.parquet", "req_id bigint, seq bigint, chunk string")
-    events = an.parse_events(stream.withColumnRenamed("chunk", "line"))
-    folded = an.latest_per_key(spark, an.fold_parts(an.deltas(events, "seq")), ["req_id", "part"])
-    return _folded_cols(an.join_parts(folded))
+    """The same chunks as a stream of several files; every file ends inside lines."""
+    chunks = inputs.deltas(spark, sf)
+    stream = runs.read_stream(spark, _as_files(spark, chunks, "deltas", 3, "seq"), "*.parquet", chunks.schema, 1)
+    return _folded_cols(an.fold_available(spark, stream, work_dir(spark, "folding"), 64))
 
 
 def _outcomes(spark, sf):
@@ -190,21 +218,51 @@ def persist_answers(spark, sf):
     return an.persist_answers(_outcomes(spark, sf), inputs.requests(spark, sf)).select("req_id", "doc_id", "content", "error", "interrupted")
 
 
+_APPENDED = """SELECT doc_id, thread_key, CAST(row_number() OVER (PARTITION BY doc_id, thread_key ORDER BY role <> 'user', n) - 1 AS BIGINT) AS seq, role, content FROM (
+ SELECT conv_id AS doc_id, 'p1' AS thread_key, turn AS n, role, text AS content FROM conversations WHERE role = 'user'
+ UNION ALL SELECT doc_id, 'p1', "at", 'assistant', CASE WHEN req_id % 5 = 0 AND doc_id % 2 <> 0 THEN '' ELSE text END FROM requests)"""
+
+
+@query("V5_append_answers", c("requests", _APPENDED))
+def append_answers(spark, sf):
+    """Questions stored in a message table, answers appended to it as a stream of several files; all files come
+    twice, as after a failure behind their commit."""
+    place = work_dir(spark, "messages")
+    asked = inputs.table(spark, sf, "conversations").filter(F.col("role") == "user").select(F.col("conv_id").alias("doc_id"), F.lit("p1").alias("thread_key"), F.col("turn").alias("at"), "role", F.col("text").alias("content"))
+    messages.append_once(spark, place, "import", 0, asked)
+    answers = an.persist_answers(_outcomes(spark, sf), inputs.requests(spark, sf)).select("doc_id", "thread_key", "at", "role", "content")
+    folder = work_dir(spark, "answers")
+    for part in (F.col("at") < 3, F.col("at") >= 3):
+        # The answers of a thread lie in one file of each part, earlier ones in earlier files.
+        answers.where(part).repartition(2, "doc_id", "thread_key").write.mode("append").parquet(folder)
+    for _ in range(2):
+        stream = runs.read_stream(spark, folder, "*.parquet", answers.schema, 1)
+        runs.run_available(stream, messages.appender(place, "answers"), "append")
+    return messages.read_messages(spark, place, answers.drop("at").schema.add("seq", "long")).select("doc_id", "thread_key", "seq", "role", "content")
+
+
 @query("V6_incremental_refine", c("patches", f"SELECT doc_id, CAST(batch AS INTEGER) AS batch, idx, {_PATCH} FROM patches"))
 def incremental_refine(spark, sf):
-    """Responses as a file stream: every micro-batch is turned into patches at once."""
+    """Responses as a file stream whose files hold one attempt each: every micro-batch is turned into patches at once,
+    and a late further answer of a refined batch changes nothing."""
     responses, batches, b = inputs.refine_responses(spark, sf)
-    batches, b = materialize(batches, "batches"), materialize(b, "blocks")
-    folder, out = work_dir(spark, "responses"), work_dir(spark, "patches")
-    responses.repartitionByRange(2, "doc_id").write.parquet(folder)
-    stream = an.read_stream(spark, folder, "*.parquet", responses.schema)
-    an.incremental_refine(stream, batches, b, out)
-    return _patch_cols(spark.read.parquet(out + "/batch=*"))
+    batches, b, responses = materialize(batches, "batches"), materialize(b, "blocks"), materialize(responses, "responses")
+    late = responses.where(F.col("content").contains("{") & F.try_parse_json(rf.loose_json(F.col("content"))).isNotNull()).withColumn("attempt", F.lit(2))
+    late = late.withColumn("content", F.replace("content", F.lit(" fixed "), F.lit(" late ")))
+    every = responses.union(late)
+    stream = runs.read_stream(spark, _as_files(spark, every, "responses", 3, "attempt"), "*.parquet", every.schema, 1)
+    place = work_dir(spark, "patches")
+    an.incremental_refine(stream, batches, b, place)
+    return _patch_cols(an.current_patches(spark, place))
 
 
 @query("V7_question_counts", "SELECT conv_id AS doc_id, count(*) FILTER (role = 'user') AS questions FROM conversations GROUP BY conv_id")
 def question_counts(spark, sf):
-    """Conversations as a file stream, counts kept current."""
-    schema = inputs.table(spark, sf, "conversations").schema
-    stream = an.read_stream(spark, sf, "conversations*.parquet", schema).withColumnRenamed("conv_id", "doc_id")
-    return an.latest_per_key(spark, an.question_counts(stream), ["doc_id"])
+    """Conversations as a file stream in two runs, counts kept current: the second run goes on where the first ended."""
+    turns = inputs.table(spark, sf, "conversations")
+    folder, place = work_dir(spark, "turns"), work_dir(spark, "counts")
+    for part in (F.col("turn") % 2 == 0, F.col("turn") % 2 != 0):
+        turns.where(part).write.mode("append").parquet(folder)
+        stream = runs.read_stream(spark, folder, "*.parquet", turns.schema).withColumnRenamed("conv_id", "doc_id")
+        counts = runs.latest_per_key(spark, an.question_counts(stream), ["doc_id"], place)
+    return counts

@@ -42,6 +42,7 @@ def _meta():
         title.alias("title"),
         F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
         F.when(F.col("doc_id") % 4 == 0, "pdf").otherwise("text").alias("format"),
+        F.when(F.col("doc_id") % 4 == 0, (F.floor(F.col("n_chars") / 2000) + 1).cast("int")).alias("pages"),
         (F.col("doc_id") * 60 + 1700000000).alias("created_at"),
         (F.col("doc_id") * 60 + 1700000000 + F.col("doc_id") * 7919 % 100000).alias("updated_at"),
     ]
@@ -57,7 +58,7 @@ def blocks(spark, sf) -> DataFrame:
 
 
 def asked_documents(spark, sf) -> DataFrame:
-    """Only the study documents with a thread, cut down before any text work."""
+    """The study documents with a thread, for questions on them; cut down before any text work."""
     keys = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
     return docs(spark, sf).join(keys, "doc_id", "left_semi")
 
@@ -156,22 +157,30 @@ def refine_lines(spark, sf) -> DataFrame:
     return rf.refine_lines(typed_blocks(spark, sf))
 
 
+def refine_runs(spark, sf) -> DataFrame:
+    """Refinement logs of the labelled documents: a first run that was off, a second one by the label."""
+    d = F.col("doc_id")
+    run = lambda at, on, tokens: F.struct(F.lit(at).alias("at"), on.alias("enabled"), tokens.cast("long").alias("total_tokens"))
+    runs = F.array(run(2, F.col("quality") == 1, d % 7 * 1820), run(1, F.lit(False), d * 0 + 5))
+    return table(spark, sf, "labels").select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.*")
+
+
 def answer_items(b: DataFrame) -> DataFrame:
     """One model answer item per batched block: doc_id, batch, idx, item (struct), dropped for some blocks."""
     idx = F.col("idx")
     item = F.struct(
         idx.alias("n"),
         F.when(idx % 5 == 0, "formula").when(idx % 5 == 1, "table").when(idx % 5 == 2, "other").otherwise("paragraph").alias("type"),
-        F.concat(F.lit(" fixed "), F.left("text", F.lit(40)), F.when(idx % 2 == 0, " $x$").otherwise("")).alias("text"),
+        F.concat(F.lit(" fixed "), F.col("text"), F.when(idx % 2 == 0, " $x$").otherwise("")).alias("text"),
         F.when(idx % 5 == 0, F.lit("$$a_1+b$$")).alias("tex"),
-        F.when(idx % 5 == 1, F.array(F.array(F.lit("h1"), F.lit("h2")), F.array(F.left("text", F.lit(5))))).alias("rows"),
+        F.when(idx % 5 == 1, F.array(F.array(F.lit("h1"), F.lit("h2")), F.array(F.col("text")))).alias("rows"),
     )
     return b.select("doc_id", "batch", "idx", item.alias("item"))
 
 
 def refine_responses(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Recorded answers for the refinement batches of the asked documents: responses, batches, blocks."""
-    b = typed(asked_blocks(spark, sf))
+    """Recorded answers for the refinement batches of all documents: responses, batches, blocks."""
+    b = materialize(typed_blocks(spark, sf), "blocks")
     batches = rf.chunk_by_budget(rf.refine_lines(b))
     items = answer_items(batches.join(b.select("doc_id", "idx", "text"), ["doc_id", "idx"]))
     bodies = items.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(F.struct("idx", "item"))).alias("i")).select(
@@ -188,21 +197,24 @@ def refine_responses(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def deltas(spark, sf) -> DataFrame:
-    """Assistant turns cut into 18-character pieces on the wire: req_id, seq, chunk (one event line per piece)."""
+    """Assistant turns cut into 18-character pieces, one event line each, on the wire: req_id, seq, chunk. The wire cuts
+    every line behind its tenth character, so no chunk ends with a line, and the last line stays open."""
     text = table(spark, sf, "conversations").filter(F.col("role") == "assistant").select((F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"), "text")
     n = F.ceil(F.length("text") / 18).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("text", i * 18 + 1, F.lit(18)))
-    event = lambda c: F.concat(F.lit('data: {"choices":[{"delta":{"content":'), c, F.lit("}}]}\n"))
+    event = lambda c: F.concat(F.lit('data: {"choices":[{"delta":{"content":'), c, F.lit("}}]}"))
     json = F.transform(pieces, lambda p: event(_quoted(p)))
-    last = F.when(F.col("req_id") % 5 == 0, F.array(F.lit(": keep-alive\n"))).otherwise(
+    last = F.when(F.col("req_id") % 5 == 0, F.array(F.lit(": keep-alive"))).otherwise(
         F.array(
-            F.concat(F.lit('data: {"model":"m-1","choices":[{"delta":{},"finish_reason":"'), F.when(F.col("req_id") % 5 == 1, "length").otherwise("stop"), F.lit('"}],"usage":{"prompt_tokens":10,"completion_tokens":5,"total_tokens":15}}\n')),
-            F.lit("data: {broken\n"),
-            F.lit("data: [DONE]\n"),
+            F.concat(F.lit('data: {"model":"m-1","choices":[{"delta":{},"finish_reason":"'), F.when(F.col("req_id") % 5 == 1, "length").otherwise("stop"), F.lit('"}],"usage":{"prompt_tokens":10,"completion_tokens":5,"total_tokens":15}}')),
+            F.lit("data: {broken"),
+            F.lit("data: [DONE]"),
         )
     )
-    rows = text.select("req_id", F.posexplode(F.concat(F.when(F.length("text") > 0, json).otherwise(F.array().cast("array<string>")), last)).alias("seq", "chunk"))
-    return rows.withColumn("seq", F.col("seq").cast("long"))
+    lines = text.select("req_id", F.concat(F.when(F.length("text") > 0, json).otherwise(F.array().cast("array<string>")), last).alias("l"))
+    rest = lambda i: F.substr(F.get("l", i), F.lit(11), F.lit(1 << 30))
+    chunks = F.transform("l", lambda x, i: F.concat(F.when(i > 0, F.concat(rest(i - 1), F.lit("\n"))).otherwise(""), F.left(x, F.lit(10))))
+    return lines.select("req_id", F.posexplode(F.concat(chunks, F.array(rest(F.size("l") - 1)))).alias("seq", "chunk")).withColumn("seq", F.col("seq").cast("long"))
 
 
 def _quoted(c):

@@ -132,15 +132,63 @@ def drop_page_numbers(spark, sf):
     return ly.drop_page_numbers(lines).select("doc_id", "item_no", "text")
 
 
-# Tables and blocks of whole pages have no short SQL form; tests hold them against worked examples.
-@query("P12_table_runs")
+# Lines as in inputs.lines, each page then read line by line as the rules say: every line is the first of a list line, a
+# table, a formula group, a heading or a paragraph line, which tells the line where the next one is.
+sql.CTES["plines"] = ([], """pwords AS (SELECT doc_id, w - 1 AS w, str FROM (SELECT doc_id, unnest(ws) AS str, generate_subscripts(ws, 1) AS w FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM documents)) WHERE str <> ''),
+pw AS (SELECT doc_id, CAST(w // 8 AS BIGINT) AS n, list(str ORDER BY w) AS ws, CAST(any_value(w // 8 % 45) AS INTEGER) AS ln, any_value(w // 8 % 45) BETWEEN 26 AND 33 AS grid FROM pwords GROUP BY doc_id, w // 8),
+pt AS (SELECT *, NOT grid AND n % 13 = 5 AS is_math, CASE WHEN NOT grid AND n % 13 = 5 THEN 'a = b + ' || n WHEN NOT grid AND n % 13 = 6 THEN 'x = y' WHEN NOT grid AND n % 13 = 4 THEN 'where E = mc' WHEN NOT grid AND n % 17 = 8 THEN array_to_string(ws, ' ') || ' ..... 12' WHEN NOT grid AND n % 5 = 1 THEN array_to_string(ws, ' ') || '-' ELSE array_to_string(ws, ' ') END AS text,
+ CAST(CASE WHEN NOT grid AND ln % 7 = 3 THEN 54 ELSE 40 END AS DOUBLE) AS x0 FROM pw),
+plines AS MATERIALIZED (SELECT doc_id, CAST(n // 45 + 1 AS INTEGER) AS page, n AS line_no, row_number() OVER (PARTITION BY doc_id, n // 45 ORDER BY n) - 1 AS i, text, x0, CAST(540 AS DOUBLE) AS x1, CAST(780 - ln * 15 - CASE WHEN grid THEN 0 ELSE ln // 6 * 10 END + CASE WHEN ln = 31 THEN 10 ELSE 0 END AS DOUBLE) AS y,
+ CAST(CASE WHEN NOT grid AND ln % 15 = 14 THEN 15 ELSE 12 END AS DOUBLE) AS h, NOT grid AND ln % 11 = 10 AS bold, is_math, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN ln < 22 THEN '0' ELSE '1' END END AS col,
+ CASE WHEN NOT grid THEN [{'x': CAST(x0 AS DOUBLE), 'x1': CAST(540 AS DOUBLE), 'text': text}] WHEN ln = 30 THEN [{'x': CAST(40 AS DOUBLE), 'x1': CAST(100 AS DOUBLE), 'text': W1}, {'x': CAST(200 AS DOUBLE), 'x1': CAST(260 AS DOUBLE), 'text': W2}] WHEN ln = 31 THEN [{'x': CAST(360 AS DOUBLE), 'x1': CAST(420 AS DOUBLE), 'text': W3}] ELSE [{'x': CAST(40 AS DOUBLE), 'x1': CAST(100 AS DOUBLE), 'text': W1}, {'x': CAST(200 AS DOUBLE), 'x1': CAST(260 AS DOUBLE), 'text': W2}, {'x': CAST(360 AS DOUBLE), 'x1': CAST(420 AS DOUBLE), 'text': W3}] END AS cells FROM pt)"""
+    .replace("W1", "coalesce(ws[1], '-')").replace("W2", "coalesce(ws[2], '-')").replace("W3", "CASE WHEN ln > 26 THEN CAST(n AS VARCHAR) ELSE coalesce(ws[3], '-') END"))
+_ROWS = "list_transform(rows, lambda r: list_transform(anchors, lambda a: array_to_string(list_transform(list_filter(r.c, lambda c: abs(c.x - a) < body * 1.2), lambda c: c.text), ' ')))"
+_NUMBER = "regexp_matches(q, '^[-+]?[0-9]+(?:\\.[0-9]+)?%?$')"
+sql.CTES["pread"] = (["plines"], f"""pbody AS (SELECT doc_id, page, coalesce(hs[len(hs) // 2 + 1], 10) AS body FROM (SELECT doc_id, page, list(h ORDER BY h) FILTER (h > 0) AS hs FROM plines GROUP BY ALL)),
+pgap AS (SELECT b.doc_id, b.page, b.body, coalesce((list(g ORDER BY g) FILTER (g > body * 0.65 AND g < body * 4))[count(*) FILTER (g > body * 0.65 AND g < body * 4) // 2 + 1], b.body * 1.35) AS avg_gap
+ FROM (SELECT doc_id, page, lag(y) OVER (PARTITION BY doc_id, page ORDER BY i) - y AS g FROM plines) l JOIN pbody b ON b.doc_id = l.doc_id AND b.page = l.page GROUP BY b.doc_id, b.page, b.body),
+pflag AS MATERIALIZED (SELECT *, lead(is_math) OVER p AS next_math, y - lead(y) OVER p AS next_gap, (is_math OR neighbor) AND col IS NOT DISTINCT FROM lag(col) OVER p AND i > 0 AND lag(y) OVER p - y < avg_gap * 2.5 AS cont, count(*) OVER (PARTITION BY doc_id, page) AS n FROM (
+ SELECT l.*, g.body, g.avg_gap, regexp_matches(text, '\\.{{4,}}|…{{3,}}|·{{5,}}') AS leader, NOT regexp_matches(text, '[一-鿿]{{2}}') AND length(text) < 160 AND regexp_matches(text, '[=≥≤∑∏∫√𝑎-𝑧𝛼-𝜔]|exp\\s*\\(') AS neighbor,
+ NOT is_math AND len(cells) BETWEEN 1 AND 14 AND len(list_filter(cells, lambda c: length(c.text) > 60)) = 0 AND NOT regexp_matches(text, '[。；;!?！？]|\\.{{4,}}|…{{3,}}') AND NOT contains(text, '$') AS short,
+ NOT is_math AND len(cells) BETWEEN 2 AND 14 AND x1 - x0 > body * 9 AND NOT regexp_matches(text, '\\.{{4,}}|…{{3,}}') AS candidate
+ FROM plines l JOIN pgap g ON g.doc_id = l.doc_id AND g.page = l.page) WINDOW p AS (PARTITION BY doc_id, page ORDER BY i)),
+prun AS (WITH RECURSIVE st AS (SELECT doc_id, page, i AS first, i AS j, y AS last_y, [{{'y': y, 'c': cells}}] AS rows FROM pflag WHERE candidate AND short
+ UNION ALL SELECT doc_id, page, first, j, last_y, CASE WHEN same THEN list_concat(rows[1:len(rows) - 1], [{{'y': rows[len(rows)].y, 'c': list_concat(rows[len(rows)].c, cells)}}]) ELSE list_concat(rows, [{{'y': last_y, 'c': cells}}]) END FROM (
+  SELECT s.doc_id, s.page, s.first, l.i AS j, l.y AS last_y, s.rows, l.cells, s.rows[len(s.rows)].y - l.y < l.body * 0.65 AND len(list_filter(l.cells, lambda c: len(list_filter(s.rows[len(s.rows)].c, lambda a: NOT (c.x >= a.x1 + 2 OR c.x1 <= a.x - 2))) > 0)) = 0 AS same
+  FROM st s JOIN pflag l ON l.doc_id = s.doc_id AND l.page = s.page AND l.i = s.j + 1 JOIN pflag o ON o.doc_id = s.doc_id AND o.page = s.page AND o.i = s.first WHERE l.short AND l.col IS NOT DISTINCT FROM o.col AND s.last_y - l.y BETWEEN 0 AND l.avg_gap * 2.2)
+  WHERE same OR len(cells) > 1) SELECT * FROM st),
+ptab AS (SELECT *, list_sort(list_reduce(list_transform(flatten(list_transform(rows, lambda r: list_transform(r.c, lambda c: c.x))), lambda x: [x]), lambda known, x: CASE WHEN len(list_filter(known, lambda a: abs(a - x[1]) < body * 1.2)) > 0 THEN known ELSE list_concat(known, x) END)) AS anchors
+ FROM (SELECT r.*, b.body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, first ORDER BY j DESC) AS k FROM prun) r JOIN pbody b ON b.doc_id = r.doc_id AND b.page = r.page WHERE k = 1 AND len(rows) >= 3 AND len(list_filter(rows, lambda r: len(r.c) < 2)) = 0)),
+pgrid AS MATERIALIZED (SELECT doc_id, page, first, j - first + 1 AS size, grid, len(list_filter(grid[1], lambda q: {_NUMBER})) = 0 AND len(list_filter(flatten(grid[2:]), lambda q: {_NUMBER})) > 0 AS header_row FROM (SELECT *, {_ROWS} AS grid FROM ptab
+ WHERE len(anchors) <= 14 AND len(list_filter(anchors, lambda a: len(list_filter(rows, lambda r: len(list_filter(r.c, lambda c: abs(c.x - a) < body * 1.2)) > 0)) < 2)) = 0)),
+pkind AS MATERIALIZED (SELECT *, CASE kind WHEN 'table' THEN i + size WHEN 'formula' THEN coalesce(stop, n) ELSE i + 1 END AS nxt FROM (SELECT f.*, t.size, t.grid, t.header_row, min(CASE WHEN NOT cont THEN i END) OVER (PARTITION BY f.doc_id, f.page ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop,
+ CASE WHEN leader THEN 'list' WHEN t.size IS NOT NULL THEN 'table' WHEN is_math OR (neighbor AND next_math AND next_gap < avg_gap * 2.4) THEN 'formula'
+ WHEN length(text) < 60 AND NOT regexp_matches(text, '[。．.,，;；]$') AND (regexp_matches(text, '^([0-9]+(?:\\.[0-9]+)+)\\s*\\S') OR regexp_matches(text, '^[一二三四五六七八九十]+[、．.]') OR ({sql.heading('text')} AND NOT regexp_matches(text, '^[0-9]+[.、]\\S')) OR h >= body * 1.16 OR bold) THEN 'heading' ELSE 'paragraph' END AS kind
+ FROM pflag f LEFT JOIN pgrid t ON t.doc_id = f.doc_id AND t.page = f.page AND t.first = f.i)),
+pwalk AS (WITH RECURSIVE st AS (SELECT doc_id, page, CAST(0 AS BIGINT) AS i FROM pkind WHERE i = 0 UNION ALL SELECT k.doc_id, k.page, k.nxt FROM st s JOIN pkind k ON k.doc_id = s.doc_id AND k.page = s.page AND k.i = s.i) SELECT * FROM st),
+pread AS MATERIALIZED (SELECT k.*, lag(k.kind) OVER p AS was, lag(k.nxt) OVER p - 1 AS prev FROM pwalk w JOIN pkind k ON k.doc_id = w.doc_id AND k.page = w.page AND k.i = w.i WINDOW p AS (PARTITION BY k.doc_id, k.page ORDER BY k.i))""")
+
+
+@query("P12_table_runs", c("pread", "SELECT doc_id, page, line_no AS first_line, CAST(size AS INTEGER) AS n_lines, header_row, array_to_string(list_transform(grid, lambda r: array_to_string(r, ' | ')), chr(10)) AS text FROM pread WHERE kind = 'table'"))
 def table_runs(spark, sf):
     near = materialize(ly._with_neighbours(materialize(inputs.lines(spark, sf), "lines")), "near")
     t = ly.table_runs(near)
     return t.select("doc_id", "page", "first_line", "n_lines", "header_row", F.array_join(F.transform("cells", lambda r: F.array_join(r, " | ")), "\n").alias("text"))
 
 
-@query("P13_lines_to_blocks")
+_BLOCKS = f"""pstart AS (SELECT r.*, kind <> 'paragraph' OR was IS DISTINCT FROM 'paragraph' OR q.y - r.y > avg_gap * 1.6 OR q.y - r.y < -body OR q.col IS DISTINCT FROM r.col OR (r.x0 > q.x0 + body * 0.9 AND regexp_matches(q.text, '[。！？.!?；;:：]\\s*$')) AS opens
+ FROM pread r LEFT JOIN (SELECT doc_id, page, i, y, col, x0, text FROM plines) q ON q.doc_id = r.doc_id AND q.page = r.page AND q.i = r.prev),
+pnum AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY i) AS block FROM pstart),
+pall AS (SELECT b.doc_id, b.page, b.block, b.kind, b.grid, b.header_row, b.body, b.i AS bi, l.* EXCLUDE (doc_id, page) FROM pnum b JOIN plines l ON l.doc_id = b.doc_id AND l.page = b.page AND l.i >= b.i AND l.i < b.nxt),
+pjoin AS (SELECT doc_id, page, block, any_value(kind) AS kind, min(line_no) AS first_line, arg_min(y, line_no) AS y, any_value(body) AS body, arg_min(grid, line_no) AS grid, coalesce(bool_or(header_row), false) AS header_row, list(text ORDER BY line_no) AS ts, min(x0) AS x0, max(x1) AS x1, min(y - h * 0.45) AS y0, max(y + h * 1.35) AS y1 FROM pall GROUP BY doc_id, page, block),
+ptext AS (SELECT *, CASE kind WHEN 'formula' THEN '$$' || array_to_string(ts, ' \\quad ') || '$$' WHEN 'table' THEN array_to_string(list_transform(grid, lambda r: array_to_string(r, ' | ')), chr(10)) ELSE
+ list_reduce(ts, lambda a, b: CASE WHEN regexp_matches(right(a, 1), '[㐀-鿿]') AND regexp_matches(left(b, 1), '[㐀-鿿]') THEN a || b WHEN ends_with(a, '-') AND regexp_matches(b, '^[a-z]') THEN left(a, length(a) - 1) || b ELSE a || ' ' || b END) END AS t FROM pjoin),
+ppiece AS (SELECT *, CASE WHEN kind = 'paragraph' THEN {sql.split_long(sql.trim('t'))} ELSE [t] END AS ps FROM ptext)
+SELECT doc_id, page, first_line, CAST(part - 1 AS INTEGER) AS part, text, kind AS type, CASE WHEN kind = 'heading' THEN CAST(greatest(1, len(string_split(regexp_extract(t, '^([0-9]+(?:\\.[0-9]+)+)', 1), '.'))) AS INTEGER) ELSE 0 END AS level, y, x0, x1,
+ y0 - CASE WHEN kind = 'formula' THEN body * 1.2 ELSE 0 END AS y0, y1 + CASE WHEN kind = 'formula' THEN body * 0.7 ELSE 0 END AS y1, header_row FROM (SELECT *, unnest(ps) AS text, generate_subscripts(ps, 1) AS part FROM ppiece)"""
+
+
+@query("P13_lines_to_blocks", c("pread", "SELECT * FROM (WITH " + _BLOCKS + ")"))
 def lines_to_blocks(spark, sf):
     return ly.lines_to_blocks(materialize(inputs.lines(spark, sf), "lines"))
 

@@ -122,11 +122,10 @@ STUDY = f"replace(replace(text, '. ', '。 '), '.' || {LF}, '。' || {LF})"
 CTES: dict[str, tuple[list[str], str]] = {
     "docs": ([], f"""docs AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {STUDY} WHEN 1 THEN replace({STUDY}, {LF}, {LF}||{LF})
  ELSE 'Abstract' || {LF} || replace({STUDY}, {LF}, {LF}||{LF}||'2.1 Section'||{LF}||'- point one'||{LF}) END AS text,
- 'Study ' || doc_id || ' ' || source AS title, source || '-' || doc_id || '.txt' AS filename, CASE WHEN doc_id % 4 = 0 THEN 'pdf' ELSE 'text' END AS format, n_chars AS size,
+ 'Study ' || doc_id || ' ' || source AS title, source || '-' || doc_id || '.txt' AS filename, CASE WHEN doc_id % 4 = 0 THEN 'pdf' ELSE 'text' END AS format, CASE WHEN doc_id % 4 = 0 THEN CAST(n_chars // 2000 + 1 AS INTEGER) END AS pages, n_chars AS size,
  doc_id * 60 + 1700000000 AS created_at, doc_id * 60 + 1700000000 + doc_id * 7919 % 100000 AS updated_at FROM documents)"""),
     "blocks": (["docs"], segmented("docs", "blocks")),
-    "ablocks": (["docs"], "asked AS (SELECT doc_id, text FROM docs WHERE doc_id IN (SELECT conv_id FROM conversations)),\n" + segmented("asked", "ablocks")),
-    "messages": ([], f"""messages AS (SELECT conv_id AS doc_id, CASE WHEN conv_id % 5 = 4 THEN '{v.CROSS}' WHEN turn >= 4 THEN 'p2' ELSE 'p1' END AS thread_key, turn AS seq, role, text AS content,
+        "messages": ([], f"""messages AS (SELECT conv_id AS doc_id, CASE WHEN conv_id % 5 = 4 THEN '{v.CROSS}' WHEN turn >= 4 THEN 'p2' ELSE 'p1' END AS thread_key, turn AS seq, role, text AS content,
  CASE WHEN role = 'assistant' AND length(text) % 7 = 0 THEN 'timeout' END AS error, role = 'assistant' AND length(text) % 11 = 0 AS interrupted,
  CASE WHEN role = 'user' THEN CASE length(text) % 3 WHEN 1 THEN ['p2'] WHEN 2 THEN ['p3', 'p1', 'p9999'] END END AS cited,
  CASE WHEN role = 'assistant' THEN ['p1', 'p2'] END AS included, conv_id * 100 + turn + 1700100000 AS created_at FROM conversations)"""),
@@ -145,7 +144,6 @@ def typed(src: str, out: str) -> str:
 
 
 CTES["typed"] = (["blocks"], typed("blocks", "typed"))
-CTES["atyped"] = (["ablocks"], typed("ablocks", "atyped"))
 
 
 def terms(q: str) -> str:
@@ -165,11 +163,11 @@ CTES["rounds"] = (["messages", "questions"], """talk AS (SELECT q.q_id, m.seq, m
  FROM messages m JOIN questions q ON m.doc_id = q.q_id AND m.seq < q.turn WHERE m.role IN ('user', 'assistant') WINDOW w AS (PARTITION BY q.q_id ORDER BY m.seq)),
 rounds AS (SELECT * FROM (SELECT q_id, seq, content AS question, c2 AS answer, row_number() OVER (PARTITION BY q_id ORDER BY seq DESC) AS round_no FROM talk
  WHERE role = 'user' AND r2 = 'assistant' AND c2 <> '' AND coalesce(e2, '') = '' AND NOT i2) WHERE round_no <= 10)""")
-CTES["targets"] = (["questions", "ablocks"], f"""targets AS (SELECT *, CASE WHEN q = '' THEN {s(v.ERR_EMPTY)} WHEN length(q) > 4000 THEN {s(v.ERR_LONG)} WHEN target_idx IS NULL AND block_id <> '{v.CROSS}' THEN {s(v.ERR_TARGET)}
+CTES["targets"] = (["questions", "blocks"], f"""targets AS (SELECT *, CASE WHEN q = '' THEN {s(v.ERR_EMPTY)} WHEN length(q) > 4000 THEN {s(v.ERR_LONG)} WHEN target_idx IS NULL AND block_id <> '{v.CROSS}' THEN {s(v.ERR_TARGET)}
  WHEN block_id = '{v.CROSS}' AND len(cited_idx) = 0 THEN {s(v.ERR_CITED)} END AS err0 FROM (
- SELECT q.* EXCLUDE (question), {trim('question')} AS q, (SELECT max(idx) FROM ablocks b WHERE b.doc_id = q.doc_id AND b.block_id = q.block_id) AS target_idx,
+ SELECT q.* EXCLUDE (question), {trim('question')} AS q, (SELECT max(idx) FROM blocks b WHERE b.doc_id = q.doc_id AND b.block_id = q.block_id) AS target_idx,
  list_transform(list_filter(list_transform(cited, lambda c: {{'c': c, 'i': m.ids[c]}}), lambda z: z.i IS NOT NULL), lambda z: z.i) AS cited_idx
- FROM questions q LEFT JOIN (SELECT doc_id, map_from_entries(list((block_id, idx))) AS ids FROM ablocks GROUP BY doc_id) m ON m.doc_id = q.doc_id))""")
+ FROM questions q LEFT JOIN (SELECT doc_id, map_from_entries(list((block_id, idx))) AS ids FROM blocks GROUP BY doc_id) m ON m.doc_id = q.doc_id))""")
 CTES["fixedq"] = (["targets"], f"""fixed0 AS (SELECT *, {s(v.RULES + v.STYLE_PREFIX)} || {fit('system_prompt', 'least(3000, budget * CAST(0.2 AS DOUBLE))')} AS system FROM targets),
 fixed1 AS (SELECT *, {tokens('system')} + 6 + {tokens('q')} + 6 + 8 + 160 AS fixed FROM fixed0),
 fixedq AS MATERIALIZED (SELECT *, coalesce(err0, CASE WHEN fixed > budget - 350 THEN {s(v.ERR_FIXED)} END) AS err FROM fixed1)""")
@@ -180,19 +178,19 @@ CTES["prep"] = (["hist", "fixedq"], f"""prep0 AS (SELECT q.*, coalesce(h.kept, [
 prep1 AS (SELECT *, budget - fixed - history_tokens AS available, list_filter(list_concat([target_idx], cited_idx), lambda i: i IS NOT NULL) AS req0,
  q || ' ' || (CASE WHEN len(kept) = 0 THEN '' ELSE kept[len(kept)].u || ' ' || kept[len(kept)].a END) AS qtext FROM prep0),
 prep AS MATERIALIZED (SELECT *, list_filter(req0, lambda r, i: list_position(req0, r) = i) AS req, {terms('qtext')} AS terms FROM prep1)""")
-CTES["cand"] = (["prep", "ablocks"], f"""scored AS MATERIALIZED (SELECT p.q_id, p.doc_id, b.idx, b.type, max(b.idx) OVER (PARTITION BY p.q_id) + 1 AS n, {score('b.text', 'p.terms')} AS score FROM prep p JOIN ablocks b ON b.doc_id = p.doc_id WHERE p.mode = 'full'),
+CTES["cand"] = (["prep", "blocks"], f"""scored AS MATERIALIZED (SELECT p.q_id, p.doc_id, b.idx, b.type, max(b.idx) OVER (PARTITION BY p.q_id) + 1 AS n, {score('b.text', 'p.terms')} AS score FROM prep p JOIN blocks b ON b.doc_id = p.doc_id WHERE p.mode = 'full'),
 tiers AS (SELECT q_id, doc_id, unnest(req) AS idx, 0 AS tier, CAST(0 AS DOUBLE) AS w, generate_subscripts(req, 1) AS a, 0 AS b FROM prep
  UNION ALL SELECT q_id, doc_id, idx + d, 1, -score, idx, CASE d WHEN 0 THEN 0 WHEN -1 THEN 1 ELSE 2 END FROM scored, (VALUES (0), (-1), (1)) t(d) WHERE score > 0 AND idx + d BETWEEN 0 AND n - 1
  UNION ALL SELECT q_id, doc_id, idx, 2, 0, idx, 0 FROM scored WHERE type = 'heading'
  UNION ALL SELECT q_id, doc_id, idx, 3, 0, idx, 0 FROM scored WHERE idx < 4 OR idx >= n - 4
  UNION ALL SELECT q_id, doc_id, idx, 4, 0, idx, 0 FROM scored
- UNION ALL SELECT r.q_id, r.doc_id, b.idx, 1, 0, r.a, CASE WHEN b.idx < r.idx THEN 1 ELSE 2 END FROM (SELECT q_id, doc_id, unnest(req) AS idx, generate_subscripts(req, 1) AS a FROM prep WHERE mode = 'neighbors') r JOIN ablocks b ON b.doc_id = r.doc_id AND abs(b.idx - r.idx) = 1),
+ UNION ALL SELECT r.q_id, r.doc_id, b.idx, 1, 0, r.a, CASE WHEN b.idx < r.idx THEN 1 ELSE 2 END FROM (SELECT q_id, doc_id, unnest(req) AS idx, generate_subscripts(req, 1) AS a FROM prep WHERE mode = 'neighbors') r JOIN blocks b ON b.doc_id = r.doc_id AND abs(b.idx - r.idx) = 1),
 cand AS MATERIALIZED (SELECT q_id, doc_id, idx, tier, row_number() OVER (PARTITION BY q_id ORDER BY tier, w, a, b) AS place FROM (
  SELECT *, row_number() OVER (PARTITION BY q_id, idx ORDER BY tier, w, a, b) AS rn FROM tiers) WHERE rn = 1)""")
 _ROW = "STRUCT(idx INTEGER, mandatory BOOLEAN, text VARCHAR, cost BIGINT, cut BOOLEAN)[]"
 _fitx = fit("x.raw", "room")
 CTES["packed"] = (["cand"], f"""craw AS (SELECT c.*, p.available, p.cap, '[第' || (c.idx + 1) || '段]' || CASE WHEN c.idx = p.target_idx THEN ' ★当前提问段落' ELSE '' END || {LF} || b.text AS raw
- FROM cand c JOIN (SELECT *, floor(available / CAST(len(req) AS DOUBLE)) - 10 AS cap FROM prep) p ON p.q_id = c.q_id JOIN ablocks b ON b.doc_id = c.doc_id AND b.idx = c.idx),
+ FROM cand c JOIN (SELECT *, floor(available / CAST(len(req) AS DOUBLE)) - 10 AS cap FROM prep) p ON p.q_id = c.q_id JOIN blocks b ON b.doc_id = c.doc_id AND b.idx = c.idx),
 ccost AS MATERIALIZED (SELECT *, {tokens('raw')} + 8 AS cost FROM craw),
 RECPACK,
 packed AS MATERIALIZED (SELECT q_id, doc_id, idx, tier = 0 AS mandatory, text, cost, cut FROM steps WHERE taken)""")
@@ -225,9 +223,8 @@ def items(src: str, out: str) -> str:
 
 
 CTES["items"] = (["blocks", "pairs"], items("blocks", "items"))
-CTES["aitems"] = (["ablocks", "pairs"], items("ablocks", "aitems"))
-CTES["numbered"] = (["aitems"], """numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY item_no, qa_no) AS q_no, CASE WHEN type = 'cross' THEN -1 ELSE dense_rank() OVER (PARTITION BY doc_id ORDER BY item_no) - 1 END AS anchor
- FROM aitems WHERE qa_no IS NOT NULL)""")
+CTES["numbered"] = (["items"], """numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY item_no, qa_no) AS q_no, CASE WHEN type = 'cross' THEN -1 ELSE dense_rank() OVER (PARTITION BY doc_id ORDER BY item_no) - 1 END AS anchor
+ FROM items WHERE qa_no IS NOT NULL)""")
 
 
 def cites(src: str, keys: str, blocks: str, style: str = "export") -> str:

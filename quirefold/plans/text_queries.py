@@ -171,18 +171,18 @@ def segment_documents_raw(spark, sf):
 
 
 # Words written as UTF-8 bytes and read back as Latin-1; the expected repair is the original text.
-@query("T12_fix_filename", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 60) || '.txt' ELSE source || '.txt' END AS filename FROM documents")
+@query("T12_fix_filename", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || '.txt' ELSE source || '.txt' END AS filename FROM documents")
 def fix_filename(spark, sf):
-    broken = F.decode(F.encode(F.concat(F.left("text", F.lit(60)), F.lit(".txt")), "UTF-8"), "ISO-8859-1")
+    broken = F.decode(F.encode(F.concat(F.col("text"), F.lit(".txt")), "UTF-8"), "ISO-8859-1")
     name = F.when(F.col("doc_id") % 2 == 0, broken).otherwise(F.concat("source", F.lit(".txt")))
     return inputs.documents(spark, sf).select("doc_id", tx.fix_filename(name).alias("filename"))
 
 
 # No UTF-8 text read as Latin-1 has two lead bytes in a row, so a repair that asks for such a pair and for valid
 # bytes leaves every title as it is.
-@query("T13_repair_title", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Ã©tude ' || source ELSE left(text, 60) END AS title FROM documents")
+@query("T13_repair_title", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Ã©tude ' || source ELSE text END AS title FROM documents")
 def repair_title(spark, sf):
-    title = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Ã©tude "), "source")).otherwise(F.left("text", F.lit(60)))
+    title = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Ã©tude "), "source")).otherwise(F.col("text"))
     return inputs.documents(spark, sf).select("doc_id", tx.repair_title(title).alias("title"))
 
 

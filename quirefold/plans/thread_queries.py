@@ -106,12 +106,12 @@ def count_questions(spark, sf):
     return th.count_questions(inputs.messages(spark, sf))
 
 
-_LIST = """SELECT d.doc_id, d.title, d.filename, d.format, d.created_at, d.updated_at, coalesce(b.n, 0) AS blocks, coalesce(m.n, 0) AS questions, coalesce(m.t, 0) AS asked_threads FROM docs d
+_LIST = """SELECT d.doc_id, d.title, d.filename, d.format, d.created_at, d.updated_at, coalesce(b.n, 0) AS blocks, coalesce(m.n, 0) AS questions, coalesce(m.t, 0) AS asked_threads, coalesce(r.quality = 1, false) AS refined, coalesce(r.doc_id % 7 * 1820, 0) AS refine_tokens FROM docs d LEFT JOIN labels r ON r.doc_id = d.doc_id
  LEFT JOIN (SELECT doc_id, count(*) AS n FROM blocks GROUP BY doc_id) b ON b.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) FILTER (role = 'user') AS n, count(DISTINCT thread_key) FILTER (role = 'user') AS t FROM messages GROUP BY doc_id) m ON m.doc_id = d.doc_id"""
 
 
 def _listed(spark, sf):
-    return th.list_documents(inputs.doc_meta(spark, sf), inputs.blocks(spark, sf), inputs.messages(spark, sf))
+    return th.list_documents(inputs.doc_meta(spark, sf), inputs.blocks(spark, sf), inputs.messages(spark, sf), inputs.refine_runs(spark, sf))
 
 
 @query("Q5_list_documents", c("blocks messages", _LIST))
@@ -124,14 +124,14 @@ def recent_documents(spark, sf):
     return th.recent_documents(_listed(spark, sf), 4)
 
 
-@query("Q6_summarize", c("blocks items", """SELECT d.doc_id, coalesce(b.n, 0) AS blocks, coalesce(m.n, 0) AS questions, coalesce(a.n, 0) AS answered FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM blocks GROUP BY doc_id) b ON b.doc_id = d.doc_id
+@query("Q6_summarize", c("blocks items", """SELECT d.doc_id, coalesce(b.n, 0) AS blocks, coalesce(m.n, 0) AS questions, coalesce(a.n, 0) AS answered, d.pages FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM blocks GROUP BY doc_id) b ON b.doc_id = d.doc_id
  LEFT JOIN (SELECT doc_id, count(*) FILTER (role = 'user') AS n FROM messages GROUP BY doc_id) m ON m.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(DISTINCT block_id) AS n FROM items WHERE qa_no IS NOT NULL GROUP BY doc_id) a ON a.doc_id = d.doc_id"""))
 def summarize(spark, sf):
     m = inputs.messages(spark, sf)
-    return th.summarize(inputs.doc_meta(spark, sf), inputs.blocks(spark, sf), th.pair_messages(m), m).select("doc_id", "blocks", "questions", "answered")
+    return th.summarize(inputs.doc_meta(spark, sf), inputs.blocks(spark, sf), th.pair_messages(m), m).select("doc_id", "blocks", "questions", "answered", "pages")
 
 
-@query("Q7_answered_count", c("ablocks messages", "SELECT doc_id, count(*) AS answered FROM ablocks b WHERE EXISTS (SELECT 1 FROM messages m WHERE m.doc_id = b.doc_id AND m.thread_key = b.block_id AND m.role = 'user') GROUP BY doc_id"))
+@query("Q7_answered_count", c("blocks messages", "SELECT doc_id, count(*) AS answered FROM blocks b WHERE EXISTS (SELECT 1 FROM messages m WHERE m.doc_id = b.doc_id AND m.thread_key = b.block_id AND m.role = 'user') GROUP BY doc_id"))
 def answered_count(spark, sf):
     return th.answered_count(inputs.asked_blocks(spark, sf), inputs.messages(spark, sf))
 
@@ -142,7 +142,7 @@ def _cited(spark, sf):
 
 for _style in ("export", "print"):
 
-    @query(f"Q8_cite_label_{_style}", c("messages ablocks", "SELECT doc_id, thread_key, seq, label FROM " + sql.cites("messages", "doc_id, thread_key, seq", "ablocks", _style)))
+    @query(f"Q8_cite_label_{_style}", c("messages blocks", "SELECT doc_id, thread_key, seq, label FROM " + sql.cites("messages", "doc_id, thread_key, seq", "blocks", _style)))
     def cite_label(spark, sf, style=_style):
         return th.cite_labels(_cited(spark, sf), [*th.THREAD, "seq"], inputs.asked_blocks(spark, sf), style)
 
@@ -152,8 +152,8 @@ def carry_citations(spark, sf):
     return th.carry_citations(inputs.messages(spark, sf)).select("doc_id", "thread_key", "seq", _join("carried").alias("carried"))
 
 
-@query("Q10_extract_citations", c("messages ablocks", """SELECT m.doc_id, thread_key, seq, pos, n, coalesce(list_contains(included, b.block_id), false) AS valid FROM (
- SELECT *, 0 AS pos, 2 AS n FROM messages WHERE role = 'assistant' UNION ALL SELECT *, 1, 5 FROM messages WHERE role = 'assistant' UNION ALL SELECT *, 2, 999 FROM messages WHERE role = 'assistant') m LEFT JOIN ablocks b ON b.doc_id = m.doc_id AND b.idx + 1 = m.n"""))
+@query("Q10_extract_citations", c("messages blocks", """SELECT m.doc_id, thread_key, seq, pos, n, coalesce(list_contains(included, b.block_id), false) AS valid FROM (
+ SELECT *, 0 AS pos, 2 AS n FROM messages WHERE role = 'assistant' UNION ALL SELECT *, 1, 5 FROM messages WHERE role = 'assistant' UNION ALL SELECT *, 2, 999 FROM messages WHERE role = 'assistant') m LEFT JOIN blocks b ON b.doc_id = m.doc_id AND b.idx + 1 = m.n"""))
 def extract_citations(spark, sf):
     marks = F.lit(" [第 2 段] `[第1段]` **[第1段]** $[第1段]$ [第5段]\n```\n[第1段]\n```\n见 [第999段] *[第3段]*")
     plain = F.translate("content", "`*_$[\\", "      ")
@@ -161,8 +161,8 @@ def extract_citations(spark, sf):
     return th.extract_citations(a, inputs.asked_blocks(spark, sf))
 
 
-@query("Q11_attach_cross", c("pairs ablocks", f"""SELECT p.doc_id, p.thread_key AS block_id, 'own' AS source, p.qa_no, p.question, p.answer FROM pairs p JOIN ablocks b ON b.doc_id = p.doc_id AND b.block_id = p.thread_key
- UNION ALL SELECT f.doc_id, f.block_id, 'cross', p.qa_no, p.question, p.answer FROM (SELECT doc_id, unnest(cited) AS block_id FROM pairs WHERE thread_key = '{v.CROSS}' AND qa_no = 0) f JOIN ablocks b ON b.doc_id = f.doc_id AND b.block_id = f.block_id
+@query("Q11_attach_cross", c("pairs blocks", f"""SELECT p.doc_id, p.thread_key AS block_id, 'own' AS source, p.qa_no, p.question, p.answer FROM pairs p JOIN blocks b ON b.doc_id = p.doc_id AND b.block_id = p.thread_key
+ UNION ALL SELECT f.doc_id, f.block_id, 'cross', p.qa_no, p.question, p.answer FROM (SELECT doc_id, unnest(cited) AS block_id FROM pairs WHERE thread_key = '{v.CROSS}' AND qa_no = 0) f JOIN blocks b ON b.doc_id = f.doc_id AND b.block_id = f.block_id
  JOIN pairs p ON p.doc_id = f.doc_id AND p.thread_key = '{v.CROSS}'"""))
 def attach_cross(spark, sf):
     return th.attach_cross(inputs.asked_blocks(spark, sf), th.pair_messages(inputs.messages(spark, sf)))
@@ -174,7 +174,7 @@ def number_questions(spark, sf):
     return th.number_questions(items).select("doc_id", "block_id", "qa_no", "q_no", "anchor", "question")
 
 
-@query("Q13_answer_messages", c("messages ablocks", f"SELECT doc_id, thread_key, seq, length(content) AS chars FROM messages m WHERE role = 'assistant' AND content <> '' AND (thread_key = '{v.CROSS}' OR EXISTS (SELECT 1 FROM ablocks b WHERE b.doc_id = m.doc_id AND b.block_id = m.thread_key))"))
+@query("Q13_answer_messages", c("messages blocks", f"SELECT doc_id, thread_key, seq, length(content) AS chars FROM messages m WHERE role = 'assistant' AND content <> '' AND (thread_key = '{v.CROSS}' OR EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = m.doc_id AND b.block_id = m.thread_key))"))
 def answer_messages(spark, sf):
     return th.answer_messages(inputs.messages(spark, sf), inputs.asked_blocks(spark, sf))
 
@@ -229,8 +229,8 @@ sql.CTES["edits"] = ([], """edits AS (SELECT conv_id AS doc_id, 'p' || (turn % 3
  CASE n % 5 WHEN 0 THEN ' x^2 ' WHEN 1 THEN '' END AS tex, CASE n % 6 WHEN 0 THEN 'heading' WHEN 1 THEN 'formula' WHEN 2 THEN 'table' END AS type FROM (SELECT *, length(text) AS n FROM conversations))""")
 # Edits replayed one call at a time over the state of each block.
 _TY = "CASE WHEN e.type IN ('paragraph', 'heading', 'list', 'formula') THEN e.type END"
-sql.CTES["replayed"] = (["edits", "ablocks"], f"""calls AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block_id ORDER BY ts) AS k, {sql.trim('text')} AS tt, {sql.trim('tex')} AS xx FROM edits),
-replay AS (WITH RECURSIVE st AS (SELECT doc_id, block_id, CAST(0 AS BIGINT) AS k, type, text, CAST(NULL AS VARCHAR) AS tex, rich, false AS display, false AS edited, CAST(NULL AS BIGINT) AS edited_at, type AS type0, text AS text0, false AS saved, 'none' AS lastop FROM ablocks
+sql.CTES["replayed"] = (["edits", "blocks"], f"""calls AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block_id ORDER BY ts) AS k, {sql.trim('text')} AS tt, {sql.trim('tex')} AS xx FROM edits),
+replay AS (WITH RECURSIVE st AS (SELECT doc_id, block_id, CAST(0 AS BIGINT) AS k, type, text, CAST(NULL AS VARCHAR) AS tex, rich, false AS display, false AS edited, CAST(NULL AS BIGINT) AS edited_at, type AS type0, text AS text0, false AS saved, 'none' AS lastop FROM blocks
  UNION ALL SELECT s.doc_id, s.block_id, c.k,
  CASE WHEN c.op = 'reset' THEN s.type0 WHEN c.bad THEN s.type ELSE coalesce(c.ty, s.type) END, CASE WHEN c.op = 'reset' THEN s.text0 WHEN c.bad THEN s.text ELSE coalesce(c.tt, s.text) END, CASE WHEN c.op = 'reset' THEN NULL WHEN c.bad THEN s.tex ELSE coalesce(nullif(c.xx, ''), s.tex) END,
  CASE WHEN c.op = 'reset' OR c.bad OR c.tt IS NULL THEN s.rich ELSE {sql.has_math('c.tt')} END, CASE WHEN c.op = 'set' AND NOT c.bad AND c.ty = 'formula' THEN true ELSE s.display END,
@@ -242,7 +242,7 @@ _ED = "doc_id, block_id, type, text, coalesce(tex, '') AS tex, rich, display, ed
 
 
 def _plain_blocks(spark, sf):
-    return inputs.asked_blocks(spark, sf).withColumns({"tex": F.lit(None).cast("string"), "display": F.lit(False)})
+    return inputs.blocks(spark, sf).withColumns({"tex": F.lit(None).cast("string"), "display": F.lit(False)})
 
 
 def _flat(e):
@@ -279,9 +279,9 @@ def reparse_version(spark, sf):
 # --- exports ----------------------------------------------------------------------------------------------------
 
 
-@query("S5_export_filename", c("docs", "SELECT doc_id, left(regexp_replace(t, '[\\\\/:*?\"<>|\\r\\n]+', '_', 'g'), 80) || '-问答记录.md' AS filename FROM (SELECT doc_id, left(text, 200) || ' a/b:c?\"<>|d' AS t0, replace(left(text, 60), ' ', '?/') AS t FROM docs)"))
+@query("S5_export_filename", c("docs", "SELECT doc_id, left(regexp_replace(t, '[\\\\/:*?\"<>|\\r\\n]+', '_', 'g'), 80) || '-问答记录.md' AS filename FROM (SELECT doc_id, replace(text, ' ', '?/') AS t FROM docs)"))
 def export_filename(spark, sf):
-    return inputs.docs(spark, sf).select("doc_id", sinks.export_filename(F.replace(F.left("text", F.lit(60)), F.lit(" "), F.lit("?/")), "md").alias("filename"))
+    return inputs.docs(spark, sf).select("doc_id", sinks.export_filename(F.replace("text", F.lit(" "), F.lit("?/")), "md").alias("filename"))
 
 
 
@@ -306,22 +306,20 @@ def block_markdown(spark, sf):
 
 
 N = "chr(10)"
-sql.CTES["labelled"] = (["atyped", "ablocks", "numbered", "docs"], f"""lab AS (SELECT n.*, coalesce(l.label, '') AS cite FROM numbered n LEFT JOIN {sql.cites('numbered', 'doc_id, block_id, seq', 'ablocks')} l ON l.doc_id = n.doc_id AND l.block_id = n.block_id AND l.seq = n.seq),
+sql.CTES["labelled"] = (["typed", "blocks", "numbered", "docs"], f"""lab AS (SELECT n.*, coalesce(l.label, '') AS cite FROM numbered n LEFT JOIN {sql.cites('numbered', 'doc_id, block_id, seq', 'blocks')} l ON l.doc_id = n.doc_id AND l.block_id = n.block_id AND l.seq = n.seq),
 qa1 AS (SELECT doc_id, item_no, string_agg('**问' || CASE WHEN cite = '' THEN '' ELSE ' ' || cite END || '：** ' || question || {N}||{N} || '**答：**' || {N}||{N} || CASE WHEN answer = '' THEN '_（未获得回答）_' ELSE answer END || {N} || {N}, '' ORDER BY qa_no) AS t FROM lab GROUP BY ALL),
 qa2 AS (SELECT doc_id, string_agg('**Q' || q_no || '**' || CASE WHEN type = 'cross' THEN '（跨段落）' ELSE '（段落 ' || (idx + 1) || '）' END || CASE WHEN cite = '' THEN '' ELSE ' ' || cite END || '：' || question || {N}||{N} || CASE WHEN answer = '' THEN '_（未获得回答）_' ELSE answer END || {N}, {N} ORDER BY q_no) AS t FROM lab GROUP BY doc_id),
-its AS (SELECT doc_id, idx AS item_no, '### ' || CASE type WHEN 'table' THEN '表格' WHEN 'image' THEN '插图' WHEN 'formula' THEN '公式' ELSE '段落' END || ' ' || (idx + 1) || '（第 ' || page || ' 页）' || {N}||{N} || CASE WHEN type IN ('image', 'table') THEN {_BODY} ELSE '> ' || regexp_replace(text, '\\n+', ' ', 'g') END || {N} || {N} AS t FROM atyped
- UNION ALL SELECT DISTINCT doc_id, item_no, '### 跨段落关联提问' || {N}||{N} || '> （跨段落关联提问）' || {N} || {N} FROM aitems WHERE type = 'cross'),
+its AS (SELECT doc_id, idx AS item_no, '### ' || CASE type WHEN 'table' THEN '表格' WHEN 'image' THEN '插图' WHEN 'formula' THEN '公式' ELSE '段落' END || ' ' || (idx + 1) || '（第 ' || page || ' 页）' || {N}||{N} || CASE WHEN type IN ('image', 'table') THEN {_BODY} ELSE '> ' || regexp_replace(text, '\\n+', ' ', 'g') END || {N} || {N} AS t FROM typed
+ UNION ALL SELECT DISTINCT doc_id, item_no, '### 跨段落关联提问' || {N}||{N} || '> （跨段落关联提问）' || {N} || {N} FROM items WHERE type = 'cross'),
 sec1 AS (SELECT i.doc_id, string_agg(i.t || coalesce(q.t, '') || '---' || {N}, {N} ORDER BY i.item_no) AS t FROM its i LEFT JOIN qa1 q ON q.doc_id = i.doc_id AND q.item_no = i.item_no GROUP BY i.doc_id),
-summ AS (SELECT d.*, (SELECT count(*) FROM ablocks b WHERE b.doc_id = d.doc_id) AS nb, (SELECT count(*) FROM messages m WHERE m.doc_id = d.doc_id AND role = 'user') AS nq FROM docs d WHERE d.doc_id IN (SELECT conv_id FROM conversations))""")
+summ AS (SELECT d.*, (SELECT count(*) FROM blocks b WHERE b.doc_id = d.doc_id) AS nb, (SELECT count(*) FROM messages m WHERE m.doc_id = d.doc_id AND role = 'user') AS nq FROM docs d)""")
 
 
 def _export_inputs(spark, sf):
-    meta = inputs.doc_meta(spark, sf).withColumn("pages", F.lit(None).cast("int"))
-    keys = inputs.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
-    return meta.join(keys, "doc_id", "left_semi"), materialize(inputs.typed(inputs.asked_blocks(spark, sf)), "blocks"), inputs.messages(spark, sf)
+    return inputs.doc_meta(spark, sf), materialize(inputs.typed_blocks(spark, sf), "blocks"), inputs.messages(spark, sf)
 
 
-_MD = f"""SELECT s.doc_id, '# ' || title || {N}||{N} || '> 来源文件：`' || filename || '` ｜ 段落：' || nb || ' ｜ 提问：' || nq || ' 条' || {N}||{N} || '---' || {N} || CASE WHEN q.t IS NULL THEN {N} || '_（暂无问答记录）_' || {N} ELSE '' END || {N}
+_MD = f"""SELECT s.doc_id, '# ' || title || {N}||{N} || '> 来源文件：`' || filename || '` ｜ 段落：' || nb || CASE WHEN pages > 0 THEN ' ｜ 页数：' || pages ELSE '' END || ' ｜ 提问：' || nq || ' 条' || {N}||{N} || '---' || {N} || CASE WHEN q.t IS NULL THEN {N} || '_（暂无问答记录）_' || {N} ELSE '' END || {N}
  || '## 一、原文与问答（逐块）' || {N} || {N} || sec1.t || {N} || '## 二、问答记录清单' || {N} || CASE WHEN q.t IS NULL THEN {N} || '_（暂无问答记录）_' || {N} ELSE {N} || q.t END AS body FROM summ s LEFT JOIN sec1 ON sec1.doc_id = s.doc_id LEFT JOIN qa2 q ON q.doc_id = s.doc_id"""
 
 
@@ -340,7 +338,7 @@ def write_markdown(spark, sf):
 
 
 @query("X4_build_json", c("labelled", f"""SELECT d.doc_id, 'summary' AS part, CAST(-2 AS BIGINT) AS item, -1 AS qa, s.title || '|' || s.nb || '|' || s.nq AS content FROM docs d JOIN summ s ON s.doc_id = d.doc_id
- UNION ALL SELECT doc_id, 'item', item_no, -1, any_value(block_id || '|' || type || '|' || text) FROM (SELECT i.doc_id, i.block_id, coalesce(t.type, i.type) AS type, i.text, i.item_no FROM aitems i LEFT JOIN atyped t ON t.doc_id = i.doc_id AND t.block_id = i.block_id) GROUP BY doc_id, item_no
+ UNION ALL SELECT doc_id, 'item', item_no, -1, any_value(block_id || '|' || type || '|' || text) FROM (SELECT i.doc_id, i.block_id, coalesce(t.type, i.type) AS type, i.text, i.item_no FROM items i LEFT JOIN typed t ON t.doc_id = i.doc_id AND t.block_id = i.block_id) GROUP BY doc_id, item_no
  UNION ALL SELECT doc_id, 'qa', item_no, qa_no, question || '|' || answer || '|' || error || '|' || {_J('cited')} FROM numbered"""))
 def build_json(spark, sf):
     """The JSON bodies parsed back and flattened."""
@@ -364,7 +362,7 @@ def strip_math(spark, sf):
     return inputs.documents(spark, sf).select("doc_id", tx.strip_math(F.col("text")).alias("text"))
 
 
-@query("X6_print_view", c("numbered ablocks", f"SELECT n.doc_id, n.q_no, n.block_id, coalesce(l.label, '') AS cited, n.question, CASE WHEN n.error <> '' THEN '［请求失败］' || n.error ELSE n.answer END AS answer FROM numbered n LEFT JOIN {sql.cites('numbered', 'doc_id, block_id, seq', 'ablocks', 'print')} l ON l.doc_id = n.doc_id AND l.block_id = n.block_id AND l.seq = n.seq"))
+@query("X6_print_view", c("numbered blocks", f"SELECT n.doc_id, n.q_no, n.block_id, coalesce(l.label, '') AS cited, n.question, CASE WHEN n.error <> '' THEN '［请求失败］' || n.error ELSE n.answer END AS answer FROM numbered n LEFT JOIN {sql.cites('numbered', 'doc_id, block_id, seq', 'blocks', 'print')} l ON l.doc_id = n.doc_id AND l.block_id = n.block_id AND l.seq = n.seq"))
 def print_view(spark, sf):
     return ex.print_view(inputs.asked_blocks(spark, sf), inputs.messages(spark, sf))
 

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["T1_normalize_whitespace", "T6_coalesce_lines", "T8_split_long_paragraph", "K3_context_budget", "R3_rank_blocks", "C9_pack_context", "Q1_pair_messages", "E1_apply_edits", "A2_chunk_by_budget", "X3_build_markdown", "V3_fold_deltas_stream", "V7_question_counts", "P5_assign_column"]
+CHECKED = ["T1_normalize_whitespace", "T6_coalesce_lines", "T8_split_long_paragraph", "K3_context_budget", "R3_rank_blocks", "C9_pack_context", "Q1_pair_messages", "E1_apply_edits", "A2_chunk_by_budget", "X3_build_markdown", "V3_fold_deltas_stream", "V5_append_answers", "V7_question_counts", "P5_assign_column", "P13_lines_to_blocks"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -22,7 +22,7 @@ def test_equals_sql(spark, name):
 
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert {q for q in set(entry.queries()) - set(entry.oracle_sql()) if not q.startswith(("op", "pipeline"))} == {"P12_table_runs", "P13_lines_to_blocks", "P16_attach_citation_marks"}
+    assert {q for q in set(entry.queries()) - set(entry.oracle_sql()) if not q.startswith(("op", "pipeline"))} == {"P16_attach_citation_marks"}
 
 
 def test_entry(spark):
