@@ -34,6 +34,8 @@ _MARK[list(b".,;:!?")] = True
 #: Last bytes of characters of two or three bytes that are white space.
 _LAST = np.zeros(256, bool)
 _LAST[[0x85, 0xA0, 0x80, *range(0x81, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xE1, 0xE2, 0xE3]] = True
 
 
 def byte_letters() -> list[str]:
@@ -61,11 +63,17 @@ class HeapCounter:
         self.letters = {c: b for b, c in enumerate(byte_letters())}
         self.symbol = [vocab[c] for c in byte_letters()]
         self.size = max(vocab.values()) + 1
-        self.rank: dict[int, int] = {}
-        self.made = array("l")
+        # The rank of a pair of symbols, by the first of them, and the symbol that it makes. `none` follows and is followed
+        # by nothing: it stands for merged and missing symbols.
+        self.none = max(vocab.values()) + 1
+        nothing: dict[int, int] = {}
+        self.follow = [nothing] * (self.none + 1)
+        self.made: list[int] = []
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.rank.setdefault(vocab[a] * self.size + vocab[b], rank)
+            if self.follow[vocab[a]] is nothing:
+                self.follow[vocab[a]] = {}
+            self.follow[vocab[a]].setdefault(vocab[b], rank)
             self.made.append(vocab[a + b])
         self.splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.young: dict[str, int] = {}
@@ -76,36 +84,39 @@ class HeapCounter:
         n = len(word)
         if n == 1:
             return 1
-        rank, size, made, pop, push = self.rank, self.size, self.made, heapq.heappop, heapq.heappush
-        # Long runs of letters are words too: their lists are packed.
-        pack = list if n < 4096 else lambda values: array("l", values)
-        symbols = pack(map(self.symbol.__getitem__, word))
-        after, before = pack(range(1, n + 1)), pack(range(-1, n - 1))
-        # An entry holds rank and place in one number; it is stale if the pair now at the place has another rank.
-        heap = [r << 40 | i for i in range(n - 1) if (r := rank.get(symbols[i] * size + symbols[i + 1])) is not None]
+        follow, made, none, pop, push = self.follow, self.made, self.none, heapq.heappop, heapq.heappush
+        # Long runs of letters are words too: their lists are packed. An entry of the heap holds rank and place.
+        bits, pack = (13, list) if n < 1 << 13 else (40, lambda values: array("l", values))
+        mask = (1 << bits) - 1
+        # The place behind the word, which is also that before it, holds no symbol.
+        symbols = pack([*map(self.symbol.__getitem__, word), none])
+        after, before = pack(range(1, n + 1)), pack(range(-1, n))
+        heap = [r << bits | i for i in range(n - 1) if (r := follow[symbols[i]].get(symbols[i + 1])) is not None]
         heapq.heapify(heap)
         left = n
         while heap:
             entry = pop(heap)
-            i = entry & 0xFFFFFFFFFF
+            i, r = entry & mask, entry >> bits
             j = after[i]
-            if j >= n or rank.get(symbols[i] * size + symbols[j]) != entry >> 40:
+            if follow[symbols[i]].get(symbols[j]) != r:
+                # Stale: one of the two has been merged since.
                 continue
-            merged = symbols[i] = made[entry >> 40]
-            # A dead symbol forms no pair that has a rank.
-            symbols[j] = -size
+            merged = symbols[i] = made[r]
+            symbols[j] = none
             left -= 1
             after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (new := rank.get(merged * size + symbols[k])) is not None:
-                    push(heap, new << 40 | i)
-            if (h := before[i]) >= 0 and (new := rank.get(symbols[h] * size + merged)) is not None:
-                push(heap, new << 40 | h)
+            before[k] = i
+            if (r := follow[merged].get(symbols[k])) is not None:
+                push(heap, r << bits | i)
+            h = before[i]
+            if (r := follow[symbols[h]].get(merged)) is not None:
+                push(heap, r << bits | h)
         return left
 
     def text(self, text: str) -> int:
         """Tokens of a text: one for each special token in it, the others those of its words."""
+        if not any(s in text for s in self.special):
+            return sum(map(self.word, self.words(text)))
         rest, total = [text], 0
         while rest:
             part = rest.pop()
@@ -115,13 +126,13 @@ class HeapCounter:
                 total += 1
                 rest += [part[at + len(s) :], part[:at]]
             elif part:
-                total += sum(self.word(w) for w in self.words(part))
+                total += sum(map(self.word, self.words(part)))
         return total
 
     def words(self, part: str) -> list[bytes]:
         """The words of a part as the vocabulary's own splitter cuts them. Letters after at most one space are one."""
         bare = part[1:] if part[:1] == " " else part
-        if bare.isascii() and bare.isalpha():
+        if bare.isalpha() and max(bare) < "\u0250":
             return [part.encode()]
         return [bytes(map(self.letters.__getitem__, w)) for w, _ in self.splitter.pre_tokenize_str(part)]
 
@@ -133,14 +144,11 @@ class HeapCounter:
             # Frequent parts come over from the old generation as they are met again.
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        out = np.empty(len(distinct), np.int64)
-        for i, p in enumerate(distinct):
-            n = young.get(p)
-            if n is None:
+        for p in distinct:
+            if p not in young:
                 n = old.get(p)
-                young[p] = n = self.text(p) if n is None else n
-            out[i] = n
-        return out[coded.indices.to_numpy()]
+                young[p] = self.text(p) if n is None else n
+        return np.fromiter(map(young.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
 
     def forget(self) -> None:
         self.young, self.old = {}, {}
@@ -154,7 +162,7 @@ def cuts(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     now, prior = data[first:hi], data[first - 1 : hi - 1]
     # Behind characters beyond ASCII only where no white space has such bytes.
-    wide = (prior >= 0x80) & ~(_LAST[prior] & ((data[first - 2 : hi - 2] == 0xC2) | np.isin(data[first - 3 : hi - 3], [0xE1, 0xE2, 0xE3])))
+    wide = (prior >= 0x80) & ~(_LAST[prior] & ((data[first - 2 : hi - 2] == 0xC2) | _LEAD[data[first - 3 : hi - 3]]))
     solid = ((prior > 0x20) & (prior < 0x7F)) | wide
     return np.flatnonzero((((now == 0x20) | (now == 0x0A)) & solid) | (_MARK[now] & _LETTER[prior])) + first
 
@@ -165,7 +173,9 @@ def parts(data: np.ndarray, offsets: np.ndarray, step: int = STEP) -> Iterator[t
     for lo in range(0, n, step):
         hi = min(lo + step, n)
         texts = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)]
-        starts = np.union1d(np.concatenate([texts, cuts(data, lo, hi)]), [open_at])
+        starts = np.concatenate([[open_at], texts, cuts(data, lo, hi)])
+        starts.sort(kind="stable")
+        starts = starts[np.diff(starts, prepend=-1) > 0]
         ends = np.append(starts, n) if hi == n else starts
         open_at = int(starts[-1])
         if len(ends) > 1:
