@@ -233,7 +233,12 @@ def collocations(docs: DataFrame) -> DataFrame:
     cut = whole.withColumns({"r1": second_r}).withColumn("x1", _score("p_one", "r1")).withColumn("x2", F.when(F.col("k") == LONGEST, _score("p_two", "s_one")))
     later = F.col("x2") < F.col("x1")
     scored = cut.select("lang", "phrase", F.col("f").alias("a"), F.when(later, F.col("p_two")).otherwise(F.col("p_one")).alias("l"), F.when(later, F.col("s_one")).otherwise(F.col("r1")).alias("r"), F.when(later, F.col("x2")).otherwise(F.col("x1")).alias("score"))
+    # Scores are counted in about 220 classes a language; only those classes are sorted that can hold the first phrases.
+    scored = stored(scored.withColumn("class", F.floor(16 * F.log1p(F.col("score").cast("double")))), "scored")
+    down = Window.partitionBy("lang").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
+    classes = scored.groupBy("lang", "class").agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.coalesce(F.sum("n").over(down), F.lit(0)))
+    least = classes.where(F.col("above") < FIRST).groupBy("lang").agg(F.min("class").alias("least"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= FIRST)
+    ranked = scored.join(least, "lang").where(F.col("class") >= F.col("least")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= FIRST)
     totals = counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
