@@ -31,6 +31,8 @@ ORDER_SAMPLE, ORDER_SHINGLES = 64, 1 << 16
 STEP = 1 << 20
 #: Linear rounds of comparisons before all remaining pairs are compared.
 STAR_ROUNDS = 2
+#: A set of more members is dealt to so many tasks.
+LARGE_SET, SALTS = 256, 64
 #: Documents whose sets are asked for are sent to all tasks up to so many ids (8 bytes each); beyond it Spark joins.
 BROADCAST_IDS = 1 << 20
 
@@ -148,6 +150,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return links
 
 
+def _placed(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """doc_id, n, rep for each of docs(doc_id, n, set_id). Sets of one member stand for themselves. The members of a
+    large set are dealt to SALTS tasks, then those of all others are joined by their set."""
+    many = reps.where("members > 1")
+    salted = many.where(F.col("members") > LARGE_SET).select("set_id", F.col("rep").alias("large_rep"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(SALTS)).cast("int")
+    dealt = docs.withColumn("salt", salt).join(salted, ["set_id", "salt"], "left").drop("salt")
+    # Rows that have their set's representative, or no set, get keys of their own: they meet nothing and nobody.
+    key = F.when(F.col("large_rep").isNull() & F.col("set_id").isNotNull(), F.col("set_id")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")))
+    small = many.where(F.col("members") <= LARGE_SET).select(F.col("set_id").alias("key"), F.col("rep").alias("small_rep"))
+    joined = dealt.withColumn("key", key).join(small, "key", "left")
+    return joined.select("doc_id", "n", F.coalesce("large_rep", "small_rep", "doc_id").alias("rep"))
+
+
 def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text): the smallest doc_id that it reaches through
     links 100 * intersection >= percent * union.
@@ -161,12 +177,13 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     profile = stored(profiles(own, words, percent, hot), "profiles")
     known = F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()
     reps = profile.where(known).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    # Sets of one member stand for themselves; only the others are joined, whose rows adaptive execution may split.
-    many = reps.where("members > 1").select("set_id", "rep")
-    joined = profile.join(many, "set_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    sets = stored(joined.where(known & (F.col("rep") == F.col("doc_id"))).select("rep", "n", "bits", "prefix").dropDuplicates(["rep"]), "representatives")
-    placed = stored(profile.select("doc_id", "n", "set_id").join(many, "set_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "placed")
-    discard(profile)
+    reps = stored(reps, "sets")
+    # Joined by document, not by set: copies of one text do not meet.
+    first = reps.select("rep", F.col("set_id").alias("rep_set"))
+    of_rep = profile.join(first, (F.col("doc_id") == F.col("rep")) & (F.col("set_id") == F.col("rep_set")))
+    sets = stored(of_rep.select("rep", "n", "bits", "prefix").dropDuplicates(["rep"]), "representatives")
+    placed = stored(_placed(profile.select("doc_id", "n", "set_id"), reps), "placed")
+    discard(profile, reps)
 
     tokens = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     order = Window.partitionBy("token").orderBy("n", "rep")
