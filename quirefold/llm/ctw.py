@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,20 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key, owner
 
 
+def _gram_steps(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """_grams of some texts at once, of one long text part by part: each part looks back over DEPTH bytes."""
+    if len(data) <= STEP or len(offsets) != 2:
+        yield _grams(data, offsets)
+        return
+    padded = np.concatenate([np.zeros(DEPTH, np.uint8), data, np.zeros(1, np.uint8)])
+    for lo in range(0, len(data) + 1, STEP):
+        n = min(STEP, len(data) + 1 - lo)
+        key = np.zeros(n, np.int64)
+        for d in range(DEPTH + 1):
+            key |= padded[lo + DEPTH - d : lo + DEPTH - d + n].astype(np.int64) << (8 * d)
+        yield key, np.zeros(n, np.int64)
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """kind (0: token hashes, 1: byte grams), key, n over all whole texts of `docs` (text, train; null is empty).
 
@@ -77,10 +92,12 @@ def counts(docs: DataFrame) -> DataFrame:
 
         for batch in steps(batches, "text", STEP):
             data, offsets = utf8(batch.column("text").filter(batch.column("train")))
-            other = np.unique(_grams(*utf8(batch.column("text").filter(pc.invert(batch.column("train")))))[0])
-            held[1].append((other, np.zeros(len(other), np.int64)))
-            for kind, keys in ((0, word_hashes(data, offsets)[0].view(np.int64)), (1, _grams(data, offsets)[0])):
-                held[kind].append(np.unique(keys, return_counts=True))
+            others = _gram_steps(*utf8(batch.column("text").filter(pc.invert(batch.column("train")))))
+            taught = ((1, *np.unique(keys, return_counts=True)) for keys, _ in _gram_steps(data, offsets))
+            asked = ((1, distinct, np.zeros(len(distinct), np.int64)) for distinct in (np.unique(keys) for keys, _ in others))
+            words = ((0, *np.unique(word_hashes(data, offsets)[0].view(np.int64), return_counts=True)) for _ in range(1))
+            for kind, keys, n in chain(asked, words, taught):
+                held[kind].append((keys, n))
                 if sum(len(h[0]) for h in held[kind]) > HELD_KEYS:
                     held[kind] = merged(held[kind])
                     if len(held[kind][0][0]) > HELD_KEYS // 2:
@@ -93,108 +110,8 @@ def counts(docs: DataFrame) -> DataFrame:
     return stored(found.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the gamma function for x > 0, by Stirling's series from 8 on and the recurrence below."""
-    shift = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(8):
-        low = y < 8
-        shift[low] += np.log(y[low])
-        y[low] += 1
-    z = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - shift
-
-
-def _bits(counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones that each of the 255 decision nodes (in heap order) has seen, from counts of the 256 bytes."""
-    zeros, ones = [], []
-    for level in range(8):
-        s = counted.reshape(len(counted), 2 << level, -1).sum(2)
-        zeros.append(s[:, 0::2])
-        ones.append(s[:, 1::2])
-    return np.concatenate(zeros, 1), np.concatenate(ones, 1)
-
-
-def _block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - math.log(math.pi)
-
-
-def _byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte, from the probability of a one at each decision node."""
-    out = np.zeros((len(one), 1))
-    first = 0
-    for level in range(8):
-        p = one[:, first : first + (1 << level)]
-        out = (out[:, :, None] + np.log10(np.stack([1 - p, p], axis=2))).reshape(len(one), -1)
-        first += 1 << level
-    return out
-
-
-class Model:
-    """All weights of a small tree on one machine: the plain form that tests hold the tables of `gram_scores` against.
-
-    `child[state * 256 + byte]`: the state of the context longer by that byte before, or -1; `logs[state, byte]`:
-    log10 probability of a byte in a context that ends at the state."""
-
-    def __init__(self, child: np.ndarray, logs: np.ndarray):
-        self.child, self.logs = child, logs
-
-    @classmethod
-    def of(cls, tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-        """From, for each depth, the kept contexts (ascending) and their counts of the 256 bytes."""
-        parent = [np.zeros(0, np.int64)]
-        for d in range(1, len(tables)):
-            parent.append(np.searchsorted(tables[d - 1][0], tables[d][0] & ((1 << 8 * (d - 1)) - 1)))
-        deepest = len(tables) - 1
-        stop: list[np.ndarray] = [np.zeros(0)] * len(tables)
-        rest: list[np.ndarray] = [np.zeros(0)] * len(tables)
-        below = np.zeros(0)
-        for d in range(deepest, -1, -1):
-            counted = tables[d][1]
-            own = _block(*_bits(counted))
-            if d == DEPTH:
-                stop[d], total = np.ones_like(own), own
-            else:
-                left, longer = counted.copy(), np.zeros_like(own)
-                if d < deepest and len(tables[d + 1][0]):
-                    np.subtract.at(left, parent[d + 1], tables[d + 1][1])
-                    np.add.at(longer, parent[d + 1], below)
-                a, b = _bits(left)
-                rest[d] = (b + 0.5) / (a + b + 1)
-                longer += _block(a, b)
-                stop[d] = 1 / (1 + np.exp(np.clip(longer - own, -700, 700)))
-                total = np.logaddexp(own, longer) - math.log(2)
-            below = total
-        first = np.cumsum([0] + [len(t[0]) for t in tables])
-        child = np.full(int(first[-1]) * 256, -1, np.int32)
-        logs = np.zeros((int(first[-1]), 256), np.float32)
-        said = left_over = np.zeros(0)
-        for d, (contexts, counted) in enumerate(tables):
-            a, b = _bits(counted)
-            estimate = stop[d] * (b + 0.5) / (a + b + 1)
-            if d == 0:
-                said, left_over = estimate, 1 - stop[d]
-            else:
-                child[(first[d - 1] + parent[d]) * 256 + (contexts >> 8 * (d - 1))] = first[d] + np.arange(len(contexts))
-                said, left_over = said[parent[d]] + left_over[parent[d]] * estimate, left_over[parent[d]] * (1 - stop[d])
-            one = said if d == DEPTH else said + left_over * rest[d]
-            logs[first[d] : first[d + 1]] = _byte_logs(np.clip(one, 1e-12, 1 - 1e-12))
-        return cls(child, logs)
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the lowest byte of each key after the bytes above it."""
-        state = np.zeros(len(keys), np.int32)
-        live = np.arange(len(keys), dtype=np.int32)
-        for d in range(1, DEPTH + 1):
-            found = self.child[state[live].astype(np.int64) * 256 + ((keys[live] >> 8 * d) & 255)]
-            live, found = live[found >= 0], found[found >= 0]
-            state[live] = found
-        return self.logs[state, keys & 255]
-
-
 def _log_gamma(x: Column) -> Column:
-    """Logarithm of the gamma function for x > 0, as `log_gamma`."""
+    """Logarithm of the gamma function for x > 0, by Stirling's series from 8 on and the recurrence below."""
     y = x + 8
     z = 1 / (y * y)
     below = x
@@ -254,7 +171,8 @@ def frequent(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def scores(docs: DataFrame, train: Column) -> DataFrame:
     """Per row of docs (doc_id, text): n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
-    `train` says of a row whether it teaches the model. Tokens are hashed to 64 bits. A null or empty text is one end.
+    `train` says of a row whether it teaches the model. Tokens are hashed to 64 bits. A null or empty text is one end, a
+    zero byte in a text counts as an end too. One long text is taken part by part.
     Without any training row every base score is 0 and the model is even over bytes.
     """
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -277,29 +195,39 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
 
         def lists(keys: np.ndarray, of: np.ndarray, n: int) -> list[pa.Array]:
             """Each key once a text, and its number there."""
+            keys, of, times = once(keys, of, np.ones(len(keys), np.int64))
+            return listed(keys, of, times, n)
+
+        def once(keys: np.ndarray, of: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             order = np.lexsort((keys, of))
-            keys, of = keys[order], of[order]
+            keys, of, times = keys[order], of[order], times[order]
             first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])) if len(keys) else np.zeros(0, np.int64)
-            cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=n))]), pa.int32())
-            return [pa.ListArray.from_arrays(cuts, pa.array(v, t)) for v, t in ((keys[first], pa.int64()), (np.diff(np.append(first, len(keys))), pa.int32()))]
+            return keys[first], of[first], np.add.reduceat(times, first) if len(first) else times
+
+        def listed(keys: np.ndarray, of: np.ndarray, times: np.ndarray, n: int) -> list[pa.Array]:
+            cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]), pa.int32())
+            return [pa.ListArray.from_arrays(cuts, pa.array(v, t)) for v, t in ((keys, pa.int64()), (times, pa.int32()))]
 
         for batch in steps(batches, "text", STEP):
             n = batch.num_rows
             data, offsets = utf8(batch.column("text"))
-            keys, owner = _grams(data, offsets)
-            distinct, place = np.unique(keys, return_inverse=True)
-            at = np.minimum(np.searchsorted(gram, distinct), max(len(gram) - 1, 0))
-            is_held = gram[at] == distinct if len(gram) else np.zeros(len(distinct), bool)
-            held = np.where(is_held, gram_score[at], 0.0) if len(gram) else np.zeros(len(distinct))
-            score = np.bincount(owner, held[place], n)
-            apart = np.flatnonzero(~is_held[place])
+            score, apart = np.zeros(n), []
+            for keys, owner in _gram_steps(data, offsets):
+                distinct, place = np.unique(keys, return_inverse=True)
+                at = np.minimum(np.searchsorted(gram, distinct), max(len(gram) - 1, 0))
+                is_held = gram[at] == distinct if len(gram) else np.zeros(len(distinct), bool)
+                held = np.where(is_held, gram_score[at], 0.0) if len(gram) else np.zeros(len(distinct))
+                score += np.bincount(owner, held[place], n)
+                left = ~is_held[place]
+                apart.append(once(keys[left], owner[left], np.ones(int(left.sum()), np.int64)))
+            apart = apart[0] if len(apart) == 1 else once(*map(np.concatenate, zip(*apart)))
             h, per_text = word_hashes(data, offsets)
             h, text = h.view(np.int64), np.repeat(np.arange(n), per_text)
             at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
             is_common = known[at] == h if len(known) else np.zeros(len(h), bool)
             base = np.bincount(text[is_common], np.log10((times[at[is_common]] + 0.1) / below), n) + math.log10((ends + 0.1) / below)
             seen = np.bincount(text[is_common], minlength=n) + int(ends > 0)
-            rare = [*lists(h[~is_common], text[~is_common], n), *lists(keys[apart], owner[apart], n)]
+            rare = [*lists(h[~is_common], text[~is_common], n), *listed(*apart, n)]
             columns = [batch.column("doc_id"), batch.column("train"), pa.array(per_text + 1, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(score), pa.array(np.diff(offsets), pa.int64()), *rare]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "train", "n_tokens", "seen", "base", "score", "n_bytes", "rare", "times", "grams", "gram_times"])
 

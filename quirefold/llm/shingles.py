@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from quirefold.llm.runs import blocks
+
 #: Fixed: white space that parts words; A-Z are lower-cased, nothing else.
 BLANKS = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
 _BLANK = np.zeros(256, bool)
@@ -14,6 +16,8 @@ _VALUE = _random[:256].copy()
 _VALUE[65:91] = _VALUE[97:123]
 _VALUE[BLANKS] = 0
 _BASE = _random[256] | np.uint64(1)
+#: Bytes of one long text whose words are hashed at once.
+LONG = 1 << 22
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -28,6 +32,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    if n == 1 and len(data) > LONG:
+        # Cut behind blanks; a longer word is hashed whole.
+        parts = [_hashed(data[lo:hi], np.array([0, hi - lo]))[0] for lo, hi in blocks(data, ~_BLANK, LONG)]
+        return np.concatenate(parts), np.array([sum(map(len, parts))])
+    return _hashed(data, offsets)
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = ~_BLANK[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
