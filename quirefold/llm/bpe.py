@@ -8,6 +8,7 @@ others, are merged exactly, lowest rank first.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 from collections.abc import Iterator
@@ -18,13 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import ragged, release_memory, steps
+from quirefold.llm.common import ragged, release_memory, steps, utf8
 from quirefold.llm.words import PieceTable
 
 #: Rank of a token that no merge makes, and of a pair that no merge joins.
 NEVER = np.int64(1 << 40)
 #: Bytes of text that a task encodes at once.
 STEP = 1 << 20
+#: Bytes of a text from which on it is encoded part by part.
+LONG = 1 << 22
 #: Distinct pieces of text kept between steps; two workers share an executor with the JVM.
 KEPT_PIECES = 200_000
 
@@ -252,6 +255,22 @@ def cut_before_blanks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return values, sizes
 
 
+def long_parts(data: np.ndarray) -> Iterator[pa.Array]:
+    """A long text in parts of about STEP bytes, each an array of one string, cut where a space or line feed follows a
+    printable ASCII character: no word of the splitter goes on from there, none looks further back, and no special token
+    holds a blank. A stretch without such a place is not cut."""
+    inside = (data[1:] == 0x20) | (data[1:] == 0x0A)
+    at = np.flatnonzero(inside & (data[:-1] > 0x20) & (data[:-1] < 0x7F)) + 1
+    start = 0
+    while start < len(data):
+        k = int(np.searchsorted(at, start + STEP, side="right")) - 1
+        if k < 0 or at[k] <= start:
+            k = int(np.searchsorted(at, start, side="right"))
+        stop = int(at[k]) if k < len(at) and start + STEP < len(data) else len(data)
+        yield pa.array([data[start:stop].tobytes().decode()], pa.large_string())
+        start = stop
+
+
 _TABLES: dict = {}
 
 
@@ -276,6 +295,11 @@ def encoded_steps(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tupl
     """Step by step: the rows, the ids of all their texts one after another, and where each text ends among them."""
     table = _loaded(path)[1]
     for batch in steps(batches, "text", STEP):
+        data, offsets = utf8(batch.column("text"))
+        if batch.num_rows == 1 and len(data) > LONG:
+            ids = np.concatenate([table.ids_of(cut_before_blanks(part)[0])[0] for part in long_parts(data)])
+            yield batch, ids, np.array([len(ids)])
+            continue
         pieces, per_text = cut_before_blanks(batch.column("text"))
         ids, per_piece = table.ids_of(pieces)
         yield batch, ids, np.concatenate([[0], np.cumsum(per_piece)])[np.cumsum(per_text)]
@@ -303,6 +327,17 @@ def decode_bytes(ids: np.ndarray, ends: np.ndarray, path: str) -> list[memoryvie
     return _cut(_loaded(path)[2].take(pa.array(ids)), ends)
 
 
+def _digests(ids: np.ndarray, path: str) -> tuple[list[str], list[str]]:
+    """The digests of round_trip for the ids of one long text, part by part."""
+    listed, decoded, reader = hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+    for lo in range(0, len(ids), STEP):
+        part = ids[lo : lo + STEP]
+        text = bytes(_cut(_loaded(path)[3].take(pa.array(part)), np.array([len(part)]))[0])
+        listed.update(text if lo + STEP < len(ids) else text[:-1])
+        decoded.update(reader.decode(bytes(decode_bytes(part, np.array([len(part)]), path)[0]), lo + STEP >= len(ids)).encode())
+    return [listed.hexdigest()], [decoded.hexdigest()]
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, SHA-256 of the decimal ids joined by commas, and of the text decoded from them
     (bytes that are no UTF-8 become U+FFFD). One row for each row; null and empty texts have no tokens."""
@@ -310,8 +345,11 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decimal = _loaded(path)[3]
         for batch, ids, ends in encoded_steps(batches, path):
-            listed = [hashlib.sha256(v[:-1]).hexdigest() for v in _cut(decimal.take(pa.array(ids)), ends)]
-            decoded = [hashlib.sha256(str(v, "utf-8", "replace").encode()).hexdigest() for v in decode_bytes(ids, ends, path)]
+            if len(ends) == 1 and len(ids) > STEP:
+                listed, decoded = _digests(ids, path)
+            else:
+                listed = [hashlib.sha256(v[:-1]).hexdigest() for v in _cut(decimal.take(pa.array(ids)), ends)]
+                decoded = [hashlib.sha256(str(v, "utf-8", "replace").encode()).hexdigest() for v in decode_bytes(ids, ends, path)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(listed), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
