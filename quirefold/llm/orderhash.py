@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 #: Words of a k-mer, ranges (a power of two), and k-mers kept of a range.
 KMER, BINS, SKETCH = 3, 32, 2
-#: A run without blanks counts as words of so many characters, so that texts without blanks have k-mers too.
-WORD = r"\S{1,16}"
+#: Characters after which a long run without blanks is cut: those of scripts that write no blanks, and some of others.
+_CUT = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}aeiouAEIOU0-4/+=._-"
+#: A run of up to 16 characters is a word. A longer one is cut behind such characters, after 16 others at the latest: the
+#: cuts depend on the characters around them, so an insertion changes the words next to it and no others.
+WORD = rf"(?<!\S)\S{{1,16}}(?!\S)|[^\s{_CUT}]{{0,15}}[{_CUT}]|[^\s{_CUT}]{{1,16}}"
 #: Packed numbers: a position takes the lowest bits, a hash those above.
 POSITION_BITS = 30
 _POSITION = (1 << POSITION_BITS) - 1
