@@ -13,7 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, components, ctw, decontaminate, jaccard, language, orderhash, pii, quality, queries, sql, token_files, warc
+from context_tree import ContextTree
+from quirefold.llm import bpe, components, ctw, decontaminate, jaccard, language, orderhash, pii, quality, queries, shingles, sql, token_files, warc
 from quirefold.llm.common import ship
 
 SMALL, LESS = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -75,6 +76,23 @@ def test_bpe_equals_library(docs, empty):
     assert {c: t for c, t in bpe.encode(docs, path).dtypes}["ids"] == "array<int>"
 
 
+def test_bpe_of_long_texts_part_by_part(docs, monkeypatch):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    rows = lambda: sorted((tuple(r) for r in bpe.round_trip(docs, path).collect()), key=repr)
+    whole = rows()
+    monkeypatch.setattr(bpe, "STEP", 40)
+    monkeypatch.setattr(bpe, "LONG", 60)
+    text = "é — two  words\n\nthen <|endoftext|> x. " * 9 + "a" * 90
+    parts = [p[0].as_py() for p in bpe.long_parts(np.frombuffer(text.encode(), np.uint8))]
+    assert "".join(parts) == text and len(parts) > 5
+    counted = library("byte_bpe_50k.json")
+    ids = np.array(counted.encode(text, add_special_tokens=False).ids, np.uint16)
+    assert bpe._digests(ids, path) == ([hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()], [hashlib.sha256(text.encode()).hexdigest()])
+    table = bpe._loaded(path)[1]
+    assert np.concatenate([table.ids_of(bpe.cut_before_blanks(p)[0])[0] for p in bpe.long_parts(np.frombuffer(text.encode(), np.uint8))]).tolist() == ids.tolist()
+    assert rows() == whole
+
+
 def test_bpe_pairs_are_those_of_exact_merging():
     pairs = bpe.BytePairs(queries.tokenizer_path("byte_bpe_50k.json"))
     rng = np.random.default_rng(1)
@@ -164,6 +182,32 @@ def test_order_counts(spark):
     assert 0.2 < d < 0.8  # the same k-mers but few, in another order
 
 
+def test_insertions_into_runs_without_blanks(spark):
+    """One character more changes the k-mers around it only: Chinese, and letters and digits without any blank."""
+    r = random.Random(5)
+    han, code = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(600)), "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(3000))
+    df = spark.createDataFrame([(t, t[:5] + "新x"[k] + t[5:]) for k, t in enumerate((han, code))], "x string, y string")
+    d = orderhash.with_fingerprint(orderhash.with_fingerprint(df, "x", "p"), "y", "q").select(orderhash.likeness(F.col("p"), F.col("q")).alias("d")).collect()
+    assert all(x["d"] > 0.8 for x in d)
+
+
+def brute_fingerprint(text):
+    """The words of each k-mer kept: the least hashes need Spark, so only which k-mers exist, and how often, is told."""
+    w = re.findall(r"\S+", text)
+    return collections.Counter(tuple(w[i : i + orderhash.KMER]) for i in range(max(1, len(w) - orderhash.KMER + 1))) if w else collections.Counter()
+
+
+def test_fingerprints_rest_on_occurrence_numbered_k_mers(spark):
+    """Texts of the same k-mers, as often and in the same order, have equal fingerprints; one more occurrence changes what
+    is compared, and texts without a common k-mer agree in no range."""
+    a, b = sentence(21, 120), sentence(22, 120)
+    assert not brute_fingerprint(a) & brute_fingerprint(b) and brute_fingerprint(a + " " + a) != brute_fingerprint(a)
+    rows = [(a, "  " + a.replace(" ", "\n\t")), (a, b), (a, a + " " + a), ("", " "), ("one two", "one two"), ("one two", "two one")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    got = [r["d"] for r in orderhash.with_fingerprint(orderhash.with_fingerprint(df, "x", "p"), "y", "q").select(orderhash.likeness(F.col("p"), F.col("q")).alias("d")).collect()]
+    assert got[0] == 1 and got[1] == 0 and 0 < got[2] < 1 and got[3:] == [1, 1, 0]
+
+
 def test_decontamination_cuts_and_removes(spark, docs, empty):
     item = sentence(2, 300).split()
     bench = spark.createDataFrame([(1, " ".join(item[20:45]), 0), (2, "X", 0), (3, None, 0), (4, "", 0)], "item_id long, text string, extra int")
@@ -211,21 +255,12 @@ def test_language_model(spark, docs, empty):
     assert len(got) == docs.count() and ctw.scores(empty, F.lit(True)).count() == 0
 
 
-def test_contexts_mix_all_depths():
-    data = np.frombuffer(b"abracadabra" * 50, np.uint8)
-    keys, _ = ctw._grams(data, np.array([0, len(data)]))
-    tables = []
-    for d in range(ctw.DEPTH + 1):
-        contexts, row = np.unique((keys >> 8) & ((1 << 8 * d) - 1), return_inverse=True)
-        counted = np.zeros((len(contexts), 256))
-        np.add.at(counted, (row, keys & 255), 1)
-        tables.append((contexts, counted))
-    model = ctw.Model.of(tables)
-    assert np.allclose((10.0**model.logs).sum(1), 1, atol=1e-4)
-    assert -model.score(keys).mean() * math.log2(10) < 0.5
+def test_context_tree_is_a_distribution():
+    tree = ContextTree(["abracadabra" * 50], ctw.DEPTH)
+    context = b"rabra"[-ctw.DEPTH :]
+    assert sum(10 ** tree.log10(context, byte) for byte in range(256)) == pytest.approx(1)
     # A tree of the root alone: weighting cannot change the estimate.
-    one = ctw.Model.of([(np.zeros(1, np.int64), np.eye(256)[[97]] * 3)])
-    assert one.logs[0, 97] == pytest.approx(8 * math.log10(3.5 / 4), abs=1e-4)
+    assert ContextTree(["aa"], 0).log10(b"", 97) == pytest.approx(math.log10(3.5 / 4) + math.log10(2.5 / 4) + 6 * math.log10(2.5 / 3))
 
 
 def test_components(spark):
@@ -273,17 +308,25 @@ def test_language_model_keeps_every_context(spark, docs, monkeypatch, cache):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None] + [(100, "qzxwv jkpyf"), (101, "qzxwv jkpyf"), (102, "never seen #~")]
     held = (8, 101, 102)
     got = {r["doc_id"]: r for r in ctw.scores(spark.createDataFrame(rows, "doc_id long, text string"), ~F.col("doc_id").isin(*held)).collect()}
-    grams = lambda t: ctw._grams(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0]
-    keys = np.concatenate([grams(t) for i, t in rows if i not in held])
-    tables = []
-    for d in range(ctw.DEPTH + 1):
-        contexts, row = np.unique((keys >> 8) & ((1 << 8 * d) - 1), return_inverse=True)
-        counted = np.zeros((len(contexts), 256))
-        np.add.at(counted, (row, keys & 255), 1)
-        tables.append((contexts, counted))
-    model = ctw.Model.of(tables)
+    tree = ContextTree([t for i, t in rows if i not in held], ctw.DEPTH)
     for i, t in rows:
-        assert got[i]["score"] == pytest.approx(float(model.score(grams(t)).sum(dtype=float)), rel=1e-4, abs=1e-4), i
+        assert got[i]["score"] == pytest.approx(tree.score(t), rel=1e-4, abs=1e-4), i
+
+
+def test_long_texts_are_taken_part_by_part(spark, monkeypatch):
+    """The scores of a text do not depend on how much of it a step takes."""
+    text = sentence(3, 3000)
+    frame = spark.createDataFrame([(1, text), (2, text[:5000]), (3, "short one")], "doc_id long, text string")
+    run = lambda: {r["doc_id"]: r for r in ctw.scores(frame, F.col("doc_id") == 1).collect()}
+    whole = run()
+    monkeypatch.setattr(ctw, "STEP", 700)
+    monkeypatch.setattr(ctw, "CACHE", 50)
+    parts = run()
+    for i, r in whole.items():
+        assert parts[i]["score"] == pytest.approx(r["score"], rel=1e-9) and parts[i]["base_score"] == pytest.approx(r["base_score"], rel=1e-9) and parts[i]["n_known"] == r["n_known"]
+    data = np.frombuffer(text.encode(), np.uint8)
+    monkeypatch.setattr(shingles, "LONG", 100)
+    assert shingles.word_hashes(data, np.array([0, len(data)]))[0].tolist() == shingles._hashed(data, np.array([0, len(data)]))[0].tolist()
 
 
 def test_personal_data_goes_on_from_what_it_found(spark):
