@@ -19,6 +19,8 @@ from quirefold.operators import ordered, retrieval
 from quirefold.session import materialize
 
 MIN_BUDGET, MAX_BUDGET = 2000, 120000
+#: A block's own four tokens and the eight around it, which every block costs at least.
+LEAST_COST = 12
 
 
 def resolve_targets(questions: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -231,10 +233,12 @@ def pack_context(q: DataFrame, candidates: DataFrame, blocks: DataFrame) -> Data
         .select("q_id", "doc_id", "idx", "place", room.alias("room"), (tk.estimate_tokens(raw) + 8).alias("cost"))
         .filter(F.col("cost") <= F.col("room"))
     )
+    # No block is cheaper than LEAST_COST and no budget larger than MAX_BUDGET, so a fixed number of places bounds every
+    # (question, cost): with that bound Spark prunes the ranks in each task, before the shuffle.
     w = W.partitionBy("q_id", "cost").orderBy("place", "idx")
     fitting = (
         optional.withColumn("nth", F.row_number().over(w))
-        .filter(F.col("nth") * F.col("cost") <= F.col("room"))
+        .filter((F.col("nth") <= MAX_BUDGET // LEAST_COST) & (F.col("nth") * F.col("cost") <= F.col("room")))
     )
 
     fits = lambda state, c: state["left"] >= c["cost"]

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quirefold.session import materialize
+
 CHUNK_ROWS = 65536
 
 
@@ -83,6 +85,24 @@ def scan(
     return joined.select(*[F.col(c) for c in df.columns], *out)
 
 
+def prefix_maps(maps: DataFrame, keys: list[str], order: str, field: str) -> DataFrame:
+    """keys, order (whole numbers from 0 without gaps), field: a map from small whole numbers to such numbers or null,
+    as an array. Every map is replaced by the composition of all maps of its group up to it, the first applied first.
+
+    Maps that cover 1, 2, 4, .. rows are joined with those before them, so a group of n rows takes log n rounds and no
+    task ever holds more than two maps of a group.
+    """
+    last = maps.agg(F.max(order)).first()[0]
+    step = 1
+    while last is not None and step <= last:
+        before = maps.select(*keys, (F.col(order) + step).alias(order), F.col(field).alias("_before"))
+        both = F.transform("_before", lambda x: F.get(field, x.cast("int")))
+        joined = maps.join(before, [*keys, order], "left")
+        maps = materialize(joined.select(*keys, order, F.when(F.col("_before").isNull(), F.col(field)).otherwise(both).alias(field)), "maps")
+        step *= 2
+    return maps
+
+
 def assemble(fragments: DataFrame, keys: list[str], order: list[str], text: str, sep: str = "") -> DataFrame:
     """keys, text: the ordered texts of each group joined to one value."""
     joined = fragments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("_parts"))

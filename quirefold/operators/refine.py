@@ -54,7 +54,7 @@ def chunk_by_budget(lines: DataFrame, chunk_lines: int | None = None) -> DataFra
 
     A batch holds at most 28 lines, so a chunk of lines can be entered at one of 28 positions only. Each chunk (with
     the 28 lines after it) is followed from all of them at once; the entries that really occur then come from
-    chaining one small row per chunk. No document is folded as a whole.
+    composing the maps of the chunks by doubling. No document is folded as a whole.
     """
     size, ahead = chunk_lines or CHUNK_LINES, v.REFINE_BLOCKS
     # Narrow tables, written once, because each is read by several branches.
@@ -75,17 +75,9 @@ def chunk_by_budget(lines: DataFrame, chunk_lines: int | None = None) -> DataFra
         F.sequence(F.lit(0), F.lit(ahead - 1)),
         lambda e: F.get(F.filter(_starts(F.col("lines"), F.col("at") + e), lambda p: p >= after), 0) - after,
     )
-    links = chunks.filter(more).select("doc_id", F.struct("chunk", exits.alias("exits")).alias("link"))
-    hop = lambda s, k: F.struct(
-        F.get(k["exits"], s["entry"].cast("int")).alias("entry"),
-        F.concat(s["seen"], F.array(F.struct((k["chunk"] + 1).alias("chunk"), F.get(k["exits"], s["entry"].cast("int")).alias("entry")))).alias("seen"),
-    )
-    first = F.struct(F.lit(0).cast("long").alias("entry"), F.array().cast("array<struct<chunk:bigint,entry:bigint>>").alias("seen"))
-    entries = (
-        links.groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list("link")).alias("k"))
-        .select("doc_id", F.explode(F.aggregate("k", first, hop, lambda s: s["seen"])).alias("e"))
-        .select("doc_id", "e.chunk", F.coalesce("e.entry", F.lit(-1)).alias("entry"))
+    links = materialize(chunks.filter(more).select("doc_id", "chunk", exits.alias("exits")), "links")
+    entries = ordered.prefix_maps(links, ["doc_id"], "chunk", "exits").select(
+        "doc_id", (F.col("chunk") + 1).alias("chunk"), F.coalesce(F.get("exits", F.lit(0)), F.lit(-1)).alias("entry")
     )
     entered = chunks.join(entries, ["doc_id", "chunk"], "left").withColumn("starts", _starts(F.col("lines"), F.col("at") + F.coalesce("entry", F.lit(0))))
     marked = (

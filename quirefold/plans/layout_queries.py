@@ -90,7 +90,7 @@ def reading_order(spark, sf):
 
 def _based(spark, sf):
     parts = materialize(inputs.parts(spark, sf), "parts")
-    return materialize(ly.baseline_rows(parts), "rows"), ly.main_height(parts)
+    return ly.baseline_rows(parts), ly.main_height(parts)
 
 
 @query("P7_baseline_rows", c("based", "SELECT doc_id, page, item_no, ly AS line_y, lh AS line_h FROM lined"))
@@ -222,19 +222,38 @@ def parse_warnings(spark, sf):
     return ly.parse_warnings(docs, b, ly.usable_images(inputs.images(spark, sf)))
 
 
-# Words as Han text followed by raised marks: a chain of two marks on every third word, one too far off on every fifth.
+# Words as Han text, of which many have raised marks: one on two of three words, too far off on every fifth, and a second
+# one behind it on every sixth word.
+
+
 def _marked(spark, sf):
     i = inputs.items(spark, sf)
     n, x = F.col("item_no"), F.col("x")
-    rows = F.array(
-        F.struct((n * 3).alias("item_no"), F.concat(F.lit("方法"), "str").alias("str"), x.alias("x0"), (x + 20).alias("x1"), F.col("y").alias("y"), F.lit(12.0).alias("h")),
-        F.struct((n * 3 + 1).alias("item_no"), F.concat(F.lit("["), n.cast("string"), F.lit("]")).alias("str"), (x + F.when(n % 5 == 0, 32).otherwise(22)).alias("x0"), (x + 26).alias("x1"), (F.col("y") + 5).alias("y"), F.lit(8.0).alias("h")),
-        F.struct((n * 3 + 2).alias("item_no"), F.lit("[7]").alias("str"), (x + 27).alias("x0"), (x + 30).alias("x1"), (F.col("y") + 5).alias("y"), F.lit(8.0).alias("h")),
-    )
-    return i.select("doc_id", "page", F.explode(rows).alias("r")).select("doc_id", "page", "r.*").filter((F.col("item_no") % 3 != 2) | (F.floor(F.col("item_no") / 3) % 3 == 0))
-
-
-@query("P16_attach_citation_marks")
+    part = lambda k, text, x0, x1, up, h: F.struct((n * 3 + k).alias("item_no"), text.alias("str"), x0.alias("x0"), x1.alias("x1"), (F.col("y") + up).alias("y"), F.lit(h).alias("h"))
+    first = F.when(n % 3 != 0, part(1, F.concat(F.lit("["), n.cast("string"), F.lit("]")), (x + F.when(n % 5 == 0, 32).otherwise(22)).cast("double"), x + 26, 5, 8.0))
+    second = F.when(n % 6 == 1, part(2, F.lit("[7]"), x + 27, x + 30, 5, 8.0))
+    rows = F.array_compact(F.array(part(0, F.concat(F.lit("方法"), "str"), x, x + 20, 0, 12.0), first, second))
+    return i.select("doc_id", "page", F.explode(rows).alias("r")).select("doc_id", "page", "r.*")
+
+
+# The marks of a page attached one by one; the state of a page is the right edge of each of its texts.
+_MARKS = """mparts AS MATERIALIZED (SELECT doc_id, page, item_no * 3 AS item_no, '方法' || str AS str, x AS x0, x + 20 AS x1, y, CAST(12 AS DOUBLE) AS h FROM items
+ UNION ALL SELECT doc_id, page, item_no * 3 + 1, '[' || item_no || ']', x + CASE WHEN item_no % 5 = 0 THEN 32 ELSE 22 END, x + 26, y + 5, 8 FROM items WHERE item_no % 3 <> 0
+ UNION ALL SELECT doc_id, page, item_no * 3 + 2, '[7]', x + 27, x + 30, y + 5, 8 FROM items WHERE item_no % 6 = 1),
+mh AS (SELECT doc_id, page, hs[len(hs) // 2 + 1] AS m FROM (SELECT doc_id, page, list(h ORDER BY h) AS hs FROM mparts GROUP BY ALL)),
+mkind AS (SELECT p.*, m, h >= m * 0.86 AS big FROM mparts p JOIN mh ON mh.doc_id = p.doc_id AND mh.page = p.page),
+mbase AS MATERIALIZED (SELECT doc_id, page, any_value(m) AS m, list({'no': item_no, 'y': y} ORDER BY x0, item_no) AS bs, list(x1 ORDER BY x0, item_no) AS xs FROM mkind WHERE big AND regexp_matches(str, '[㐀-䶿一-鿿豈-﫿]') GROUP BY doc_id, page),
+mmark AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY x0, item_no) AS k FROM mkind WHERE NOT big AND regexp_matches(str, '^(?:\\[[0-9]+\\])+$')),
+mstep AS (WITH RECURSIVE st AS (SELECT doc_id, page, CAST(0 AS BIGINT) AS k, xs, CAST(NULL AS BIGINT) AS hit FROM mbase
+ UNION ALL SELECT doc_id, page, k, CASE WHEN hit IS NULL THEN xs ELSE list_concat(list_concat(xs[1:hit - 1], [greatest(xs[hit], x1)]), xs[hit + 1:]) END, hit FROM (
+  SELECT s.doc_id, s.page, p.k, s.xs, p.x1, list_min(list_transform(list_filter(list_transform(s.xs, lambda x, i: {'gap': p.x0 - x, 'i': i, 'dy': abs(p.y - b.bs[i].y)}), lambda z: z.gap >= -b.m * 0.2 AND z.gap <= b.m * 0.75 AND z.dy <= b.m * 0.95 AND z.dy >= b.m * 0.12), lambda z: {'gap': z.gap, 'i': z.i})).i AS hit
+  FROM st s JOIN mbase b ON b.doc_id = s.doc_id AND b.page = s.page JOIN mmark p ON p.doc_id = s.doc_id AND p.page = s.page AND p.k = s.k + 1)) SELECT * FROM st),
+mhit AS (SELECT s.doc_id, s.page, s.k, p.item_no, p.str, p.x1, b.bs[s.hit].no AS base FROM mstep s JOIN mbase b ON b.doc_id = s.doc_id AND b.page = s.page JOIN mmark p ON p.doc_id = s.doc_id AND p.page = s.page AND p.k = s.k WHERE s.hit IS NOT NULL)
+SELECT p.doc_id, p.page, p.item_no, p.str || coalesce(h.t, '') AS plain, p.x0, greatest(p.x1, h.x1) AS x1, p.y, p.h FROM mparts p LEFT JOIN (SELECT doc_id, page, base, string_agg(str, '' ORDER BY k) AS t, max(x1) AS x1 FROM mhit GROUP BY ALL) h ON h.doc_id = p.doc_id AND h.page = p.page AND h.base = p.item_no
+ WHERE NOT EXISTS (SELECT 1 FROM mhit g WHERE g.doc_id = p.doc_id AND g.page = p.page AND g.item_no = p.item_no)"""
+
+
+@query("P16_attach_citation_marks", c("qitems", "SELECT * FROM (WITH " + _MARKS + ")"))
 def attach_citation_marks(spark, sf):
     return ly.attach_citation_marks(materialize(_marked(spark, sf), "parts"))
 

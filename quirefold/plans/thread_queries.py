@@ -28,28 +28,33 @@ def _join(col):
 
 
 def _stores(spark, sf):
-    """One store value per conversation turn: a document with one block and one thread of one message."""
+    """Stores of several documents, every tenth conversation of one remainder a document line instead: a conversation is
+    a document of a block per turn, and of its threads with their messages."""
     m = inputs.messages(spark, sf)
-    doc = F.concat(F.lit("d"), "doc_id", F.lit("-"), "seq")
+    doc = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     message = F.struct(F.concat(F.lit("m"), F.col("seq").cast("string")).alias("id"), "role", "content", F.col("created_at").cast("string").alias("createdAt"), F.col("cited").alias("citedParagraphIds"), "error", F.when(F.col("interrupted"), F.lit(True)).alias("interrupted"))
-    block = F.struct(F.lit("p1").alias("id"), F.lit(0).alias("index"), F.lit("paragraph").alias("type"), F.col("content").alias("text"), F.when(F.col("seq") % 2 == 0, F.lit(True)).alias("rich"))
-    thread = F.create_map("thread_key", F.struct(F.col("thread_key").alias("paragraphId"), F.array(message).alias("messages")))
-    d = F.struct(doc.alias("id"), F.concat(F.lit("T "), doc).alias("title"), F.lit("text").alias("format"), F.length("content").alias("size"), F.array(block).alias("paragraphs"), thread.alias("threads"))
-    return m.select(F.to_json(F.struct(F.lit(1).alias("version"), F.create_map(doc, d).alias("documents"))).alias("value"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", c.alias("x")))), lambda s: s["x"])
+    threads = m.groupBy("doc_id", "thread_key").agg(in_order(message).alias("messages"))
+    threads = threads.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("thread_key", F.struct(F.col("thread_key").alias("paragraphId"), "messages").alias("t")))).alias("threads"))
+    block = F.struct(F.concat(F.lit("p"), (F.col("seq") + 1).cast("string")).alias("id"), F.col("seq").alias("index"), F.lit("paragraph").alias("type"), F.col("content").alias("text"), F.when(F.col("seq") % 2 == 0, F.lit(True)).alias("rich"))
+    blocks = m.groupBy("doc_id").agg(in_order(block).alias("paragraphs"), F.sum(F.length("content")).alias("size"))
+    documents = blocks.join(threads, "doc_id").select("doc_id", doc.alias("key"), F.struct(doc.alias("id"), F.concat(F.lit("T "), doc).alias("title"), F.lit("text").alias("format"), "size", "paragraphs", "threads").alias("d"))
+    store = documents.where("doc_id % 10 <> 3").groupBy((F.col("doc_id") % 7).alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("key", "d"))).alias("documents"))
+    return store.select(F.to_json(F.struct(F.lit(1).alias("version"), "documents")).alias("value")).union(documents.where("doc_id % 10 = 3").select(F.to_json("d").alias("value")))
 
 
-_DOC = "'d' || doc_id || '-' || seq"
-
-
-@query("S4_load_store_messages", c("messages", f"SELECT {_DOC} AS doc_id, thread_key, CAST(0 AS BIGINT) AS seq, 'm' || seq AS msg_id, role, content, {_J('cited')} AS cited, coalesce(error, '') AS error, interrupted FROM messages"))
+@query("S4_load_store_messages", c("messages", f"SELECT 'd' || doc_id AS doc_id, thread_key, row_number() OVER (PARTITION BY doc_id, thread_key ORDER BY seq) - 1 AS seq, 'm' || seq AS msg_id, role, content, {_J('cited')} AS cited, coalesce(error, '') AS error, interrupted FROM messages"))
 def load_store_messages(spark, sf):
     m = src.load_store(_stores(spark, sf))["messages"]
     return m.select("doc_id", "thread_key", "seq", "msg_id", "role", "content", _join("cited").alias("cited"), F.coalesce("error", F.lit("")).alias("error"), "interrupted")
 
 
-@query("S4_load_store_blocks", c("messages", f"SELECT {_DOC} AS doc_id, 'T ' || {_DOC} AS title, CAST(length(content) AS BIGINT) AS size, 'p1' AS block_id, 0 AS idx, content AS text, seq % 2 = 0 AS rich FROM messages"))
+@query("S4_load_store_blocks", c("messages", "SELECT 'd' || doc_id AS doc_id, 'T d' || doc_id AS title, CAST(sum(length(content)) OVER (PARTITION BY doc_id) AS BIGINT) AS size, 'p' || (seq + 1) AS block_id, CAST(seq AS INTEGER) AS idx, content AS text, seq % 2 = 0 AS rich FROM messages"))
 def load_store_blocks(spark, sf):
-    t = src.load_store(_stores(spark, sf))
+    """Written as a file of one store or document a line, and read back."""
+    folder = work_dir(spark, "stores")
+    _stores(spark, sf).write.text(folder)
+    t = src.read_store(spark, folder, lines=True)
     return t["blocks"].join(t["documents"].select("doc_id", "title", "size"), "doc_id").select("doc_id", "title", "size", "block_id", "idx", "text", "rich")
 
 
@@ -328,21 +333,26 @@ def build_markdown(spark, sf):
     return ex.build_markdown(*_export_inputs(spark, sf)).select("doc_id", "body")
 
 
-@query("S5_write_markdown", c("labelled", f"SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(string_split(body, {N})) AS line FROM ({_MD})) GROUP BY doc_id"))
+_NAME = "left(regexp_replace(d.title, '[\\\\/:*?\"<>|\\r\\n]+', '_', 'g'), 80)"
+
+
+@query("S5_write_markdown", c("labelled docs", f"SELECT d.doc_id, {_NAME} || '-问答记录.md' AS name, x.body FROM ({_MD}) x JOIN docs d ON d.doc_id = x.doc_id"))
 def write_markdown(spark, sf):
-    """Written as text files per document and read back line by line."""
+    """Written as a file per document under its export name and read back."""
     out = work_dir(spark, "exports")
-    sinks.write_exports(materialize(ex.markdown_fragments(*_export_inputs(spark, sf)), "fragments"), out)
-    lines = spark.read.text(out)
-    return lines.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.sum(F.length("value")).alias("chars"))
+    docs, blocks, messages = _export_inputs(spark, sf)
+    fragments = materialize(ex.markdown_fragments(docs, blocks, messages), "fragments")
+    sinks.write_exports(fragments.join(docs.select("doc_id", "title"), "doc_id"), out)
+    return sinks.read_exports(spark, out)
 
 
-@query("X4_build_json", c("labelled", f"""SELECT d.doc_id, 'summary' AS part, CAST(-2 AS BIGINT) AS item, -1 AS qa, s.title || '|' || s.nb || '|' || s.nq AS content FROM docs d JOIN summ s ON s.doc_id = d.doc_id
+_FLAT = f"""SELECT d.doc_id, 'summary' AS part, CAST(-2 AS BIGINT) AS item, -1 AS qa, s.title || '|' || s.nb || '|' || s.nq AS content FROM docs d JOIN summ s ON s.doc_id = d.doc_id
  UNION ALL SELECT doc_id, 'item', item_no, -1, any_value(block_id || '|' || type || '|' || text) FROM (SELECT i.doc_id, i.block_id, coalesce(t.type, i.type) AS type, i.text, i.item_no FROM items i LEFT JOIN typed t ON t.doc_id = i.doc_id AND t.block_id = i.block_id) GROUP BY doc_id, item_no
- UNION ALL SELECT doc_id, 'qa', item_no, qa_no, question || '|' || answer || '|' || error || '|' || {_J('cited')} FROM numbered"""))
-def build_json(spark, sf):
-    """The JSON bodies parsed back and flattened."""
-    body = ex.build_json(*_export_inputs(spark, sf))
+ UNION ALL SELECT doc_id, 'qa', item_no, qa_no, question || '|' || answer || '|' || error || '|' || {_J('cited')} FROM numbered"""
+
+
+def _flattened(body):
+    """JSON bodies parsed back and flattened."""
     kind = "struct<document:struct<title:string,blocks:bigint,questions:bigint>,items:array<struct<paragraphId:string,type:string,text:string,qa:array<struct<question:string,answer:string,error:string,citedParagraphIds:array<string>>>>>>"
     j = body.select("doc_id", F.from_json("body", kind).alias("j"))
     e = lambda x: F.coalesce(x, F.lit(""))
@@ -357,6 +367,21 @@ def build_json(spark, sf):
     )
 
 
+@query("X4_build_json", c("labelled", _FLAT))
+def build_json(spark, sf):
+    return _flattened(ex.build_json(*_export_inputs(spark, sf)))
+
+
+@query("S5_write_json", c("labelled", _FLAT))
+def write_json(spark, sf):
+    """Written as a file per document under its export name and read back."""
+    out = work_dir(spark, "exports")
+    docs, blocks, messages = _export_inputs(spark, sf)
+    fragments = materialize(ex.json_fragments(docs, blocks, messages), "fragments")
+    sinks.write_exports(fragments.join(docs.select("doc_id", "title"), "doc_id"), out, "json", "")
+    return _flattened(sinks.read_exports(spark, out))
+
+
 @query("X5_strip_math", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\$\\$([^$]+)\\$\\$', '\\1', 'g'), '\\$([^$]+)\\$', '\\1', 'g'), '\\n+', ' ', 'g') AS text FROM documents")
 def strip_math(spark, sf):
     return inputs.documents(spark, sf).select("doc_id", tx.strip_math(F.col("text")).alias("text"))

@@ -8,18 +8,6 @@ from pyspark.sql import functions as F
 from quirefold.functions import fixed as v
 from quirefold.functions.text import trim
 
-_MESSAGE = """struct<id:string,role:string,content:string,createdAt:string,reasoning:string,citedParagraphIds:array<string>,
-model:string,usage:struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>,error:string,
-includedParagraphIds:array<string>,contextMode:string,truncated:boolean,outputTruncated:boolean,imageProvided:boolean,
-interrupted:boolean>"""
-_BLOCK = """struct<id:string,index:int,type:string,text:string,rich:boolean,level:int,tex:string,display:boolean,
-table:struct<rows:array<array<string>>,headerRow:boolean,cols:int>,images:array<struct<url:string,width:int,height:int>>,
-page:int,edited:boolean,aiRefined:boolean>"""
-STORE = f"""struct<version:int,documents:map<string,struct<id:string,title:string,filename:string,format:string,size:bigint,
-filePath:string,createdAt:string,updatedAt:string,paragraphs:array<{_BLOCK}>,
-threads:map<string,struct<paragraphId:string,messages:array<{_MESSAGE}>>>>>>""".replace("\n", "")
-
-
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -64,25 +52,74 @@ def upload_check(files: DataFrame) -> DataFrame:
     return files.withColumn("accepted", ok).withColumn("title", F.regexp_replace("filename", r"\.[^.]+\z", ""))
 
 
+def _fields(source: str, spec: str) -> list[Column]:
+    """Columns from paths of a variant: lines of `name path type`. A value of another type is null."""
+    rows = [line.split() for line in spec.strip().splitlines()]
+    return [F.try_variant_get(source, f"$.{path}", kind).alias(name) for name, path, kind in rows]
+
+
+_DOCUMENT = """
+title title string
+filename filename string
+format format string
+size size bigint
+created_at createdAt string
+updated_at updatedAt string
+file_path filePath string
+"""
+_BLOCK = """
+block_id id string
+idx index int
+type type string
+text text string
+level level int
+tex tex string
+page page int
+rich rich boolean
+edited edited boolean
+"""
+_MESSAGE = """
+msg_id id string
+role role string
+content content string
+created_at createdAt string
+reasoning reasoning string
+cited citedParagraphIds array<string>
+included includedParagraphIds array<string>
+model model string
+usage usage struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>
+error error string
+interrupted interrupted boolean
+"""
+
+
+def store_documents(values: DataFrame) -> DataFrame:
+    """values(value): store JSON, a whole store or one document object per row -> doc_id, d (a variant per document).
+
+    A store is first taken apart into the JSON text of each document; only a single document is ever parsed as one
+    value, so the number of documents in a store is not bound by the size of a value.
+    """
+    whole = F.from_json("value", "struct<id:string,documents:map<string,string>>")
+    taken = values.select("value", whole.alias("s"))
+    many = taken.where("s.documents is not null").select(F.explode("s.documents").alias("doc_id", "json"))
+    single = taken.where("s.documents is null and s.id is not null").select(F.col("s.id").alias("doc_id"), F.col("value").alias("json"))
+    return many.union(single).select("doc_id", F.try_parse_json("json").alias("d"))
+
+
 def load_store(values: DataFrame) -> dict[str, DataFrame]:
-    """values(value): nested store JSON, one store per row -> flat documents, blocks and messages."""
-    docs = values.select(F.explode(F.from_json("value", STORE)["documents"]).alias("doc_id", "d"))
-    blocks = docs.select("doc_id", F.explode("d.paragraphs").alias("b"))
-    threads = docs.select("doc_id", F.explode("d.threads").alias("thread_key", "t"))
-    messages = threads.select("doc_id", "thread_key", F.posexplode("t.messages").alias("seq", "m"))
+    """values(value): nested store JSON (see store_documents) -> flat documents, blocks and messages."""
+    docs = store_documents(values)
+    blocks = docs.select("doc_id", F.explode(F.try_variant_get("d", "$.paragraphs", "array<variant>")).alias("b"))
+    threads = docs.select("doc_id", F.explode(F.try_variant_get("d", "$.threads", "map<string,variant>")).alias("thread_key", "t"))
+    messages = threads.select("doc_id", "thread_key", F.posexplode(F.try_variant_get("t", "$.messages", "array<variant>")).alias("seq", "m"))
+    no = lambda df, *names: df.withColumns({n: F.coalesce(n, F.lit(False)) for n in names})
     return {
-        "documents": docs.select("doc_id", *[F.col(f"d.{c}").alias(a) for c, a in (("title", "title"), ("filename", "filename"), ("format", "format"), ("size", "size"), ("createdAt", "created_at"), ("updatedAt", "updated_at"), ("filePath", "file_path"))]),
-        "blocks": blocks.select(
-            "doc_id", F.col("b.id").alias("block_id"), F.col("b.index").alias("idx"), *[F.col(f"b.{c}") for c in ("type", "text", "level", "tex", "page")],
-            F.coalesce("b.rich", F.lit(False)).alias("rich"), F.coalesce("b.edited", F.lit(False)).alias("edited"),
-        ),
-        "messages": messages.select(
-            "doc_id", "thread_key", F.col("seq").cast("long").alias("seq"), F.col("m.id").alias("msg_id"), "m.role", "m.content", F.col("m.createdAt").alias("created_at"),
-            "m.reasoning", F.col("m.citedParagraphIds").alias("cited"), F.col("m.includedParagraphIds").alias("included"), "m.model", "m.usage", "m.error",
-            F.coalesce("m.interrupted", F.lit(False)).alias("interrupted"),
-        ),
+        "documents": docs.select("doc_id", *_fields("d", _DOCUMENT)),
+        "blocks": no(blocks.select("doc_id", *_fields("b", _BLOCK)), "rich", "edited"),
+        "messages": no(messages.select("doc_id", "thread_key", F.col("seq").cast("long").alias("seq"), *_fields("m", _MESSAGE)), "interrupted"),
     }
 
 
-def read_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return load_store(spark.read.text(path, wholetext=True))
+def read_store(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """A store file (one value for the file), or with `lines` files of one document object a line, which Spark splits."""
+    return load_store(spark.read.text(path, wholetext=not lines))

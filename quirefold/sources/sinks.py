@@ -1,4 +1,4 @@
-"""Sinks: one export per document."""
+"""Sinks: one export file per document, under its export name."""
 
 from __future__ import annotations
 
@@ -14,11 +14,100 @@ def export_filename(title: Column, ext: str) -> Column:
     return F.concat(safe_name(title), F.lit(v.EXPORT_NAME + ext))
 
 
-def write_exports(bodies: DataFrame, path: str) -> None:
-    """bodies(doc_id, order columns, body) as text below doc_id=.. folders.
+def export_source():
+    """A data source that writes rows (name, body) in their order to files: the bodies of a name one after another, with
+    the option `sep` between them.
 
-    Rows are range-partitioned by document and position: a long document spreads over several files whose names sort
-    in reading order, and no task writes a whole hot document.
+    A task writes into a folder of its own attempt. When all tasks have succeeded, the folders of the attempts that
+    count become part-0, part-1, ..; the others, and all of them after a failure, are removed. Classes inside a
+    function travel to the tasks by value, so the package need not be installed there.
     """
-    placed = bodies.repartitionByRange("doc_id", *ORDER).sortWithinPartitions("doc_id", *ORDER)
-    placed.select("doc_id", "body").write.mode("errorifexists").partitionBy("doc_id").text(path, lineSep="\n")
+    from dataclasses import dataclass
+
+    from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+    def opened(path: str):
+        from pyarrow import fs
+
+        if path.startswith("file:"):
+            path = "/" + path[len("file:") :].lstrip("/")
+        return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+    @dataclass
+    class Written(WriterCommitMessage):
+        folder: str | None
+
+    class ExportWriter(DataSourceArrowWriter):
+        def __init__(self, options: dict):
+            import uuid
+
+            self.path, self.sep = options["path"].rstrip("/"), options.get("sep", "")
+            self.begun = f"_writing-{uuid.uuid4().hex}"
+
+        def write(self, iterator):
+            import uuid
+
+            files, root = opened(self.path)
+            folder, name, out = None, None, None
+            for batch in iterator:
+                for to, body in zip(batch.column("name").to_pylist(), batch.column("body").to_pylist()):
+                    if folder is None:
+                        folder = f"{self.begun}/{uuid.uuid4().hex}"
+                        files.create_dir(f"{root}/{folder}", recursive=True)
+                    if to != name:
+                        if out is not None:
+                            out.close()
+                        name, out = to, files.open_output_stream(f"{root}/{folder}/{to}")
+                    else:
+                        out.write(self.sep.encode())
+                    out.write((body or "").encode())
+            if out is not None:
+                out.close()
+            return Written(folder)
+
+        def commit(self, messages):
+            files, root = opened(self.path)
+            done = [m.folder for m in messages if m is not None and m.folder]
+            for k, folder in enumerate(done):
+                files.move(f"{root}/{folder}", f"{root}/part-{k}")
+            self._clear(files, root)
+
+        def abort(self, messages):
+            self._clear(*opened(self.path))
+
+        def _clear(self, files, root):
+            from pyarrow import fs
+
+            if files.get_file_info(f"{root}/{self.begun}").type == fs.FileType.Directory:
+                files.delete_dir(f"{root}/{self.begun}")
+
+    class ExportSource(DataSource):
+        @classmethod
+        def name(cls):
+            return "quirefold_exports"
+
+        def schema(self):
+            return "name string, body string"
+
+        def writer(self, schema, overwrite):
+            return ExportWriter(dict(self.options))
+
+    return ExportSource
+
+
+def write_exports(bodies: DataFrame, path: str, ext: str = "md", sep: str = "\n") -> None:
+    """bodies(doc_id, title, order columns, body) as one file per document, named doc_id and export name, below a new
+    folder. Documents are dealt to tasks by id; a task streams the fragments of its documents, one file at a time."""
+    spark = bodies.sparkSession
+    spark.dataSource.register(export_source())
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("-"), export_filename(F.col("title"), ext))
+    placed = bodies.repartition("doc_id").sortWithinPartitions("doc_id", *ORDER).select(name.alias("name"), "body")
+    placed.write.format("quirefold_exports").mode("append").option("path", path).option("sep", sep).save()
+
+
+def read_exports(spark, path: str) -> DataFrame:
+    """doc_id, name, body of all files written by write_exports."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    file = F.element_at(F.split(F.col("path"), "/"), -1)
+    parts = F.split(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), "-", 2)
+    return files.select(F.get(parts, 0).cast("long").alias("doc_id"), F.get(parts, 1).alias("name"), F.decode("content", "UTF-8").alias("body"))

@@ -30,6 +30,24 @@ def test_scan_equals_windows(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_prefix_maps_compose_in_order(spark):
+    rnd = random.Random(3)
+    rows = [(k, i, [rnd.choice([None, 0, 1, 2, 3]) if rnd.random() < 0.1 else rnd.randrange(4) for _ in range(4)]) for k, n in (("a", 37), ("b", 1), ("c", 8)) for i in range(n)]
+    want, state = {}, {}
+    for k, i, m in rows:
+        state[k] = [m[x] if x is not None else None for x in state.get(k, range(4))]
+        want[k, i] = state[k]
+    got = ordered.prefix_maps(spark.createDataFrame(rows, "k string, i long, m array<bigint>"), ["k"], "i", "m")
+    assert {(r["k"], r["i"]): r["m"] for r in got.collect()} == want
+
+
+def test_batches_over_many_chunks_are_those_of_one(spark):
+    rnd = random.Random(11)
+    lines = spark.createDataFrame([(d, i, "x" * rnd.choice([5, 300, 4000, 17_000])) for d, n in ((1, 400), (2, 3)) for i in range(n)], "doc_id long, idx int, line string")
+    rows = lambda size: sorted(map(tuple, refine.chunk_by_budget(lines, size).collect()))
+    assert rows(32) == rows(2048) and max(b for _, _, b in rows(32)) > 30
+
+
 def test_assemble_joins_in_order(spark):
     df = spark.createDataFrame([("a", i, f"x{i}") for i in (3, 1, 2)] + [("b", 1, "y")], "d string, n long, t string")
     assert sorted(map(tuple, ordered.assemble(df, ["d"], ["n"], "t", "-").collect())) == [("a", "x1-x2-x3"), ("b", "y")]
