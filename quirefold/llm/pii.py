@@ -51,7 +51,7 @@ SUPPORT, CONFIDENCE = 5, 0.8
 #: Bytes of text that a task takes at once.
 STEP = 1 << 20
 SPAN = "struct<kind:int,first:int,last:int>"
-ROW = f"doc_id long, base array<{SPAN}>, found array<struct<kind:int,first:int,last:int,instance:string,seed:boolean,patterns:array<string>>>"
+ROW = f"doc_id long, text_hash long, base array<{SPAN}>, found array<struct<kind:int,first:int,last:int,instance:string,seed:boolean,patterns:array<string>>>"
 
 
 def luhn(digits: str) -> bool:
@@ -137,9 +137,9 @@ def candidates(docs: DataFrame) -> DataFrame:
                 b, f = extract(text) if text else ([], [])
                 base.append([dict(zip(("kind", "first", "last"), x)) for x in b])
                 found.append([dict(zip(("kind", "first", "last", "instance", "seed", "patterns"), x)) for x in f])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(item))], names=["doc_id", "base", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(item))], names=["doc_id", "text_hash", "base", "found"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, ROW)
 
 
@@ -164,7 +164,7 @@ def confident_instances(found: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, base and spans, sorted arrays of (kind, first, last) in code points.
+    """Per row of docs: doc_id, text_hash, base and spans, sorted arrays of (kind, first, last) in code points.
 
     `spans` holds the base spans and the believed candidates. A null or empty text has none; every row gives one row.
     """
@@ -172,8 +172,8 @@ def spans(docs: DataFrame) -> DataFrame:
     found = rows.where(F.size("found") > 0).select("row", F.inline("found"))
     believed = confident_instances(found)
     new = found.where("not seed").join(believed, ["kind", "instance"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("kind", "first", "last")).alias("new"))
-    joined = rows.select("row", "doc_id", "base").join(new, "row", "left")
-    return joined.select("doc_id", "base", F.array_sort(F.array_union("base", F.coalesce("new", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
+    joined = rows.select("row", "doc_id", "text_hash", "base").join(new, "row", "left")
+    return joined.select("doc_id", "text_hash", "base", F.array_sort(F.array_union("base", F.coalesce("new", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
 
 
 def as_text(a):
@@ -192,8 +192,8 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs, each span of `text` replaced by its kind in angle brackets; overlapping spans are one,
     named after the first. Rows of one id and text have the same spans."""
-    found = spans(docs.select(F.xxhash64("text").alias("doc_id"), "text")).where(F.size("spans") > 0).select(F.col("doc_id").alias("__h"), F.col("spans").alias("__spans")).dropDuplicates(["__h"])
-    joined = docs.withColumn("__own", F.xxhash64("text")).join(found, F.col("__own") == F.col("__h"), "left")
+    found = spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__h"])
+    joined = docs.withColumn("__own", F.xxhash64("text")).join(found, (F.col("__own") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
