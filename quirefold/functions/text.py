@@ -17,6 +17,15 @@ def jre(pattern: str) -> str:
     return pattern[:-1] + r"\z" if pattern.endswith("$") else pattern
 
 
+def fill(wording: str, *values: Column) -> Column:
+    """A fixed wording with its `{}` replaced by values in order; null if a value is null."""
+    texts = wording.split("{}")
+    parts = [F.lit(texts[0])]
+    for value, text in zip(values, texts[1:], strict=True):
+        parts += [value.cast("string"), F.lit(text)]
+    return F.concat(*parts)
+
+
 def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(v.WS))
 

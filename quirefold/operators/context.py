@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import fixed as v
 from quirefold.functions import tokens as tk
-from quirefold.functions.text import trim
+from quirefold.functions.text import fill, trim
 from quirefold.operators import ordered, retrieval
 from quirefold.session import materialize
 
@@ -122,8 +122,206 @@ def retrieval_terms(q: DataFrame) -> DataFrame:
 
 
 def label(idx: Column, page: Column, is_target: Column) -> Column:
-    paged = F.when(F.coalesce(page, F.lit(0)) > 0, F.concat(F.lit("（第"), page.cast("string"), F.lit("页）"))).otherwise("")
-    return F.concat(F.lit("[第"), (idx + 1).cast("string"), F.lit("段]"), paged, F.when(is_target, " ★当前提问段落").otherwise(""))
+    paged = F.when(F.coalesce(page, F.lit(0)) > 0, fill(v.BLOCK_PAGE, page)).otherwise("")
+    return F.concat(fill(v.BLOCK_LABEL, idx + 1), paged, F.when(is_target, v.BLOCK_TARGET).otherwise(""))
+
+
+def labelled_text(idx: Column, page: Column, is_target: Column, text: Column) -> Column:
+    return F.concat(label(idx, page, is_target), F.lit("\n"), F.when(F.coalesce(text, F.lit("")) == "", v.IMAGE_ONLY).otherwise(text))
+
+
+def candidate_order(q: DataFrame, blocks: DataFrame) -> DataFrame:
+    """q(q_id, doc_id, mode, target_idx, cited_idx, terms) -> q_id, doc_id, idx, place(tier, weight, at, sub).
+
+    Tier 0 required, 1 ranked hits each followed by its two neighbours, 2 headings, 3 both ends, 4 the rest.
+    A block keeps its smallest place; the minimum is pre-aggregated and shuffled by (question, block).
+    """
+    required = F.concat(F.when(F.col("target_idx").isNotNull(), F.array("target_idx")).otherwise(F.array().cast("array<int>")), F.col("cited_idx"))
+    req = F.array_distinct(required)
+    place = lambda tier, weight, at, sub: F.struct(
+        F.lit(tier).alias("tier"), F.coalesce(weight, F.lit(0.0)).cast("double").alias("weight"), F.coalesce(at, F.lit(0)).cast("int").alias("at"), F.coalesce(sub, F.lit(0)).cast("int").alias("sub")
+    )
+    zero = F.lit(0)
+    req_rows = q.select("q_id", "doc_id", "mode", F.posexplode(req).alias("n", "idx"))
+    tier0 = req_rows.select("q_id", "doc_id", "idx", place(0, F.lit(0.0), F.col("n"), zero).alias("place"))
+    around = req_rows.filter(F.col("mode") == "neighbors").select(
+        "q_id", "doc_id", F.col("n").alias("at"), F.explode(F.array(F.struct(F.lit(1).alias("sub"), (F.col("idx") - 1).alias("idx")), F.struct(F.lit(2).alias("sub"), (F.col("idx") + 1).alias("idx")))).alias("s")
+    ).select("q_id", "doc_id", F.col("s.idx").alias("idx"), place(1, F.lit(0.0), F.col("at"), F.col("s.sub")).alias("place"))
+    around = around.join(blocks.select("doc_id", "idx"), ["doc_id", "idx"], "left_semi").select(*tier0.columns)
+
+    sizes = blocks.groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
+    full = (
+        q.filter(F.col("mode") == "full")
+        .select("q_id", "doc_id", retrieval.weighted_terms(F.col("terms")).alias("wt"))
+        .join(sizes, "doc_id")
+        .join(blocks.select("doc_id", "idx", "type", "text"), "doc_id")
+        .withColumn("score", retrieval.score_block(F.col("text"), F.col("wt")))
+    )
+    end = (F.col("idx") < 4) | (F.col("idx") >= F.col("n_blocks") - 4)
+    own = (
+        F.when(F.col("type") == "heading", place(2, _none(), F.col("idx"), zero))
+        .when(end, place(3, _none(), F.col("idx"), zero))
+        .otherwise(place(4, _none(), F.col("idx"), zero))
+    )
+    hit = lambda shift, sub: F.struct((F.col("idx") + shift).alias("idx"), place(1, -F.col("score"), F.col("idx"), F.lit(sub)).alias("place"))
+    hits = F.when(F.col("score") > 0, F.array(hit(0, 0), hit(-1, 1), hit(1, 2)))
+    spread = (
+        full.select("q_id", "doc_id", "n_blocks", F.explode(F.concat(F.array(F.struct("idx", own.alias("place"))), F.coalesce(hits, F.array().cast(_PLACES)))).alias("c"))
+        .filter((F.col("c.idx") >= 0) & (F.col("c.idx") < F.col("n_blocks")))
+        .select("q_id", "doc_id", "c.idx", "c.place")
+    )
+    every = tier0.unionByName(around).unionByName(spread)
+    return every.groupBy("q_id", "doc_id", "idx").agg(F.min("place").alias("place"))
+
+
+def candidate_places(candidates: DataFrame) -> DataFrame:
+    """Adds n, the dense position (from 0) of each candidate of its question. Chunks follow the tiers, inside them
+    slices of the score or of the position, so a long document is not sorted in one task."""
+    flat = candidates.select("q_id", "doc_id", "idx", "place", "place.tier", "place.weight", "place.at", "place.sub")
+    slice_ = F.when(F.col("tier") == 1, F.floor(F.col("weight") * 1024) + (1 << 39)).otherwise(F.floor(F.col("at") / ordered.CHUNK_ROWS))
+    chunk = F.col("tier").cast("long") * (1 << 40) + slice_
+    return ordered.scan(flat, ["q_id"], ["tier", "weight", "at", "sub", "idx"], chunk, before={"n": F.lit(1)}).drop("weight", "at", "sub")
+
+
+_PLACES = "array<struct<idx:int,place:struct<tier:int,weight:double,at:int,sub:int>>>"
+
+
+def _none() -> Column:
+    return F.lit(0.0)
+
+
+def pack_context(q: DataFrame, candidates: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Chosen blocks: q_id, doc_id, idx, mandatory, text (null for optional ones), cost.
+
+    q needs available, n_required, target_idx. Required blocks are cut to their share in order; optional blocks
+    are taken first-fit from what is left.
+    """
+    b = blocks.select("doc_id", "idx", "text", *(["page"] if "page" in blocks.columns else []))
+    page = F.col("page") if "page" in blocks.columns else F.lit(None).cast("int")
+    raw = labelled_text(F.col("idx"), page, F.coalesce(F.col("idx") == F.col("target_idx"), F.lit(False)), F.col("text"))
+    qs = q.select("q_id", "doc_id", F.col("available").cast("long").alias("available"), "n_required", "target_idx")
+    mandatory = (
+        candidates.filter(F.col("place.tier") == 0)
+        .join(qs, ["q_id", "doc_id"])
+        .join(b, ["doc_id", "idx"])
+        .select("q_id", "doc_id", "idx", "available", "n_required", F.col("place.at").alias("n"), raw.alias("raw"))
+    )
+    # The required blocks of a question come from its own request row, so this array is no larger than that row.
+    cap = F.floor(F.col("available") / F.col("n_required")) - 10
+
+    def take(state, r):
+        room = F.greatest(F.lit(35).cast("long"), F.least(cap, F.col("available") - state["used"] - 8).cast("long"))
+        row = tk.let(
+            tk.fit_text(r["raw"], room),
+            lambda t: F.struct(r["idx"].alias("idx"), t.alias("text"), (tk.estimate_tokens(t) + 8).alias("cost"), (t != r["raw"]).alias("cut")),
+        )
+        return tk.let(row, lambda x: F.struct((state["used"] + x["cost"]).alias("used"), F.concat(state["rows"], F.array(x)).alias("rows")))
+
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<idx:int,text:string,cost:bigint,cut:boolean>>").alias("rows"))
+    required = (
+        mandatory.groupBy("q_id", "doc_id", "available", "n_required")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "idx", "raw"))).alias("r"))
+        .withColumn("m", F.aggregate("r", start, take))
+        .select("q_id", "doc_id", "available", F.col("m.used").alias("used"), F.col("m.rows").alias("rows"))
+    )
+    # Narrow optional candidates: cost only, filtered by what one block may cost at all.
+    room = F.col("available") - F.coalesce("used", F.lit(0))
+    optional = (
+        candidates.filter(F.col("place.tier") > 0)
+        .join(qs.join(required.select("q_id", "used"), "q_id", "left"), ["q_id", "doc_id"])
+        .join(b, ["doc_id", "idx"])
+        .select("q_id", "doc_id", "idx", "place", room.alias("room"), (tk.estimate_tokens(raw) + 8).alias("cost"))
+        .filter(F.col("cost") <= F.col("room"))
+    )
+    # No block is cheaper than LEAST_COST and no budget larger than MAX_BUDGET, so a fixed number of places bounds every
+    # (question, cost): with that bound Spark prunes the ranks in each task, before the shuffle.
+    w = W.partitionBy("q_id", "cost").orderBy("place", "idx")
+    fitting = (
+        optional.withColumn("nth", F.row_number().over(w))
+        .filter((F.col("nth") <= MAX_BUDGET // LEAST_COST) & (F.col("nth") * F.col("cost") <= F.col("room")))
+    )
+
+    fits = lambda state, c: state["left"] >= c["cost"]
+    gain = lambda state, c: F.struct(
+        (state["left"] - F.when(fits(state, c), c["cost"]).otherwise(0)).alias("left"),
+        F.when(fits(state, c), F.concat(state["taken"], F.array(F.struct(c["idx"].alias("idx"), c["cost"].alias("cost"))))).otherwise(state["taken"]).alias("taken"),
+    )
+    first = F.struct(F.col("room").alias("left"), F.array().cast("array<struct<idx:int,cost:bigint>>").alias("taken"))
+    chosen = (
+        fitting.groupBy("q_id", "doc_id", "room")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "idx", "cost"))).alias("c"))
+        .select("q_id", "doc_id", F.explode(F.aggregate("c", first, gain, lambda s: s["taken"])).alias("t"))
+        .select("q_id", "doc_id", "t.idx", F.lit(False).alias("mandatory"), F.lit(None).cast("string").alias("text"), "t.cost", F.lit(False).alias("cut"))
+    )
+    must = required.select("q_id", "doc_id", F.explode("rows").alias("r")).select(
+        "q_id", "doc_id", F.col("r.idx").alias("idx"), F.lit(True).alias("mandatory"), F.col("r.text").alias("text"), F.col("r.cost").alias("cost"), F.col("r.cut").alias("cut")
+    )
+    return must.unionByName(chosen)
+
+
+def prepare(questions: DataFrame, messages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One row per question with everything but the packing: targets, fixed cost, history, terms, available.
+
+    questions(q_id, doc_id, block_id, question, cited, mode, budget, system_prompt); messages hold q_id.
+    """
+    budget = F.greatest(F.lit(MIN_BUDGET), F.least(F.lit(MAX_BUDGET), F.col("budget")))
+    settings = questions.select("q_id", "mode", budget.alias("budget"), "system_prompt")
+    q = resolve_targets(questions, blocks).join(settings, "q_id")
+    # Read by both sides of the history join, so the fitted prompts are written once.
+    q = materialize(fixed_cost(q), "fixed")
+    rounds = successful_rounds(messages, ["q_id"])
+    q = retrieval_terms(select_history(q, rounds))
+    required = F.array_distinct(F.concat(F.when(F.col("target_idx").isNotNull(), F.array("target_idx")).otherwise(F.array().cast("array<int>")), F.col("cited_idx")))
+    return q.withColumn("available", F.col("budget") - F.col("fixed") - F.col("history_tokens")).withColumn("n_required", F.size(required))
+
+
+def assemble_context(q: DataFrame, docs: DataFrame, blocks: DataFrame, packed: DataFrame) -> DataFrame:
+    """One row per accepted question: messages array, context_tokens, truncated, included ids, error.
+
+    The texts of a question fit its token budget, so every collected group has that bound.
+    """
+    page = F.col("page") if "page" in blocks.columns else F.lit(None).cast("int")
+    b = blocks.select("doc_id", "idx", "block_id", F.col("text").alias("full_text"), page.alias("page"))
+    text = F.coalesce("text", labelled_text(F.col("idx"), F.col("page"), F.lit(False), F.col("full_text")))
+    body = (
+        packed.join(b, ["doc_id", "idx"])
+        .groupBy("q_id")
+        .agg(F.array_sort(F.collect_list(F.struct("idx", text.alias("t"), "block_id"))).alias("parts"), F.max("cut").alias("shortened"), F.count("*").alias("included"))
+    )
+    sizes = blocks.groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
+    full = F.col("mode") == "full"
+    truncated = F.col("shortened") | (full & (F.col("included") < F.col("n_blocks")))
+    status = (
+        F.when(full & F.col("truncated"), fill(v.CONTEXT_PART, F.col("included"), F.col("n_blocks")))
+        .when(full, fill(v.CONTEXT_WHOLE, F.col("n_blocks")))
+        .otherwise(fill(v.CONTEXT_SOME, F.col("included")))
+    )
+    pdf = F.when(F.col("format") == "pdf", v.CONTEXT_PDF).otherwise("")
+    header = fill(v.CONTEXT_HEAD, tk.fit_text(F.col("title"), F.lit(v.TITLE_TOKENS)), status, pdf)
+    msg = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    per_q = kept.groupBy("q_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("keep"), F.struct((-F.col("round_no")).alias("o"), msg("user", "question").alias("u"), msg("assistant", "answer").alias("a"))))).alias("r"),
+        F.coalesce(F.sum(F.when(F.col("keep"), F.col("cost"))), F.lit(0)).alias("history_tokens"),
+        F.count_if(~F.col("keep")).alias("lost"),
+    )
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    return q.join(per_q, "q_id", "left").select(
+        *q.columns,
+        F.coalesce(F.flatten(F.transform("r", lambda x: F.array(x["u"], x["a"]))), none).alias("retained"),
+        F.coalesce("history_tokens", F.lit(0)).cast("long").alias("history_tokens"),
+        (F.coalesce("lost", F.lit(0)) > 0).alias("history_truncated"),
+    )
+
+
+def retrieval_terms(q: DataFrame) -> DataFrame:
+    """Adds terms: those of the question and of the last two retained messages."""
+    tail = F.array_join(F.transform(F.slice(F.col("retained"), F.greatest(F.size("retained") - 1, F.lit(1)), F.lit(2)), lambda m: m["content"]), " ")
+    return q.withColumn("terms", retrieval.tokenize_query(F.concat_ws(" ", F.col("question"), tail)))
+
+
+def label(idx: Column, page: Column, is_target: Column) -> Column:
+    paged = F.when(F.coalesce(page, F.lit(0)) > 0, fill(v.BLOCK_PAGE, page)).otherwise("")
+    return F.concat(fill(v.BLOCK_LABEL, idx + 1), paged, F.when(is_target, v.BLOCK_TARGET).otherwise(""))
 
 
 def labelled_text(idx: Column, page: Column, is_target: Column, text: Column) -> Column:

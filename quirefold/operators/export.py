@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import fixed as v
 from quirefold.functions import tables as tb
+from quirefold.functions.text import fill
 from quirefold.operators import ordered, threads
 from quirefold.session import materialize
 
@@ -17,7 +18,7 @@ ORDER = ["section", "item_no", "qa_no", "line"]
 def block_markdown(type_: Column, text: Column, rows: Column, urls: Column) -> Column:
     """A table as a Markdown table, an image block as its links, anything else as its text."""
     links = F.array_join(
-        F.transform(urls, lambda u, i: F.concat(F.lit("![插图 "), (i + 1).cast("string"), F.lit("]("), u, F.lit(")"))), "\n\n"
+        F.transform(urls, lambda u, i: fill(v.IMAGE_LINK, i + 1, u)), "\n\n"
     )
     return (
         F.when(type_ == "table", F.coalesce(tb.table_markdown(rows), F.lit("")))
@@ -55,28 +56,25 @@ def markdown_fragments(docs: DataFrame, blocks: DataFrame, messages: DataFrame,
     pairs = materialize(threads.pair_messages(messages), "pairs")
     numbered = threads.number_questions(threads.to_items(blocks, pairs, only_answered=True))
     summary = threads.summarize(docs, blocks, pairs, messages)
-    s = lambda c: F.col(c).cast("string")
-    pages = F.when(F.coalesce("pages", F.lit(0)) > 0, F.concat(F.lit(" ｜ 页数："), s("pages"))).otherwise("")
+    pages = F.when(F.coalesce("pages", F.lit(0)) > 0, fill(v.MD_PAGES, F.col("pages"))).otherwise("")
     name = F.coalesce(F.nullif("filename", F.lit("")), F.lit(v.PASTED))
     no_records = F.when(F.col("answered") == 0, f"\n{v.NO_RECORDS}\n").otherwise("")
-    head = F.concat(
-        F.lit("# "), "title", F.lit("\n\n> 来源文件：`"), name, F.lit("` ｜ 段落："), s("blocks"), pages, F.lit(" ｜ 提问："), s("questions"), F.lit(" 条\n\n---\n"),
-        no_records, F.lit(f"\n{v.MD_ORIGINAL}\n" if include_original else ""),
-    )
+    titled = fill(v.MD_HEAD, F.col("title"), name, F.col("blocks"), pages, F.col("questions"))
+    head = F.concat(titled, no_records, F.lit(f"\n{v.MD_ORIGINAL}\n" if include_original else ""))
     # A document without a question has no list fragments, so its closing note belongs to the list title.
     out = _explode(summary, _fragment(0, 0, 0, 0, head), _fragment(2, 0, 0, 0, F.concat(F.lit(f"{v.MD_LIST}\n"), no_records)))
 
     qa = _labelled(numbered, blocks)
     answer = F.when(F.col("answer") == "", v.NO_ANSWER).otherwise(F.col("answer"))
     cite = F.when(F.col("cite") == "", "").otherwise(F.concat(F.lit(" "), "cite"))
-    place = F.when(F.col("type") == "cross", "（跨段落）").otherwise(F.concat(F.lit("（段落 "), (F.col("idx") + 1).cast("string"), F.lit("）")))
-    listed = F.concat(F.lit("**Q"), s("q_no"), F.lit("**"), place, cite, F.lit("："), "question", F.lit("\n\n"), answer, F.lit("\n"))
-    below = F.concat(F.lit("**问"), cite, F.lit("：** "), "question", F.lit("\n\n**答：**\n\n"), answer, F.lit("\n"))
+    place = F.when(F.col("type") == "cross", v.MD_CROSS).otherwise(fill(v.MD_PLACE, F.col("idx") + 1))
+    listed = fill(v.MD_LISTED, F.col("q_no"), place, cite, F.col("question"), answer)
+    below = fill(v.MD_BELOW, cite, F.col("question"), answer)
     item, rule = F.col("item_no"), F.lit("---\n")
     of_qa = [_fragment(2, item, F.col("qa_no"), 1, listed)]
     if include_original:
         opens = (F.col("type") == "cross") & (F.col("qa_no") == 0)
-        cross_title = F.lit(f"### 跨段落关联提问\n\n> {v.CROSS_TEXT}\n")
+        cross_title = F.lit(v.MD_CROSS_TITLE.format(v.CROSS_TEXT))
         of_qa += [
             _fragment(1, item, F.col("qa_no"), 0, below),
             F.when(opens, _fragment(1, item, -1, 0, cross_title)),
@@ -86,13 +84,13 @@ def markdown_fragments(docs: DataFrame, blocks: DataFrame, messages: DataFrame,
         for c, t in (("rows", "array<array<string>>"), ("urls", "array<string>")):
             if c not in blocks.columns:
                 flat = flat.withColumn(c, F.lit(None).cast(t))
-        kind = F.lit("段落")
+        kind = F.lit(v.MD_LABEL_OTHER)
         for t, label in v.MD_LABELS.items():
             kind = F.when(F.col("type") == t, label).otherwise(kind)
-        page = F.when(F.coalesce("page", F.lit(0)) > 0, F.concat(F.lit("（第 "), s("page"), F.lit(" 页）"))).otherwise("") if "page" in blocks.columns else F.lit("")
+        page = F.when(F.coalesce("page", F.lit(0)) > 0, fill(v.MD_PAGE, F.col("page"))).otherwise("") if "page" in blocks.columns else F.lit("")
         body = block_markdown(F.col("type"), F.col("text"), F.col("rows"), F.col("urls"))
         quoted = F.when(F.col("type").isin("image", "table"), body).otherwise(F.concat(F.lit("> "), F.regexp_replace(body, "\n+", " ")))
-        title = F.concat(F.lit("### "), kind, F.lit(" "), (F.col("idx") + 1).cast("string"), page, F.lit("\n\n"), quoted, F.lit("\n"))
+        title = fill(v.MD_BLOCK_TITLE, kind, F.col("idx") + 1, page, quoted)
         out = out.unionByName(_explode(flat, _fragment(1, F.col("idx"), -1, 0, title), _fragment(1, F.col("idx"), END, 0, rule)))
     return out.unionByName(_explode(qa, *of_qa))
 

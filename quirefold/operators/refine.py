@@ -92,7 +92,7 @@ def refine_prompts(docs: DataFrame, blocks: DataFrame, lines: DataFrame, batches
     """doc_id, batch, n_blocks, prompt. A batch has at most 28 lines. Every prompt holds the whole heading outline of
     its document."""
     heads = blocks.filter(F.col("type") == "heading").select(
-        "doc_id", "idx", F.concat(F.lit("  第 "), (F.col("idx") + 1).cast("string"), F.lit(" 块："), "text").alias("outline")
+        "doc_id", "idx", tx.fill(v.REFINE_OUTLINE_LINE, F.col("idx") + 1, F.col("text")).alias("outline")
     )
     outlines = ordered.assemble(heads, ["doc_id"], ["idx"], "outline", "\n")
     body = (
@@ -102,11 +102,7 @@ def refine_prompts(docs: DataFrame, blocks: DataFrame, lines: DataFrame, batches
         .select("doc_id", "batch", F.size("l").alias("n_blocks"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
     )
     o = F.coalesce("outline", F.lit(""))
-    prompt = F.concat(
-        F.lit("文档标题："), "title", F.lit("\n"),
-        F.when(o != "", F.concat(F.lit("文档结构大纲（供参考，不需要你输出）：\n"), o, F.lit("\n"))).otherwise(""),
-        F.lit("\n请修正下面 "), F.col("n_blocks").cast("string"), F.lit(" 个内容块，输出严格的 JSON：\n\n"), "body",
-    )
+    prompt = tx.fill(v.REFINE_PROMPT, F.col("title"), F.when(o != "", tx.fill(v.REFINE_OUTLINE, o)).otherwise(""), F.col("n_blocks"), F.col("body"))
     return body.join(docs.select("doc_id", "title"), "doc_id").join(outlines.select("doc_id", "outline"), "doc_id", "left").select("doc_id", "batch", "n_blocks", prompt.alias("prompt"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.functions import fixed as v
+from quirefold.functions import tokens as tk
 from quirefold.functions.text import trim
 
 
@@ -82,6 +83,46 @@ def search_blocks(queries: DataFrame, blocks: DataFrame, limit: int | None = v.S
     return hits.withColumn("hit", F.row_number().over(w)).filter(F.col("hit") <= limit).select(*shown, "hit")
 
 
+GRAM = 3
+
+
+def _grams(low: Column, sizes: list[int]) -> Column:
+    """The distinct runs of some numbers of characters of a text."""
+    # Of an array of characters each run is read at its place; a string is counted through from its start.
+    chars = F.split(F.nullif(low, F.lit("")), "")
+    none = F.array().cast("array<string>")
+    at = lambda c, k: F.transform(F.sequence(F.lit(0), F.size(c) - k), lambda i: F.concat(*[F.get(c, i + j) for j in range(k)]))
+    return tk.let(chars, lambda c: F.array_distinct(F.concat(*[F.when(F.size(c) >= k, at(c, k)).otherwise(none) for k in sizes])))
+
+
+def write_index(blocks: DataFrame, path: str) -> None:
+    """An inverted index of blocks(doc_id, idx, text) below a new folder: the blocks that hold each run of one to three
+    characters, lower-cased, sorted by it so that a reader skips all other row groups, and the number of blocks of each."""
+    rows = blocks.select("doc_id", "idx", F.explode(_grams(F.lower("text"), [1, 2, GRAM])).alias("gram"))
+    rows.repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id", "idx").write.parquet(f"{path}/blocks")
+    written = rows.sparkSession.read.parquet(f"{path}/blocks")
+    written.groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{path}/grams")
+
+
+def indexed_candidates(queries: DataFrame, path: str) -> DataFrame:
+    """q_id, doc_id, idx of the blocks that hold the rarest run of three characters of each of queries(q_id, query), or the
+    whole of a shorter query: all that can contain it. A query with a run that no block holds, or a blank one, has none."""
+    spark = queries.sparkSession
+    low = F.lower(trim(F.col("query")))
+    grams = F.when(F.length(low) >= GRAM, _grams(low, [GRAM])).when(low != "", F.array(low)).otherwise(F.array().cast("array<string>"))
+    each = queries.select("q_id", F.explode(grams).alias("gram")).join(spark.read.parquet(f"{path}/grams"), "gram", "left")
+    rarest = each.groupBy("q_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(spark.read.parquet(f"{path}/blocks"), "gram").select("q_id", "doc_id", "idx")
+
+
+def search_indexed(queries: DataFrame, blocks: DataFrame, path: str) -> DataFrame:
+    """queries(q_id, query) over the blocks of all documents: q_id, doc_id, idx, block_id, snippet of those that contain the
+    query. Only blocks that the index names are tested."""
+    named = indexed_candidates(queries, path).join(blocks.select("doc_id", "idx", "block_id", "text"), ["doc_id", "idx"])
+    hits = named.join(queries.select("q_id", "query"), "q_id").filter(F.contains(F.lower("text"), F.lower(trim(F.col("query")))))
+    return hits.select("q_id", "doc_id", "idx", "block_id", snippet(F.col("text"), F.col("query")).alias("snippet"))
+
+
 def search_documents(docs: DataFrame, query: str) -> DataFrame:
     """Documents whose title or file name contains the query; all for a blank one."""
     if not query.strip():

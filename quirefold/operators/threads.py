@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirefold.functions import fixed as v
-from quirefold.functions.text import trim
+from quirefold.functions.text import fill, trim
 from quirefold.operators import ordered
 from quirefold.session import materialize
 
@@ -109,13 +109,11 @@ def answered_count(blocks: DataFrame, messages: DataFrame) -> DataFrame:
 def cite_labels(rows: DataFrame, keys: list[str], blocks: DataFrame, style: str = "export") -> DataFrame:
     """rows(keys, doc_id, cited array) -> keys, label. Unknown ids show as they are; the label is as long as its row."""
     known = blocks.select("doc_id", F.col("block_id").alias("id"), "idx")
-    n = (F.col("idx") + 1).cast("string")
+    n = F.col("idx") + 1
     if style == "export":
-        text = F.when(F.col("idx").isNotNull(), F.concat(F.lit("[段落 "), n, F.lit("]"))).otherwise(F.concat(F.lit("["), "id", F.lit("]")))
-        sep = " "
+        text, sep = F.when(F.col("idx").isNotNull(), fill(v.CITE_EXPORT, n)).otherwise(fill(v.CITE_EXPORT_UNKNOWN, F.col("id"))), " "
     else:
-        text = F.when(F.col("idx").isNotNull(), F.concat(F.lit("第 "), n, F.lit(" 段"))).otherwise(F.col("id"))
-        sep = "、"
+        text, sep = F.when(F.col("idx").isNotNull(), fill(v.CITE_PRINT, n)).otherwise(F.col("id")), v.CITE_PRINT_SEP
     return (
         rows.select(*keys, *([] if "doc_id" in keys else ["doc_id"]), F.posexplode("cited").alias("pos", "id"))
         .join(known, ["doc_id", "id"], "left")
@@ -134,17 +132,10 @@ def carry_citations(messages: DataFrame) -> DataFrame:
     return carried.withColumn("carried", F.when(own, F.col("cited")).otherwise(F.coalesce("near.c", none))).drop("near")
 
 
-_HIDDEN = [
-    r"(?m)^[ \t]*```[\s\S]*?(?:^[ \t]*```[^\n]*|\z)",
-    r"\$\$[\s\S]*?\$\$|\\\[[\s\S]*?\\\]",
-    r"`[^`]+`|\$\$[^$]+\$\$|\$[^$\n]+\$|\\\([\s\S]*?\\\)|\*\*[^*]+\*\*|__[^_]+__|\*[^*\n]+\*|\[[^\]]+\]\([^)\s]+\)",
-]
-
-
 def extract_citations(answers: DataFrame, blocks: DataFrame) -> DataFrame:
     """answers(doc_id, thread_key, seq, content, included array): cited block numbers in plain text, with valid."""
     plain = F.coalesce("content", F.lit(""))
-    for p in _HIDDEN:
+    for p in v.HIDDEN_SPANS:
         plain = F.regexp_replace(plain, p, " ")
     found = answers.select(*THREAD, "seq", "included", F.posexplode(F.regexp_extract_all(plain, F.lit(v.CITATION), F.lit(1))).alias("pos", "d"))
     n = F.coalesce(F.expr("try_cast(d as int)"), F.lit(0))

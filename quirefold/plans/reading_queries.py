@@ -10,7 +10,7 @@ from quirefold.operators import context as cx
 from quirefold.operators import retrieval as rt
 from quirefold.plans import inputs, sql
 from quirefold.plans.registry import query
-from quirefold.session import materialize
+from quirefold.session import materialize, work_dir
 
 c = sql.compose
 
@@ -54,6 +54,18 @@ def search_blocks(spark, sf):
     return rt.search_blocks(_searches(spark, sf), inputs.asked_blocks(spark, sf)).select("q_id", "idx", "hit")
 
 
+_ITEM = "upper(left(text, 14))"
+
+
+@query("R4_search_indexed", c("blocks", f"SELECT q.item_id AS q_id, b.doc_id, b.idx, b.block_id FROM (SELECT item_id, lower(trim({_ITEM})) AS needle FROM benchmark) q JOIN blocks b ON contains(lower(b.text), q.needle)"))
+def search_indexed(spark, sf):
+    """The beginnings of all benchmark items in the blocks of all documents, through an index."""
+    b, path = materialize(inputs.blocks(spark, sf), "blocks"), work_dir(spark, "index")
+    rt.write_index(b, path)
+    q = inputs.table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.upper(F.left("text", F.lit(14))).alias("query"))
+    return rt.search_indexed(q, b, path).select("q_id", "doc_id", "idx", "block_id")
+
+
 @query("R5_snippet", c("questions blocks", f"SELECT q_id, idx, CASE WHEN hit_at > 19 THEN '…' ELSE '' END || substr(text, greatest(hit_at - 18, 1), 100) AS snippet FROM (SELECT q.q_id, b.idx, b.text, instr(lower(b.text), {_NEEDLE}) AS hit_at FROM questions q JOIN blocks b ON b.doc_id = q.doc_id) WHERE hit_at > 0"))
 def snippet(spark, sf):
     return rt.search_blocks(_searches(spark, sf), inputs.asked_blocks(spark, sf), None).select("q_id", "idx", "snippet")

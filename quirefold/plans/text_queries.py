@@ -11,7 +11,9 @@ from quirefold.functions import tokens as tk
 from quirefold.operators import blocks as bl
 from quirefold.plans import inputs, sql
 from quirefold.plans.registry import query
+from quirefold.session import work_dir
 from quirefold.sources import documents as src
+from quirefold.sources import sinks
 
 NAMES = ".docx .pdf .doc .md .bin .TXT .json .zip".split()
 
@@ -34,6 +36,17 @@ def read_documents(spark, sf):
     return src.read_documents(_uploads(spark, sf))
 
 
+@query("S1_read_text_files", "SELECT doc_id, 'text' AS format, octet_length(encode(text)) AS size, length(text) AS chars, text FROM documents")
+def read_text_files(spark, sf):
+    """Every text written as a file and read from the files."""
+    folder = work_dir(spark, "texts")
+    sinks.write_files(inputs.documents(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").alias("body")), folder)
+    files = src.read_text_files(spark, folder)
+    number = F.regexp_extract("path", r"(\d+)\.txt\z", 1).cast("long")
+    read = src.read_documents(files.select(number.alias("doc_id"), F.lit(None).cast("string").alias("pasted"), "text"))
+    return read.join(files.select(number.alias("doc_id"), "size"), "doc_id").select("doc_id", "format", "size", "chars", "text")
+
+
 @query("S2_classify_format", _UP + f"""SELECT doc_id, CASE WHEN ext = '.docx' THEN 'docx' WHEN ext = '.pdf' OR mime = 'application/pdf' THEN 'pdf' WHEN ext = '.doc' THEN 'reject'
  WHEN ext IN ({', '.join(sql.s(x) for x in v.TEXT_EXTENSIONS)}) OR starts_with(mime, 'text/') THEN 'text' WHEN regexp_matches(left(text, 2000), '[\\x00-\\x08\\x0e-\\x1f]') THEN 'reject' ELSE 'text' END AS format FROM u""")
 def classify_format(spark, sf):

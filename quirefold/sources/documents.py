@@ -13,8 +13,8 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file, bytes read as UTF-8: path, text, size."""
-    raw = spark.read.format("binaryFile").load(path)
+    """One row per file of a folder and the folders below it, bytes read as UTF-8: path, text, size."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return raw.select("path", F.expr("decode(content, 'UTF-8')").alias("text"), F.col("length").alias("size"))
 
 

@@ -19,8 +19,9 @@ def export_source():
     the option `sep` between them.
 
     A task writes into a folder of its own attempt. When all tasks have succeeded, the folders of the attempts that
-    count become part-0, part-1, ..; the others, and all of them after a failure, are removed. Classes inside a
-    function travel to the tasks by value, so the package need not be installed there.
+    count become part-0, part-1, ..; the others, and all of them after a failure, are removed. What a task still writes
+    after that lies in a folder that readers pass over. Classes inside a function travel to the tasks by value, so the
+    package need not be installed there.
     """
     from dataclasses import dataclass
 
@@ -98,11 +99,14 @@ def export_source():
 def write_exports(bodies: DataFrame, path: str, ext: str = "md", sep: str = "\n") -> None:
     """bodies(doc_id, title, order columns, body) as one file per document, named doc_id and export name, below a new
     folder. Documents are dealt to tasks by id; a task streams the fragments of its documents, one file at a time."""
-    spark = bodies.sparkSession
-    spark.dataSource.register(export_source())
     name = F.concat(F.col("doc_id").cast("string"), F.lit("-"), export_filename(F.col("title"), ext))
-    placed = bodies.repartition("doc_id").sortWithinPartitions("doc_id", *ORDER).select(name.alias("name"), "body")
-    placed.write.format("quirefold_exports").mode("append").option("path", path).option("sep", sep).save()
+    write_files(bodies.repartition("doc_id").sortWithinPartitions("doc_id", *ORDER).select(name.alias("name"), "body"), path, sep)
+
+
+def write_files(rows: DataFrame, path: str, sep: str = "") -> None:
+    """rows(name, body): a file per name below a new folder. The rows of a name lie one after another in one partition."""
+    rows.sparkSession.dataSource.register(export_source())
+    rows.write.format("quirefold_exports").mode("append").option("path", path).option("sep", sep).save()
 
 
 def read_exports(spark, path: str) -> DataFrame:

@@ -118,7 +118,7 @@ def classify_outcome(folded: DataFrame) -> DataFrame:
     )
     error = (
         F.when(F.col("outcome") == "interrupted", v.ERR_BROKEN)
-        .when(F.col("outcome") == "empty", F.concat(F.lit(v.ERR_NO_CONTENT), finish, F.lit("）")))
+        .when(F.col("outcome") == "empty", F.concat(F.lit(v.ERR_NO_CONTENT), finish, F.lit(v.ERR_CLOSING)))
         .when(F.col("outcome") == "truncated", v.ERR_ONLY_REASONING)
         .otherwise("")
     )
