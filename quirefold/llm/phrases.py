@@ -5,7 +5,7 @@ word shorter in it are, so only such ones are sent. What occurs often enough for
 twice: by words from the first on (prefix order) and from the last on (suffix order). In prefix order a phrase comes
 behind the phrases that begin it and before those that extend it, so one pass over the sorted stream, all lengths in
 lockstep, gives each phrase the counts of its beginnings and of its largest extension; suffix order gives those of its
-ends. No hash table of phrases is built, and a stream is split anywhere: what crosses a split is one row a partition.
+ends. The counts meet without a hash table, and a stream is split anywhere: what crosses a split is one row a partition.
 """
 
 from __future__ import annotations
