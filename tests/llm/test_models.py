@@ -90,3 +90,34 @@ def test_language_is_that_of_fewest_bytes(spark):
             sizes = [(size(t.lower().encode(), d), k) for k, d in enumerate(dictionaries.values())]
             assert got[i]["lang_pred"] == list(dictionaries)[min(sizes)[1]], i
     assert got[94]["lang_pred"] == "aa" and got[94]["lang_accepted"]
+
+
+def test_pattern_graph_is_scored_until_nothing_is_added(spark):
+    """Seeds, patterns and instances at random, against loops over the definition; several rounds add something."""
+    from quirefold.llm import pii
+
+    r = random.Random(12)
+    rows = []
+    for kind in range(2):
+        for layer in range(4):
+            # A layer's patterns stand beside its own instances and some of the layer before.
+            for pattern in range(4):
+                for _ in range(14):
+                    of = max(0, layer - (r.random() < 0.8))
+                    rows.append((len(rows), kind, f"i{kind}-{of}-{r.randrange(7)}", of == 0, [f"p{layer}-{pattern}", f"q{r.randrange(3)}"][: r.randrange(1, 3)]))
+    rows += [(len(rows) + i, 0, f"lone{i}", False, ["rare"]) for i in range(9)] + [(len(rows) + 20, 1, "none", False, [])]
+    found = spark.createDataFrame(rows, "row long, kind int, instance string, seed boolean, patterns array<string>")
+    beside = {}
+    for _, k, i, _, patterns in rows:
+        for p in patterns:
+            beside.setdefault((k, p), set()).add((k, i))
+    seeds = {(k, i) for _, k, i, s, patterns in rows if s and patterns}
+    believed, rounds = set(seeds), 0
+    while True:
+        sure = [v for v in beside.values() if len(v & believed) >= pii.SUPPORT and len(v & believed) >= pii.CONFIDENCE * len(v)]
+        new = seeds.union(*sure) if sure else set(seeds)
+        if len(new) == len(believed):
+            break
+        believed, rounds = new, rounds + 1
+    got = {(x["kind"], x["instance"]) for x in pii.confident_instances(found).collect()}
+    assert got == believed and rounds >= 1 and len(seeds) < len(believed)
