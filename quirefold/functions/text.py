@@ -78,7 +78,7 @@ def has_math(c: Column) -> Column:
 
 
 # The characters that are neither a sentence mark nor LF, as positive ranges: the regex engine tests these about
-# six times faster than the negated class.
+# one and a half times faster than the negated class.
 _PLAIN = r"@-\u3001\x0B-\x20\x22-\x3A\x3C-\x3E\x00-\x09\u3003-\uFF00\uFF02-\uFF1A\uFF1C-\uFF1E\uFF20-\x{10FFFF}"
 _SENTENCE = rf"[{_PLAIN}]+[{v.SENTENCE_MARKS}]?|\n"
 _PACK = (

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["T1_normalize_whitespace", "T6_coalesce_lines", "T8_split_long_paragraph", "K3_context_budget", "R3_rank_blocks", "C9_pack_context", "Q1_pair_messages", "E1_apply_edits", "A2_chunk_by_budget", "X3_build_markdown", "V3_fold_deltas_stream", "V5_append_answers", "V7_question_counts", "P5_assign_column", "P13_lines_to_blocks"]
+CHECKED = ["T1_normalize_whitespace", "T6_coalesce_lines", "T8_split_long_paragraph", "K3_context_budget", "R3_rank_blocks", "C9_pack_context", "Q1_pair_messages", "E1_apply_edits", "A2_chunk_by_budget", "X3_build_markdown", "V3_fold_deltas_stream", "V5_append_answers", "V7_question_counts", "P5_assign_column"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
