@@ -35,3 +35,26 @@ def test_empty_table(spark):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_odd_rows_pass_all_stages(spark):
+    """Columns named as the operators name theirs, a very long text, repeated ids and rows, and an item without id."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 300 and lang = 'en'").orderBy("doc_id").limit(40)
+    clean = p.stored(p.decontamination(spark, p.near_duplicates(spark, p.language_id(spark, docs, SF), SF), SF), "clean").orderBy("doc_id").collect()
+    first, others = clean[0], " ".join(r["text"].replace("@", " ") for r in clean[1:])
+    ending = " and here it ends, mail to some.one@example.org now"
+    made = [(first["doc_id"], first["text"]), (first["doc_id"], first["text"]), (None, first["text"]), (80001, others * 12 + ending)] + [(r["doc_id"], r["text"]) for r in clean[1:12]]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], docs.schema)
+    for name in ("ids", "lang_pred", "lang_score", "spans", "text_hash", "component_id", "row", "w", "h", "rep", "n_hit"):
+        rows = rows.withColumn(name, F.lit("own"))
+    rows = p.stored(rows, "odd")
+    n = rows.count()
+    for name, stage in p.STAGES[:-1]:
+        after = p.stored(stage(spark, rows, SF), "stage")
+        assert after.columns == rows.columns and after.count() <= n, name
+        rows, n = after, after.count()
+    kept = {r["doc_id"]: r for r in rows.collect()}
+    assert first["doc_id"] in kept and 80001 in kept and kept[80001]["text"].endswith("mail to <EMAIL> now") and kept[80001]["spans"] == "own"
+    assert rows.where(F.col("doc_id") == first["doc_id"]).count() == 2
+    last = {r["doc_id"]: r for r in p.STAGES[-1][1](spark, rows, SF).collect()}
+    assert set(last) == set(kept) and last[80001]["n_tokens"] > 100_000
