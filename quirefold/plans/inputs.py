@@ -255,10 +255,15 @@ def parts(spark, sf) -> DataFrame:
 def lines(spark, sf) -> DataFrame:
     """Every eight words of every document as a page line (45 to a page), with formula lines, leaders, indents, bold
     lines, table rows (some with split base lines) and broken words."""
+    # Eight words travel as one text, with the empty words that keep their places.
+    all_words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    spans = F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 8).cast("int")), lambda i: F.array_join(F.slice("ws", i * 8 + 1, F.lit(8)), " "))
+    cut = documents(spark, sf).select("doc_id", all_words.alias("ws")).filter(F.col("ws").isNotNull()).select("doc_id", F.posexplode(spans).alias("line_no", "span"))
+    words = F.filter(F.flatten(F.transform("spans", lambda s: F.transform(F.split(s, " "), lambda w, i: F.struct(i.alias("w"), w.alias("str"))))), lambda x: x["str"] != "")
     line = (
-        _words(documents(spark, sf)).withColumn("line_no", F.floor(F.col("w") / 8)).groupBy("doc_id", "line_no")
-        .agg(F.array_sort(F.collect_list(F.struct("w", "str"))).alias("ws"))
-        .select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.transform("ws", lambda x: x["str"]).alias("ws"))
+        cut.groupBy("doc_id", "line_no").agg(F.collect_list("span").alias("spans"))
+        .select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.transform(F.array_sort(words), lambda x: x["str"]).alias("ws"))
+        .filter(F.size("ws") > 0)
     )
     n = F.col("line_no")
     ln = n % 45

@@ -171,8 +171,8 @@ pread AS MATERIALIZED (SELECT k.*, lag(k.kind) OVER p AS was, lag(k.nxt) OVER p
 
 @query("P12_table_runs", c("pread", "SELECT doc_id, page, line_no AS first_line, CAST(size AS INTEGER) AS n_lines, header_row, array_to_string(list_transform(grid, lambda r: array_to_string(r, ' | ')), chr(10)) AS text FROM pread WHERE kind = 'table'"))
 def table_runs(spark, sf):
-    near = materialize(ly._with_neighbours(materialize(inputs.lines(spark, sf), "lines")), "near")
-    t = ly.table_runs(near)
+    lines = materialize(inputs.lines(spark, sf), "lines")
+    t = ly.table_runs(ly.neighbours(lines), lines)
     return t.select("doc_id", "page", "first_line", "n_lines", "header_row", F.array_join(F.transform("cells", lambda r: F.array_join(r, " | ")), "\n").alias("text"))
 
 
