@@ -357,14 +357,16 @@ def _flattened(body):
     j = body.select("doc_id", F.from_json("body", kind).alias("j"))
     e = lambda x: F.coalesce(x, F.lit(""))
     bar = lambda *cs: F.concat_ws("|", *cs)
-    one = lambda df, part, item, qa, content: df.select("doc_id", F.lit(part).alias("part"), item.cast("long").alias("item"), qa.cast("long").alias("qa"), content.alias("content"))
-    items = j.select("doc_id", F.posexplode("j.items").alias("pos", "i")).withColumn("pos", F.when(F.col("i.type") == "cross", (1 << 31) - 1).otherwise(F.col("pos")))
-    qa = items.select("doc_id", "pos", F.posexplode("i.qa").alias("n", "q"))
-    return (
-        one(j, "summary", F.lit(-2), F.lit(-1), bar("j.document.title", F.col("j.document.blocks").cast("string"), F.col("j.document.questions").cast("string")))
-        .unionByName(one(items, "item", F.col("pos"), F.lit(-1), bar("i.paragraphId", "i.type", "i.text")))
-        .unionByName(one(qa, "qa", F.col("pos"), F.col("n"), bar("q.question", e("q.answer"), e("q.error"), _join("q.citedParagraphIds"))))
-    )
+    one = lambda part, item, qa, content: F.struct(F.lit(part).alias("part"), item.cast("long").alias("item"), qa.cast("long").alias("qa"), content.alias("content"))
+    none = F.array().cast("array<struct<part:string,item:bigint,qa:bigint,content:string>>")
+    each = lambda rows, row: F.coalesce(F.transform(rows, row), none)
+    place = lambda i, pos: F.when(i["type"] == "cross", (1 << 31) - 1).otherwise(pos)
+    item = lambda i, pos: one("item", place(i, pos), F.lit(-1), bar(i["paragraphId"], i["type"], i["text"]))
+    qa = lambda i, pos: each(i["qa"], lambda q, n: one("qa", place(i, pos), n, bar(q["question"], e(q["answer"]), e(q["error"]), _join(q["citedParagraphIds"]))))
+    summary = one("summary", F.lit(-2), F.lit(-1), bar("j.document.title", F.col("j.document.blocks").cast("string"), F.col("j.document.questions").cast("string")))
+    # All rows of a body in one pass: bodies are made, or read, and parsed once.
+    pairs = F.coalesce(F.flatten(F.transform("j.items", qa)), none)
+    return j.select("doc_id", F.explode(F.concat(F.array(summary), each(F.col("j.items"), item), pairs)).alias("r")).select("doc_id", "r.*")
 
 
 @query("X4_build_json", c("labelled", _FLAT))

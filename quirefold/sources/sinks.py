@@ -16,7 +16,7 @@ def export_filename(title: Column, ext: str) -> Column:
 
 def export_source():
     """A data source that writes rows (name, body) in their order to files: the bodies of a name one after another, with
-    the option `sep` between them.
+    the option `sep` between them. It reads them back, a folder a task.
 
     A task writes into a folder of its own attempt. When all tasks have succeeded, the folders of the attempts that
     count become part-0, part-1, ..; the others, and all of them after a failure, are removed. What a task still writes
@@ -25,7 +25,7 @@ def export_source():
     """
     from dataclasses import dataclass
 
-    from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+    from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
     def opened(path: str):
         from pyarrow import fs
@@ -82,6 +82,37 @@ def export_source():
             if files.get_file_info(f"{root}/{self.begun}").type == fs.FileType.Directory:
                 files.delete_dir(f"{root}/{self.begun}")
 
+    class ExportReader(DataSourceReader):
+        def __init__(self, options: dict):
+            self.path = options["path"].rstrip("/")
+
+        def partitions(self):
+            from pyarrow import fs
+
+            files, root = opened(self.path)
+            found = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
+            return [InputPartition(f.path) for f in found if f.type == fs.FileType.Directory and not f.base_name.startswith(("_", "."))]
+
+        def read(self, partition):
+            import pyarrow as pa
+            from pyarrow import fs
+
+            def batch():
+                return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary()).cast(pa.string())], names=["name", "body"])
+
+            files, _ = opened(self.path)
+            names, bodies, size = [], [], 0
+            for f in files.get_file_info(fs.FileSelector(partition.value)):
+                with files.open_input_stream(f.path) as source:
+                    bodies.append(source.read())
+                names.append(f.base_name)
+                size += len(bodies[-1])
+                if size > 1 << 22 or len(names) == 4096:
+                    yield batch()
+                    names, bodies, size = [], [], 0
+            if names:
+                yield batch()
+
     class ExportSource(DataSource):
         @classmethod
         def name(cls):
@@ -90,6 +121,9 @@ def export_source():
         def schema(self):
             return "name string, body string"
 
+        def reader(self, schema):
+            return ExportReader(dict(self.options))
+
         def writer(self, schema, overwrite):
             return ExportWriter(dict(self.options))
 
@@ -110,8 +144,9 @@ def write_files(rows: DataFrame, path: str, sep: str = "") -> None:
 
 
 def read_exports(spark, path: str) -> DataFrame:
-    """doc_id, name, body of all files written by write_exports."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    file = F.element_at(F.split(F.col("path"), "/"), -1)
-    parts = F.split(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))), "-", 2)
-    return files.select(F.get(parts, 0).cast("long").alias("doc_id"), F.get(parts, 1).alias("name"), F.decode("content", "UTF-8").alias("body"))
+    """doc_id, name, body of all files written by write_exports. Tasks list and read whole folders: as there is a file per
+    document, the driver must not list them, nor plan for each."""
+    spark.dataSource.register(export_source())
+    parts = F.split("name", "-", 2)
+    files = spark.read.format("quirefold_exports").option("path", path).load()
+    return files.select(F.get(parts, 0).cast("long").alias("doc_id"), F.get(parts, 1).alias("name"), "body")

@@ -80,3 +80,17 @@ def test_index_finds_what_a_scan_finds(spark):
     # The rarest run decides what is read.
     rare = retrieval.indexed_candidates(spark.createDataFrame([(1, "日本a")], "q_id long, query string"), path).count()
     assert rare <= sum("日本a" in t.lower() for t in texts)
+
+
+def test_exports_are_read_by_folders_and_parsed_once(spark, tmp_path):
+    from quirefold.plans import thread_queries
+
+    path = f"{tmp_path}/out"
+    rows = [(i, f"t + %{i}", 1, 0, 0, 0, '{"document":{"title":"t","blocks":1,"questions":0},"items":[{"paragraphId":"p1","type":"cross","text":"x","qa":[{"question":"q"}]},{"paragraphId":"p2"}]}') for i in range(20)]
+    sinks.write_exports(spark.createDataFrame(rows, "doc_id long, title string, section long, item_no long, qa_no long, line long, body string"), path, "json", "")
+    read = sinks.read_exports(spark, path)
+    assert {r["doc_id"]: (r["name"], r["body"]) for r in read.collect()} == {r[0]: (f"t + %{r[0]}-问答记录.json", r[-1]) for r in rows}
+    flat = thread_queries._flattened(read.where("doc_id = 3"))
+    assert "binaryFile" not in read._jdf.queryExecution().toString() and "Union" not in flat._jdf.queryExecution().toString()
+    end = (1 << 31) - 1
+    assert sorted(tuple(r) for r in flat.collect()) == [(3, "item", 1, -1, "p2"), (3, "item", end, -1, "p1|cross|x"), (3, "qa", end, 0, "q|||"), (3, "summary", -2, -1, "t|1|0")]
