@@ -57,7 +57,7 @@ def parse_json_loose(spark, sf):
         F.when(k == 0, json).when(k == 1, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Sure: "), json, F.lit(" done.")))
         .when(k == 3, F.concat(F.lit("  ```\n"), json, F.lit("```  "))).otherwise(F.concat(F.lit("oops "), F.left(json, F.length(json) - 3)))
     )
-    d = inputs.documents(spark, sf).select("doc_id", rf.loose_json(content).alias("json"))
+    d = inputs.spread(inputs.documents(spark, sf)).select("doc_id", rf.loose_json(content).alias("json"))
     said = F.get(F.from_json("json", rf.RESPONSE)["blocks"], F.lit(0))["text"]
     ok = F.try_parse_json("json").isNotNull()
     return d.select("doc_id", ok.alias("valid"), F.when(ok, said).otherwise("").alias("said"))
@@ -114,7 +114,7 @@ def refine_errors(spark, sf):
 def snapshot_restore(spark, sf):
     """Both versions as they are kept, and a restored third one of every third document."""
     _, _, b, _, patches = _refined(spark, sf)
-    versions = materialize(rf.snapshot(b.drop("rows"), rf.apply_refine(b, patches).drop("rows")).select("version", "doc_id", "block_id", "type", "text"), "versions")
+    versions = rf.snapshot(b.drop("rows"), rf.apply_refine(b, patches).drop("rows")).select("version", "doc_id", "block_id", "type", "text")
     restored = rf.restore_local(versions.where(F.col("doc_id") % 3 == 0)).withColumn("version", F.lit(2))
     return versions.unionByName(restored)
 
@@ -246,11 +246,15 @@ def incremental_refine(spark, sf):
     """Responses as a file stream whose files hold one attempt each: every micro-batch is turned into patches at once,
     and a late further answer of a refined batch changes nothing."""
     responses, batches, b = inputs.refine_responses(spark, sf)
-    batches, b, responses = materialize(batches, "batches"), materialize(b, "blocks"), materialize(responses, "responses")
+    responses = materialize(responses, "responses")
     late = responses.where(F.col("content").contains("{") & F.try_parse_json(rf.loose_json(F.col("content"))).isNotNull()).withColumn("attempt", F.lit(2))
     late = late.withColumn("content", F.replace("content", F.lit(" fixed "), F.lit(" late ")))
     every = responses.union(late)
-    stream = runs.read_stream(spark, _as_files(spark, every, "responses", 3, "attempt"), "*.parquet", every.schema, 1)
+    # The files of an attempt are written by all tasks and read as one micro-batch.
+    folder, files = work_dir(spark, "responses"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for attempt in range(3):
+        every.where(F.col("attempt") == attempt).repartition(files).write.mode("append").parquet(folder)
+    stream = runs.read_stream(spark, folder, "*.parquet", every.schema, files)
     place = work_dir(spark, "patches")
     an.incremental_refine(stream, batches, b, place)
     return _patch_cols(an.current_patches(spark, place))

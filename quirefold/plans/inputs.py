@@ -24,13 +24,18 @@ def documents(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text", "source", "n_chars")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to tasks: a table may lie in few row groups, and each is read by one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def docs(spark, sf) -> DataFrame:
     """Study documents."""
     s = F.replace(F.replace("text", F.lit(". "), F.lit("。 ")), F.lit(".\n"), F.lit("。\n"))
     section = F.concat(F.lit("Abstract\n"), F.replace(s, F.lit("\n"), F.lit("\n\n2.1 Section\n- point one\n")))
     third = F.col("doc_id") % 3
     text = F.when(third == 0, s).when(third == 1, F.replace(s, F.lit("\n"), F.lit("\n\n"))).otherwise(section)
-    d = documents(spark, sf)
+    d = spread(documents(spark, sf))
     return d.select(
         "doc_id", text.alias("text"), *_meta(), F.col("n_chars").alias("size"),
     )
@@ -181,7 +186,8 @@ def answer_items(b: DataFrame) -> DataFrame:
 def refine_responses(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Recorded answers for the refinement batches of all documents: responses, batches, blocks."""
     b = materialize(typed_blocks(spark, sf), "blocks")
-    batches = rf.chunk_by_budget(rf.refine_lines(b))
+    # Several steps meet the batches; they are three numbers a block.
+    batches = materialize(rf.chunk_by_budget(rf.refine_lines(b)), "batches")
     items = answer_items(batches.join(b.select("doc_id", "idx", "text"), ["doc_id", "idx"]))
     bodies = items.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(F.struct("idx", "item"))).alias("i")).select(
         "doc_id", "batch", F.to_json(F.struct(F.transform("i", lambda x: x["item"]).alias("blocks"))).alias("json")

@@ -117,3 +117,20 @@ def test_a_second_run_reads_only_new_files(spark):
     counts = runs.latest_per_key(spark, read(), ["doc_id"], place)
     assert sorted(map(tuple, counts.collect())) == [(1, 2), (2, 1), (3, 1)]
     assert runs.latest_per_key(spark, read(), ["doc_id"], place).agg(F.sum("questions")).first()[0] == 4
+
+
+def test_texts_and_answers_are_spread_over_tasks(spark, tmp_path):
+    """One file of one row group is read by one task; texts are then dealt to all, and so are the files of a stream."""
+    from pathlib import Path
+
+    from quirefold.plans import batch_queries, inputs
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = [(i, "Some words here. And more.", "s", 26) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert batch_queries.parse_json_loose(spark, str(tmp_path)).rdd.getNumPartitions() == n
+    assert inputs.docs(spark, str(tmp_path)).rdd.getNumPartitions() == n
+    batch_queries.incremental_refine(spark, str(tmp_path))
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    newest = sorted(base.glob("responses-*"), key=lambda f: f.stat().st_mtime_ns)[-1]
+    assert len(list(newest.glob("*.parquet"))) > 3
