@@ -68,3 +68,10 @@ def test_large_values_have_the_form_of_small_ones(spark):
     assert m["n"] == 18_000_000
     (b,) = ordered.assemble(two, ["doc_id"], ["idx"], "text", "\n").select(F.length("text").alias("n"), F.substr("text", F.lit(9_000_001), F.lit(1)).alias("sep")).collect()
     assert (b["n"], b["sep"]) == (18_000_001, "\n")
+
+
+def test_scan_gives_the_largest_value_before(spark):
+    df = spark.createDataFrame(rows(), "k string, seq long, v string, n long")
+    got = ordered.scan(df, ["k"], ["seq"], ordered.chunk_of("seq", 7), top={"tp": F.col("n")})
+    want = df.select("*", F.max("n").over(W.partitionBy("k").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)).alias("tp"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
