@@ -96,7 +96,8 @@ def _based(spark, sf):
 
 @query("P7_baseline_rows", c("based", "SELECT doc_id, page, item_no, ly AS line_y, lh AS line_h FROM lined"))
 def baseline_rows(spark, sf):
-    return ly.baseline_rows(materialize(inputs.parts(spark, sf), "parts")).select("doc_id", "page", "item_no", "line_y", "line_h")
+    parts = inputs.parts(spark, sf).select("doc_id", "page", "item_no", "x0", "x1", "y", "h")
+    return ly.baseline_rows(materialize(parts, "parts")).select("doc_id", "page", "item_no", "line_y", "line_h")
 
 
 _LINE_KEYS = ["doc_id", "page", "band", "line"]
