@@ -50,10 +50,13 @@ def thin_rules(spark, sf):
     return ly.thin_rules(r).select("doc_id", "x1", "y1")
 
 
-def _rowed(spark, sf):
+def _rowed(spark, sf, *also):
     # Columns are found from places and sizes: every item is shuffled several times, and texts and fonts stay behind.
     items = materialize(inputs.items(spark, sf).drop("str", "font"), "items")
-    return materialize(ly.row_cluster(items), "rows"), materialize(ly.main_height(items), "heights")
+    heights = materialize(ly.main_height(items), "main_heights")
+    rows = ly.row_cluster(items, heights).select(*ly.PAGE, "item_no", "x", "w", "page_width", "row_y", *also)
+    # Both gutters and columns look at neighbours in a row, so these are found and written once.
+    return materialize(ly.row_chain(rows), "chains"), heights
 
 
 @query("P3_row_cluster", c("rowed", "SELECT doc_id, page, item_no, row_y FROM rowed"))
@@ -66,10 +69,15 @@ def gutters(spark, sf):
     return ly.gutters(*_rowed(spark, sf)).withColumn("cut", F.coalesce("cut", F.lit(-1.0)))
 
 
+def _columned(spark, sf, *also):
+    rowed, heights = _rowed(spark, sf, *also)
+    # One row a page, written: the plan that deals out the items stays small.
+    return ly.assign_column(rowed, heights, materialize(ly.gutters(rowed, heights), "pages"))
+
+
 @query("P5_assign_column", c("columned", "SELECT doc_id, page, item_no, col FROM columned"))
 def assign_column(spark, sf):
-    rowed, heights = _rowed(spark, sf)
-    return ly.assign_column(rowed, heights, ly.gutters(rowed, heights)).select("doc_id", "page", "item_no", F.coalesce("col", F.lit("")).alias("col"))
+    return _columned(spark, sf).select("doc_id", "page", "item_no", F.coalesce("col", F.lit("")).alias("col"))
 
 
 # Items stand for lines here: an order over the columns of P5.
@@ -82,9 +90,7 @@ SELECT doc_id, page, line_no, CAST(row_number() OVER (PARTITION BY doc_id, page
 
 @query("P6_reading_order", c("columned", "SELECT * FROM (WITH " + _SIDED + ")"))
 def reading_order(spark, sf):
-    rowed, heights = _rowed(spark, sf)
-    col = ly.assign_column(rowed, heights, ly.gutters(rowed, heights))
-    lines = materialize(col.select("doc_id", "page", F.col("item_no").alias("line_no"), F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"), "y", "col", "page_width"), "lines")
+    lines = materialize(_columned(spark, sf, "y").select("doc_id", "page", F.col("item_no").alias("line_no"), F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"), "y", "col", "page_width"), "lines")
     placed = ly.line_places(materialize(ly.reading_order(lines), "ordered"))
     return placed.select("doc_id", "page", "line_no", (F.col("place") + 1).cast("int").alias("place"))
 
