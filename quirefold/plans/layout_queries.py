@@ -89,6 +89,7 @@ def _columned(spark, sf, *also):
 
 
 @query("P5_assign_column", c("columned", "SELECT doc_id, page, item_no, col FROM columned"))
+@by_page
 def assign_column(spark, sf):
     return _columned(spark, sf).select("doc_id", "page", "item_no", F.coalesce("col", F.lit("")).alias("col"))
 
