@@ -116,6 +116,7 @@ def _based(spark, sf):
 
 
 @query("P7_baseline_rows", c("based", "SELECT doc_id, page, item_no, ly AS line_y, lh AS line_h FROM lined"))
+@by_page
 def baseline_rows(spark, sf):
     parts = inputs.parts(spark, sf).select("doc_id", "page", "item_no", "x0", "x1", "y", "h")
     return ly.baseline_rows(materialize(parts, "parts")).select("doc_id", "page", "item_no", "line_y", "line_h")
