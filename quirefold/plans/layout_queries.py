@@ -78,6 +78,7 @@ def row_cluster(spark, sf):
 
 
 @query("P4_gutters", c("gutters", "SELECT doc_id, page, n_rows, n_gutters, coalesce(cut, -1) AS cut, dual FROM gutters"))
+@by_page
 def gutters(spark, sf):
     return ly.gutters(*_rowed(spark, sf)).withColumn("cut", F.coalesce("cut", F.lit(-1.0)))
 
