@@ -110,18 +110,24 @@ def loose_json(content: Column) -> Column:
     """The text of the JSON object inside a model answer."""
     s = tx.trim(F.coalesce(content, F.lit("")))
     s = F.regexp_replace(F.regexp_replace(s, r"(?i)^```(?:json)?\s*", ""), r"```\s*\z", "")
-    cut = F.regexp_extract(s, r"\{[\s\S]*\}", 0)
-    return F.when(cut == "", s).otherwise(cut)
+    cut = lambda s: tk.let(F.regexp_extract(s, r"\{[\s\S]*\}", 0), lambda c: F.when(c == "", s).otherwise(c))
+    return tk.let(s, cut)
+
+
+def _kept(value: Column, test) -> Column:
+    """Rows with the value where it passes the test, others leave. A filter on a column is moved below the projection that
+    makes it, and then makes it a second time; a generator makes it once."""
+    return F.explode(F.filter(F.array(value), test))
 
 
 def first_valid(responses: DataFrame) -> DataFrame:
     """responses(doc_id, batch, attempt, content): doc_id, batch, attempt, json of the first attempt that holds JSON."""
-    valid = responses.withColumn("json", loose_json(F.col("content"))).filter(F.try_parse_json("json").isNotNull())
+    valid = responses.select("doc_id", "batch", "attempt", _kept(loose_json(F.col("content")), lambda j: F.try_parse_json(j).isNotNull()).alias("json"))
     return valid.groupBy("doc_id", "batch").agg(F.min("attempt").alias("attempt"), F.min_by("json", "attempt").alias("json"))
 
 
 def parsed(best: DataFrame) -> DataFrame:
-    return best.select("doc_id", "batch", F.from_json("json", RESPONSE)["blocks"].alias("blocks")).filter(F.size("blocks") > 0)
+    return best.select("doc_id", "batch", _kept(F.from_json("json", RESPONSE)["blocks"], lambda b: F.size(b) > 0).alias("blocks"))
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:

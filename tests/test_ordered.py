@@ -75,3 +75,15 @@ def test_scan_gives_the_largest_value_before(spark):
     got = ordered.scan(df, ["k"], ["seq"], ordered.chunk_of("seq", 7), top={"tp": F.col("n")})
     want = df.select("*", F.max("n").over(W.partitionBy("k").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)).alias("tp"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_answers_are_parsed_once(spark, monkeypatch):
+    """The JSON text of an answer and its blocks are each found once a row, whatever is filtered by them."""
+    rows = [(1, 0, 0, "no"), (1, 0, 1, '```json\n{"blocks":[{"n":"1","text":"a"}]}\n```'), (1, 0, 2, 'Here {"blocks":[{"n":"2"}]} done'), (1, 1, 0, '{"blocks":[]}'), (2, 0, 0, None), (2, 1, 0, "{}")]
+    responses = spark.createDataFrame(rows, "doc_id long, batch int, attempt int, content string")
+    best = refine.first_valid(responses)
+    assert sorted((r["doc_id"], r["batch"], r["attempt"], r["json"]) for r in best.collect()) == [(1, 0, 1, '{"blocks":[{"n":"1","text":"a"}]}'), (1, 1, 0, '{"blocks":[]}'), (2, 1, 0, "{}")]
+    found = refine.parsed(best)
+    assert [(r["doc_id"], r["batch"], [b["text"] for b in r["blocks"]]) for r in found.collect()] == [(1, 0, ["a"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"{name}(") for name in ("from_json", "parseJson", "regexp_extract")] == [1, 1, 1], plan
