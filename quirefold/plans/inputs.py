@@ -289,9 +289,11 @@ def lines(spark, sf) -> DataFrame:
     spans = F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 8).cast("int")), lambda i: F.array_join(F.slice("ws", i * 8 + 1, F.lit(8)), " "))
     cut = documents(spark, sf).select("doc_id", all_words.alias("ws")).filter(F.col("ws").isNotNull()).select("doc_id", F.posexplode(spans).alias("line_no", "span"))
     words = F.filter(F.flatten(F.transform("spans", lambda s: F.transform(F.split(s, " "), lambda w, i: F.struct(i.alias("w"), w.alias("str"))))), lambda x: x["str"] != "")
+    # Dealt by page, as all that follows works page by page.
+    dealt = cut.select("doc_id", (F.floor(F.col("line_no") / 45) + 1).cast("int").alias("page"), F.col("line_no").cast("long").alias("line_no"), "span").repartition("doc_id", "page")
     line = (
-        cut.groupBy("doc_id", "line_no").agg(F.collect_list("span").alias("spans"))
-        .select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.transform(F.array_sort(words), lambda x: x["str"]).alias("ws"))
+        dealt.groupBy("doc_id", "page", "line_no").agg(F.collect_list("span").alias("spans"))
+        .select("doc_id", "page", "line_no", F.transform(F.array_sort(words), lambda x: x["str"]).alias("ws"))
         .filter(F.size("ws") > 0)
     )
     n = F.col("line_no")
@@ -314,7 +316,7 @@ def lines(spark, sf) -> DataFrame:
     x0 = F.when(~grid & (ln % 7 == 3), 54.0).otherwise(40.0)
     whole = F.array(F.struct(x0.alias("x"), F.lit(540.0).alias("x1"), text.alias("text")))
     return line.select(
-        "doc_id", (F.floor(n / 45) + 1).cast("int").alias("page"), "line_no", text.alias("text"), x0.alias("x0"), F.lit(540.0).alias("x1"),
+        "doc_id", "page", "line_no", text.alias("text"), x0.alias("x0"), F.lit(540.0).alias("x1"),
         (780 - ln * 15 - F.floor(ln / 6) * F.when(grid, 0).otherwise(10) + F.when(ln == 31, 10).otherwise(0)).cast("double").alias("y"),
         F.when(~grid & (ln % 15 == 14), 15.0).otherwise(12.0).alias("h"), (~grid & (ln % 11 == 10)).alias("bold"), math.alias("is_math"),
         F.when(F.col("doc_id") % 2 == 0, F.when(ln < 22, "0").otherwise("1")).alias("col"), F.when(grid, table).otherwise(whole).alias("cells"),

@@ -216,6 +216,7 @@ SELECT doc_id, page, first_line, CAST(part - 1 AS INTEGER) AS part, text, kind A
 
 
 @query("P13_lines_to_blocks", c("pread", "SELECT * FROM (WITH " + _BLOCKS + ")"))
+@by_page
 def lines_to_blocks(spark, sf):
     return ly.lines_to_blocks(materialize(inputs.lines(spark, sf), "lines"))
 
