@@ -380,7 +380,7 @@ def write_json(spark, sf):
     out = work_dir(spark, "exports")
     docs, blocks, messages = _export_inputs(spark, sf)
     fragments = materialize(ex.json_fragments(docs, blocks, messages), "fragments")
-    sinks.write_exports(fragments.join(docs.select("doc_id", "title"), "doc_id"), out, "json", "")
+    sinks.write_exports(fragments, out, "json", "", titles=docs)
     return _flattened(sinks.read_exports(spark, out))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import fixed as v
 from quirefold.functions.text import safe_name
 from quirefold.operators.export import ORDER
+from quirefold.session import shuffles_removed
 
 
 def export_filename(title: Column, ext: str) -> Column:
@@ -130,17 +131,21 @@ def export_source():
     return ExportSource
 
 
-def write_exports(bodies: DataFrame, path: str, ext: str = "md", sep: str = "\n") -> None:
+def write_exports(bodies: DataFrame, path: str, ext: str = "md", sep: str = "\n", titles: DataFrame | None = None) -> None:
     """bodies(doc_id, title, order columns, body) as one file per document, named doc_id and export name, below a new
-    folder. Documents are dealt to tasks by id; a task streams the fragments of its documents, one file at a time."""
+    folder. Documents are dealt to tasks by id; a task streams the fragments of its documents, one file at a time.
+    titles(doc_id, title) gives the titles if bodies has none; they come to the bodies where these are dealt."""
     name = F.concat(F.col("doc_id").cast("string"), F.lit("-"), export_filename(F.col("title"), ext))
-    write_files(bodies.repartition("doc_id").sortWithinPartitions("doc_id", *ORDER).select(name.alias("name"), "body"), path, sep)
+    dealt = bodies.repartition("doc_id")
+    titled = dealt if titles is None else dealt.join(titles.select("doc_id", "title"), "doc_id")
+    write_files(titled.sortWithinPartitions("doc_id", *ORDER).select(name.alias("name"), "body"), path, sep)
 
 
 def write_files(rows: DataFrame, path: str, sep: str = "") -> None:
     """rows(name, body): a file per name below a new folder. The rows of a name lie one after another in one partition."""
     rows.sparkSession.dataSource.register(export_source())
-    rows.write.format("quirefold_exports").mode("append").option("path", path).option("sep", sep).save()
+    with shuffles_removed(rows.sparkSession):
+        rows.write.format("quirefold_exports").mode("append").option("path", path).option("sep", sep).save()
 
 
 def read_exports(spark, path: str) -> DataFrame:

@@ -94,3 +94,17 @@ def test_exports_are_read_by_folders_and_parsed_once(spark, tmp_path):
     assert "binaryFile" not in read._jdf.queryExecution().toString() and "Union" not in flat._jdf.queryExecution().toString()
     end = (1 << 31) - 1
     assert sorted(tuple(r) for r in flat.collect()) == [(3, "item", 1, -1, "p2"), (3, "item", end, -1, "p1|cross|x"), (3, "qa", end, 0, "q|||"), (3, "summary", -2, -1, "t|1|0")]
+
+
+def test_titles_come_to_dealt_bodies(spark, monkeypatch):
+    """Bodies are dealt once, by document, also where their titles stand in another table."""
+    bodies = spark.createDataFrame([(d, 0, 0, 0, n, f"{d}{n}") for d in (1, 2, 3) for n in (1, 0)], "doc_id long, section long, item_no long, qa_no long, line long, body string")
+    titles = spark.createDataFrame([(1, "a/b"), (2, None)], "doc_id long, title string").hint("merge")
+    kept = {}
+    monkeypatch.setattr(sinks, "write_files", lambda rows, path, sep="": kept.update(rows=rows))
+    sinks.write_exports(bodies, "nowhere", "json", "", titles=titles)
+    assert kept["rows"]._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 2
+    got = {}
+    for r in kept["rows"].collect():
+        got.setdefault(r["name"].split("-")[0], []).append(r["body"])
+    assert got == {"1": ["10", "11"], "2": ["20", "21"]}
